@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, licenses, packing
+from . import exact_dedup, licenses, packing, quality, toxicity
 
 
 def queries() -> dict:
     return {
         "op3_packing": packing.op3_packing,
+        "op4_quality": quality.op4_quality,
         "op5_license_scan": licenses.op5_license_scan,
+        "op8_toxicity": toxicity.op8_toxicity,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
 
