@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, licenses, packing, quality, toxicity
+from . import decontaminate, exact_dedup, licenses, packing, quality, secrets, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_decontaminate": decontaminate.op1_decontaminate,
+        "op2_secret_scan": secrets.op2_secret_scan,
         "op3_packing": packing.op3_packing,
         "op4_quality": quality.op4_quality,
         "op5_license_scan": licenses.op5_license_scan,
@@ -16,4 +18,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": exact_dedup.OP10_SQL}
+    return {"op1_decontaminate": decontaminate.OP1_SQL, "op10_exact_dedup": exact_dedup.OP10_SQL}
