@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, licenses, ngram_join, packing, quality, secrets, toxicity, warc
+from . import decontaminate, exact_dedup, licenses, ngram_join, packing, quality, secrets, suffix_dedup, toxicity, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_quality": quality.op4_quality,
         "op5_license_scan": licenses.op5_license_scan,
         "op6_ngram_join": ngram_join.op6_ngram_join,
+        "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_warc": warc.op9_warc,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
