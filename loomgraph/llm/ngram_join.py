@@ -88,12 +88,12 @@ def needed(n: np.ndarray | int, num: int, den: int):
 
 
 def described(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, class) of each document; (bucket, count) of the sketch, in which a task counts a class once."""
+    """(doc_id, n, class, key) of each document; (bucket, count) of the sketch, in which a task counts a class once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen = Shingler(words), set()
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-        names = ["kind", "doc_id", "n", "class"]
+        names = ["kind", "doc_id", "n", "class", "key"]
         for batch in batches:
             sizes, keys, fresh = [], [], []
             for text in batch.column(1).to_pylist():
@@ -106,11 +106,12 @@ def described(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
                     fresh.append(t >> np.uint64(64 - SKETCH_BITS))
             if fresh:
                 sketch += np.bincount(np.concatenate(fresh).astype(np.int64), minlength=len(sketch))
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sizes), np.int32)), batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sizes), np.int32)), batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), batch.column(2)], names=names)
         at = np.flatnonzero(sketch)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int32)), pa.array(at), pa.array(sketch[at]), pa.array(at)], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int32)), pa.array(at), pa.array(sketch[at]), pa.array(at), pa.array(at)], names=names)
 
-    both = materialize(docs.mapInArrow(run, "kind int, doc_id long, n long, class long"), "shingle-sets")
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
+    both = materialize(keyed.mapInArrow(run, "kind int, doc_id long, n long, class long, key long"), "shingle-sets")
     return both.where("kind = 0").drop("kind"), both.where("kind = 1").groupBy(F.col("doc_id").alias("bucket")).agg(F.sum("n").alias("count"))
 
 
@@ -314,7 +315,7 @@ def class_components(partial: DataFrame, sets: DataFrame, num: int, den: int, mo
 
 
 def ngram_components(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id.
+    """One row per document: doc_id, n_shingles, component_id, key (xxhash64 of the text).
 
     Documents link when den * intersection >= num * union of their sets of ``words``-word shingles; component_id is the
     smallest doc_id reachable by links. ``docs`` has doc_id and text.
@@ -334,8 +335,8 @@ def ngram_components(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR,
         of = in_component.groupBy("component").agg(F.min("least_id").alias("component_id"))
         named = in_component.select("class", "component").join(of, "component").select("class", "component_id")
     found = described_docs.join(named, "class", "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "key")
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_components(table(spark, sf_dir, "documents"))
+    return ngram_components(table(spark, sf_dir, "documents")).drop("key")

@@ -103,9 +103,9 @@ def weigh(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
                 c = shapes.counts(x)
                 n = c.sum()
                 found.append(float(c @ ratio / n) if n else 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], names=["doc_id", "log_weight"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64()), batch.column(2)], names=["doc_id", "log_weight", "key"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, log_weight double")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("key")).mapInArrow(run, "doc_id long, log_weight double, key long")
 
 
 def best_level(weights: np.ndarray, good: np.ndarray) -> float:
@@ -143,7 +143,7 @@ def kth_largest(keys: DataFrame, k: int, key: str = "gumbel_key") -> tuple[float
 
 
 def importance_resample(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, temperature: float = TEMPERATURE, keep_share: float | None = None, seed: int = SEED) -> DataFrame:
-    """One row per document: doc_id, log_weight, gumbel_key, kept."""
+    """One row per document: doc_id, log_weight, gumbel_key, key (xxhash64 of the text), kept."""
     docs = texts(docs)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)")
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -152,7 +152,7 @@ def importance_resample(docs: DataFrame, labels: DataFrame, sample_rows: int = S
     kinds = {r["doc_id"] for r in sampled.select("doc_id").distinct().collect()}
     noise = -F.log(-F.log((F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(2**52)) + 0.5) / float(2**52)))
     if kinds != {0, 1}:
-        return docs.select("doc_id", F.lit(0.0).alias("log_weight"), noise.alias("gumbel_key"), F.lit(True).alias("kept"))
+        return docs.select("doc_id", F.lit(0.0).alias("log_weight"), F.xxhash64("text").alias("key"), noise.alias("gumbel_key"), F.lit(True).alias("kept"))
     raw, target = bucket_counts(docs), bucket_counts(sampled.where("doc_id = 1"))
     smooth = lambda c: np.log((c + 0.5) / (c.sum() + 0.5 * BUCKETS))
     ratio = np.clip(smooth(target) - smooth(raw), -4, 4) * (raw >= 20)  # n-grams of a few places say nothing
