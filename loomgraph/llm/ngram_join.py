@@ -1,7 +1,7 @@
 """N-gram Jaccard join by vertical partitioning.
 
 A document's set holds its distinct shingles as 64-bit hashes. The global n-gram order sorts shingles by how often they
-occur (rare first, in levels of a count sketch over all documents), then by hash. It is cut into fragments; a document
+occur (rare first, by levels of a count sketch over all documents), then by hash. It is cut into fragments; a document
 sends the part of its set that a similar partner must meet (the prefix of the order) to the fragments it falls in. Each
 fragment counts, apart from the others, the partial overlaps of the pairs that meet there; the counts are summed per
 pair, and pairs that can't reach the threshold with what lies outside the prefixes are dropped. The others are verified
@@ -22,106 +22,168 @@ null; repeated rows fall into one component; an empty table gives an empty resul
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import materialize, table, texts
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
-SKETCH_BITS = 18
+#: Buckets of the sketch, and the blocks that they are summed in.
+SKETCH_BITS, BLOCKS = 22, 512
 #: Lists up to this length give their pairs in the fragment, longer ones stay relations.
 SHORT_LIST = 24
-#: Prefix shingles of a fragment, and the level (a power of two of the mean sketch count) from which a shingle's list is dealt by class.
-FRAGMENT_TOKENS, DEALT_LEVEL = 1_500_000, 8
+#: Prefix shingles of a fragment, and the level (half powers of two of the mean sketch count) from which a shingle's list is dealt by class.
+FRAGMENT_TOKENS, DEALT_LEVEL = 1_500_000, 16
 FILTER_BITS = 24
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
 
 class Shingler:
-    """Sorted distinct shingle hashes of a text."""
+    """Sorted distinct shingle hashes of texts, many texts at a time."""
+
+    SEGMENT = 1 << 19  # bytes that are hashed together
+    SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+    BYTES = np.random.default_rng(6).integers(1, 2**63, 256, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
     def __init__(self, words: int = WORDS):
         import xxhash
 
-        self.words, self.known, self.hash = words, {}, xxhash.xxh3_64_digest
-        self.class_hash = xxhash.xxh3_64_intdigest
-
-    def tokens(self, text: str) -> np.ndarray:
-        words, known = text.encode().lower().split(), self.known  # white space is x20 and x09-x0D
-        if not words:
+        self.words, self.class_hash = words, xxhash.xxh3_64_intdigest
+        self.powers = np.ones(1, np.uint64)
+
+    def word_hashes(self, data: bytes) -> np.ndarray:
+        """Hashes of the words between white space (x20 and x09-x0D), in order."""
+        out = []
+        at = 0
+        while at < len(data):
+            stop = at + self.SEGMENT
+            if stop < len(data):  # a segment ends behind a space
+                found = re.compile(rb"[\x20\x09-\x0d]").search(data, stop)
+                stop = found.end() if found else len(data)
+            x = np.frombuffer(data[at:stop], np.uint8)
+            at = stop
+            inside = ~self.SPACE[x]
+            starts = np.flatnonzero(inside & ~np.r_[False, inside[:-1]])
+            if not len(starts):
+                continue
+            which = np.flatnonzero(inside)
+            sizes = np.diff(np.r_[np.searchsorted(which, starts), len(which)])
+            offset = which - np.repeat(starts, sizes)
+            if (most := int(sizes.max())) > len(self.powers):
+                self.powers = np.cumprod(np.r_[np.uint64(1), np.full(2 * most, MIX[0])], dtype=np.uint64)
+            h = np.add.reduceat(self.BYTES[x[which]] * self.powers[offset], np.searchsorted(which, starts))
+            out.append(mixed(h + sizes.astype(np.uint64) * MIX[2]))
+        return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+    def sets(self, texts_in: list[str]) -> Iterator[np.ndarray]:
+        """The set of each text, in order."""
+        at = 0
+        while at < len(texts_in):
+            group, size = [], 0
+            while at < len(texts_in) and (not group or size + len(texts_in[at]) <= self.SEGMENT):
+                group.append(texts_in[at].encode().lower())
+                size += len(group[-1])
+                at += 1
+            counts = [len(x.split()) for x in group]
+            w = self.word_hashes(b"\n".join(group))
+            ends = np.cumsum(counts)
+            full = self._shingles(w, self.words)
+            for end, n in zip(ends.tolist(), counts):
+                if n >= self.words:
+                    yield np.unique(full[end - n : end - self.words + 1])
+                else:
+                    yield self._shingles(w[end - n : end], n) if n else np.empty(0, np.uint64)
+
+    @staticmethod
+    def _shingles(w: np.ndarray, size: int) -> np.ndarray:
+        if len(w) < size:
             return np.empty(0, np.uint64)
-        try:
-            raw = b"".join([known[w] for w in words])
-        except KeyError:
-            if len(known) > 1_000_000:
-                known.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = self.hash(w)
-            raw = b"".join([known[w] for w in words])
-        w = np.frombuffer(raw, np.uint64)
-        size = min(self.words, len(w))
         h = np.full(len(w) - size + 1, size, np.uint64)
         for i in range(size):
             h ^= h >> np.uint64(31)
             h *= MIX[i % 6]
             h += w[i : len(w) - size + 1 + i]
-        h ^= h >> np.uint64(33)
-        h *= MIX[1]
-        h ^= h >> np.uint64(29)
-        h *= MIX[0]
-        h ^= h >> np.uint64(32)
-        return np.unique(h)
+        return mixed(h)
 
     def key(self, tokens: np.ndarray) -> int:
         return self.class_hash(tokens.tobytes()) >> 1
 
 
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * MIX[1]
+    h = (h ^ (h >> np.uint64(29))) * MIX[3]
+    return h ^ (h >> np.uint64(32))
+
+
 def needed(n: np.ndarray | int, num: int, den: int):
     """Least overlap of a set of n shingles with any partner."""
     return -(-n * num // den)
 
 
+def bucket_of(tokens: np.ndarray) -> np.ndarray:
+    """The sketch's bucket of each shingle."""
+    return (tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
 def described(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, class, key) of each document; (bucket, count) of the sketch, in which a task counts a class once."""
+    """(doc_id, n, class, key) of each document; (block, counts) of the sketch, in which a task counts a class once.
+
+    A task's counts stop at 255, which is far above any mean that the levels are measured by.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen = Shingler(words), set()
-        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-        names = ["kind", "doc_id", "n", "class", "key"]
+        sketch = np.zeros(1 << SKETCH_BITS, np.uint8)
+        names = ["doc_id", "n", "class", "key", "block", "counts"]
         for batch in batches:
             sizes, keys, fresh = [], [], []
-            for text in batch.column(1).to_pylist():
-                t = shingler.tokens(text)
+            for t in shingler.sets(batch.column(1).to_pylist()):
                 k = shingler.key(t)
                 sizes.append(len(t))
                 keys.append(k)
                 if k not in seen:
                     seen.add(k)
-                    fresh.append(t >> np.uint64(64 - SKETCH_BITS))
+                    fresh.append(bucket_of(t))
             if fresh:
-                sketch += np.bincount(np.concatenate(fresh).astype(np.int64), minlength=len(sketch))
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sizes), np.int32)), batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), batch.column(2)], names=names)
-        at = np.flatnonzero(sketch)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int32)), pa.array(at), pa.array(sketch[at]), pa.array(at), pa.array(at)], names=names)
+                at, n = np.unique(np.concatenate(fresh), return_counts=True)
+                sketch[at] = np.minimum(sketch[at] + n, 255)
+            none = pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), batch.column(2), *none], names=names)
+        blocks = sketch.reshape(BLOCKS, -1)
+        some = np.flatnonzero(blocks.any(axis=1))
+        none = [pa.nulls(len(some), pa.int64())] * 4
+        yield pa.RecordBatch.from_arrays([*none, pa.array(some, pa.int32()), pa.array([blocks[i].tobytes() for i in some], pa.binary())], names=names)
 
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
-    both = materialize(keyed.mapInArrow(run, "kind int, doc_id long, n long, class long, key long"), "shingle-sets")
-    return both.where("kind = 0").drop("kind"), both.where("kind = 1").groupBy(F.col("doc_id").alias("bucket")).agg(F.sum("n").alias("count"))
-
-
-def levels_of(sketch: DataFrame) -> tuple[np.ndarray, int]:
-    """The level of each bucket, and the number of all shingles. The sketch has 2 ** SKETCH_BITS rows at most."""
-    counts = np.zeros(1 << SKETCH_BITS)
-    for bucket, count in sketch.collect():
-        counts[bucket] = count
+    both = materialize(keyed.mapInArrow(run, "doc_id long, n long, class long, key long, block int, counts binary"), "shingle-sets")
+    return both.where("block is null").drop("block", "counts"), both.where("block is not null").select("block", "counts")
+
+
+def levels_of(sketch: DataFrame) -> np.ndarray:
+    """The level of each bucket; the sketch has 2 ** SKETCH_BITS counts at most. Sums are taken in two steps."""
+
+    def add(found: pa.Table) -> pa.Table:
+        rows = found.column("counts").to_pylist()
+        wide = np.uint8 if len(rows[0]) == (1 << SKETCH_BITS) // BLOCKS else np.int64
+        total = np.zeros((1 << SKETCH_BITS) // BLOCKS, np.int64)
+        for r in rows:
+            total += np.frombuffer(r, wide)
+        return pa.table([found.column("block").slice(0, 1).cast(pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "counts"])
+
+    dealt = sketch.withColumn("part", F.pmod(F.xxhash64("counts"), F.lit(32)))
+    once = dealt.groupBy("block", "part").applyInArrow(add, "block int, counts binary")
+    counts = np.zeros(1 << SKETCH_BITS, np.int64)
+    width = (1 << SKETCH_BITS) // BLOCKS
+    for block, total in once.groupBy("block").applyInArrow(add, "block int, counts binary").collect():
+        counts[block * width : (block + 1) * width] = np.frombuffer(total, np.int64)
     mean = max(counts.mean(), 1.0)
-    return np.floor(np.log2(np.maximum(counts / mean, 1))).astype(np.uint8), int(counts.sum())
+    return np.floor(2 * np.log2(np.maximum(counts / mean, 1))).astype(np.uint8)
 
 
 def overlaps(docs: DataFrame, levels: np.ndarray, total: int, words: int, num: int, den: int) -> DataFrame:
@@ -134,14 +196,13 @@ def overlaps(docs: DataFrame, levels: np.ndarray, total: int, words: int, num: i
         names = ["fragment", "tokens", "classes", "sizes"]
         for batch in batches:
             tokens, classes, sizes = [], [], []
-            for text in batch.column(1).to_pylist():
-                t = shingler.tokens(text)
+            for t in shingler.sets(batch.column(1).to_pylist()):
                 k = shingler.key(t)
                 if not len(t) or k in seen:
                     continue
                 seen.add(k)
                 p = len(t) - needed(len(t), num, den) + 1
-                level = levels[(t >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                level = levels[bucket_of(t)]
                 tokens.append(t[np.argsort(level, kind="stable")[:p]] if level.any() else t[:p])
                 classes.append(np.full(p, k, np.int64))
                 sizes.append(np.full(p, len(t), np.int32))
@@ -149,7 +210,7 @@ def overlaps(docs: DataFrame, levels: np.ndarray, total: int, words: int, num: i
                 continue
             t, c, s = map(np.concatenate, (tokens, classes, sizes))
             fragment = (t >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(t), np.int64)
-            hot = levels[(t >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] >= DEALT_LEVEL
+            hot = levels[bucket_of(t)] >= DEALT_LEVEL
             fragment[hot] = parts + c[hot] % parts  # a list that may hold a large share of all classes is dealt by class
             order = np.argsort(fragment, kind="stable")
             cuts = np.flatnonzero(np.diff(fragment[order])) + 1
@@ -206,8 +267,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
         shingler, seen, bits = Shingler(words), set(), np.unpackbits(filled)
         for batch in batches:
             keys, sets = [], []
-            for text in batch.column(1).to_pylist():
-                t = shingler.tokens(text)
+            for t in shingler.sets(batch.column(1).to_pylist()):
                 k = shingler.key(t)
                 if len(t) and k not in seen and bits[k % (1 << FILTER_BITS)]:
                     seen.add(k)
@@ -249,10 +309,18 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def class_components(partial: DataFrame, sets: DataFrame, num: int, den: int, most_rounds: int = 12) -> DataFrame:
-    """(class, component) of all classes that are linked."""
-    outside = lambda n: n - (n - F.ceil(n * num / den) + 1)  # noqa: E731  shingles that aren't in the prefix
-    least = lambda a, b: F.ceil((a + b) * num / (num + den))
+def outside(n: Column, num: int, den: int) -> Column:
+    """Shingles of a set that don't stand in its prefix."""
+    return F.ceil(n * num / den) - 1
+
+
+def reachable(shared: Column, a: Column, b: Column, num: int, den: int) -> Column:
+    """Whether the overlap in the prefixes and all that lies outside one of them can reach the threshold."""
+    return shared + F.greatest(outside(a, num, den), outside(b, num, den)) >= F.ceil((a + b) * num / (num + den))
+
+
+def candidates(partial: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs of short lists that can reach the threshold, with their summed overlaps, and the rows of long lists."""
     pairs = partial.where("token is null").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
     lists = partial.where("b is null").select("token", F.col("a").alias("class"), F.col("n_a").alias("n"))
     lists = materialize(lists.distinct(), "long-lists")  # a list that was dealt by class may hold a class twice
@@ -260,9 +328,12 @@ def class_components(partial: DataFrame, sets: DataFrame, num: int, den: int, mo
     side = lambda c: held.select(F.col("class").alias(c), F.col("held").alias(f"held_{c}"))
     pairs = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
     besides = F.least(F.coalesce("held_a", F.lit(0)), F.coalesce("held_b", F.lit(0)))
-    fit = F.col("shared") + besides + F.greatest(outside(F.col("n_a")), outside(F.col("n_b"))) >= least(F.col("n_a"), F.col("n_b"))
-    pairs = materialize(pairs.where(fit).select("a", "b", "shared", "n_a", "n_b"), "candidates")
+    pairs = pairs.where(reachable(F.col("shared") + besides, F.col("n_a"), F.col("n_b"), num, den))
+    return materialize(pairs.select("a", "b", "shared", "n_a", "n_b"), "candidates"), materialize(lists.join(held, "class").withColumn("core", F.col("held") / F.col("n")).drop("held"), "long-lists")
+
 
+def class_components(partial: DataFrame, pairs: DataFrame, lists: DataFrame, sets: DataFrame, num: int, den: int, most_rounds: int = 12) -> DataFrame | None:
+    """(class, component) of all classes that are linked; None if there is no link."""
     labels = links = None
 
     def relabelled(rows: DataFrame, *keys: str) -> DataFrame:
@@ -286,7 +357,7 @@ def class_components(partial: DataFrame, sets: DataFrame, num: int, den: int, mo
             best = rows.groupBy(F.col("a").alias("of")).agg(likely.alias("p")).unionByName(rows.groupBy(F.col("b").alias("of")).agg(likely.alias("p"))).select("p.a", "p.b")
         else:
             best = rows.select("a", "b").limit(0)
-        open_lists = materialize(relabelled(lists, "class").select("token", "class", "n", F.col("c_class").alias("component")), "open-lists")
+        open_lists = materialize(relabelled(lists, "class").select("token", "class", "n", "core", F.col("c_class").alias("component")), "open-lists")
         counted = open_lists.groupBy("token", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("token").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("same"))
         rest = counted.where("m * m > same")
         n, crossing = rest.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("same")) / 2), F.lit(0.0))).first()
@@ -294,7 +365,9 @@ def class_components(partial: DataFrame, sets: DataFrame, num: int, den: int, mo
             break
         before = crossing
         rows = open_lists.join(rest.select("token"), "token", "left_semi")
-        pivots = rows.groupBy("token").agg(F.min(F.struct(F.xxhash64("class", F.lit(k)).alias("draw"), "class", "n", "component")).alias("pivot"))
+        # The first pivot is the member with the largest share of common shingles, as the source of a group's copies has.
+        draw = -F.col("core") if k == 0 else F.xxhash64("class", F.lit(k)).cast("double")
+        pivots = rows.groupBy("token").agg(F.min(F.struct(draw.alias("draw"), "class", "n", "component")).alias("pivot"))
         star = rows.join(pivots, "token").where((F.col("component") != F.col("pivot.component")) & similar)
         star = star.select(F.least("class", "pivot.class").alias("a"), F.greatest("class", "pivot.class").alias("b"))
         tried = materialize(best.unionByName(star).distinct(), "tried")
@@ -309,7 +382,7 @@ def class_components(partial: DataFrame, sets: DataFrame, num: int, den: int, mo
     crossing = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & (den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b")))
     crossing = crossing.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
     short = partial.where("token is null").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("shared").alias("shared"))
-    crossing = crossing.join(short, ["a", "b"], "left").where(F.col("met") + F.coalesce("shared", F.lit(0)) + F.greatest(outside(F.col("n_a")), outside(F.col("n_b"))) >= least(F.col("n_a"), F.col("n_b")))
+    crossing = crossing.join(short, ["a", "b"], "left").where(reachable(F.col("met") + F.coalesce("shared", F.lit(0)), F.col("n_a"), F.col("n_b"), num, den))
     grow(materialize(rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(crossing.select("a", "b")).distinct(), "tried"))
     return labels
 
@@ -322,11 +395,11 @@ def ngram_components(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR,
     """
     docs = texts(docs)
     described_docs, sketch = described(docs, words)
-    levels, total = levels_of(sketch)
-    partial = overlaps(docs, levels, total, words, num, den)
-    wanted = partial.select(F.col("a").alias("class")).unionByName(partial.where("b is not null").select(F.col("b").alias("class"))).distinct()
-    sets = sets_of(docs, wanted, words)
-    labels = class_components(partial, sets, num, den)
+    total = described_docs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    partial = overlaps(docs, levels_of(sketch), total, words, num, den)
+    pairs, lists = candidates(partial, num, den)
+    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).union(lists.select("class")).distinct()
+    labels = class_components(partial, pairs, lists, sets_of(docs, wanted, words), num, den)
     smallest = described_docs.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least_id"))
     if labels is None:
         named = smallest.select("class", F.col("least_id").alias("component_id"))
