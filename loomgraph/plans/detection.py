@@ -1 +1,209 @@
-"""Queries."""
+"""Detector queries with their oracles."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from loomgraph.operators import detect
+
+from .registry import query
+
+_NAME = "lpad(CAST(job AS VARCHAR), 9, '0')"
+_FLOW = "SELECT DISTINCT r.tbl AS s, w.tbl AS t FROM fx_reads r JOIN fx_writes w ON r.job = w.job WHERE r.tbl <> w.tbl"
+
+
+@query("f01_multi_source_loads", f"SELECT tbl, count(DISTINCT job) AS n_jobs, string_agg(DISTINCT {_NAME}, ',' ORDER BY {_NAME}) AS jobs, count(DISTINCT job) - 1 AS savings FROM fx_writes GROUP BY tbl HAVING count(DISTINCT job) >= 2")
+def f01(fx):
+    return detect.multi_source_loads(fx["fx_writes"])
+
+
+@query("f02_updates_in_place", "SELECT DISTINCT w.job, w.tbl FROM fx_writes w JOIN fx_reads r ON r.job = w.job AND r.tbl = w.tbl")
+def f02(fx):
+    return detect.updates_in_place(fx["fx_reads"], fx["fx_writes"])
+
+
+_TABLES = "SELECT pos, job, concat('TBL_', CAST(pos % 2000 AS VARCHAR)) AS src_table, tgt_table, tgt_col, src_col FROM fx_lineage"
+
+
+def _wide(fx):
+    return fx["fx_lineage"].withColumn("src_table", F.concat(F.lit("TBL_"), (F.col("pos") % 2000).cast("string")))
+
+
+@query("f03_pass_through", f"""
+WITH x AS ({_TABLES}), p AS (SELECT tbl, min(job) AS producer FROM fx_writes GROUP BY tbl HAVING count(DISTINCT job) = 1), c AS (SELECT tbl, min(job) AS consumer FROM fx_reads GROUP BY tbl HAVING count(DISTINCT job) = 1),
+w AS (SELECT src_table AS tbl, count(DISTINCT concat(tgt_table, '.', tgt_col)) AS n_columns FROM x GROUP BY src_table)
+SELECT tbl, producer, consumer, n_columns FROM p JOIN c USING (tbl) JOIN w USING (tbl) WHERE producer <> consumer AND n_columns >= 5
+""")
+def f03(fx):
+    return detect.pass_through_tables(fx["fx_writes"], fx["fx_reads"], _wide(fx))
+
+
+@query("f04_similar_jobs", """
+WITH c AS (SELECT DISTINCT tgt_table, job, tgt_col FROM fx_lineage), n AS (SELECT tgt_table, job, count(*) AS n FROM c GROUP BY ALL),
+s AS (SELECT a.tgt_table, a.job AS job_a, b.job AS job_b, count(*) AS shared FROM c a JOIN c b ON a.tgt_table = b.tgt_table AND a.tgt_col = b.tgt_col AND a.job < b.job GROUP BY ALL)
+SELECT s.* FROM s JOIN n x ON x.tgt_table = s.tgt_table AND x.job = job_a JOIN n y ON y.tgt_table = s.tgt_table AND y.job = job_b WHERE 100 * shared >= 85 * (x.n + y.n - shared)
+""")
+def f04(fx):
+    return detect.similar_jobs(fx["fx_lineage"])
+
+
+@query("f04_similar_clusters")
+def f04_clusters(fx):
+    return detect.similar_clusters(fx["fx_lineage"])
+
+
+@query("f05_serial_chains", """
+WITH RECURSIVE e AS (SELECT job, job + 1 AS dependent_job FROM fx_jobs WHERE job % 7 <> 0 UNION SELECT job, dependent_job FROM fx_edges WHERE job % 7 = 0),
+k AS (SELECT job, CASE WHEN job % 3 = 0 THEN 'FCT' ELSE 'OTHER' END AS category FROM fx_jobs),
+l AS (SELECT e.job, e.dependent_job FROM e JOIN k a ON a.job = e.job AND a.category = 'OTHER' JOIN k b ON b.job = e.dependent_job AND b.category = 'OTHER'
+  WHERE (SELECT count(*) FROM e x WHERE x.job = e.job) = 1 AND (SELECT count(*) FROM e x WHERE x.dependent_job = e.dependent_job) = 1),
+c(first, job, step) AS (SELECT job, job, 0 FROM l WHERE job NOT IN (SELECT dependent_job FROM l) UNION ALL SELECT c.first, l.dependent_job, c.step + 1 FROM c JOIN l ON l.job = c.job)
+SELECT first, job, CAST(step AS INTEGER) AS step FROM c
+""")
+def f05(fx):
+    jobs = fx["fx_jobs"]
+    edges = jobs.where("job % 7 <> 0").select("job", (F.col("job") + 1).alias("dependent_job")).union(fx["fx_edges"].where("job % 7 = 0")).distinct()
+    return detect.serial_chains(edges, jobs.select("job", F.when(F.col("job") % 3 == 0, "FCT").otherwise("OTHER").alias("category")))
+
+
+@query("f06_view_consumers", f"""
+WITH u AS (SELECT DISTINCT w.job AS mv, r.job FROM fx_writes w JOIN fx_jobs n ON n.job = w.job AND n.category = 'MV' JOIN fx_reads r ON r.tbl = w.tbl WHERE r.job <> w.job)
+SELECT mv, count(*) AS n_consumers, string_agg({_NAME}, ',' ORDER BY {_NAME}) AS consumers, CASE WHEN count(*) > 1 THEN 'SHARED' ELSE 'ELIMINATE' END AS kind, CASE WHEN count(*) >= 4 THEN 'HIGH' ELSE 'MEDIUM' END AS risk, least(count(*), 10) AS blast FROM u GROUP BY mv
+""")
+def f06(fx):
+    return detect.view_consumers(fx["fx_edges"], fx["fx_jobs"], fx["fx_reads"], fx["fx_writes"])
+
+
+@query("f07_single_consumer_views", """
+WITH u AS (SELECT DISTINCT w.job AS mv, r.job FROM fx_writes w JOIN fx_jobs n ON n.job = w.job AND n.category = 'MV' JOIN fx_reads r ON r.tbl = w.tbl WHERE r.job <> w.job),
+s AS (SELECT mv, min(job) AS consumer FROM u GROUP BY mv HAVING count(*) = 1), n AS (SELECT job, count(DISTINCT tbl) AS n_sources FROM fx_reads GROUP BY job)
+SELECT mv, consumer, coalesce(n_sources, 0) AS n_sources, CASE WHEN coalesce(n_sources, 0) >= 4 THEN 'HIGH' WHEN coalesce(n_sources, 0) < 2 THEN 'MEDIUM' ELSE 'HIGH' END AS risk FROM s LEFT JOIN n ON n.job = s.mv
+""")
+def f07(fx):
+    used = detect.view_consumers(fx["fx_edges"], fx["fx_jobs"], fx["fx_reads"], fx["fx_writes"]).where("n_consumers = 1")
+    sources = fx["fx_reads"].groupBy(F.col("job").alias("mv")).agg(F.count_distinct("tbl").alias("n"))
+    n = F.coalesce("n", F.lit(0))
+    return used.join(sources, "mv", "left").select("mv", F.col("consumers").cast("bigint").alias("consumer"), n.alias("n_sources"), F.when(n >= 4, "HIGH").when(n < 2, "MEDIUM").otherwise("HIGH").alias("risk"))
+
+
+@query("f08_unread_with_updater", """
+SELECT DISTINCT w.job AS mv, e.job AS updater FROM fx_writes w JOIN fx_jobs n ON n.job = w.job AND n.category = 'MV' JOIN fx_edges e ON e.dependent_job = w.job JOIN fx_jobs u ON u.job = e.job AND u.is_pass
+WHERE NOT EXISTS (SELECT 1 FROM fx_reads r WHERE r.tbl = w.tbl)
+""")
+def f08(fx):
+    """Views that nothing reads, whose dependent is an updater."""
+    views = fx["fx_jobs"].where("category = 'MV'").select("job")
+    unread = detect.unread_tables(fx["fx_writes"].join(views, "job", "left_semi"), fx["fx_reads"]).select(F.col("job").alias("mv")).distinct()
+    updaters = fx["fx_edges"].join(fx["fx_jobs"].where("is_pass").select("job"), "job", "left_semi").select(F.col("job").alias("updater"), F.col("dependent_job").alias("mv"))
+    return unread.join(updaters, "mv").distinct()
+
+
+@query("f09_dead_views", "SELECT w.job, w.tbl FROM fx_writes w JOIN fx_jobs n ON n.job = w.job AND n.category = 'MV' WHERE NOT EXISTS (SELECT 1 FROM fx_reads r WHERE r.tbl = w.tbl) AND NOT EXISTS (SELECT 1 FROM fx_lineage l WHERE l.src_table = replace(w.tbl, 'TBL', 'SRC'))")
+def f09(fx):
+    """Views that nothing reads and no lineage mentions."""
+    views = fx["fx_writes"].join(fx["fx_jobs"].where("category = 'MV'").select("job"), "job", "left_semi")
+    named = fx["fx_lineage"].select(F.replace("src_table", F.lit("SRC"), F.lit("TBL")).alias("tbl")).distinct()
+    return detect.unread_tables(views, fx["fx_reads"]).join(named, "tbl", "left_anti").select("job", "tbl")
+
+
+@query("f11_indicator_chains", f"SELECT e.job, count(*) AS n_views, string_agg(lpad(CAST(e.dependent_job AS VARCHAR), 9, '0'), ',' ORDER BY lpad(CAST(e.dependent_job AS VARCHAR), 9, '0')) AS views FROM fx_edges e JOIN fx_jobs u ON u.job = e.job AND u.is_pass JOIN fx_jobs v ON v.job = e.dependent_job AND v.category = 'MV' GROUP BY e.job")
+def f11(fx):
+    """Updaters with the views that they wait for."""
+    from loomgraph.functions.columns import joined
+
+    pairs = fx["fx_edges"].join(fx["fx_jobs"].where("is_pass").select("job"), "job", "left_semi").join(fx["fx_jobs"].where("category = 'MV'").select(F.col("job").alias("dependent_job")), "dependent_job", "left_semi")
+    return pairs.groupBy("job").agg(F.count(F.lit(1)).alias("n_views"), joined(F.collect_set(F.lpad(F.col("dependent_job").cast("string"), 9, "0"))).alias("views"))
+
+
+@query("f13_duplicated_flows", """
+WITH f AS (SELECT src_table, src_col, tgt_table, tgt_col, count(DISTINCT job) AS n FROM fx_lineage WHERE src_col <> '' GROUP BY ALL HAVING count(DISTINCT job) > 1)
+SELECT src_table, tgt_table, count(*) AS n_flows, max(n) AS most_jobs FROM f GROUP BY src_table, tgt_table
+""")
+def f13(fx):
+    return detect.duplicated_flows(fx["fx_lineage"])
+
+
+@query("f14_unused_intermediates", """
+SELECT w.tbl, CASE WHEN bool_or(n.category IN ('DIM', 'FCT')) THEN 'MEDIUM' ELSE 'HIGH' END AS risk, count(*) AS n_writers FROM fx_writes w JOIN fx_jobs n ON n.job = w.job
+WHERE NOT EXISTS (SELECT 1 FROM fx_reads r WHERE r.tbl = w.tbl) AND w.tbl NOT IN (SELECT x.tbl FROM fx_writes x JOIN fx_jobs m ON m.job = x.job WHERE m.category = 'RPT')
+GROUP BY w.tbl HAVING NOT bool_or(EXISTS (SELECT 1 FROM fx_edges e WHERE e.dependent_job = w.job AND e.job % 5 = 0))
+""")
+def f14(fx):
+    """Written tables without a reader, a report or a job that waits for their writers."""
+    marked = detect.unread_tables(fx["fx_writes"], fx["fx_reads"]).join(fx["fx_jobs"].select("job", "category"), "job")
+    waits = fx["fx_edges"].where("job % 5 = 0").select(F.col("dependent_job").alias("job")).distinct().withColumn("awaited", F.lit(True))
+    by = marked.join(waits, "job", "left").groupBy("tbl").agg(F.count(F.lit(1)).alias("n_writers"), F.bool_or(F.col("category").isin("DIM", "FCT")).alias("base"), F.bool_or(F.coalesce("awaited", F.lit(False))).alias("awaited"), F.bool_or(F.col("category") == "RPT").alias("report"))
+    return by.where("not awaited and not report").select("tbl", F.when(F.col("base"), "MEDIUM").otherwise("HIGH").alias("risk"), "n_writers")
+
+
+@query("f16_wide_views", "SELECT e.dependent_job AS mv, count(*) AS n_children FROM fx_edges e JOIN fx_jobs n ON n.job = e.dependent_job AND n.category = 'MV' GROUP BY 1 HAVING count(*) >= 2")
+def f16(fx):
+    """Views that many jobs wait for."""
+    views = fx["fx_jobs"].where("category = 'MV'").select(F.col("job").alias("dependent_job"))
+    return fx["fx_edges"].join(views, "dependent_job", "left_semi").groupBy(F.col("dependent_job").alias("mv")).agg(F.count(F.lit(1)).alias("n_children")).where("n_children >= 2")
+
+
+_MAPPED = "SELECT job % 8 AS job, concat('S', CAST(pos % 3 AS VARCHAR)) AS src_table, tgt_table, src_col, 'C1' AS tgt_col FROM fx_lineage"
+
+
+@query("f17_identical_mappings", f"""
+WITH x AS ({_MAPPED}), p AS (SELECT src_table, tgt_table, job, string_agg(DISTINCT concat(src_col, '>', tgt_col), ',' ORDER BY concat(src_col, '>', tgt_col)) AS mapping, count(DISTINCT concat(src_col, '>', tgt_col)) AS n_pairs FROM x WHERE src_col <> '' GROUP BY ALL)
+SELECT src_table, tgt_table, mapping, count(*) AS n_jobs, string_agg({_NAME}, ',' ORDER BY {_NAME}) AS jobs FROM p WHERE n_pairs >= 3 GROUP BY src_table, tgt_table, mapping HAVING count(*) >= 2
+""")
+def f17(fx):
+    rows = fx["fx_lineage"].select((F.col("job") % 8).alias("job"), F.concat(F.lit("S"), (F.col("pos") % 3).cast("string")).alias("src_table"), "tgt_table", "src_col", F.lit("C1").alias("tgt_col"))
+    return detect.identical_mappings(rows)
+
+
+@query("f18_staging_names", f"SELECT tbl, count(DISTINCT w.job) AS n_jobs FROM fx_writes w JOIN fx_jobs n ON n.job = w.job WHERE regexp_matches(concat(category, '_', job_name), 'MV_REFRESH|PREP|STG|STAGE|WRK|WORK|TEMP') GROUP BY tbl HAVING count(DISTINCT w.job) >= 2")
+def f18(fx):
+    """Targets of several jobs with staging names."""
+    staged = fx["fx_jobs"].where(F.concat_ws("_", "category", "job_name").rlike("MV_REFRESH|PREP|STG|STAGE|WRK|WORK|TEMP")).select("job")
+    return fx["fx_writes"].join(staged, "job", "left_semi").groupBy("tbl").agg(F.count_distinct("job").alias("n_jobs")).where("n_jobs >= 2")
+
+
+@query("f19_unneeded_edges", f"""
+WITH RECURSIVE flow AS ({_FLOW}),
+b AS (SELECT e.job, e.dependent_job FROM fx_edges e JOIN fx_jobs x ON x.job = e.job AND x.category = 'MV' JOIN fx_jobs y ON y.job = e.dependent_job AND y.category = 'MV' WHERE EXISTS (SELECT 1 FROM fx_reads r WHERE r.job = e.job)),
+c(start, node, hops) AS (SELECT DISTINCT w.tbl, w.tbl, 0 FROM fx_writes w JOIN b ON b.dependent_job = w.job UNION SELECT c.start, f.t, c.hops + 1 FROM c JOIN flow f ON f.s = c.node WHERE c.hops < 4)
+SELECT job, dependent_job FROM b WHERE NOT EXISTS (SELECT 1 FROM fx_writes w JOIN c ON c.start = w.tbl JOIN fx_reads r ON r.tbl = c.node WHERE w.job = b.dependent_job AND r.job = b.job)
+""")
+def f19(fx):
+    return detect.unneeded_edges(fx["fx_edges"], fx["fx_jobs"], fx["fx_reads"], fx["fx_writes"])
+
+
+_IN_PLACE = "SELECT job, tbl FROM fx_reads UNION SELECT job, tbl FROM fx_writes WHERE job % 4 = 0"
+
+
+@query("f20_update_order", f"""
+WITH rd AS ({_IN_PLACE}), u AS (SELECT DISTINCT w.job AS updater, w.tbl FROM fx_writes w JOIN rd r ON r.job = w.job AND r.tbl = w.tbl)
+SELECT u.tbl, u.updater, r.job AS reader, CASE WHEN EXISTS (SELECT 1 FROM fx_edges e WHERE e.job = r.job AND e.dependent_job = u.updater) THEN 'UPDATER_FIRST' WHEN EXISTS (SELECT 1 FROM fx_edges e WHERE e.job = u.updater AND e.dependent_job = r.job) THEN 'READER_FIRST' ELSE 'NONE' END AS ordering
+FROM u JOIN rd r ON r.tbl = u.tbl WHERE r.job <> u.updater
+""")
+def f20(fx):
+    reads = fx["fx_reads"].unionByName(fx["fx_writes"].where("job % 4 = 0")).distinct()
+    return detect.update_order_risks(reads, fx["fx_writes"], fx["fx_edges"])
+
+
+@query("f21_feedback_loops", f"""
+WITH RECURSIVE flow AS ({_FLOW}),
+c(start, node, hops) AS (SELECT s, t, 1 FROM flow WHERE s IN (SELECT w.tbl FROM fx_writes w WHERE EXISTS (SELECT 1 FROM fx_reads r WHERE r.job = w.job)) UNION SELECT c.start, f.t, c.hops + 1 FROM c JOIN flow f ON f.s = c.node WHERE c.hops < 8)
+SELECT w.job, w.tbl, c.node AS reached, CAST(min(c.hops) AS INTEGER) AS hops FROM fx_writes w JOIN c ON c.start = w.tbl JOIN fx_reads r ON r.job = w.job AND r.tbl = c.node GROUP BY w.job, w.tbl, c.node
+""")
+def f21(fx):
+    return detect.feedback_loops(fx["fx_reads"], fx["fx_writes"])
+
+
+@query("f23_naming_findings", "SELECT DISTINCT tbl, CASE WHEN ends_with(tbl, '7') THEN 'SUFFIX' ELSE 'PREFIX' END AS kind, concat('INT_', tbl) AS suggestion FROM fx_writes WHERE ends_with(tbl, '7') OR starts_with(tbl, 'TBL_9')")
+def f23(fx):
+    """Names outside the convention, with a suggestion."""
+    odd = fx["fx_writes"].where(F.col("tbl").endswith("7") | F.col("tbl").startswith("TBL_9")).select("tbl").distinct()
+    return odd.select("tbl", F.when(F.col("tbl").endswith("7"), "SUFFIX").otherwise("PREFIX").alias("kind"), F.concat(F.lit("INT_"), "tbl").alias("suggestion"))
+
+
+@query("f28_all_findings", "SELECT detector, count(*) AS n FROM (SELECT 'A' AS detector, tbl FROM fx_writes GROUP BY tbl HAVING count(DISTINCT job) >= 2 UNION ALL SELECT 'B', w.tbl FROM fx_writes w JOIN fx_reads r ON r.job = w.job AND r.tbl = w.tbl UNION ALL SELECT 'H', w.tbl FROM fx_writes w WHERE NOT EXISTS (SELECT 1 FROM fx_reads r WHERE r.tbl = w.tbl)) GROUP BY detector")
+def f28(fx):
+    """Several detectors in one plan."""
+    tag = lambda df, d: df.select(F.lit(d).alias("detector"), "tbl")
+    found = tag(detect.multi_source_loads(fx["fx_writes"]), "A").unionByName(tag(detect.updates_in_place(fx["fx_reads"], fx["fx_writes"]), "B")).unionByName(tag(detect.unread_tables(fx["fx_writes"], fx["fx_reads"]), "H"))
+    return found.groupBy("detector").agg(F.count(F.lit(1)).alias("n"))
