@@ -1 +1,169 @@
-"""Queries."""
+"""Queries over script texts with their oracles."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from loomgraph.operators import scripts
+
+from .registry import query
+
+_N = r"[A-Za-z][A-Za-z0-9_$#.]*"
+_CLEAN = r"upper(regexp_replace(trim({0}), '^.*\.', ''))"
+
+
+@query("b01_descriptions", r"SELECT script, trim(regexp_extract(body, '(?im)^#\s*Description:\s*(.*)$', 1)) AS description FROM fx_scripts")
+def b01(fx):
+    return scripts.descriptions(fx["fx_scripts"])
+
+
+@query("b02_assignments", r"SELECT script, CAST(0 AS INTEGER) AS at, 'TABLE_NAME' AS variable, regexp_extract(body, '(?m)^TABLE_NAME=(\S+)$', 1) AS value FROM fx_scripts")
+def b02(fx):
+    return scripts.assignments(fx["fx_scripts"])
+
+
+@query("b03_remote_calls", r"SELECT script, CAST(0 AS INTEGER) AS at, regexp_extract(body, '\bssh\s+(\S+)\s+', 1) AS host, regexp_extract(body, '\bssh\s+\S+\s+\S*/([^/\s]+\.sh)', 1) AS remote_script FROM fx_scripts WHERE regexp_matches(body, '\bssh\s')")
+def b03(fx):
+    return scripts.remote_calls(fx["fx_scripts"])
+
+
+@query("b08_inserts", rf"""
+WITH q AS (SELECT script, regexp_extract(body, '(?is)\bINSERT\s+INTO\s+({_N})\s+SELECT', 1) AS target, unnest(regexp_extract_all(regexp_extract(body, '(?is)INSERT\s+INTO\s+{_N}\s+(SELECT\b.*?);', 1), '(?i)\b(?:FROM|JOIN)\s+({_N})', 1)) AS source FROM fx_scripts WHERE regexp_matches(body, '(?is)\bINSERT\s+INTO\s'))
+SELECT DISTINCT script, {_CLEAN.format('target')} AS target, {_CLEAN.format('source')} AS source FROM q WHERE upper(source) <> 'DUAL'
+""")
+def b08(fx):
+    return scripts.inserts(fx["fx_scripts"])
+
+
+@query("b09_truncates", rf"SELECT script, {_CLEAN.format('t')} AS tbl FROM (SELECT script, unnest(regexp_extract_all(body, '(?i)\bTRUNCATE\s+TABLE\s+({_N})', 1)) AS t FROM fx_scripts)")
+def b09(fx):
+    return scripts.truncates(fx["fx_scripts"])
+
+
+@query("b10_changes", rf"""
+SELECT script, kind, {_CLEAN.format('t')} AS tbl FROM (
+SELECT script, 'DELETE_FROM' AS kind, unnest(regexp_extract_all(body, '(?i)\bDELETE\s+(?:/\*.*?\*/\s*)?FROM\s+({_N})', 1)) AS t FROM fx_scripts
+UNION ALL SELECT script, 'UPDATE_TABLE', unnest(regexp_extract_all(body, '(?i)\bUPDATE\s+(?:/\*.*?\*/\s*)?({_N})\s+SET\b', 1)) FROM fx_scripts)
+""")
+def b10(fx):
+    return scripts.changes(fx["fx_scripts"])
+
+
+@query("b07_calls", r"SELECT script, upper(regexp_extract(body, '(?i)\bexec\s+([A-Z0-9_]+)\.', 1)) AS package, upper(regexp_extract(body, '(?i)\bexec\s+[A-Z0-9_]+\.([A-Z0-9_]+)', 1)) AS procedure FROM fx_scripts WHERE regexp_matches(body, '\bexec\s')")
+def b07(fx):
+    return scripts.calls(fx["fx_scripts"])
+
+
+@query("b11_heredocs", r"SELECT script, 'EOF' AS marker, CAST(length(regexp_extract(body, '(?s)<<EOF\n(.*?)\nEOF', 1)) AS INTEGER) AS n_chars FROM fx_scripts WHERE contains(body, '<<EOF')")
+def b11(fx):
+    return scripts.heredocs(fx["fx_scripts"])
+
+
+@query("b13_clean_names", r"SELECT DISTINCT upper(regexp_replace(trim(regexp_replace(regexp_replace(concat('/*+ x */ \"own\".', tbl), '/\*\+?.*?\*/', '', 'g'), '[\"`]', '', 'g')), '^.*\.', '')) AS tbl FROM fx_writes".replace('\\"', '"'))
+def b13(fx):
+    return fx["fx_writes"].select(scripts.clean_table(F.concat(F.lit('/*+ x */ "own".'), "tbl")).alias("tbl")).distinct()
+
+
+@query("b14_patterns", "SELECT p_partkey AS script, unnest(CASE p_size % 5 WHEN 0 THEN ['STATIC_SQL'] WHEN 1 THEN ['TRUNCATE_TABLE'] WHEN 2 THEN ['DELETE_FROM', 'UPDATE_TABLE'] WHEN 3 THEN ['SSH_REMOTE'] ELSE ['DIRECT_PKG_PROC_CALL'] END) AS pattern FROM part")
+def b14(fx):
+    return scripts.patterns(fx["fx_scripts"])
+
+
+_REFS = "SELECT pos, job AS script, concat('T', CAST(dependent_job AS VARCHAR)) AS object, CASE WHEN pos % 3 = 0 THEN 'OWN' ELSE '' END AS schema, CASE WHEN pos % 4 = 0 THEN 'PACKAGE' ELSE 'PROCEDURE' END AS kind FROM fx_edge_log"
+
+
+@query("b15_preferred_objects", f"SELECT script, object, schema, kind, pos FROM ({_REFS}) QUALIFY row_number() OVER (PARTITION BY script, object ORDER BY schema = '', kind <> 'PACKAGE', pos) = 1")
+def b15(fx):
+    log = fx["fx_edge_log"]
+    refs = log.select("pos", F.col("job").alias("script"), F.concat(F.lit("T"), F.col("dependent_job").cast("string")).alias("object"), F.when(F.col("pos") % 3 == 0, "OWN").otherwise("").alias("schema"), F.when(F.col("pos") % 4 == 0, "PACKAGE").otherwise("PROCEDURE").alias("kind"))
+    return scripts.preferred_objects(refs)
+
+
+@query("c03_statements", """
+WITH s AS (SELECT p_partkey AS script, concat('BEGIN  INSERT INTO t_', CAST(p_partkey AS VARCHAR), ' VALUES (''x;--y'', (1))') AS a, 'UPDATE u SET a = 1' AS b, p_size FROM part)
+SELECT script, CAST(0 AS INTEGER) AS at, a AS statement FROM s UNION ALL SELECT script, 1, b FROM s UNION ALL SELECT script, 2, CASE WHEN p_size % 2 = 0 THEN 'COMMIT' ELSE 'END' END FROM s UNION ALL SELECT script, 3, 'END' FROM s WHERE p_size % 2 = 0
+""")
+def c03(fx):
+    """Statements of PL/SQL texts, without comments."""
+    texts = fx["part"].select(F.col("p_partkey").alias("script"), F.concat(F.lit("BEGIN /* a; /* nested */ b */ INSERT INTO t_"), F.col("p_partkey").cast("string"), F.lit(" VALUES ('x;--y', (1)); -- tail;\n UPDATE u SET a = 1; "), F.when(F.col("p_size") % 2 == 0, "COMMIT; ").otherwise(""), F.lit("END")).alias("body"))
+    return scripts.split_statements(texts)
+
+
+@query("c04_statement_kinds", "SELECT kind, count(*) AS n FROM (SELECT unnest(CASE WHEN p_size % 2 = 0 THEN ['PLSQL', 'DML', 'BOILERPLATE', 'OTHER'] ELSE ['PLSQL', 'DML', 'OTHER'] END) AS kind FROM part) GROUP BY kind")
+def c04(fx):
+    """Counts of statements by kind."""
+    return c03(fx).groupBy(scripts.statement_kind(F.col("statement")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("c07_object_kinds", r"SELECT p_partkey AS object, CASE p_size % 4 WHEN 0 THEN 'MVIEW' WHEN 1 THEN 'VIEW' WHEN 2 THEN 'PLSQL' ELSE 'OTHER' END AS kind FROM part")
+def c07(fx):
+    """The kind of an object by the head of its text."""
+    heads = F.element_at(F.array(*map(F.lit, ("create materialized view x as", "Create or replace view y as", "CREATE PACKAGE BODY z is", "select 1"))), F.col("p_size") % 4 + 1)
+    return fx["part"].select(F.col("p_partkey").alias("object"), scripts.statement_kind(heads).alias("kind"))
+
+
+@query("c20_object_names", r"SELECT object, regexp_extract(object, '^(.*)__([^_]+)$', 1) AS package, regexp_extract(object, '^(.*)__([^_]+)$', 2) AS procedure FROM (SELECT DISTINCT concat('PKG_', tgt_table, '__', tgt_col) AS object FROM fx_lineage)")
+def c20(fx):
+    """Package and procedure of a joined name."""
+    name = fx["fx_lineage"].select(F.concat(F.lit("PKG_"), "tgt_table", F.lit("__"), "tgt_col").alias("object")).distinct()
+    return name.select("object", F.regexp_extract("object", r"^(.*)__([^_]+)$", 1).alias("package"), F.regexp_extract("object", r"^(.*)__([^_]+)$", 2).alias("procedure"))
+
+
+@query("c22_listed_lines", r"""
+SELECT script, CAST(i AS INTEGER) AS line, string_split(body, chr(10))[CAST(i AS INTEGER) + 1] AS text FROM (SELECT script, body, unnest(range(0, len(string_split(body, chr(10))))) AS i FROM fx_scripts) WHERE NOT starts_with(string_split(body, chr(10))[CAST(i AS INTEGER) + 1], '#')
+""")
+def c22(fx):
+    """Lines of the scripts, comments left out."""
+    lines = fx["fx_scripts"].select("script", F.posexplode(F.split("body", "\n")).alias("line", "text"))
+    return lines.where(~F.col("text").startswith("#"))
+
+
+@query("c24_package_patterns", """
+SELECT sql_object, CASE WHEN bool_or(category = 'FCT') AND bool_or(category = 'MV') THEN 'Hybrid' WHEN bool_or(category = 'MV') THEN 'Orchestrator' WHEN bool_or(category = 'FCT') THEN 'Self-contained' ELSE 'Independent' END AS pattern FROM fx_jobs GROUP BY sql_object
+""")
+def c24(fx):
+    """A package's pattern by what its parts do."""
+    has = lambda c: F.bool_or(F.col("category") == c)
+    pattern = F.when(has("FCT") & has("MV"), "Hybrid").when(has("MV"), "Orchestrator").when(has("FCT"), "Self-contained").otherwise("Independent")
+    return fx["fx_jobs"].groupBy("sql_object").agg(pattern.alias("pattern"))
+
+
+@query("c25_call_counts", r"SELECT upper(regexp_extract(body, '(?i)\bexec\s+([A-Z0-9_]+)\.', 1)) AS package, count(*) AS n_calls, count(DISTINCT script) AS n_scripts FROM fx_scripts WHERE regexp_matches(body, '\bexec\s') GROUP BY 1")
+def c25(fx):
+    """Occurrences of external calls."""
+    return scripts.calls(fx["fx_scripts"]).groupBy("package").agg(F.count(F.lit(1)).alias("n_calls"), F.count_distinct("script").alias("n_scripts"))
+
+
+@query("c26_coverage_status", """
+WITH a AS (SELECT object AS procedure, count(*) AS n_split FROM fx_lineage WHERE job % 3 <> 0 GROUP BY object), b AS (SELECT object AS procedure, count(*) AS n_json FROM fx_lineage_alt GROUP BY object)
+SELECT coalesce(a.procedure, b.procedure) AS procedure, CASE WHEN a.procedure IS NULL THEN 'NO CLEANED' WHEN b.procedure IS NULL THEN 'SKIPPED' WHEN n_json >= n_split THEN 'COMPLETE' ELSE 'PARTIAL' END AS status FROM a FULL JOIN b ON a.procedure = b.procedure
+""")
+def c26(fx):
+    """Coverage of each procedure by the counts of two stages."""
+    a = fx["fx_lineage"].where("job % 3 <> 0").groupBy("object").agg(F.count(F.lit(1)).alias("n_split"))
+    b = fx["fx_lineage_alt"].groupBy("object").agg(F.count(F.lit(1)).alias("n_json"))
+    status = F.when(F.col("n_split").isNull(), "NO CLEANED").when(F.col("n_json").isNull(), "SKIPPED").when(F.col("n_json") >= F.col("n_split"), "COMPLETE").otherwise("PARTIAL")
+    return a.join(b, "object", "full").select(F.col("object").alias("procedure"), status.alias("status"))
+
+
+@query("c19_column_trace", """
+WITH RECURSIVE l AS (SELECT DISTINCT concat('N', CAST(dependent_job AS VARCHAR)) AS tgt, concat('N', CAST(job AS VARCHAR)) AS src FROM fx_edges WHERE dependent_job < 300),
+t(start, node, hops) AS (SELECT tgt, src, 1 FROM l WHERE tgt IN (SELECT concat('N', CAST(job AS VARCHAR)) FROM fx_jobs WHERE job % 11 = 7) UNION SELECT t.start, l.src, t.hops + 1 FROM t JOIN l ON l.tgt = t.node)
+SELECT DISTINCT start, node AS source FROM t WHERE node NOT IN (SELECT tgt FROM l)
+""")
+def c19(fx):
+    """Real sources of target columns, through expression nodes."""
+    from loomgraph.operators.graph import closure
+
+    name = lambda c: F.concat(F.lit("N"), F.col(c).cast("string"))
+    links = fx["fx_edges"].where("dependent_job < 300").select(name("dependent_job").alias("job"), name("job").alias("dependent_job")).distinct()
+    starts = fx["fx_jobs"].where("job % 11 = 7").select(name("job").alias("job"))
+    found = closure(links, starts).select("start", F.col("node").alias("source"))
+    return found.join(links.select(F.col("job").alias("source")).distinct(), "source", "left_anti").select("start", "source").distinct()
+
+
+@query("c29_gap_classes", "SELECT CASE WHEN src_col = '' THEN 'CONSTANT' WHEN src_col IN ('K1', 'K2') THEN 'AUDIT' ELSE 'GENUINE' END AS gap, count(*) AS n, count(DISTINCT object) AS n_objects FROM fx_lineage GROUP BY 1")
+def c29(fx):
+    """Gaps by class."""
+    gap = F.when(F.col("src_col") == "", "CONSTANT").when(F.col("src_col").isin("K1", "K2"), "AUDIT").otherwise("GENUINE")
+    return fx["fx_lineage"].groupBy(gap.alias("gap")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("object").alias("n_objects"))
