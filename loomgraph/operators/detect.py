@@ -6,7 +6,7 @@ lineage with (pos, job, tgt_table, tgt_col, src_table, src_col).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.columns import joined
@@ -14,12 +14,14 @@ from loomgraph.functions.scratch import materialize
 
 from .graph import closure
 
-NAME = F.lpad(F.col("job").cast("string"), 9, "0")
+def name() -> Column:
+    """Job numbers as texts that sort like numbers."""
+    return F.lpad(F.col("job").cast("string"), 9, "0")
 
 
 def multi_source_loads(writes: DataFrame) -> DataFrame:
     """Targets that two jobs or more write; all loads but one could go."""
-    by = writes.groupBy("tbl").agg(F.count_distinct("job").alias("n_jobs"), joined(F.collect_set(NAME)).alias("jobs"))
+    by = writes.groupBy("tbl").agg(F.count_distinct("job").alias("n_jobs"), joined(F.collect_set(name())).alias("jobs"))
     return by.where("n_jobs >= 2").withColumn("savings", F.col("n_jobs") - 1)
 
 
@@ -30,7 +32,7 @@ def updates_in_place(reads: DataFrame, writes: DataFrame) -> DataFrame:
 
 def pass_through_tables(writes: DataFrame, reads: DataFrame, lineage: DataFrame, least_columns: int = 5) -> DataFrame:
     """Tables with one producer and one consumer from which many columns flow on."""
-    one = lambda df, name: df.groupBy("tbl").agg(F.count_distinct("job").alias("n"), F.min("job").alias(name)).where("n = 1").drop("n")
+    one = lambda df, kind: df.groupBy("tbl").agg(F.count_distinct("job").alias("n"), F.min("job").alias(kind)).where("n = 1").drop("n")
     wide = lineage.groupBy(F.col("src_table").alias("tbl")).agg(F.count_distinct("tgt_table", "tgt_col").alias("n_columns")).where(F.col("n_columns") >= least_columns)
     return one(writes, "producer").join(one(reads, "consumer"), "tbl").where("producer <> consumer").join(wide, "tbl")
 
@@ -98,7 +100,7 @@ def view_consumers(edges: DataFrame, jobs: DataFrame, reads: DataFrame, writes:
     views = jobs.where("category = 'MV'").select("job", "runtime_sec")
     own = writes.join(views, "job", "left_semi").withColumnRenamed("job", "mv")
     used = own.join(reads, "tbl").where("mv <> job").select("mv", "job").distinct()
-    by = used.groupBy("mv").agg(F.count(F.lit(1)).alias("n_consumers"), joined(F.collect_set(NAME)).alias("consumers"))
+    by = used.groupBy("mv").agg(F.count(F.lit(1)).alias("n_consumers"), joined(F.collect_set(name())).alias("consumers"))
     kind = F.when(F.col("n_consumers") > 1, "SHARED").otherwise("ELIMINATE")
     risk = F.when(F.col("n_consumers") >= 4, "HIGH").otherwise("MEDIUM")
     return by.withColumn("kind", kind).withColumn("risk", risk).withColumn("blast", F.least(F.col("n_consumers"), F.lit(10)))
@@ -117,7 +119,7 @@ def duplicated_flows(lineage: DataFrame) -> DataFrame:
 def identical_mappings(lineage: DataFrame, least_pairs: int = 3) -> DataFrame:
     """Groups of jobs with the same set of column pairs between two tables."""
     pairs = lineage.where("src_col <> ''").groupBy("src_table", "tgt_table", "job").agg(joined(F.collect_set(F.concat_ws(">", "src_col", "tgt_col"))).alias("mapping"), F.count_distinct("src_col", "tgt_col").alias("n_pairs"))
-    same = pairs.where(F.col("n_pairs") >= least_pairs).groupBy("src_table", "tgt_table", "mapping").agg(F.count(F.lit(1)).alias("n_jobs"), joined(F.collect_set(NAME)).alias("jobs"))
+    same = pairs.where(F.col("n_pairs") >= least_pairs).groupBy("src_table", "tgt_table", "mapping").agg(F.count(F.lit(1)).alias("n_jobs"), joined(F.collect_set(name())).alias("jobs"))
     return same.where("n_jobs >= 2")
 
 
