@@ -147,3 +147,64 @@ def statement_kind(statement: Column) -> Column:
         .when(upper.rlike(r"^(COMMIT|ROLLBACK|EXIT|NULL)\b"), "BOILERPLATE")
         .otherwise("OTHER")
     )
+
+
+def parameters(scripts: DataFrame) -> DataFrame:
+    """Positional parameters ($1, ${2}) of each script, with how often each stands in it."""
+    found = matches(scripts, r"\$\{?(\d+)\}?", "position")
+    return found.groupBy("script", F.col("position").cast("int").alias("position")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def view_refreshes(scripts: DataFrame) -> DataFrame:
+    """Refreshed materialised views; a variable's value is looked up among the script's assignments."""
+    found = matches(scripts, r"(?i)DBMS_MVIEW\.REFRESH\s*\(\s*'?(\$?\w+)'?", "view")
+    named = assignments(scripts).groupBy("script", F.concat(F.lit("$"), "variable").alias("view")).agg(F.min_by("value", "at").alias("value"))
+    return found.join(named, ["script", "view"], "left").select("script", F.upper(F.coalesce("value", "view")).alias("view"), F.col("view").startswith("$").alias("by_variable"))
+
+
+def dynamic_statements(scripts: DataFrame) -> DataFrame:
+    """EXECUTE IMMEDIATE: with a literal that is all of the statement, or built up; per script a literal suppresses the same built-up object."""
+    static = matches(scripts, r"(?i)EXECUTE\s+IMMEDIATE\s+'\s*BEGIN\s+([\w.]+)[^']*'\s*;", "object").withColumn("kind", F.lit("STATIC"))
+    built = matches(scripts, r"(?i)EXECUTE\s+IMMEDIATE\s+'\s*BEGIN\s+([\w.]+)[^']*'\s*\|\|", "object").withColumn("kind", F.lit("DYNAMIC"))
+    rest = built.join(static.select("script", "object").distinct(), ["script", "object"], "left_anti")
+    return static.unionByName(rest).select("script", F.upper("object").alias("object"), "kind").distinct()
+
+
+def union_branches(query: str) -> list[str]:
+    """The branches of a query between UNIONs outside of parentheses and quotes."""
+    import re
+
+    out, start, depth, quoted = [], 0, 0, False
+    words = {m.start(): m.end() for m in re.finditer(r"(?i)\bUNION(?:\s+ALL)?\b", query)}
+    for at, c in enumerate(query):
+        if c == "'":
+            quoted = not quoted
+        elif not quoted:
+            depth += (c == "(") - (c == ")")
+            if depth == 0 and at in words:
+                out.append(query[start:at].strip())
+                start = words[at]
+    return [x for x in [*out, query[start:].strip()] if x]
+
+
+def split_unions(queries: DataFrame) -> DataFrame:
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            rows = [(s, i, x) for s, body in zip(pdf["script"], pdf["body"]) for i, x in enumerate(union_branches(body or ""))]
+            yield pd.DataFrame(rows, columns=["script", "at", "branch"])
+
+    return queries.select("script", "body").mapInPandas(run, "script long, at int, branch string")
+
+
+def chunked(rows: DataFrame, limit: int) -> DataFrame:
+    """(script, at, chunk): consecutive statements filled into chunks of at most ``limit`` characters; a longer one stands alone."""
+    ordered = rows.groupBy("script").agg(F.array_sort(F.collect_list(F.struct("at", F.length("statement").alias("n")))).alias("s"))
+    start = F.struct(F.lit(0).alias("chunk"), F.lit(0).alias("size"), F.expr("cast(array() as array<struct<at:int,chunk:int>>)").alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        over = (a["size"] > 0) & (a["size"] + x["n"] > limit)
+        chunk = F.when(over, a["chunk"] + 1).otherwise(a["chunk"])
+        return F.struct(chunk.alias("chunk"), F.when(over, x["n"]).otherwise(a["size"] + x["n"]).alias("size"), F.concat(a["out"], F.array(F.struct(x["at"].alias("at"), chunk.alias("chunk")))).alias("out"))
+
+    filled = ordered.select("script", F.explode(F.aggregate("s", start, step, lambda a: a["out"])).alias("c"))
+    return filled.select("script", "c.at", "c.chunk")

@@ -207,3 +207,79 @@ def f28(fx):
     tag = lambda df, d: df.select(F.lit(d).alias("detector"), "tbl")
     found = tag(detect.multi_source_loads(fx["fx_writes"]), "A").unionByName(tag(detect.updates_in_place(fx["fx_reads"], fx["fx_writes"]), "B")).unionByName(tag(detect.unread_tables(fx["fx_writes"], fx["fx_reads"]), "H"))
     return found.groupBy("detector").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("f10_indicator_walk", """
+WITH RECURSIVE c(start, node, hops) AS (SELECT e.dependent_job, e.job, 1 FROM fx_edges e JOIN fx_jobs v ON v.job = e.dependent_job AND v.category = 'MV'
+  UNION SELECT c.start, e.job, c.hops + 1 FROM c JOIN fx_edges e ON e.dependent_job = c.node WHERE c.hops < 4)
+SELECT start AS view, node AS updater, CAST(min(hops) AS INTEGER) AS hops FROM c JOIN fx_jobs u ON u.job = c.node AND u.is_pass GROUP BY start, node
+""")
+def f10(fx):
+    """Updaters that follow a refreshed view in four steps or fewer."""
+    from loomgraph.operators.graph import closure, reversed_edges
+
+    far = closure(reversed_edges(fx["fx_edges"]), fx["fx_jobs"].where("category = 'MV'"), 4)
+    return far.join(fx["fx_jobs"].where("is_pass").select(F.col("job").alias("node")), "node", "left_semi").select(F.col("start").alias("view"), F.col("node").alias("updater"), "hops")
+
+
+@query("f12_finding_jobs", """
+WITH f AS (SELECT pos, CASE WHEN pos % 3 = 0 THEN target_table ELSE concat('TBL_', CAST(pos % 45 AS VARCHAR), '_X') END AS script FROM fx_recs WHERE pos % 7 = 1),
+t AS (SELECT DISTINCT tbl FROM fx_writes WHERE length(tbl) <= 6)
+SELECT f.pos, min(CASE WHEN t.tbl = f.script THEN 0 WHEN contains(f.script, t.tbl) THEN 1 END) AS rank, coalesce(arg_min(t.tbl, CASE WHEN t.tbl = f.script THEN 0 ELSE 1000 - length(t.tbl) END), 'UNMAPPED') AS tbl FROM f LEFT JOIN t ON t.tbl = f.script OR contains(f.script, concat(t.tbl, '_')) GROUP BY f.pos
+""")
+def f12(fx):
+    """The table that a finding's script means: by name, else the longest that begins it; equi-joins on both."""
+    script = F.when(F.col("pos") % 3 == 0, F.col("target_table")).otherwise(F.concat(F.lit("TBL_"), (F.col("pos") % 45).cast("string"), F.lit("_X")))
+    found = fx["fx_recs"].where("pos % 7 = 1").select("pos", script.alias("script"))
+    tables = fx["fx_writes"].where("length(tbl) <= 6").select("tbl").distinct()
+    parts = F.split("script", "_")
+    keys = found.select("pos", F.posexplode(F.array("script", F.concat_ws("_", F.slice(parts, 1, 2)))).alias("rank", "tbl"))
+    hits = keys.join(tables, "tbl").groupBy("pos").agg(F.min("rank").alias("rank"), F.min_by("tbl", "rank").alias("tbl"))
+    return found.join(hits, "pos", "left").select("pos", "rank", F.coalesce("tbl", F.lit("UNMAPPED")).alias("tbl"))
+
+
+@query("f22_updater_loops", f"""
+WITH RECURSIVE rd AS ({_IN_PLACE}), flow AS (SELECT DISTINCT r.tbl AS s, w.tbl AS t FROM rd r JOIN fx_writes w ON r.job = w.job WHERE r.tbl <> w.tbl),
+u AS (SELECT w.job, w.tbl FROM fx_writes w JOIN rd r ON r.job = w.job AND r.tbl = w.tbl),
+c(start, node, hops) AS (SELECT s, t, 1 FROM flow WHERE s IN (SELECT tbl FROM u) UNION SELECT c.start, f.t, c.hops + 1 FROM c JOIN flow f ON f.s = c.node WHERE c.hops < 8)
+SELECT u.job, u.tbl, count(DISTINCT c.node) AS n_downstream FROM u JOIN c ON c.start = u.tbl GROUP BY u.job, u.tbl
+""")
+def f22(fx):
+    """How much lies downstream of the tables that jobs update in place."""
+    from loomgraph.operators.graph import closure
+
+    reads = fx["fx_reads"].unionByName(fx["fx_writes"].where("job % 4 = 0")).distinct()
+    updaters = detect.updates_in_place(reads, fx["fx_writes"])
+    flow = reads.toDF("job", "s").join(fx["fx_writes"].toDF("job", "t"), "job").where("s <> t").select(F.col("s").alias("job"), F.col("t").alias("dependent_job")).distinct()
+    far = closure(flow, updaters.select(F.col("tbl").alias("job")), 8)
+    return updaters.join(far.select(F.col("start").alias("tbl"), "node"), "tbl").groupBy("job", "tbl").agg(F.count_distinct("node").alias("n_downstream"))
+
+
+@query("f24_view_names", "SELECT DISTINCT concat(tbl, CASE WHEN job % 2 = 0 THEN '_VW' ELSE '' END) AS name FROM fx_writes WHERE job % 2 = 0 AND NOT starts_with(tbl, 'VW_')")
+def f24(fx):
+    """Views named by a suffix instead of the prefix."""
+    name = F.concat("tbl", F.when(F.col("job") % 2 == 0, "_VW").otherwise(""))
+    return fx["fx_writes"].select(name.alias("name")).where(F.col("name").endswith("_VW") & ~F.col("name").startswith("VW_")).distinct()
+
+
+@query("f25_temporary_tables", "SELECT concat(tbl, '_GTT') AS name, count(DISTINCT job) AS n_writers FROM fx_writes WHERE job % 6 = 1 GROUP BY tbl")
+def f25(fx):
+    """Temporary tables with a local writer."""
+    named = fx["fx_writes"].select("job", F.concat("tbl", F.when(F.col("job") % 6 == 1, "_GTT").otherwise("")).alias("name"))
+    return named.where(F.col("name").endswith("_GTT")).groupBy("name").agg(F.count_distinct("job").alias("n_writers"))
+
+
+@query("f26_bulk_updates", "SELECT p_partkey AS package, CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN p_size % 3 = 0 THEN 1 ELSE 0 END AS n_loops FROM part WHERE p_size % 2 = 0 OR p_size % 3 = 0")
+def f26(fx):
+    """Packages that collect in bulk and update in loops, and how many loops."""
+    text = F.concat(F.lit("BULK COLLECT; "), F.when(F.col("p_size") % 2 == 0, "FORALL i IN 1..n UPDATE t SET a = 1; ").otherwise(""), F.when(F.col("p_size") % 3 == 0, "FORALL j IN v UPDATE u SET b = 2;").otherwise("INSERT;"))
+    rows = fx["part"].select(F.col("p_partkey").alias("package"), text.alias("body")).where(F.col("body").rlike("BULK COLLECT") & F.col("body").rlike("FORALL") & F.col("body").rlike("UPDATE"))
+    return rows.select("package", F.regexp_count("body", F.lit(r"FORALL[^;]{0,50}?UPDATE")).alias("n_loops"))
+
+
+@query("f27_hard_coded_mappings", "SELECT p_partkey AS package, p_size % 7 AS n_values, CASE WHEN p_size % 7 >= 5 THEN 'LOOKUP' ELSE 'CASE' END AS kind FROM part WHERE p_size % 7 >= 4")
+def f27(fx):
+    """Mappings with four quoted values or more."""
+    text = F.concat_ws(" ", F.transform(F.expr("sequence(0, p_size % 7)"), lambda i: F.when(i > 0, F.concat(F.lit("WHEN 'V"), i.cast("string"), F.lit("'"))).otherwise("CASE")))
+    rows = fx["part"].select(F.col("p_partkey").alias("package"), F.regexp_count(text, F.lit("'[^']*'")).alias("n_values"))
+    return rows.where("n_values >= 4").select("package", "n_values", F.when(F.col("n_values") >= 5, "LOOKUP").otherwise("CASE").alias("kind"))

@@ -289,3 +289,53 @@ def d25(fx):
     """Names without schema, link or alias."""
     bare = strip_schema(F.concat(F.lit(" own."), "tgt_table", F.lit("@link")))
     return fx["fx_lineage"].select(bare.alias("bare"), strip_alias(F.concat("src_table", F.lit(" a"))).alias("unaliased")).distinct()
+
+
+@query("a10_package_calls", "SELECT object AS package, CAST(step AS INTEGER) AS step, child FROM (SELECT DISTINCT object FROM fx_lineage) CROSS JOIN (VALUES (0, 'LOAD'), (1, 'MERGE'), (2, 'CLEAN'), (3, 'EXTRA')) v(step, child)")
+def a10(fx):
+    """Called procedures in order, then those that are not called; utilities are left out."""
+    packages = fx["fx_lineage"].select(F.col("object").alias("package")).distinct()
+    called = F.transform(F.split(F.lit("LOAD → MERGE, CLEAN,LOG_START"), r"\s*[→,]\s*"), F.trim)
+    listed = F.filter(F.array_union(called, F.array(F.lit("CLEAN"), F.lit("EXTRA"))), lambda x: ~x.startswith("LOG_"))
+    return packages.select("package", F.posexplode(listed).alias("step", "child"))
+
+
+@query("d05_parameters", "SELECT pos, upper(trim(coalesce(nullif(params, ''), nullif(cmd, ''), 'DEFAULT'), '''')) AS object FROM fx_edge_log")
+def d05(fx):
+    """The object that a command's parameters name: the first that is given, without quotes."""
+    given = F.coalesce(F.nullif("params", F.lit("")), F.nullif("cmd", F.lit("")), F.lit("DEFAULT"))
+    return fx["fx_edge_log"].select("pos", F.upper(F.regexp_replace(given, "^'+|'+$", "")).alias("object"))
+
+
+@query("d06_object_keys", "SELECT job, CASE WHEN is_pass THEN concat(sql_object, '.', job_name) WHEN job % 2 = 0 THEN sql_object ELSE job_name END AS full_object FROM fx_jobs")
+def d06(fx):
+    """The full key of an object: package and procedure, else the one that there is."""
+    pair = F.when(F.col("is_pass"), F.concat_ws(".", "sql_object", "job_name"))
+    return fx["fx_jobs"].select("job", F.coalesce(pair, F.when(F.col("job") % 2 == 0, F.col("sql_object")), F.col("job_name")).alias("full_object"))
+
+
+@query("d11_forward_consumers", _DEPTH.format(frm="dependent_job", to="job", more="AND r.node <> r.root AND r.node NOT IN (SELECT job FROM fx_reads)").replace("root_job, root_job, 0 FROM fx_roots", "job, job, 0 FROM fx_jobs WHERE job % 211 = 7"))
+def d11(fx):
+    """Consumers that the schema lacks, with their forward depth."""
+    starts = fx["fx_jobs"].where("job % 211 = 7").select(F.col("job").alias("root_job"))
+    depth = graph.weighted_depth(graph.reversed_edges(fx["fx_edges"]), fx["fx_jobs"], starts).where("node <> root")
+    return depth.join(fx["fx_reads"].select(F.col("job").alias("node")), "node", "left_anti").select("root", "node", "depth")
+
+
+@query("d13_row_order", f"WITH d AS ({_DEPTHS}) SELECT root, node, CAST(row_number() OVER (PARTITION BY root ORDER BY CASE WHEN depth > 4 THEN 999 ELSE depth END, node) AS BIGINT) AS place FROM d")
+def d13(fx):
+    """Order inside each report, jobs without a (small) depth last."""
+    from pyspark.sql import Window
+
+    depth = graph.weighted_depth(fx["fx_edges"], fx["fx_jobs"], fx["fx_roots"])
+    known = F.when(F.col("depth") <= 4, F.col("depth"))
+    w = Window.partitionBy("root").orderBy(F.coalesce(known, F.lit(999)), "node")
+    return depth.select("root", "node", F.row_number().over(w).cast("bigint").alias("place"))
+
+
+@query("d18_static_enrichment", "SELECT n.job, CASE n.sql_object WHEN 'Brand#3' THEN 'AUDIT' WHEN 'Brand#4' THEN 'PURGE' END AS static_target, n.sql_object IN ('Brand#3', 'Brand#4') AS tagged FROM fx_jobs n")
+def d18(fx):
+    """Known packages take their targets from a configured list (two rows here)."""
+    dim = fx.spark.createDataFrame([("Brand#3", "AUDIT"), ("Brand#4", "PURGE")], "sql_object string, static_target string")
+    joined_rows = fx["fx_jobs"].join(F.broadcast(dim), "sql_object", "left")
+    return joined_rows.select("job", "static_target", F.col("static_target").isNotNull().alias("tagged"))

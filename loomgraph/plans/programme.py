@@ -273,3 +273,38 @@ def j06(fx):
     """Order of implementation; one row per object is ranked."""
     by = fx["fx_jobs"].groupBy("sql_object").agg(F.count(F.lit(1)).alias("n"))
     return by.select("sql_object", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("n"), "sql_object")).cast("bigint").alias("place"))
+
+
+@query("h04_steps", "SELECT pos, concat('1. ', CASE substr(category, 1, 2) WHEN 'A.' THEN 'Keep one load' WHEN 'E.' THEN 'Drop the view' ELSE 'Review' END, '; 2. of ', target_table, '; 3. risk ', lower(risk)) AS steps FROM fx_recs")
+def h04(fx):
+    """Steps from templates; the templates are data."""
+    action = F.when(F.col("category").startswith("A."), "Keep one load").when(F.col("category").startswith("E."), "Drop the view").otherwise("Review")
+    return fx["fx_recs"].select("pos", F.concat(F.lit("1. "), action, F.lit("; 2. of "), "target_table", F.lit("; 3. risk "), F.lower("risk")).alias("steps"))
+
+
+@query("i05_object_classes", "SELECT job, CASE WHEN category = 'MV' THEN 'MV' WHEN ends_with(job_name, '7') THEN 'VIEW' ELSE 'CODE' END AS class FROM fx_jobs")
+def i05(fx):
+    """Code, materialised view or view."""
+    return fx["fx_jobs"].select("job", F.when(F.col("category") == "MV", "MV").when(F.col("job_name").endswith("7"), "VIEW").otherwise("CODE").alias("class"))
+
+
+@query("i08_roadmap", "SELECT pos, CASE WHEN starts_with(category, 'A. Redundant') OR starts_with(category, 'B. Pass') THEN 2 WHEN starts_with(category, 'C.') THEN 3 WHEN starts_with(category, 'E.') THEN 4 ELSE 5 END AS phase, CAST(row_number() OVER (PARTITION BY rpt, CASE WHEN starts_with(category, 'A. Redundant') OR starts_with(category, 'B. Pass') THEN 2 WHEN starts_with(category, 'C.') THEN 3 WHEN starts_with(category, 'E.') THEN 4 ELSE 5 END ORDER BY pos) AS BIGINT) AS step FROM fx_recs")
+def i08(fx):
+    """Steps inside each report and phase."""
+    phases = fx.spark.createDataFrame(_PHASES, "at int, prefix string, phase int")
+    found = programme.phase_of(fx["fx_recs"].select("pos", "rpt", "category"), phases)
+    return found.select("pos", "phase", F.row_number().over(Window.partitionBy("rpt", "phase").orderBy("pos")).cast("bigint").alias("step"))
+
+
+@query("i16_before_after", """
+WITH g AS (SELECT rpt, greatest(job_a, job_b) AS job FROM fx_recs WHERE hops > 2 AND job_a <> job_b)
+SELECT rpt, count(*) AS n_jobs, count(*) FILTER (WHERE gone) AS n_removed, round(sum(CASE WHEN gone THEN 0 ELSE runtime_sec END), 1) AS sec_after FROM (
+SELECT j.rpt, n.job, n.runtime_sec, EXISTS (SELECT 1 FROM g WHERE g.rpt = j.rpt AND g.job = n.job) AS gone FROM (SELECT rpt, job_a AS job FROM fx_recs UNION SELECT rpt, job_b FROM fx_recs) j JOIN fx_jobs n ON n.job = j.job) GROUP BY rpt
+""")
+def i16(fx):
+    """Jobs and runtime of each report before and after the removal."""
+    found = recs(fx)
+    own = found.select("rpt", F.explode("jobs").alias("job")).distinct().join(fx["fx_jobs"].select("job", "runtime_sec"), "job")
+    gone = found.where((F.col("hops") > 2) & (F.size("jobs") > 1)).select("rpt", F.explode(F.expr("slice(jobs, 2, size(jobs))")).alias("job")).distinct().withColumn("gone", F.lit(True))
+    marked = own.join(gone, ["rpt", "job"], "left")
+    return marked.groupBy("rpt").agg(F.count(F.lit(1)).alias("n_jobs"), F.count("gone").alias("n_removed"), F.round(F.sum(F.when(F.col("gone"), 0.0).otherwise(F.col("runtime_sec"))), 1).alias("sec_after"))

@@ -167,3 +167,89 @@ def c29(fx):
     """Gaps by class."""
     gap = F.when(F.col("src_col") == "", "CONSTANT").when(F.col("src_col").isin("K1", "K2"), "AUDIT").otherwise("GENUINE")
     return fx["fx_lineage"].groupBy(gap.alias("gap")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("object").alias("n_objects"))
+
+
+@query("b05_parameters", "SELECT p_partkey AS script, unnest([1, 2]) AS position, CAST(1 AS BIGINT) AS n FROM part")
+def b05(fx):
+    """Positional parameters of scripts."""
+    body = F.concat(F.lit("run $1 ${2} x"), F.col("p_partkey").cast("string"))
+    return scripts.parameters(fx["part"].select(F.col("p_partkey").alias("script"), body.alias("body")))
+
+
+@query("b06_view_refreshes", "SELECT p_partkey AS script, CASE WHEN p_size % 2 = 0 THEN concat('MV_', CAST(p_size AS VARCHAR)) ELSE concat('MV_T', CAST(p_partkey AS VARCHAR)) END AS view, p_size % 2 = 1 AS by_variable FROM part")
+def b06(fx):
+    """Refreshed views, by name or variable."""
+    call = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("exec dbms_mview.refresh('mv_"), F.col("p_size").cast("string"), F.lit("','C');"))).otherwise(F.lit("exec DBMS_MVIEW.REFRESH($MV_NAME);"))
+    body = F.concat(F.lit("MV_NAME=mv_t"), F.col("p_partkey").cast("string"), F.lit("\n"), call)
+    return scripts.view_refreshes(fx["part"].select(F.col("p_partkey").alias("script"), body.alias("body")))
+
+
+@query("b04_dynamic_statements", "SELECT p_partkey AS script, concat('PKG.P', CAST(p_size AS VARCHAR)) AS object, 'STATIC' AS kind FROM part WHERE p_size % 3 = 0 UNION ALL SELECT p_partkey, concat('PKG.P', CAST(p_size AS VARCHAR)), 'DYNAMIC' FROM part WHERE p_size % 3 = 1 UNION ALL SELECT p_partkey, concat('PKG.P', CAST(p_size AS VARCHAR)), 'STATIC' FROM part WHERE p_size % 3 = 2")
+def b04(fx):
+    """Statements that are run from texts; a literal one suppresses the built-up one of the same object."""
+    name = F.concat(F.lit("pkg.p"), F.col("p_size").cast("string"))
+    static = F.concat(F.lit("EXECUTE IMMEDIATE 'BEGIN "), name, F.lit("; END;';\n"))
+    built = F.concat(F.lit("EXECUTE IMMEDIATE 'BEGIN "), name, F.lit("(' || v || '); END;';\n"))
+    body = F.when(F.col("p_size") % 3 == 0, static).when(F.col("p_size") % 3 == 1, built).otherwise(F.concat(static, built))
+    return scripts.dynamic_statements(fx["part"].select(F.col("p_partkey").alias("script"), body.alias("body")))
+
+
+@query("b12_variables", r"SELECT script, value, regexp_matches(value, '^\$[0-9]+$') AS is_parameter, TRY_CAST(regexp_extract(value, '^\$([0-9]+)$', 1) AS INTEGER) AS position FROM (SELECT p_partkey AS script, CASE WHEN p_size % 2 = 0 THEN concat('$', CAST(p_size AS VARCHAR)) ELSE concat('T_', CAST(p_size AS VARCHAR)) END AS value FROM part)")
+def b12(fx):
+    """Values of variables, and whether they are parameters."""
+    value = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("$"), F.col("p_size").cast("string"))).otherwise(F.concat(F.lit("T_"), F.col("p_size").cast("string")))
+    return fx["part"].select(F.col("p_partkey").alias("script"), value.alias("value")).select("script", "value", F.col("value").rlike(r"^\$\d+$").alias("is_parameter"), F.regexp_extract("value", r"^\$(\d+)$", 1).try_cast("int").alias("position"))
+
+
+@query("c05_without_exceptions", r"SELECT p_partkey AS script, concat('BEGIN a', CAST(p_size AS VARCHAR), '; END;') AS body FROM part")
+def c05(fx):
+    """Exception blocks go."""
+    body = F.concat(F.lit("BEGIN a"), F.col("p_size").cast("string"), F.lit("; EXCEPTION\n WHEN OTHERS THEN NULL; END;"))
+    return fx["part"].select(F.col("p_partkey").alias("script"), F.regexp_replace(body, r"(?is)\bEXCEPTION\s+WHEN\b.*?(?=\bEND\b\s*;)", "").alias("body"))
+
+
+@query("c06_union_branches", "SELECT p_partkey AS script, CAST(0 AS INTEGER) AS at, 'SELECT (a UNION b)' AS branch FROM part UNION ALL SELECT p_partkey, 1, concat('SELECT ', CAST(p_size AS VARCHAR)) FROM part UNION ALL SELECT p_partkey, 2, 'SELECT ''UNION''' FROM part WHERE p_size % 2 = 0")
+def c06(fx):
+    """Branches of a query at its top-level unions."""
+    body = F.concat(F.lit("SELECT (a UNION b) UNION ALL SELECT "), F.col("p_size").cast("string"), F.when(F.col("p_size") % 2 == 0, " union SELECT 'UNION'").otherwise(""))
+    return scripts.split_unions(fx["part"].select(F.col("p_partkey").alias("script"), body.alias("body")))
+
+
+@query("c10_chunks", "SELECT script, CAST(i AS INTEGER) AS at, CASE WHEN i < 2 THEN 0 ELSE 1 END AS chunk FROM (SELECT p_partkey AS script, unnest(CASE WHEN p_size % 2 = 0 THEN [0, 1, 2, 3] ELSE [0, 1, 2] END) AS i FROM part)")
+def c10(fx):
+    """Statements filled into chunks of limited size."""
+    rows = c03(fx).withColumn("statement", F.when(F.col("at") == 0, F.lpad(F.lit("x"), 40, "x")).when(F.col("at") == 1, F.lpad(F.lit("y"), 18, "y")).otherwise(F.col("statement")))
+    return scripts.chunked(rows, 60)
+
+
+@query("c17_stitched_parts", "SELECT object, tgt_table, count(DISTINCT src_table) AS n_sources, min(pos) AS pos FROM (SELECT regexp_replace(object, '_PART[0-9]+$', '') AS object, tgt_table, src_table, pos FROM fx_parts) GROUP BY object, tgt_table")
+def c17(fx):
+    """Parts of one object put together: tables are one by name, relations are counted once."""
+    whole = fx["fx_parts"].withColumn("object", F.regexp_replace("object", r"_PART\d+$", ""))
+    return whole.groupBy("object", "tgt_table").agg(F.count_distinct("src_table").alias("n_sources"), F.min("pos").alias("pos"))
+
+
+@query("c21_superseded_parts", r"SELECT DISTINCT object FROM fx_parts p WHERE NOT (regexp_matches(object, '_PART[0-9]+$') AND EXISTS (SELECT 1 FROM fx_parts w WHERE w.object = regexp_replace(p.object, '_PART[0-9]+$', '')))")
+def c21(fx):
+    """A whole supersedes its parts."""
+    names = fx["fx_parts"].select("object").distinct()
+    base = F.regexp_replace("object", r"_PART\d+$", "")
+    parts = names.where(F.col("object").rlike(r"_PART\d+$")).withColumn("base", base)
+    gone = parts.join(names.withColumnRenamed("object", "base"), "base", "left_semi").select("object")
+    return names.join(gone, "object", "left_anti")
+
+
+@query("c23_call_sequence", "SELECT sql_object AS package, job_name AS procedure, CAST(row_number() OVER (PARTITION BY sql_object ORDER BY first, job_name) AS BIGINT) AS place FROM (SELECT n.sql_object, n.job_name, min(e.dependent_job) AS first FROM fx_jobs n JOIN fx_edges e ON e.job = n.job GROUP BY ALL)")
+def c23(fx):
+    """Procedures of each package in the order of their first calls."""
+    from pyspark.sql import Window
+
+    first = fx["fx_jobs"].join(fx["fx_edges"], "job").groupBy(F.col("sql_object").alias("package"), F.col("job_name").alias("procedure")).agg(F.min("dependent_job").alias("first"))
+    return first.select("package", "procedure", F.row_number().over(Window.partitionBy("package").orderBy("first", "procedure")).cast("bigint").alias("place"))
+
+
+@query("c28_failing_objects", r"SELECT base AS object, count(*) AS n_parts, bool_and(n_rel > 3) AS all_found FROM (SELECT regexp_replace(object, '_PART[0-9]+$', '') AS base, object, count(*) AS n_rel FROM fx_parts GROUP BY ALL) GROUP BY base")
+def c28(fx):
+    """Whether all parts of an object have relations."""
+    each = fx["fx_parts"].groupBy("object").agg(F.count(F.lit(1)).alias("n_rel"))
+    return each.groupBy(F.regexp_replace("object", r"_PART\d+$", "").alias("object")).agg(F.count(F.lit(1)).alias("n_parts"), F.bool_and(F.col("n_rel") > 3).alias("all_found"))
