@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +40,11 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def parts_for(rows: int, rows_each: int = 500_000) -> int:
+    """How many partitions a small relation of a loop is written in, so that rounds don't write many tiny files."""
+    return max(1, -(-rows // rows_each))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -47,3 +55,11 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         F.col(f"`{id_col}`").cast("long").alias("doc_id"),
         F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"),
     )
+
+
+def slices(batches: Iterator[pa.RecordBatch], size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in parts of about ``size`` bytes, so that what a task holds at once is bounded."""
+    for batch in batches:
+        step = max(1, int(size * max(1, batch.num_rows) / max(1, batch.nbytes)))
+        for at in range(0, max(1, batch.num_rows), step):
+            yield batch.slice(at, step)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialize, table, texts
+from ._common import materialize, parts_for, slices, table, texts
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
 #: Buckets of the sketch, and the blocks that they are summed in.
@@ -41,6 +41,8 @@ SHORT_LIST = 24
 #: Prefix shingles of a fragment, and the level (half powers of two of the mean sketch count) from which a shingle's list is dealt by class.
 FRAGMENT_TOKENS, DEALT_LEVEL = 1_500_000, 16
 FILTER_BITS = 24
+#: Rounds end when a row of a long list has so many partners in other components on average, or when they no longer get fewer.
+FEW_PARTNERS = 256
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
 
@@ -141,7 +143,7 @@ def described(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
         shingler, seen = Shingler(words), set()
         sketch = np.zeros(1 << SKETCH_BITS, np.uint8)
         names = ["doc_id", "n", "class", "key", "block", "counts"]
-        for batch in batches:
+        for batch in slices(batches):
             sizes, keys, fresh = [], [], []
             for t in shingler.sets(batch.column(1).to_pylist()):
                 k = shingler.key(t)
@@ -187,15 +189,19 @@ def levels_of(sketch: DataFrame) -> np.ndarray:
 
 
 def overlaps(docs: DataFrame, levels: np.ndarray, total: int, words: int, num: int, den: int) -> DataFrame:
-    """Partial overlaps of pairs in each fragment (token null), and the rows of long lists (b null)."""
+    """Partial overlaps of pairs in each fragment (token null), and the rows of long lists (b null).
+
+    ``place`` is a shingle's place in the order of its set; of pairs, whether they share a shingle that can be their first
+    common one, as enough of both sets stands behind it.
+    """
     bits = max(0, int(np.ceil(np.log2(max(1, total * (1 - num / den)) / FRAGMENT_TOKENS))))
     parts = 1 << bits
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen = Shingler(words), set()
-        names = ["fragment", "tokens", "classes", "sizes"]
-        for batch in batches:
-            tokens, classes, sizes = [], [], []
+        names = ["fragment", "tokens", "classes", "sizes", "places"]
+        for batch in slices(batches, 8 << 20):
+            tokens, classes, sizes, places = [], [], [], []
             for t in shingler.sets(batch.column(1).to_pylist()):
                 k = shingler.key(t)
                 if not len(t) or k in seen:
@@ -206,27 +212,28 @@ def overlaps(docs: DataFrame, levels: np.ndarray, total: int, words: int, num: i
                 tokens.append(t[np.argsort(level, kind="stable")[:p]] if level.any() else t[:p])
                 classes.append(np.full(p, k, np.int64))
                 sizes.append(np.full(p, len(t), np.int32))
+                places.append(np.arange(p, dtype=np.int32))
             if not tokens:
                 continue
-            t, c, s = map(np.concatenate, (tokens, classes, sizes))
+            t, c, s, i = map(np.concatenate, (tokens, classes, sizes, places))
             fragment = (t >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(t), np.int64)
             hot = levels[bucket_of(t)] >= DEALT_LEVEL
             fragment[hot] = parts + c[hot] % parts  # a list that may hold a large share of all classes is dealt by class
             order = np.argsort(fragment, kind="stable")
             cuts = np.flatnonzero(np.diff(fragment[order])) + 1
-            rows = [(int(fragment[at[0]]), t[at].tobytes(), c[at].tobytes(), s[at].tobytes()) for at in np.split(order, cuts)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3))], names=names)
+            rows = [(int(fragment[at[0]]), t[at].tobytes(), c[at].tobytes(), s[at].tobytes(), i[at].tobytes()) for at in np.split(order, cuts)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3, 4))], names=names)
 
-    names = ["token", "a", "b", "n_a", "n_b", "shared"]
+    names = ["token", "a", "b", "n_a", "n_b", "shared", "place"]
 
     def count(found: pa.Table) -> pa.Table:
         joined = lambda i, kind: np.frombuffer(b"".join(found.column(i).to_pylist()), kind)
-        t, c, s = joined(1, np.uint64), joined(2, np.int64), joined(3, np.int32)
+        t, c, s, p = joined(1, np.uint64), joined(2, np.int64), joined(3, np.int32).astype(np.int64), joined(4, np.int32).astype(np.int64)
         order = np.lexsort((c, t))
-        t, c, s = t[order], c[order], s[order]
+        t, c, s, p = t[order], c[order], s[order], p[order]
         fresh = np.ones(len(t), bool)
         fresh[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
-        t, c, s = t[fresh], c[fresh], s[fresh]
+        t, c, s, p = t[fresh], c[fresh], s[fresh], p[fresh]
         starts = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
         sizes = np.diff(np.r_[starts, len(t)])
         long = sizes > SHORT_LIST if found.column(0)[0].as_py() < parts else sizes > 0
@@ -236,23 +243,26 @@ def overlaps(docs: DataFrame, levels: np.ndarray, total: int, words: int, num: i
             i, j = np.triu_indices(m, 1)
             base = starts[(sizes == m) & ~long][:, None]
             left, right = (base + i).ravel(), (base + j).ravel()
-            alike = den * np.minimum(s[left], s[right]).astype(np.int64) >= num * np.maximum(s[left], s[right])
+            alike = den * np.minimum(s[left], s[right]) >= num * np.maximum(s[left], s[right])
             lefts.append(left[alike])
             rights.append(right[alike])
         left, right = np.concatenate(lefts), np.concatenate(rights)
         ids, where = np.unique(c, return_inverse=True)
-        code, first, shared = np.unique(where[left] * np.int64(len(ids)) + where[right], return_index=True, return_counts=True)
+        _, first, inverse, shared = np.unique(where[left] * np.int64(len(ids)) + where[right], return_index=True, return_inverse=True, return_counts=True)
+        early = np.minimum(s[left] - p[left], s[right] - p[right]) >= needed(s[left] + s[right], num, num + den)
+        early = np.bincount(inverse, weights=early, minlength=len(first)) > 0
         left, right = left[first], right[first]
-        pairs = [pa.nulls(len(left), pa.int64()), pa.array(c[left]), pa.array(c[right]), pa.array(s[left].astype(np.int64)), pa.array(s[right].astype(np.int64)), pa.array(shared.astype(np.int64))]
-        rest = [pa.array(t[listed].astype(np.int64)), pa.array(c[listed]), pa.nulls(listed.sum(), pa.int64()), pa.array(s[listed].astype(np.int64)), pa.nulls(listed.sum(), pa.int64()), pa.nulls(listed.sum(), pa.int64())]
+        pairs = [pa.nulls(len(left), pa.int64()), *(pa.array(x) for x in (c[left], c[right], s[left], s[right], shared.astype(np.int64), early.astype(np.int64)))]
+        none = pa.nulls(int(listed.sum()), pa.int64())
+        rest = [pa.array(t[listed].astype(np.int64)), pa.array(c[listed]), none, pa.array(s[listed]), none, none, pa.array(p[listed])]
         return pa.concat_tables([pa.table(pairs, names), pa.table(rest, names)])
 
-    dealt = docs.mapInArrow(deal, "fragment int, tokens binary, classes binary, sizes binary")
+    dealt = docs.mapInArrow(deal, "fragment int, tokens binary, classes binary, sizes binary, places binary")
     return materialize(dealt.groupBy("fragment").applyInArrow(count, ", ".join(f"{n} long" for n in names)), "partial-overlaps")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(class, tokens) of the wanted classes, in buckets by class.
+def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> str:
+    """Name of a table (class, tokens) of the wanted classes, in buckets by class.
 
     A bit filter of a fixed size tells most unwanted classes; the join tells the rest.
     """
@@ -265,7 +275,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen, bits = Shingler(words), set(), np.unpackbits(filled)
-        for batch in batches:
+        for batch in slices(batches):
             keys, sets = [], []
             for t in shingler.sets(batch.column(1).to_pylist()):
                 k = shingler.key(t)
@@ -282,7 +292,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"loomgraph_sets_{uuid.uuid4().hex}"
     found.write.bucketBy(buckets, "class").option("compression", "none").saveAsTable(name)
-    return spark.table(name)
+    return name
 
 
 def linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -296,14 +306,15 @@ def linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(class, component): the smallest class reachable by links, for classes with links."""
-    edges = materialize(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = materialize(edges.groupBy(F.col("a").alias("class")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
+    parts = parts_for(links.count())
+    write = lambda df, name: materialize(df.coalesce(parts), name)
+    edges = write(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = write(edges.groupBy(F.col("a").alias("class")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
     while True:
         near = edges.join(labels, edges["b"] == labels["class"]).groupBy("a").agg(F.min("component").alias("near"))
         met = labels.join(near, labels["class"] == near["a"]).select("class", F.least("component", "near").alias("component"), F.col("component").alias("old"))
         up = labels.select(F.col("class").alias("component"), F.col("component").alias("top"))  # a label is a class too
-        jumped = met.join(up, "component", "left").select("class", F.least("component", F.coalesce("top", "component")).alias("component"), "old")
-        jumped = materialize(jumped, "labels")
+        jumped = write(met.join(up, "component", "left").select("class", F.least("component", F.coalesce("top", "component")).alias("component"), "old"), "labels")
         labels = jumped.select("class", "component")
         if jumped.where("component <> old").isEmpty():
             return labels
@@ -321,8 +332,8 @@ def reachable(shared: Column, a: Column, b: Column, num: int, den: int) -> Colum
 
 def candidates(partial: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """Pairs of short lists that can reach the threshold, with their summed overlaps, and the rows of long lists."""
-    pairs = partial.where("token is null").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
-    lists = partial.where("b is null").select("token", F.col("a").alias("class"), F.col("n_a").alias("n"))
+    pairs = partial.where("token is null").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.max("place").alias("early")).where("early = 1")
+    lists = partial.where("b is null").select("token", F.col("a").alias("class"), F.col("n_a").alias("n"), "place")
     lists = materialize(lists.distinct(), "long-lists")  # a list that was dealt by class may hold a class twice
     held = lists.groupBy("class").agg(F.count(F.lit(1)).alias("held"))  # what a class may share besides, in long lists
     side = lambda c: held.select(F.col("class").alias(c), F.col("held").alias(f"held_{c}"))
@@ -332,9 +343,11 @@ def candidates(partial: DataFrame, num: int, den: int) -> tuple[DataFrame, DataF
     return materialize(pairs.select("a", "b", "shared", "n_a", "n_b"), "candidates"), materialize(lists.join(held, "class").withColumn("core", F.col("held") / F.col("n")).drop("held"), "long-lists")
 
 
-def class_components(partial: DataFrame, pairs: DataFrame, lists: DataFrame, sets: DataFrame, num: int, den: int, most_rounds: int = 12) -> DataFrame | None:
+def class_components(pairs: DataFrame, lists: DataFrame, sets: DataFrame, num: int, den: int, most_rounds: int = 12) -> DataFrame | None:
     """(class, component) of all classes that are linked; None if there is no link."""
     labels = links = None
+    parts = parts_for(pairs.count() + lists.count())
+    write = lambda df, name: materialize(df.coalesce(parts), name)
 
     def relabelled(rows: DataFrame, *keys: str) -> DataFrame:
         for k in keys:
@@ -349,7 +362,11 @@ def class_components(partial: DataFrame, pairs: DataFrame, lists: DataFrame, set
         links = fresh if links is None else links.unionByName(fresh)
         labels = components(links)
 
-    similar = den * F.least("n", "pivot.n") >= num * F.greatest("n", "pivot.n")
+    def meet(n_a: Column, at_a: Column, n_b: Column, at_b: Column) -> Column:
+        """Whether a shared shingle at these places can be the first common one of a similar pair."""
+        return F.least(n_a - at_a, n_b - at_b) >= F.ceil((n_a + n_b) * num / (num + den))
+
+    similar = meet(F.col("n"), F.col("place"), F.col("pivot.n"), F.col("pivot.place"))
     for k in range(most_rounds):
         rows = relabelled(pairs, "a", "b").where("c_a <> c_b")
         if k < 2:  # each class's likeliest partner
@@ -357,33 +374,31 @@ def class_components(partial: DataFrame, pairs: DataFrame, lists: DataFrame, set
             best = rows.groupBy(F.col("a").alias("of")).agg(likely.alias("p")).unionByName(rows.groupBy(F.col("b").alias("of")).agg(likely.alias("p"))).select("p.a", "p.b")
         else:
             best = rows.select("a", "b").limit(0)
-        open_lists = materialize(relabelled(lists, "class").select("token", "class", "n", "core", F.col("c_class").alias("component")), "open-lists")
-        counted = open_lists.groupBy("token", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("token").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("same"))
-        rest = counted.where("m * m > same")
-        n, crossing = rest.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("same")) / 2), F.lit(0.0))).first()
-        if k >= 2 and (crossing <= 8 * n or k > 3 and crossing > 0.7 * before):
+        # Lists that lie in one component have nothing more to say.
+        named = relabelled(lists, "class").withColumn("component", F.col("c_class")).drop("c_class")
+        sizes = named.groupBy("token", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("token").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("same"))
+        named = write(named.join(sizes.where("m * m > same"), "token"), "open-lists")
+        lists = named.select(*lists.columns)
+        n, crossing = named.groupBy("token").agg(F.first("m").alias("m"), F.first("same").alias("same")).agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("same")) / 2), F.lit(0.0))).first()
+        if k > 0 and crossing <= FEW_PARTNERS * n or k > 3 and crossing > 0.7 * before:
             break
         before = crossing
-        rows = open_lists.join(rest.select("token"), "token", "left_semi")
         # The first pivot is the member with the largest share of common shingles, as the source of a group's copies has.
         draw = -F.col("core") if k == 0 else F.xxhash64("class", F.lit(k)).cast("double")
-        pivots = rows.groupBy("token").agg(F.min(F.struct(draw.alias("draw"), "class", "n", "component")).alias("pivot"))
-        star = rows.join(pivots, "token").where((F.col("component") != F.col("pivot.component")) & similar)
+        pivots = named.groupBy("token").agg(F.min(F.struct(draw.alias("draw"), "class", "n", "place", "component")).alias("pivot"))
+        star = named.join(pivots, "token").where((F.col("component") != F.col("pivot.component")) & similar)
         star = star.select(F.least("class", "pivot.class").alias("a"), F.greatest("class", "pivot.class").alias("b"))
-        tried = materialize(best.unionByName(star).distinct(), "tried")
+        tried = write(best.unionByName(star).distinct(), "tried")
         if tried.isEmpty():
             break
         grow(tried)
-    # Every pair between components that remains: those of short lists, and those of long lists with all their counts.
+    else:
+        named = relabelled(lists, "class").withColumnRenamed("c_class", "component")
+    # Every pair between components that remains, of short lists and of long ones.
     rows = relabelled(pairs, "a", "b").where("c_a <> c_b").select("a", "b")
-    open_lists = relabelled(lists, "class")
-    left = open_lists.select("token", F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("c_class").alias("c_a"))
-    right = open_lists.select("token", F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("c_class").alias("c_b"))
-    crossing = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & (den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b")))
-    crossing = crossing.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
-    short = partial.where("token is null").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("shared").alias("shared"))
-    crossing = crossing.join(short, ["a", "b"], "left").where(reachable(F.col("met") + F.coalesce("shared", F.lit(0)), F.col("n_a"), F.col("n_b"), num, den))
-    grow(materialize(rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(crossing.select("a", "b")).distinct(), "tried"))
+    side = lambda k: named.select("token", F.col("class").alias(k), F.col("n").alias(f"n_{k}"), F.col("place").alias(f"at_{k}"), F.col("component").alias(f"c_{k}"))
+    crossing = side("a").join(side("b"), "token").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & meet(F.col("n_a"), F.col("at_a"), F.col("n_b"), F.col("at_b")))
+    grow(materialize(rows.union(crossing.select("a", "b")).distinct(), "tried"))
     return labels
 
 
@@ -393,13 +408,15 @@ def ngram_components(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR,
     Documents link when den * intersection >= num * union of their sets of ``words``-word shingles; component_id is the
     smallest doc_id reachable by links. ``docs`` has doc_id and text.
     """
-    docs = texts(docs)
+    docs, spark = texts(docs), docs.sparkSession
     described_docs, sketch = described(docs, words)
     total = described_docs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     partial = overlaps(docs, levels_of(sketch), total, words, num, den)
     pairs, lists = candidates(partial, num, den)
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).union(lists.select("class")).distinct()
-    labels = class_components(partial, pairs, lists, sets_of(docs, wanted, words), num, den)
+    sets = sets_of(docs, wanted, words)
+    labels = class_components(pairs, lists, spark.table(sets), num, den)
+    spark.sql(f"DROP TABLE {sets}")
     smallest = described_docs.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least_id"))
     if labels is None:
         named = smallest.select("class", F.col("least_id").alias("component_id"))
