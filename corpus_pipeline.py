@@ -11,7 +11,7 @@ texts without words have no near copies. Rows without a doc_id are judged by the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm._common import materialize, table
@@ -21,10 +21,12 @@ from loomgraph.llm.ngram_join import ngram_components
 from loomgraph.llm.packing import pack
 from loomgraph.llm.quality import importance_resample
 
-TEXT = F.coalesce(F.col("text"), F.lit(""))
 
+def text() -> Column:
+    return F.coalesce(F.col("text"), F.lit(""))
 
-def restricted(docs: DataFrame, chosen: DataFrame, key_of: F.Column) -> DataFrame:
+
+def restricted(docs: DataFrame, chosen: DataFrame, key_of: Column) -> DataFrame:
     """The rows of ``docs`` whose (doc_id, key) is among the chosen ones."""
     keyed = docs.withColumn("__key", key_of)
     chosen = chosen.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("__id"), F.col("key").alias("__chosen")).distinct()
@@ -35,15 +37,15 @@ def restricted(docs: DataFrame, chosen: DataFrame, key_of: F.Column) -> DataFram
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the importance resampling draws."""
     drawn = importance_resample(docs, table(spark, sf_dir, "labels"))
-    return restricted(docs, drawn.where("kept"), F.xxhash64(TEXT))
+    return restricted(docs, drawn.where("kept"), F.xxhash64(text()))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each distinct text."""
     found = exact_dedup(docs)
     chosen = found.where("kept").select("doc_id", F.col("text_sha256").alias("key"))
-    kept = restricted(docs, chosen, F.sha2(TEXT, 256))
-    return kept.withColumn("__sha", F.sha2(TEXT, 256)).dropDuplicates(["__sha"]).drop("__sha")
+    kept = restricted(docs, chosen, F.sha2(text(), 256))
+    return kept.withColumn("__sha", F.sha2(text(), 256)).dropDuplicates(["__sha"]).drop("__sha")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +54,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     named = found.where("n_shingles > 0 and component_id is not null")
     first = named.groupBy("component_id").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "key"))).alias("first"))
     chosen = first.select("first.doc_id", "first.key").unionByName(found.where("n_shingles = 0 or component_id is null").select("doc_id", "key"))
-    return restricted(docs, chosen, F.xxhash64(TEXT))
+    return restricted(docs, chosen, F.xxhash64(text()))
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
