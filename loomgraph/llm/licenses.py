@@ -128,12 +128,16 @@ def scan(text: str) -> tuple[int, int, int | None, int | None, str, str, float]:
     joined = f" {b' '.join(words).decode('latin-1')} "
     starts, base, labels = [], set(), set()
     tagged = False
+    at = passed = 0  # the spaces before ``at`` are counted already
     for end, (phrase, label, size) in automaton().iter(joined):
         labels.add(label)
         tagged |= phrase == TAG
         if phrase in BASE:
             base.add(label)
-            starts.append(joined.count(" ", 0, end - size))
+            start = end - size  # of the phrase; one space stands before each word
+            passed += joined.count(" ", at, start) if start >= at else -joined.count(" ", start, at)
+            at = start
+            starts.append(passed - 1)
     opens = [OPENNESS[x] for x in labels if x in OPENNESS]
     if tagged:
         for m in TAG_TEXT.finditer(text):
