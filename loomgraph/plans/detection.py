@@ -283,3 +283,15 @@ def f27(fx):
     text = F.concat_ws(" ", F.transform(F.expr("sequence(0, p_size % 7)"), lambda i: F.when(i > 0, F.concat(F.lit("WHEN 'V"), i.cast("string"), F.lit("'"))).otherwise("CASE")))
     rows = fx["part"].select(F.col("p_partkey").alias("package"), F.regexp_count(text, F.lit("'[^']*'")).alias("n_values"))
     return rows.where("n_values >= 4").select("package", "n_values", F.when(F.col("n_values") >= 5, "LOOKUP").otherwise("CASE").alias("kind"))
+
+
+@query("f15_cycles", """
+WITH RECURSIVE c(a, b) AS (SELECT job, dependent_job FROM fx_cyclic UNION SELECT c.a, e.dependent_job FROM c JOIN fx_cyclic e ON e.job = c.b),
+s AS (SELECT x.a AS node, min(least(x.a, x.b)) AS component FROM c x JOIN c y ON x.a = y.b AND x.b = y.a GROUP BY x.a)
+SELECT component, count(*) AS n_jobs FROM s GROUP BY component
+""")
+def f15(fx):
+    """Cycles of dependencies, by their sizes."""
+    from loomgraph.operators.graph import strong_components
+
+    return strong_components(fx["fx_cyclic"]).groupBy("component").agg(F.count(F.lit(1)).alias("n_jobs"))

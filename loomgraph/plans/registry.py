@@ -25,7 +25,7 @@ def query(name: str, oracle: str | None = None) -> Callable:
 
 
 def _load() -> None:
-    from . import detection, fusion, graphs, programme, relational, text  # noqa: F401
+    from . import detection, fusion, graphs, programme, relational, sources, text  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:

@@ -253,3 +253,58 @@ def c28(fx):
     """Whether all parts of an object have relations."""
     each = fx["fx_parts"].groupBy("object").agg(F.count(F.lit(1)).alias("n_rel"))
     return each.groupBy(F.regexp_replace("object", r"_PART\d+$", "").alias("object")).agg(F.count(F.lit(1)).alias("n_parts"), F.bool_and(F.col("n_rel") > 3).alias("all_found"))
+
+
+@query("c15_preflight", "SELECT p_partkey AS object, CASE WHEN p_size % 4 = 0 THEN 'SKIP' WHEN p_size % 4 = 1 THEN 'REJECT' ELSE 'PASS' END AS verdict FROM part")
+def c15(fx):
+    """Whether a text may go to a parser: not without DML, not beyond its limit."""
+    dml = F.when(F.col("p_size") % 4 == 0, "BEGIN NULL; END;").otherwise(F.concat(F.lit("INSERT INTO t SELECT "), F.rpad(F.lit("x"), 40, "x")))
+    text = F.when(F.col("p_size") % 4 == 1, F.rpad(dml, 10_001, " y")).otherwise(dml)
+    rows = fx["part"].select(F.col("p_partkey").alias("object"), text.alias("body"))
+    verdict = F.when(F.length("body") > 10_000, "REJECT").when(~F.col("body").rlike(r"(?i)\b(INSERT|UPDATE|DELETE|MERGE)\b"), "SKIP").otherwise("PASS")
+    return rows.select("object", verdict.alias("verdict"))
+
+
+@query("c31_findings", "SELECT p_partkey AS script, 'HOP_OPPORTUNITIES' AS section, concat('x', CAST(p_size AS VARCHAR)) AS detail FROM part WHERE p_size % 2 = 0 UNION ALL SELECT p_partkey, 'PERFORMANCE_NOTES', 'slow' FROM part WHERE p_size % 2 = 0")
+def c31(fx):
+    """Findings of free-form summaries: sections by the pattern of their keys, lists and plain texts alike."""
+    sections = F.create_map(F.lit("HOP_OPPORTUNITIES"), F.array(F.concat(F.lit("x"), F.col("p_size").cast("string"))), F.lit("METADATA_PERFORMANCE"), F.array(F.lit("no")), F.lit("PERFORMANCE_NOTES"), F.array(F.lit("slow")))
+    rows = fx["part"].where("p_size % 2 = 0").select(F.col("p_partkey").alias("script"), F.to_json(sections).alias("summary"))
+    parsed = rows.select("script", F.explode(F.from_json("summary", "map<string, array<string>>")).alias("section", "items"))
+    kept = parsed.where(F.col("section").rlike("OPPORTUNIT|PERFORMANCE") & ~F.col("section").startswith("METADATA"))
+    return kept.select("script", "section", F.explode("items").alias("detail"))
+
+
+@query("c13_dynamic_changes", r"SELECT p_partkey AS script, CASE WHEN p_size % 2 = 0 THEN 'MERGE' ELSE 'INSERT' END AS kind, concat('T', CAST(p_size AS VARCHAR)) AS tbl FROM part")
+def c13(fx):
+    """Changes written as texts and run later."""
+    head = F.when(F.col("p_size") % 2 == 0, "v := 'MERGE INTO t").otherwise("v := 'INSERT INTO t")
+    body = F.concat(head, F.col("p_size").cast("string"), F.lit(" x'; EXECUTE IMMEDIATE v;"))
+    found = scripts.matches(fx["part"].select(F.col("p_partkey").alias("script"), body.alias("body")), r"(?i)(\w+)\s*:=\s*'(MERGE|INSERT)\s+INTO\s+(\w+)[^']*'\s*;(?=[\s\S]*EXECUTE\s+IMMEDIATE\s+\1)", "variable", "kind", "tbl")
+    return found.select("script", F.upper("kind").alias("kind"), F.upper("tbl").alias("tbl"))
+
+
+@query("c09_cursor_targets", "SELECT p_partkey AS script, concat('SRC', CAST(p_size AS VARCHAR)) AS source, 'TGT' AS target FROM part")
+def c09(fx):
+    """The source of a named cursor and the table that is changed close behind it."""
+    body = F.concat(F.lit("CURSOR c1 IS SELECT a FROM src"), F.col("p_size").cast("string"), F.lit(" WHERE x; BEGIN FOR r IN c1 LOOP UPDATE tgt SET a = 1; END LOOP; END;"))
+    rows = fx["part"].select(F.col("p_partkey").alias("script"), body.alias("body"))
+    cursors = scripts.matches(rows, r"(?i)\bCURSOR\s+(\w+)\s+IS\s+SELECT\b[^;]*?\bFROM\s+(\w+)", "cursor", "source")
+    used = scripts.matches(rows, r"(?is)\bIN\s+(\w+)\s+LOOP\b.{0,500}?\bUPDATE\s+(\w+)\s+SET", "cursor", "target")
+    return cursors.drop("at").join(used.drop("at"), ["script", "cursor"]).select("script", F.upper("source").alias("source"), F.upper("target").alias("target"))
+
+
+@query("c11_dispatch_branches", "SELECT p_partkey AS script, unnest(['ALPHA', 'BETA']) AS branch, unnest([concat('P', CAST(p_size AS VARCHAR)), 'Q']) AS procedure FROM part")
+def c11(fx):
+    """Branches of a dispatcher by its parameter, and what each calls."""
+    body = F.concat(F.lit("IF UPPER(TRIM(p)) LIKE '%ALPHA%' THEN p"), F.col("p_size").cast("string"), F.lit("(1); ELSIF UPPER(TRIM(p)) LIKE '%BETA%' THEN q(2); END IF;"))
+    found = scripts.matches(fx["part"].select(F.col("p_partkey").alias("script"), body.alias("body")), r"(?i)IF\s+UPPER\(TRIM\(\w+\)\)\s+LIKE\s+'%(\w+)%'\s+THEN\s+(\w+)\(", "branch", "procedure")
+    return found.select("script", "branch", F.upper("procedure").alias("procedure"))
+
+
+@query("c08_view_bodies", "SELECT p_partkey AS script, CASE WHEN p_size % 2 = 0 THEN 'V1' ELSE 'M1' END AS view, 'select 1 from x' AS query FROM part")
+def c08(fx):
+    """Definitions cut down to the view's name and its query."""
+    body = F.when(F.col("p_size") % 2 == 0, "CREATE OR REPLACE VIEW own.v1 (a, b) AS select 1 from x;").otherwise("create materialized view m1 BUILD IMMEDIATE REFRESH COMPLETE as select 1 from x;")
+    found = scripts.matches(fx["part"].select(F.col("p_partkey").alias("script"), body.alias("body")), r"(?is)\bCREATE\s+(?:OR\s+REPLACE\s+)?(?:MATERIALIZED\s+)?VIEW\s+([\w.]+).*?\bAS\s+(SELECT\b.*?);", "view", "query")
+    return found.select("script", scripts.clean_table(F.col("view")).alias("view"), "query")

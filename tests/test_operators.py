@@ -98,3 +98,21 @@ def test_stream_equals_batch(spark):
 
     a, b = (sorted(map(str, queries()[n](spark, "/root/testdata/sf0.001").collect())) for n in ("rel_p_windows", "rel_p_streamed_windows"))
     assert a == b
+
+
+def test_workbooks(spark):
+    import io
+    import zipfile
+
+    from loomgraph.sources import workbooks as w
+
+    rows = [["A", None, "é <&>"], [None, "2"], []]
+    assert w.sheet_rows(w.workbook_bytes([["X", "Y", "Z"], *rows])) == [["X", "Y", "Z"], ["A", None, "é <&>"], [None, "2"], []]
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(w.workbook_bytes([["h"]], "Other"))) as a, zipfile.ZipFile(out, "w") as b:
+        for n in a.namelist():
+            b.writestr(n, a.read(n) if "sheet1" not in n else f'<worksheet xmlns="{w.MAIN[1:-1]}"><sheetData><row><c r="AA1" t="s"><v>1</v></c></row></sheetData></worksheet>')
+        b.writestr("xl/sharedStrings.xml", f'<sst xmlns="{w.MAIN[1:-1]}"><si><t>no</t></si><si><r><t>sh</t></r><r><t>ared</t></r></si></sst>')
+    assert w.sheet_rows(out.getvalue(), "Other") == [[None] * 26 + ["shared"]]
+    files = spark.createDataFrame([("a", w.workbook_bytes([["name", "n"], ["x", "1"], ["y"]]))], "path string, content binary")
+    assert [tuple(r) for r in w.parsed(files, ["N", "NAME", "none"]).orderBy("pos").collect()] == [("a", 0, "1", "x", None), ("a", 1, None, "y", None)]
