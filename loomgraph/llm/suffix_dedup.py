@@ -28,13 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialize, table, texts
+from ._common import materialize, slices, table, texts
 
 LENGTH, GRAM = 200, 64
 CHUNK = 1 << 19
+#: Windows of hot anchors that one task compares by their hashes.
+HOT_WINDOWS = 1_000_000
 SKETCH_BITS, HOT_LEVEL = 18, 8
 #: Anchors of a fragment, and suffixes that are sorted together.
-FRAGMENT_ANCHORS, FRAGMENT_SUFFIXES = 500_000, 150_000
+FRAGMENT_ANCHORS, FRAGMENT_SUFFIXES = 150_000, 40_000
 NO_ID = -(2**63)
 TABLE = np.random.default_rng(20).integers(1, 2**63, 256, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 BASE, MIX = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
@@ -63,7 +65,8 @@ def anchors_of(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tupl
         p = (y & np.uint64(0xFFFFF)).astype(np.int64)
         lo = np.r_[0, np.flatnonzero(p[1:] != p[:-1]) + 1]
         hi = np.r_[lo[1:] - 1, len(p) - 1]
-        for into, values in zip(out, (x[p[lo]], lo + at, hi + at)):
+        chosen = x[p[lo]] * MIX  # the smallest hashes are chosen; spread them again
+        for into, values in zip(out, (chosen ^ (chosen >> np.uint64(32)), lo + at, hi + at)):
             into.append(values)
     if not out[0]:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
@@ -128,7 +131,7 @@ def sketched(keyed: DataFrame, length: int) -> tuple[np.ndarray, int]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             found = [anchors_of(np.frombuffer(x.encode(), np.uint8), length)[0] for x in batch.column(0).to_pylist()]
             if found:
                 counts += np.bincount((np.concatenate(found) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
@@ -151,7 +154,7 @@ def matched_anchors(keyed: DataFrame, levels: np.ndarray, total: int, length: in
         import xxhash
 
         digest = xxhash.xxh3_64_intdigest
-        for batch in batches:
+        for batch in slices(batches):
             columns: dict[str, list] = {n: [] for n, _ in FIELDS}
             for doc, key, text in zip(*(c.to_pylist() for c in batch.columns)):
                 data = text.encode()
@@ -165,7 +168,7 @@ def matched_anchors(keyed: DataFrame, levels: np.ndarray, total: int, length: in
             if not columns["lo"]:
                 continue
             f = {n: np.concatenate(v) for n, v in columns.items()}
-            # Equal contexts of a batch: the first goes on for all.
+            # Equal contexts of a part: the first goes on for all.
             order = np.lexsort((f["lo"], f["doc"], f["context"]))
             f = {n: v[order] for n, v in f.items()}
             starts, sizes = runs(f["context"])
@@ -210,14 +213,17 @@ def matched_anchors(keyed: DataFrame, levels: np.ndarray, total: int, length: in
 
 def sorted_suffixes(keyed: DataFrame, asked: DataFrame, length: int, keep: str) -> DataFrame:
     """(doc, key, lo, hi): repeated spans among the windows of the asked contexts."""
-    starts, = asked.agg(F.coalesce(F.sum(F.col("hi") - F.col("lo") + 1), F.lit(0))).first()
+    by_anchor = asked.groupBy("anchor").agg(F.sum(F.col("hi") - F.col("lo") + 1).alias("n"))
+    starts = by_anchor.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = max(1, -(-int(starts) // FRAGMENT_SUFFIXES))
+    many = by_anchor.where(F.col("n") > FRAGMENT_SUFFIXES).select("anchor", F.lit(HOT).alias("hot"))
+    asked = asked.join(many, "anchor", "left").withColumn("kind", F.coalesce("hot", "kind")).drop("hot")
     by_doc = asked.groupBy("doc", "key").agg(F.collect_set(F.struct("lo", "hi", "anchor", "kind")).alias("asked"))
     here = keyed.join(by_doc, ["doc", "key"]).select("doc", "key", "text", "asked")
     names = ["doc", "key", "lo", "hot", "fragment", "bytes"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc, key, text, wanted in zip(*(c.to_pylist() for c in batch.columns)):
                 data = text.encode()
@@ -250,29 +256,48 @@ def sorted_suffixes(keyed: DataFrame, asked: DataFrame, length: int, keep: str)
         again = repeats(windows, positions, keep)
         return spans(doc[again], key[again], start[again])
 
+    hot_parts = max(1, -(-int(starts) // HOT_WINDOWS))
+    fields = (("window", np.int64), ("doc", np.int64), ("key", np.int64), ("lo", np.int64), ("hi", np.int64), ("n", np.int64))
+
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row per distinct window of a batch; equal ones of a batch count together."""
+        """Blocks of places by window hash: one for each distinct window of a part, and the spans that repeat inside it (n = 0)."""
         import xxhash
 
-        for batch in batches:
+        for batch in slices(batches, 256 << 10):  # a context's windows take some fifty times its bytes
             if not batch.num_rows:
                 continue
             doc, key, start, windows = suffixes(batch)
             w = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in np.ascontiguousarray(windows)), np.uint64, len(doc)).astype(np.int64)
             order = np.lexsort((start, doc, w))
-            first, sizes = runs(w[order])
-            n = np.zeros(len(order), np.int64)
-            n[first] = sizes
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (w[order], doc[order], key[order], start[order], n)], names=["window", "doc", "key", "lo", "n"])
+            at, sizes = runs(w[order])
+            again = np.repeat(sizes > 1, sizes)
+            if keep == "first":
+                again[at] = False
+            one, own = spans(doc[order][again], key[order][again], start[order][again]), order[at]
+            known = {c: one.column(c).to_numpy() for c in ("doc", "key", "lo", "hi")} | {"window": one.column("lo").to_numpy(), "n": np.zeros(len(one), np.int64)}
+            fresh = {"window": w[own], "doc": doc[own], "key": key[own], "lo": start[own], "hi": start[own] + length, "n": sizes}
+            f = {n: np.concatenate([known[n], fresh[n]]) for n, _ in fields}
+            fragment = f["window"].astype(np.uint64) % np.uint64(hot_parts)
+            order = np.argsort(fragment, kind="stable")
+            rows = [[int(fragment[x[0]]), *(f[n][x].tobytes() for n, _ in fields)] for x in np.split(order, np.flatnonzero(np.diff(fragment[order])) + 1)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary() if i else pa.int64()) for i in range(7)], names=["fragment", *(n for n, _ in fields)])
+
+    def settle(found: pa.Table) -> pa.Table:
+        """The spans of a fragment's windows that stand in several places."""
+        f = {n: np.frombuffer(b"".join(found.column(i + 1).to_pylist()), kind) for i, (n, kind) in enumerate(fields)}
+        order = np.lexsort((f["key"], f["lo"], f["doc"], f["window"], f["n"] > 0))
+        f = {n: v[order] for n, v in f.items()}
+        decided = int((f["n"] == 0).sum())
+        at, sizes = runs(f["window"][decided:])
+        again = np.repeat(np.add.reduceat(f["n"][decided:], at) > 1, sizes) if len(at) else np.empty(0, bool)
+        if keep == "first":
+            again[at] = False
+        pick = np.r_[np.ones(decided, bool), again]
+        return pa.table([pa.array(f[n][pick]) for n in ("doc", "key", "lo", "hi")], ["doc", "key", "lo", "hi"])
 
     cold = contexts.where("not hot").groupBy("fragment").applyInArrow(search, schema)
-    windows = contexts.where("hot").mapInArrow(hashed, "window long, doc long, key long, lo long, n long")
-    windows = materialize(windows, "hot-windows")
-    counts = windows.where("n > 0").groupBy("window").agg(F.sum("n").alias("places"), F.min(F.struct("doc", "lo", "key")).alias("first")).where("places > 1")
-    again = windows.join(counts, "window")
-    if keep == "first":
-        again = again.where(F.struct("doc", "lo", "key") != F.col("first"))
-    return cold.unionByName(again.select("doc", "key", "lo", (F.col("lo") + length).alias("hi")))
+    hot = contexts.where("hot").mapInArrow(hashed, "fragment long, " + ", ".join(f"{n} binary" for n, _ in fields))
+    return cold.unionByName(hot.groupBy("fragment").applyInArrow(settle, schema))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, keep: str = "none") -> DataFrame:
@@ -302,7 +327,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, keep: str = "none", with
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[] for _ in names[1:]]
             for text, lo, hi in zip(*(c.to_pylist() for c in batch.columns[1:])):
                 data = text.encode()
