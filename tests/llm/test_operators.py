@@ -426,3 +426,10 @@ def test_oracle(spark, name):
 
 def test_one_query_for_each_operator():
     assert sorted(int(n[2:].split("_")[0]) for n in llm.queries()) == list(range(1, 11))
+
+
+def test_compaction_equals_one_build(spark, docs):
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    halves = [exact_dedup.build_index(texts.where(F.col("doc_id") % 2 == i)) for i in range(2)]
+    a, b = (sorted(map(tuple, x.select("digest", "text_sha256", "keep_id", "group_size").collect())) for x in (exact_dedup.compact(*halves), exact_dedup.build_index(texts)))
+    assert a == b
