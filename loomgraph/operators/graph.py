@@ -103,15 +103,13 @@ def strong_components(edges: DataFrame) -> DataFrame:
     colour form the component of that colour; they leave the graph and the rest goes on.
     """
     pairs = materialize(edges.select(F.col("job").alias("a"), F.col("dependent_job").alias("b")).distinct(), "pairs")
-    found = None
+    found, n = None, pairs.count()
     while True:
-        while True:  # nodes without an edge in or out can't be in a cycle
-            inner = materialize(pairs.join(pairs.select(F.col("a").alias("b")).distinct(), "b", "left_semi").join(pairs.select(F.col("b").alias("a")).distinct(), "a", "left_semi").select("a", "b"), "pairs")
-            same = inner.count() == pairs.count()
-            pairs = inner
-            if same:
-                break
-        if pairs.isEmpty():
+        before = -1
+        while n != before:  # nodes without an edge in or out can't be in a cycle
+            pairs = materialize(pairs.join(pairs.select(F.col("a").alias("b")).distinct(), "b", "left_semi").join(pairs.select(F.col("b").alias("a")).distinct(), "a", "left_semi").select("a", "b"), "pairs")
+            before, n = n, pairs.count()
+        if not n:
             break
         colours = materialize(pairs.select(F.col("a").alias("node")).unionByName(pairs.select("b").toDF("node")).distinct().withColumn("colour", F.col("node")), "colours")
         while True:
@@ -135,6 +133,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
         found = materialize(cycles if found is None else found.unionByName(cycles), "components")
         gone = back.select("node")
         pairs = materialize(pairs.join(gone.toDF("a"), "a", "left_anti").join(gone.toDF("b"), "b", "left_anti").select("a", "b"), "pairs")
+        n = pairs.count()
     return found if found is not None else pairs.toDF("node", "component")
 
 
