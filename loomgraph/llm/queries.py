@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": decontaminate.OP1_SQL, "op10_exact_dedup": exact_dedup.OP10_SQL}
+    return {"op1_decontaminate": decontaminate.OP1_SQL, "op6_ngram_join": ngram_join.OP6_SQL, "op10_exact_dedup": exact_dedup.OP10_SQL}
