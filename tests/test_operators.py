@@ -116,3 +116,14 @@ def test_workbooks(spark):
     assert w.sheet_rows(out.getvalue(), "Other") == [[None] * 26 + ["shared"]]
     files = spark.createDataFrame([("a", w.workbook_bytes([["name", "n"], ["x", "1"], ["y"]]))], "path string, content binary")
     assert [tuple(r) for r in w.parsed(files, ["N", "NAME", "none"]).orderBy("pos").collect()] == [("a", 0, "1", "x", None), ("a", 1, None, "y", None)]
+
+
+def test_stream_keeps_the_first_of_each_edge(spark, tmp_path):
+    from loomgraph.streaming.runs import latest_edges
+
+    rows = [(1, 2, "2024-01-01 00:00:00"), (1, 2, "2024-01-01 00:10:00"), (1, 3, "2024-01-01 00:20:00")]
+    log = spark.createDataFrame(rows, "job long, dependent_job long, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    log.coalesce(1).write.parquet(f"{tmp_path}/in")
+    feed = latest_edges(spark.readStream.schema(log.schema).parquet(f"{tmp_path}/in"))
+    feed.writeStream.option("checkpointLocation", f"{tmp_path}/state").format("parquet").option("path", f"{tmp_path}/out").trigger(availableNow=True).start().awaitTermination()
+    assert sorted((r.job, r.dependent_job) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [(1, 2), (1, 3)]
