@@ -36,7 +36,7 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class WordEncoder:
-    """Ids of a text as the tokenizers library gives them, with the ids of words seen before kept in memory."""
+    """Ids of a text as the tokenizers library gives them, with the ids of strings between white space kept in memory."""
 
     def __init__(self, path: str):
         import regex
@@ -54,20 +54,27 @@ class WordEncoder:
             ids = self.tokenizer.encode(word, add_special_tokens=False).ids
         return np.asarray(ids, "<u4").tobytes()
 
+    def _string(self, string: str) -> bytes:
+        """A string without white space is one word or several."""
+        if string.isascii() and string.isalpha():
+            return self._ids(string)
+        known = self.known
+        return b"".join([known[w] if w in known else known.setdefault(w, self._ids(w)) for w in self.find(string)])
+
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         if "<|" in text or not PLAIN.fullmatch(text):
             return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words, known = self.find(text.lower()), self.known
+        strings, known = text.lower().split(), self.known
         try:
-            return b"".join([known[w] for w in words])
+            return b"".join([known[s] for s in strings])
         except KeyError:
             if len(known) > CACHE_WORDS:
                 known.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = self._ids(w)
-            return b"".join([known[w] for w in words])
+            for s in strings:
+                if s not in known:
+                    known[s] = self._string(s)
+            return b"".join([known[s] for s in strings])
 
 
 @lru_cache(maxsize=2)
