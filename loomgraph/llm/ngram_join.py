@@ -36,6 +36,8 @@ from ._common import materialize, parts_for, slices, table, texts
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
 #: Buckets of the sketch, and the blocks that they are summed in.
 SKETCH_BITS, BLOCKS = 22, 512
+#: Tasks whose blocks are summed together.
+TASKS_AT_ONCE = 256
 #: Lists up to this length give their pairs in the fragment, longer ones stay relations.
 SHORT_LIST = 24
 #: Prefix shingles of a fragment, and the level (half powers of two of the mean sketch count) from which a shingle's list is dealt by class.
@@ -168,24 +170,23 @@ def described(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
 
 
 def levels_of(sketch: DataFrame) -> np.ndarray:
-    """The level of each bucket; the sketch has 2 ** SKETCH_BITS counts at most. Sums are taken in two steps."""
+    """The level of each bucket; the sketch has 2 ** SKETCH_BITS counts at most. Blocks of many tasks are summed in two steps."""
+    width = (1 << SKETCH_BITS) // BLOCKS
 
     def add(found: pa.Table) -> pa.Table:
-        rows = found.column("counts").to_pylist()
-        wide = np.uint8 if len(rows[0]) == (1 << SKETCH_BITS) // BLOCKS else np.int64
-        total = np.zeros((1 << SKETCH_BITS) // BLOCKS, np.int64)
-        for r in rows:
-            total += np.frombuffer(r, wide)
-        return pa.table([found.column("block").slice(0, 1).cast(pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "counts"])
-
-    dealt = sketch.withColumn("part", F.pmod(F.xxhash64("counts"), F.lit(32)))
-    once = dealt.groupBy("block", "part").applyInArrow(add, "block int, counts binary")
-    counts = np.zeros(1 << SKETCH_BITS, np.int64)
-    width = (1 << SKETCH_BITS) // BLOCKS
-    for block, total in once.groupBy("block").applyInArrow(add, "block int, counts binary").collect():
-        counts[block * width : (block + 1) * width] = np.frombuffer(total, np.int64)
-    mean = max(counts.mean(), 1.0)
-    return np.floor(2 * np.log2(np.maximum(counts / mean, 1))).astype(np.uint8)
+        total = np.zeros(width, np.uint32)
+        for r in found.column("counts").to_pylist():
+            total += np.frombuffer(r, np.uint8 if len(r) == width else np.uint32)
+        return pa.table([found.column("block").slice(0, 1), pa.array([total.tobytes()], pa.binary())], ["block", "counts"])
+
+    schema = "block int, counts binary"
+    parts = -(-sketch.count() // (BLOCKS * TASKS_AT_ONCE))
+    if parts > 1:
+        sketch = sketch.withColumn("part", F.pmod(F.xxhash64("counts"), F.lit(parts))).groupBy("block", "part").applyInArrow(add, schema)
+    counts = np.zeros(1 << SKETCH_BITS)
+    for block, total in sketch.groupBy("block").applyInArrow(add, schema).collect():
+        counts[block * width : (block + 1) * width] = np.frombuffer(total, np.uint32)
+    return np.floor(2 * np.log2(np.maximum(counts / max(counts.mean(), 1.0), 1))).astype(np.uint8)
 
 
 def overlaps(docs: DataFrame, levels: np.ndarray, total: int, words: int, num: int, den: int) -> DataFrame:

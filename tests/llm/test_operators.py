@@ -256,6 +256,7 @@ def test_components_of_near_copies(spark, monkeypatch, short_list):
 def test_components_of_hot_shingles(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "DEALT_LEVEL", 1)
     monkeypatch.setattr(ngram_join, "FRAGMENT_TOKENS", 500)
+    monkeypatch.setattr(ngram_join, "TASKS_AT_ONCE", 1)
     rows = near_copies(40)
     found = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"))
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()) == brute_components(rows)
