@@ -41,7 +41,9 @@ TASKS_AT_ONCE = 256
 #: Lists up to this length give their pairs in the fragment, longer ones stay relations.
 SHORT_LIST = 24
 #: Prefix shingles of a fragment, and the level (half powers of two of the mean sketch count) from which a shingle's list is dealt by class.
-FRAGMENT_TOKENS, DEALT_LEVEL = 1_500_000, 16
+FRAGMENT_TOKENS, DEALT_LEVEL = 500_000, 16
+#: Pairs of places that a fragment looks at together.
+PAIRS_AT_ONCE = 1_000_000
 FILTER_BITS = 24
 #: Rounds end when a row of a long list has so many partners in other components on average, or when they no longer get fewer.
 FEW_PARTNERS = 256
@@ -239,24 +241,28 @@ def overlaps(docs: DataFrame, levels: np.ndarray, total: int, words: int, num: i
         sizes = np.diff(np.r_[starts, len(t)])
         long = sizes > SHORT_LIST if found.column(0)[0].as_py() < parts else sizes > 0
         listed = np.repeat(long, sizes)
-        lefts, rights = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        tables = []
         for m in np.unique(sizes[~long & (sizes > 1)]):
             i, j = np.triu_indices(m, 1)
-            base = starts[(sizes == m) & ~long][:, None]
-            left, right = (base + i).ravel(), (base + j).ravel()
-            alike = den * np.minimum(s[left], s[right]) >= num * np.maximum(s[left], s[right])
-            lefts.append(left[alike])
-            rights.append(right[alike])
-        left, right = np.concatenate(lefts), np.concatenate(rights)
-        ids, where = np.unique(c, return_inverse=True)
-        _, first, inverse, shared = np.unique(where[left] * np.int64(len(ids)) + where[right], return_index=True, return_inverse=True, return_counts=True)
+            base = starts[(sizes == m) & ~long]
+            for at in np.array_split(base, -(-len(base) * len(i) // PAIRS_AT_ONCE)):
+                tables.append(met((at[:, None] + i).ravel(), (at[:, None] + j).ravel(), c, s, p))
+        none = pa.nulls(int(listed.sum()), pa.int64())
+        tables.append(pa.table([pa.array(t[listed].astype(np.int64)), pa.array(c[listed]), none, pa.array(s[listed]), none, none, pa.array(p[listed])], names))
+        return pa.concat_tables(tables)
+
+    def met(left: np.ndarray, right: np.ndarray, c: np.ndarray, s: np.ndarray, p: np.ndarray) -> pa.Table:
+        """A row for each pair of classes among the pairs of places, with the number of shingles that they share here."""
+        alike = den * np.minimum(s[left], s[right]) >= num * np.maximum(s[left], s[right])
+        left, right = left[alike], right[alike]
         early = np.minimum(s[left] - p[left], s[right] - p[right]) >= needed(s[left] + s[right], num, num + den)
-        early = np.bincount(inverse, weights=early, minlength=len(first)) > 0
+        order = np.lexsort((c[right], c[left]))
+        left, right, early = left[order], right[order], early[order]
+        first = np.flatnonzero(np.r_[True, (c[left[1:]] != c[left[:-1]]) | (c[right[1:]] != c[right[:-1]])]) if len(left) else np.empty(0, np.int64)
+        shared = np.diff(np.r_[first, len(left)])
+        early = np.maximum.reduceat(early, first) if len(first) else early
         left, right = left[first], right[first]
-        pairs = [pa.nulls(len(left), pa.int64()), *(pa.array(x) for x in (c[left], c[right], s[left], s[right], shared.astype(np.int64), early.astype(np.int64)))]
-        none = pa.nulls(int(listed.sum()), pa.int64())
-        rest = [pa.array(t[listed].astype(np.int64)), pa.array(c[listed]), none, pa.array(s[listed]), none, none, pa.array(p[listed])]
-        return pa.concat_tables([pa.table(pairs, names), pa.table(rest, names)])
+        return pa.table([pa.nulls(len(left), pa.int64()), *(pa.array(x) for x in (c[left], c[right], s[left], s[right], shared, early.astype(np.int64)))], names)
 
     dealt = docs.mapInArrow(deal, "fragment int, tokens binary, classes binary, sizes binary, places binary")
     return materialize(dealt.groupBy("fragment").applyInArrow(count, ", ".join(f"{n} long" for n in names)), "partial-overlaps")
