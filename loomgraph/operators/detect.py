@@ -37,17 +37,30 @@ def pass_through_tables(writes: DataFrame, reads: DataFrame, lineage: DataFrame,
     return one(writes, "producer").join(one(reads, "consumer"), "tbl").where("producer <> consumer").join(wide, "tbl")
 
 
+def similar_sets(lineage: DataFrame, num: int = 85, den: int = 100) -> tuple[DataFrame, DataFrame]:
+    """Column sets of each target (tgt_table, columns, job), and the similar ones among the distinct sets (columns_a, columns_b, shared).
+
+    Jobs with equal sets are one class, so the comparison grows with the distinct sets, not with the jobs; sets are joined by
+    a shared column and compared both ways, each with itself too.
+    """
+    members = lineage.groupBy("tgt_table", "job").agg(F.array_sort(F.collect_set("tgt_col")).alias("columns"))
+    classes = members.select("tgt_table", "columns").distinct()
+    one = classes.select("tgt_table", F.col("columns").alias("columns_a"), F.explode("columns").alias("column"))
+    two = classes.select("tgt_table", F.col("columns").alias("columns_b"), F.explode("columns").alias("column"))
+    shared = one.join(two, ["tgt_table", "column"]).groupBy("tgt_table", "columns_a", "columns_b").agg(F.count(F.lit(1)).alias("shared"))
+    alike = den * F.col("shared") >= num * (F.size("columns_a") + F.size("columns_b") - F.col("shared"))
+    return members, shared.where(alike)
+
+
 def similar_jobs(lineage: DataFrame, num: int = 85, den: int = 100) -> DataFrame:
     """Pairs of jobs whose sets of columns of one target have a Jaccard similarity of num/den or more.
 
-    Columns are joined by equality inside their target, so only jobs that share a column meet; sets and overlaps are counts.
+    The result has every pair; where groups are large, use ``similar_sets``.
     """
-    columns = lineage.select("tgt_table", "job", "tgt_col").distinct()
-    sizes = columns.groupBy("tgt_table", "job").agg(F.count(F.lit(1)).alias("n"))
-    a, b = columns.withColumnRenamed("job", "job_a"), columns.withColumnRenamed("job", "job_b")
-    shared = a.join(b, ["tgt_table", "tgt_col"]).where("job_a < job_b").groupBy("tgt_table", "job_a", "job_b").agg(F.count(F.lit(1)).alias("shared"))
-    both = shared.join(sizes.toDF("tgt_table", "job_a", "n_a"), ["tgt_table", "job_a"]).join(sizes.toDF("tgt_table", "job_b", "n_b"), ["tgt_table", "job_b"])
-    return both.where(den * F.col("shared") >= num * (F.col("n_a") + F.col("n_b") - F.col("shared"))).select("tgt_table", "job_a", "job_b", "shared")
+    members, pairs = similar_sets(lineage, num, den)
+    a, b = (members.select("tgt_table", F.col("columns").alias(f"columns_{k}"), F.col("job").alias(f"job_{k}")) for k in "ab")
+    both = pairs.join(a, ["tgt_table", "columns_a"]).join(b, ["tgt_table", "columns_b"])
+    return both.where("job_a < job_b").select("tgt_table", "job_a", "job_b", "shared")
 
 
 def similar_clusters(lineage: DataFrame, threshold: float = 0.85) -> DataFrame:

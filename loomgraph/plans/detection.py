@@ -47,6 +47,19 @@ def f04(fx):
     return detect.similar_jobs(fx["fx_lineage"])
 
 
+@query("f04_similar_sets", """
+WITH m AS (SELECT tgt_table, job, string_agg(DISTINCT tgt_col, ',' ORDER BY tgt_col) AS columns FROM fx_lineage GROUP BY tgt_table, job), c AS (SELECT tgt_table, columns, count(*) AS n_jobs FROM m GROUP BY tgt_table, columns),
+e AS (SELECT tgt_table, columns, unnest(string_split(columns, ',')) AS col FROM c), s AS (SELECT a.tgt_table, a.columns AS columns_a, b.columns AS columns_b, count(*) AS shared FROM e a JOIN e b ON a.tgt_table = b.tgt_table AND a.col = b.col GROUP BY ALL)
+SELECT s.tgt_table, columns_a, columns_b, shared, c.n_jobs FROM s JOIN c ON c.tgt_table = s.tgt_table AND c.columns = columns_a WHERE 100 * shared >= 85 * (len(string_split(columns_a, ',')) + len(string_split(columns_b, ',')) - shared)
+""")
+def f04_sets(fx):
+    """Similar column sets with their numbers of jobs."""
+    members, pairs = detect.similar_sets(fx["fx_lineage"])
+    sizes = members.groupBy("tgt_table", F.col("columns").alias("columns_a")).agg(F.count(F.lit(1)).alias("n_jobs"))
+    text = lambda c: F.array_join(c, ",").alias(c)
+    return pairs.join(sizes, ["tgt_table", "columns_a"]).select("tgt_table", text("columns_a"), text("columns_b"), "shared", "n_jobs")
+
+
 @query("f04_similar_clusters")
 def f04_clusters(fx):
     return detect.similar_clusters(fx["fx_lineage"])
