@@ -1,10 +1,13 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on the labelled rows that are not held out: one of words of ordinary texts, one
-that also holds the words that set toxic texts apart. A text is cut into windows of words, each word written as a fixed
-code so that only whole words match; a window that compresses shorter under the toxic dictionary than under the
-ordinary one is close to the toxic texts. The largest and the summed difference of a text give its score through a
-logistic calibration with the label's share in all training labels.
+Two zstandard dictionaries are made of the labelled rows that are not held out: one of all words of the toxic sample, one
+of all words of the ordinary sample. Each word is written as a fixed code so that only whole words match, or as the
+code of one of its stems where that tells the samples apart better; a dictionary holds the longer a part of a code the
+more texts of its sample have the word, so a match saves bytes by how common the word is there. A text is cut into
+windows of words; a window that compresses shorter under the toxic dictionary than under the ordinary one is close to the
+toxic texts. The largest and the summed difference of a text give its score through a logistic calibration with the
+label's share in all training labels. For the calibration, each half of the training rows is compared with dictionaries
+of the other half, as a text's own words would favour its own label.
 
 Training uses at most ``sample_rows`` labelled rows of each label, chosen by a hash of doc_id (a documented bound);
 labels, lang, source and doc_id are no inputs of a score.
@@ -19,7 +22,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,20 +32,21 @@ from pyspark.sql import functions as F
 from ._common import materialize, table, texts
 
 SAMPLE_ROWS, WINDOW_WORDS, SEED = 4000, 16, 7
-MARKS, COMMON = 48, 256
 #: Lengths of the stems that may stand for all words that begin so.
 STEMS = (4, 5, 6)
-#: Bytes a word is written as: enough that one match shortens a window by more than a block's overhead.
-CODE = 24
+#: Bytes a word is written as, and bytes a dictionary holds of a word of no text: about the shortest match there is.
+CODE, LEAST = 24, 6
 FIND = re.compile(r"\w+").findall
 
 
 @dataclass
 class Model:
-    marks: list[str] = field(default_factory=list)
-    common: list[str] = field(default_factory=list)
+    toxic: bytes = b""
+    ordinary: bytes = b""
+    #: All words and stems of both samples, with how far they tell the samples apart.
+    units: dict[str, float] | None = None
     prior: float = 0.0
-    weights: tuple[float, ...] = (0.0, 0.0, 0.0)
+    weights: tuple[float, ...] | None = None
     window_words: int = WINDOW_WORDS
 
 
@@ -50,28 +54,37 @@ def code(word: str) -> bytes:
     return hashlib.blake2b(word.encode(), digest_size=CODE).digest()
 
 
+#: Ends each window and both dictionaries, so that a block is never stored as it is and single matches count.
+END = code("\0end") + code("\0end of a window")
+
+
+def dictionary(words: list[str], codes: list[bytes], counts: np.ndarray, n_texts: int) -> bytes:
+    """All words with a count, the most frequent last; the logarithm of the count decides how much of a code is held."""
+    held = np.minimum(CODE, np.rint(LEAST + (CODE - LEAST) * np.log2(1.0 + counts) / np.log2(1.0 + max(1, n_texts)))).astype(int)
+    return b"".join(codes[i][: held[i]] for i in sorted(np.flatnonzero(counts), key=lambda i: (counts[i], words[i]))) + END
+
+
 class Distance:
     """Differences of window lengths under the two dictionaries."""
 
     def __init__(self, model: Model):
         import zstandard as zs
 
-        self.size, self.known = model.window_words, {}
-        self.stems = {m[:-1] for m in model.marks if m.endswith("*")}
-        common = b"".join(map(code, model.common))
-        filler = b"".join(code(f"\0{i}") for i in range(len(model.marks)))  # both dictionaries have one length
+        self.size, self.units, self.known = model.window_words, model.units or {}, {}
 
-        def compressor(words: bytes):
-            own = zs.ZstdCompressionDict(words + common, dict_type=zs.DICT_TYPE_RAWCONTENT)
-            own.precompute_compress(level=3)
-            return zs.ZstdCompressor(level=3, dict_data=own, write_content_size=False, write_checksum=False, write_dict_id=False).compress
+        def compressor(content: bytes):
+            log = max(17, len(content).bit_length() + 1)  # tables with room for every place of the dictionary
+            params = zs.ZstdCompressionParameters.from_level(3, window_log=max(19, len(content).bit_length()), hash_log=log, chain_log=log, write_content_size=False, write_checksum=False, write_dict_id=False)
+            own = zs.ZstdCompressionDict(content, dict_type=zs.DICT_TYPE_RAWCONTENT)
+            own.precompute_compress(compression_params=params)
+            return zs.ZstdCompressor(compression_params=params, dict_data=own).compress
 
-        self.toxic = compressor(b"".join(map(code, model.marks)))
-        self.ordinary = compressor(filler)
+        self.toxic, self.ordinary = compressor(model.toxic), compressor(model.ordinary)
 
     def code(self, word: str) -> bytes:
-        """The code of the word, or of the marked stem that it begins with."""
-        return code(next((f"{word[:n]}*" for n in STEMS if word[:n] in self.stems and len(word) >= n), word))
+        """The code of the word or of a stem of it: of those that a sample has, the one that tells the samples apart best."""
+        there = [u for u in (word, *(f"{word[:n]}*" for n in STEMS if len(word) >= n)) if u in self.units]
+        return code(max(there, key=self.units.__getitem__, default=word))
 
     def features(self, text: str) -> tuple[float, float]:
         """The largest and the summed positive difference in bytes over all windows of the text."""
@@ -88,7 +101,7 @@ class Distance:
         step = self.size * CODE
         most = total = 0
         for at in range(0, len(codes), step):
-            window = codes[at : at + step]
+            window = codes[at : at + step] + END
             if (d := len(self.ordinary(window)) - len(self.toxic(window))) > 0:
                 most, total = max(most, d), total + d
         return float(most), float(total)
@@ -112,6 +125,12 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-2) -
     return b
 
 
+def apart(toxic: np.ndarray, ordinary: np.ndarray, n_toxic: int, n_ordinary: int) -> np.ndarray:
+    """How many standard errors the shares of toxic and of ordinary texts that have a word differ by."""
+    a, b = (toxic + 0.5) / (n_toxic + 1), (ordinary + 0.5) / (n_ordinary + 1)
+    return np.abs(a - b) / np.sqrt(a * (1 - a) / (n_toxic + 1) + b * (1 - b) / (n_ordinary + 1))
+
+
 def held_out() -> F.Column:
     return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
 
@@ -121,25 +140,6 @@ def parts_of(words: set[str]) -> set[str]:
     return words | {f"{w[:n]}*" for w in words for n in STEMS if len(w) >= n}
 
 
-def choose_marks(by_mark: dict[str, set[int]], n_toxic: int, most: int = MARKS) -> list[str]:
-    """Words and stems by their number of toxic texts; one whose texts are nearly all explained already adds nothing.
-
-    This also leaves out the many rare words that copies of one text share.
-    """
-    least = max(3, 0.01 * n_toxic)
-    chosen: list[str] = []
-    explained: set[int] = set()
-    for mark in sorted(by_mark, key=lambda w: (-len(by_mark[w]), len(w), w)):
-        docs = by_mark[mark]
-        if len(docs) < least or len(chosen) == most:
-            break
-        nested = any(mark.startswith(c[:-1]) for c in chosen if c[-1] == "*")
-        if not nested and not any(5 * len(docs & by_mark[c]) >= 4 * len(docs) for c in chosen) and (len(docs - explained) >= least / 2 or len(docs) >= 0.1 * n_toxic):
-            chosen.append(mark)
-            explained |= docs
-    return chosen
-
-
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, window_words: int = WINDOW_WORDS) -> Model:
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out())
@@ -150,24 +150,34 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, wind
         return model
     order = [F.xxhash64(F.lit(SEED), "doc_id"), F.col("doc_id")]
     sample = known.where("toxic = 1").orderBy(*order).limit(sample_rows).unionByName(known.where("toxic = 0").orderBy(*order).limit(sample_rows))
-    sampled = materialize(docs.join(F.broadcast(sample), "doc_id").select("toxic", "text"), "toxicity-sample")  # 2 * sample_rows keys at most
+    sampled = materialize(docs.join(F.broadcast(sample), "doc_id").select("toxic", "text", F.xxhash64("text").alias("key"), F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("half")), "toxicity-sample")  # 2 * sample_rows keys at most
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(t, int.from_bytes(code(x)[:7], "big"), w) for t, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for w in parts_of(set(FIND(x.lower())))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())], names=["toxic", "key", "word"])
-
-    seen = materialize(sampled.mapInArrow(words, "toxic int, key long, word string").distinct(), "toxicity-words")
-    stats = seen.groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("o"))
-    score = F.col("t") / (1 + 20 * F.col("o"))
-    best = stats.where("length(word) >= 3 and t >= 3 and t >= 8 * o").orderBy(score.desc(), "word").limit(400)
-    common = stats.where("o > 0 and word not like '%*'").orderBy(F.desc("o"), "word").limit(COMMON)
-    by_word: dict[str, set[int]] = {}
-    for r in seen.where("toxic = 1").join(F.broadcast(best.select("word")), "word").select("word", "key").collect():
-        by_word.setdefault(r["word"], set()).add(r["key"])  # at most 400 words of sample_rows texts
-    model.marks = choose_marks(by_word, min(sample_rows, counts[1]))
-    model.common = [r["word"] for r in common.select("word").collect()]
-    rows = featured(sampled.withColumn("doc_id", F.col("toxic").cast("long")).select("doc_id", "text"), model).toPandas()
+            for toxic, text, key, half in zip(*(c.to_pylist() for c in batch.columns)):
+                found = sorted(parts_of(set(FIND(text.lower()))))
+                n = len(found)
+                yield pa.RecordBatch.from_arrays([pa.array([toxic] * n, pa.int32()), pa.array([key] * n, pa.int64()), pa.array([half] * n, pa.int32()), pa.array(found, pa.string())], names=["toxic", "key", "half", "word"])
+
+    groups = [(t, h) for t in (1, 0) for h in (0, 1)]
+    sizes = {(r["toxic"], r["half"]): r["n"] for r in sampled.groupBy("toxic", "half").agg(F.count_distinct("key").alias("n")).collect()}
+    if len({t for t, _ in sizes}) < 2:
+        return model
+    distinct = sampled.dropDuplicates(["toxic", "key"])  # copies of a text count once
+    counted = [F.count(F.when((F.col("toxic") == t) & (F.col("half") == h), 1)).alias(f"n{t}{h}") for t, h in groups]
+    seen = distinct.mapInArrow(words, "toxic int, key long, half int, word string").groupBy("word").agg(*counted).toArrow()  # the words of 2 * sample_rows texts at most
+    names = seen["word"].to_pylist()
+    codes, having = [code(w) for w in names], {(t, h): seen[f"n{t}{h}"].to_numpy() for t, h in groups}
+
+    def trained(*halves: int) -> Model:
+        (toxic, n_toxic), (ordinary, n_ordinary) = [(sum(having[t, h] for h in halves), sum(sizes.get((t, h), 0) for h in halves)) for t in (1, 0)]
+        weights = apart(toxic, ordinary, n_toxic, n_ordinary)
+        units = {names[i]: float(weights[i]) for i in np.flatnonzero(toxic + ordinary)}
+        return Model(dictionary(names, codes, toxic, n_toxic), dictionary(names, codes, ordinary, n_ordinary), units, prior, window_words=window_words)
+
+    model = trained(0, 1)
+    parts = [featured(sampled.where(F.col("half") == h).select(F.col("toxic").cast("long").alias("doc_id"), "text"), trained(1 - h)) for h in (0, 1)]
+    rows = parts[0].unionByName(parts[1]).toPandas()
     y = rows["doc_id"].to_numpy().astype(float)
     share = y.mean()
     w = np.where(y == 1, prior / max(share, 1e-9), (1 - prior) / max(1 - share, 1e-9))
@@ -190,7 +200,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
     docs = texts(docs)
     model = fit(docs, labels, sample_rows, window_words)
     rows = featured(docs, model)
-    if model.marks:
+    if model.weights:
         a, b, c = model.weights
         z = F.lit(a) + F.least(F.col("most"), F.lit(24.0)) / 8 * b + F.log1p("total") * c
         score = 1 / (1 + F.exp(-z))

@@ -353,6 +353,17 @@ def test_toxicity_never_sees_held_out_labels(spark, docs, labels):
     assert a == b
 
 
+def test_toxicity_of_many_words(spark):
+    """Each of 150 words in two toxic texts counts, and words of ordinary texts count against them."""
+    rows = [(i, 1, f"plain{i % 7} bad{i % 150} some other text") for i in range(400)] + [(1000 + i, 0, f"plain{i % 7} good{i % 150} some other text") for i in range(400)]
+    docs = spark.createDataFrame([(i, t) for i, _, t in rows] + [(5000 + i, f"bad{i}") for i in range(150)] + [(6000, "bad1 good1"), (6001, "plain1 some text")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, toxic int")
+    known = {f"bad{i % 150}" for i, t, _ in rows if t and zlib.crc32(str(i).encode()) % 5}
+    found = {r.doc_id: r for r in toxicity.toxicity(docs, labels).collect()}
+    assert len(known) > 140 and all(found[5000 + i].max_gain > 0 for i in range(150) if f"bad{i}" in known)
+    assert found[6000].max_gain < found[5001].max_gain and found[6001].max_gain == 0
+
+
 def test_toxicity_of_awkward_rows(awkward, nothing, labels):
     assert toxicity.toxicity(awkward, labels).count() == awkward.count()
     assert all(r.score == 0 for r in toxicity.toxicity(awkward, labels.limit(0)).collect())
