@@ -3,7 +3,10 @@
 A seed is the hash of the words that a fixed mask selects from a stretch of words; positions of the mask that hold 0 are
 ignored, so a substituted word there does not break the seed. Seeds of the benchmark and of the documents are joined.
 Each hit gives an alignment of a document and an item, and the words around the hit, compared place by place, must agree
-in ``share`` of all places and in ``least`` places at least (or in all words of a shorter item).
+in ``share`` of all places and in ``least`` places at least (or in all words of a shorter item). Where the window around no
+hit does, a stretch of it is enough that begins and ends with agreeing words, agrees in ``share`` of its places and in
+``STRETCH`` places at least: a part of an item, an item cut off by the document's end, or the parts beside an insertion.
+A longer stretch always holds one of fewer than 2 * STRETCH agreeing words, so the words ``FURTHER`` around a hit suffice.
 
 Words are runs of letters and digits in lower case. Items of fewer words than a mask are looked up as a whole, if they
 have ``SHORTEST`` words at least; yet shorter items say too little and match nothing.
@@ -21,6 +24,8 @@ from ._common import table, texts
 
 MASKS = ("110101101011", "101110011101", "111010010111")
 SHORTEST, AROUND, SHARE_PERCENT, LEAST = 5, 20, 70, 10
+#: Agreeing words of a stretch, and words beyond ``AROUND`` that it may reach from a hit: 25 agreeing words of 35, 12 in the hit.
+STRETCH, FURTHER = 13, 4
 #: Up to so many benchmark words the benchmark's seeds are broadcast; a larger benchmark is joined by a shuffle.
 BROADCAST_WORDS = 150_000
 
@@ -60,7 +65,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] =
         found = found.unionByName(own.select("item_id", "words", F.lit(0).alias("pos"), F.xxhash64(F.lit(100 + len(mask)), *[F.col("words")[i] for i in range(len(mask))]).alias("seed")))
     # An item's place with the words around it, from a to b; a hit compares these with the document's, place by place.
     found = found.withColumn("a", F.greatest(F.lit(0), F.col("pos") - around)).withColumn("b", F.least(F.size("words"), F.col("pos") + span + around))
-    found = found.select("seed", "item_id", "pos", "a", "b", F.expr("slice(words, a + 1, b - a)").alias("item_words")).withColumnRenamed("pos", "item_pos")
+    found = found.withColumn("c", F.greatest(F.lit(0), F.col("a") - FURTHER)).withColumn("d", F.least(F.size("words"), F.col("b") + FURTHER))
+    found = found.select("seed", "item_id", "pos", "a", "b", "c", "d", F.expr("slice(words, c + 1, d - c)").alias("item_words")).withColumnRenamed("pos", "item_pos")
 
     own = texts(docs).select("doc_id", words_of(F.col("text")).alias("words"))
     places = seeds(own, list(masks), "doc_id")
@@ -68,28 +74,35 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] =
         one = own.where(F.size("words") >= n).select("doc_id", "words", F.explode(F.expr(f"sequence(0, size(words) - {n})")).alias("pos"))
         places = places.unionByName(one.select("doc_id", "words", "pos", F.xxhash64(F.lit(100 + n), *[F.col("words")[F.col("pos") + i] for i in range(n)]).alias("seed")))
 
-    key = ["doc_id", "item_id", "diagonal", "a", "b"]
+    key = ["doc_id", "item_id", "diagonal", "a", "b", "c", "d"]
     diagonal = (F.col("pos") - F.col("item_pos")).alias("diagonal")
-    beside = F.expr("slice(words, greatest(0, diagonal + a) + 1, diagonal + b - greatest(0, diagonal + a))").alias("doc_words")
+    beside = F.expr("slice(words, greatest(0, diagonal + c) + 1, greatest(0, diagonal + d - greatest(0, diagonal + c)))").alias("doc_words")
     if sum(r["words"] for r in sizes) <= broadcast_words:
-        hits = places.join(F.broadcast(found), "seed").select("doc_id", "item_id", diagonal, "a", "b", "words", "item_words")  # its size was counted above
+        hits = places.join(F.broadcast(found), "seed").select("doc_id", "item_id", diagonal, "a", "b", "c", "d", "words", "item_words")  # its size was counted above
         hits = hits.select(*key, beside, "item_words")
     else:
         # Only (doc_id, pos, seed) is dealt out; the words of documents with hits are fetched afterwards.
-        keys = places.select("doc_id", "pos", "seed").join(found, "seed").select("doc_id", "item_id", diagonal, "a", "b", "item_words")
+        keys = places.select("doc_id", "pos", "seed").join(found, "seed").select("doc_id", "item_id", diagonal, "a", "b", "c", "d", "item_words")
         keys = keys.groupBy(*key).agg(F.first("item_words").alias("item_words"))
         text = own.withColumnRenamed("doc_id", "own_id")
         hits = keys.join(text, keys["doc_id"].eqNullSafe(text["own_id"])).select(*key, beside, "item_words")
     # One comparison for all masks that hit the same place. The aggregate also keeps the comparison out of the join.
     hits = hits.groupBy(*key).agg(F.first("doc_words").alias("doc_words"), F.first("item_words").alias("item_words"))
-    before = F.greatest(F.lit(0), -(F.col("diagonal") + F.col("a")))  # compared places before the document's first word
-    same = F.transform("item_words", lambda w, i: F.when(i >= before, F.get("doc_words", i - before) == w))
-    judged = hits.select(
-        "doc_id", "item_id", (F.col("diagonal") + F.col("a")).cast("long").alias("doc_word"),
-        F.size(F.filter(same, lambda x: x)).cast("long").alias("matched"), (F.col("b") - F.col("a")).cast("long").alias("compared"),
+    before = F.greatest(F.lit(0), -(F.col("diagonal") + F.col("c")))  # compared places before the document's first word
+    same = F.transform("item_words", lambda w, i: F.when((i >= before) & (F.get("doc_words", i - before) == w), F.col("c") + i))
+    hits = hits.select("doc_id", "item_id", "diagonal", "a", "b", F.filter(same, lambda x: x.isNotNull()).alias("at"))
+    # All stretches of n agreeing words in their share, as (agreeing, -compared, -first place).
+    stretches = F.expr(f"""flatten(transform(sequence({STRETCH}, size(at)), n -> filter(transform(sequence(0, size(at) - n),
+        i -> named_struct('n', n, 'size', at[i + n - 1] - at[i] + 1, 'first', at[i])), x -> 100 * n >= {share_percent} * x.size)))""")
+    longest = F.array_max(F.transform(stretches, lambda x: F.struct(x["n"].alias("n"), (-x["size"]).alias("size"), (-x["first"]).alias("first"))))
+    inside, compared = F.size(F.filter("at", lambda x: (x >= F.col("a")) & (x < F.col("b")))), F.col("b") - F.col("a")
+    passes = (100 * inside >= share_percent * compared) & (inside >= F.least(compared, F.lit(least)))
+    hits = hits.select("doc_id", "item_id", "diagonal", "a", compared.alias("compared"), inside.alias("inside"), passes.alias("whole"), F.when(~passes & (F.size("at") >= STRETCH), longest).alias("part"))
+    judged = hits.where("whole or part is not null").select(
+        "doc_id", "item_id", "whole", (F.col("diagonal") + F.when(F.col("whole"), F.col("a")).otherwise(-F.col("part.first"))).cast("long").alias("doc_word"),
+        F.when(F.col("whole"), F.col("inside")).otherwise(F.col("part.n")).cast("long").alias("matched"), F.when(F.col("whole"), F.col("compared")).otherwise(-F.col("part.size")).cast("long").alias("compared"),
     )
-    judged = judged.where((100 * F.col("matched") >= share_percent * F.col("compared")) & (F.col("matched") >= F.least(F.col("compared"), F.lit(least))))
-    best = F.max(F.struct("matched", "compared", (-F.col("doc_word")).alias("back")))
+    best = F.max(F.struct("whole", "matched", "compared", (-F.col("doc_word")).alias("back")))
     return judged.groupBy("doc_id", "item_id").agg(best.alias("best")).select("doc_id", "item_id", "best.matched", "best.compared", (-F.col("best.back")).alias("doc_word"))
 
 

@@ -51,6 +51,20 @@ def test_decontamination_finds_substituted_passages(spark):
     assert [(r.doc_id, r.item_id) for r in decontaminate.contaminated(short, bench).collect()] == [(1, 8)]
 
 
+def test_decontamination_finds_parts_of_items(spark):
+    """Passages of a long item, first words, an item that the document's end cuts off, and one with an inserted word."""
+    long, middle, forty = ([f"{c}{i}" for i in range(n)] for c, n in (("l", 100), ("m", 59), ("f", 40)))
+    filler = [f"fill{i}" for i in range(60)]
+    parts = [long[30:66], middle[15:45], forty[:22], [*forty[:20], "new", *forty[20:]], [w for i, w in enumerate(long[40:65]) if i != 12], forty[:12]]
+    rows = [(i, " ".join(filler + p + filler)) for i, p in enumerate(parts)] + [(10, " ".join(filler + middle[:25]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(middle)), (3, " ".join(forty))], "item_id long, text string")
+    for broadcast_words in (150_000, 0):
+        found = {(r.doc_id, r.item_id): (r.matched, r.compared, r.doc_word) for r in decontaminate.contaminated(docs, bench, broadcast_words=broadcast_words).collect()}
+        assert set(found) == {(0, 1), (1, 2), (2, 3), (3, 3), (10, 2)}
+        assert found[(1, 2)] == (30, 30, 60) and found[(2, 3)] == (22, 22, 60)
+
+
 def test_decontamination_of_awkward_rows(awkward, nothing, spark):
     bench = spark.createDataFrame([(1, " ".join(f"alpha{i}" for i in range(20, 60))), (2, None), (3, "")], "item_id long, text string")
     found = decontaminate.contaminated(awkward, bench)
