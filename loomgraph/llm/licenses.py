@@ -50,7 +50,8 @@ OPENNESS = {
 }
 #: A-Z to a-z, other ASCII but letters and digits to a space; all other bytes stay.
 TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
-TAG_TEXT = re.compile(r"spdx-license-identifier\s*:\s*([^\r\n]{1,400})", re.I)
+#: The rest of the line, or what stands before the next tag on it.
+TAG_TEXT = re.compile(r"spdx-license-identifier\s*:\s*((?:(?!spdx-license-identifier\s*:)[^\r\n])+)", re.I)
 TERM = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+-]*")
 RANK = {"or": 1, "and": 2, "with": 3}
 

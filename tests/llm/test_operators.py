@@ -216,6 +216,15 @@ def test_shunting_yard():
     assert licenses.evaluate(licenses.postfix("MIT and GPL-2.0"))[0] == 0.3
 
 
+def test_license_of_long_expressions(spark):
+    names = [f"Apache-{i}.0" for i in range(60)]
+    docs = spark.createDataFrame([(1, f"SPDX-License-Identifier: {' AND '.join([*names, 'GPL-2.0'])}\nMIT")], "doc_id long, text string")
+    row = licenses.license_scan(docs).collect()[0]
+    assert {x for x in row.labels.split(",") if x.startswith("id:")} == {f"id:{n.lower()}" for n in [*names, "GPL-2.0"]} and row.score < 0.5
+    both = licenses.scan("SPDX-License-Identifier: MIT " + "word " * 200 + "SPDX-License-Identifier: ISC")
+    assert {"id:mit", "id:isc"} <= set(both[5].split(","))
+
+
 def test_license_of_nothing(nothing):
     assert licenses.license_scan(nothing).count() == 0
 
