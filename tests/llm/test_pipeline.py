@@ -6,7 +6,7 @@ import re
 
 import corpus_pipeline
 import pytest
-from test_operators import brute_components, check_packing, rows_of
+from test_llm_operators import brute_components, check_packing, rows_of
 
 from loomgraph.llm._common import materialize
 
