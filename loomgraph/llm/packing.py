@@ -1,7 +1,8 @@
 """Packing documents into token sequences by Karmarkar-Karp multiway differencing.
 
 Tokenisation runs once, in Arrow batches; a document's ids are cut into whole windows of ``capacity`` ids and a
-remainder of pieces of at most ``max_piece`` ids. Pieces (not their ids) are dealt by hash into groups of about
+remainder of pieces of at most ``max_piece`` ids. Whole windows are sequences of their own. The other pieces (not their
+ids) are dealt by a hash of their place in the table of pieces, so evenly whatever they hold, into groups of about
 ``group_pieces``; within a group the differencing method merges partial partitions with opposing imbalances into
 near-equal windows, and the number of windows rises while one of them exceeds the capacity.
 
@@ -28,6 +29,8 @@ from ._common import materialize, table, texts
 CAPACITY, END_ID, MAX_PIECE, GROUP_PIECES = 4096, 2, 1024, 768
 TOKENIZER = "word_bpe_49k.json"
 CACHE_WORDS = 800_000
+#: Sequence ids: groups have room for so many windows each, below the whole windows, whose ids begin at WHOLE.
+GROUP_ROOM, WHOLE = 1 << 20, 1 << 61
 
 #: Texts of these characters alone are split into words here and looked up word by word; others go to the library whole.
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-ÿŒœŠšŸŽž]*")
@@ -168,28 +171,29 @@ def windows(lengths: list[int], capacity: int) -> list[list[int]]:
 
 def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, max_piece: int = MAX_PIECE, group_pieces: int = GROUP_PIECES, end_id: int = END_ID) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    cut = materialize(pieces(docs, tokenizer, capacity, max_piece, end_id), "pieces")
-    groups = max(1, -(-cut.where(F.col("length") < capacity).count() // group_pieces))
+    # The places are those in written files, so a task that runs again numbers its rows as before.
+    cut = materialize(pieces(docs, tokenizer, capacity, max_piece, end_id), "pieces").withColumn("place", F.monotonically_increasing_id())
+    whole = cut.where(F.col("length") == capacity).withColumn("sequence_id", F.lit(WHOLE) + F.col("place")).withColumn("offset", F.lit(0).cast("long"))
+    rest = cut.where(F.col("length") < capacity)
+    groups = max(1, -(-rest.count() // group_pieces))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "start", "ids_crc32"], kind="stable", ignore_index=True)
+        pdf = pdf.sort_values("place", ignore_index=True)
         lengths = pdf["length"].to_numpy()
         sequence, offset = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
-        rest = np.flatnonzero(lengths < capacity)
-        packed = windows([int(x) for x in lengths[rest]], capacity)
-        for w, members in enumerate(packed):
-            own = rest[np.sort(members)]
+        for w, members in enumerate(windows(lengths.tolist(), capacity)):
+            own = np.sort(members)
             sequence[own], offset[own] = w, np.cumsum(lengths[own]) - lengths[own]
-        whole = np.flatnonzero(lengths == capacity)
-        sequence[whole] = len(packed) + np.arange(len(whole))
-        pdf["sequence_id"] = pdf["grp"].astype("int64") * (1 << 24) + sequence
+        pdf["sequence_id"] = pdf["grp"].astype("int64") * GROUP_ROOM + sequence
         pdf["offset"] = offset
-        return pdf.drop(columns="grp")
+        return pdf.drop(columns=["grp", "place"])
 
-    dealt = cut.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", "length"), F.lit(groups)))
-    return dealt.groupBy("grp").applyInPandas(
-        one, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    )
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    return whole.drop("place").unionByName(dealt(rest, groups).groupBy("grp").applyInPandas(one, schema))
+
+
+def dealt(rest: DataFrame, groups: int) -> DataFrame:
+    return rest.withColumn("grp", F.pmod(F.xxhash64("place"), F.lit(groups)))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
