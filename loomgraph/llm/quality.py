@@ -1,15 +1,17 @@
 """Quality by importance resampling of hashed n-gram models with Gumbel top-k.
 
-A text becomes a sequence of token shapes (lower, capital or upper-case word, number, punctuation, repeated word); its
-n-grams of one to three shapes are hashed into ``BUCKETS`` buckets. Two multinomial models are fitted: the target from
-rows labelled as good (at most ``sample_rows``, chosen by a hash of doc_id), the raw one from all documents. A text's
-weight is the mean log ratio of the two over its n-grams. Documents are drawn without replacement by adding Gumbel
-noise to weight / temperature and taking the k largest; k is the number of all documents whose weight reaches the level
-that parts the labelled rows best, or ``keep_share`` of all documents.
+A text becomes two sequences: its words and punctuation in lower case, and their shapes (lower, capital or upper-case
+word, number, punctuation, repeated word). N-grams of one and two words and of one to three shapes are hashed into
+buckets. Two multinomial models of each sequence are fitted: the target from rows labelled as good (at most
+``sample_rows``, chosen by a hash of doc_id), the raw one from all documents. A text's weight is the mean log ratio of the
+two over its n-grams. Documents are drawn without replacement by adding Gumbel noise to weight / temperature and taking
+the k largest; k is the number of all documents whose weight reaches the level that parts the labelled rows best, or
+``keep_share`` of all documents. The noise has a standard deviation of 1.28 * temperature in the weight's own unit, so the
+default moves documents by 0.03 a word: it reorders documents near the level and leaves the others where they are.
 
 Defined results: null and empty texts have weight 0, no n-gram speaks against them; without labels of both kinds all
-documents are kept; ties in the drawn key are parted by doc_id, rows that repeat a doc_id and text stay or go together;
-an empty table gives an empty result; extra columns are ignored.
+documents are kept; rows whose drawn key ties with the k-th largest all stay, so rows that repeat a doc_id and text stay
+or go together; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,11 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialize, table, texts
+from ._common import materialize, slices, table, texts
 
-BUCKETS, SAMPLE_ROWS, TEMPERATURE, SEED = 8192, 20_000, 0.02, 11
+SAMPLE_ROWS, TEMPERATURE, SEED = 20_000, 0.02, 11
+#: Bits of the buckets of word n-grams, which come first, and of shape n-grams.
+WORD_BITS, SHAPE_BITS = 14, 13
+BUCKETS = (1 << WORD_BITS) + (1 << SHAPE_BITS)
 FIND = re.compile(r"\w+|[^\w\s]+").findall
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+KNOWN = 500_000
 
 
 def shape(token: str) -> int:
@@ -46,63 +52,70 @@ def shape(token: str) -> int:
     return 16 + (ord(token[0]) % 100) * 2 + (len(token) > 1)
 
 
-class Shapes:
+def hashed(codes: np.ndarray, longest: int, bits: int) -> np.ndarray:
+    """Buckets of all n-grams of one to ``longest`` codes."""
+    with np.errstate(over="ignore"):
+        grams = [codes * MIX[0]]
+        for n in range(1, longest):
+            if len(codes) > n:
+                grams.append(grams[-1][:-1] * MIX[n] + codes[n:] * MIX[0])
+        keys = np.concatenate(grams)
+        keys ^= keys >> np.uint64(29)
+        keys = (keys * MIX[1]) >> np.uint64(64 - bits)
+    return keys.astype(np.int64)
+
+
+class Grams:
     def __init__(self):
-        self.known: dict[str, int] = {}
+        import xxhash
+
+        self.hash = xxhash.xxh3_64_intdigest
+        self.known: dict[str, tuple[int, int]] = {}
 
-    def counts(self, text: str) -> np.ndarray:
-        """How often each bucket's n-grams stand in the text."""
+    def buckets(self, text: str) -> np.ndarray:
+        """The bucket of each n-gram of the text."""
         tokens, known = FIND(text), self.known
         if not tokens:
-            return np.zeros(BUCKETS)
-        if len(known) > 500_000:
+            return np.empty(0, np.int64)
+        if len(known) > KNOWN:
             known.clear()
-        codes = []
-        before = None
-        for t in tokens:
-            c = known.get(t)
-            if c is None:
-                c = known[t] = shape(t)
-            codes.append(8 if t == before and 3 <= c <= 7 else c)
-            before = t
-        s = np.array(codes, np.uint64) + np.uint64(1)
-        with np.errstate(over="ignore"):
-            grams = [s * MIX[0]]
-            for n in (1, 2):
-                if len(s) > n:
-                    grams.append(grams[-1][:-1] * MIX[n] + s[n:] * MIX[0])
-            keys = np.concatenate(grams)
-            keys ^= keys >> np.uint64(29)
-            keys = (keys * MIX[1]) >> np.uint64(64 - 13)
-        return np.bincount(keys.astype(np.int64), minlength=BUCKETS).astype(float)
+        for t in set(tokens).difference(known):
+            known[t] = self.hash(t.lower()), shape(t) + 1
+        both = [known[t] for t in tokens]
+        words, shapes = np.array([w for w, _ in both], np.uint64), np.array([s for _, s in both], np.uint64)
+        again = np.r_[False, words[1:] == words[:-1]] & (shapes >= 4) & (shapes <= 8)
+        shapes[again] = 9
+        return np.concatenate([hashed(words, 2, WORD_BITS), hashed(shapes, 3, SHAPE_BITS) + (1 << WORD_BITS)])
 
 
 def bucket_counts(docs: DataFrame) -> np.ndarray:
     """Counts of each bucket over all rows; a task sends one row per bucket at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shapes, total = Shapes(), np.zeros(BUCKETS)
-        for batch in batches:
-            for x in batch.column(0).to_pylist():
-                total += shapes.counts(x)
+        grams, total = Grams(), np.zeros(BUCKETS, np.int64)
+        for batch in slices(batches):
+            found = [grams.buckets(x) for x in batch.column(0).to_pylist()]
+            if found:
+                total += np.bincount(np.concatenate(found), minlength=BUCKETS)
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.float64())], names=["bucket", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["bucket", "n"])
 
     out = np.zeros(BUCKETS)
-    for r in docs.select("text").mapInArrow(run, "bucket long, n double").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # BUCKETS rows at most
+    for r in docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # BUCKETS rows at most
         out[r["bucket"]] = r["n"]
     return out
 
 
+def log_shares(counts: np.ndarray) -> np.ndarray:
+    """Smoothed logarithms of the buckets' shares, for words and for shapes apart."""
+    return np.concatenate([np.log((c + 0.5) / (c.sum() + 0.5 * len(c))) for c in np.split(counts, [1 << WORD_BITS])])
+
+
 def weigh(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shapes = Shapes()
-        for batch in batches:
-            found = []
-            for x in batch.column(1).to_pylist():
-                c = shapes.counts(x)
-                n = c.sum()
-                found.append(float(c @ ratio / n) if n else 0.0)
+        grams = Grams()
+        for batch in slices(batches):
+            found = [float(ratio[b].mean()) if len(b := grams.buckets(x)) else 0.0 for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64()), batch.column(2)], names=["doc_id", "log_weight", "key"])
 
     return docs.select("doc_id", "text", F.xxhash64("text").alias("key")).mapInArrow(run, "doc_id long, log_weight double, key long")
@@ -119,27 +132,19 @@ def best_level(weights: np.ndarray, good: np.ndarray) -> float:
     return float((w[at - 1] + w[min(at, len(w) - 1)]) / 2)
 
 
-def kth_largest(keys: DataFrame, k: int, key: str = "gumbel_key") -> tuple[float, int | None]:
-    """(key, doc_id) of the k-th row by key descending and doc_id ascending, by counting in ever narrower bins."""
+def kth_largest(keys: DataFrame, k: int, key: str = "gumbel_key") -> float:
+    """The k-th largest key, by counting in ever narrower bins."""
     low, high = keys.agg(F.min(key), F.max(key)).first()
-    above = 0
-    for _ in range(12):
+    while low < high:
         width = (high - low) / 1024
-        inside = keys.where(F.col(key).between(low, high))
-        if width <= 0:
-            break
         bins = F.least(F.floor((F.col(key) - low) / width), F.lit(1023)).alias("bin")
-        counts = {r["bin"]: (r["n"], r["lo"], r["hi"]) for r in inside.groupBy(bins).agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi")).collect()}
-        for b in sorted(counts, reverse=True):
-            n, lo, hi = counts[b]
-            if above + n >= k:
-                low, high = lo, hi
+        found = keys.where(F.col(key).between(low, high)).groupBy(bins).agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi"))
+        for r in sorted(found.collect(), key=lambda r: -r["bin"]):  # 1024 rows at most
+            if r["n"] >= k:
+                low, high = r["lo"], r["hi"]
                 break
-            above += n
-        if n <= 1000 or lo == hi:
-            break
-    rows = keys.where(F.col(key).between(low, high)).orderBy(F.desc(key), F.asc_nulls_first("doc_id")).limit(max(1, k - above)).agg(F.min(F.struct(F.col(key), -F.coalesce(F.col("doc_id"), F.lit(-(2**62))))).alias("s")).first()["s"]
-    return rows[0], -rows[1]
+            k -= r["n"]
+    return low
 
 
 def importance_resample(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, temperature: float = TEMPERATURE, keep_share: float | None = None, seed: int = SEED) -> DataFrame:
@@ -154,8 +159,7 @@ def importance_resample(docs: DataFrame, labels: DataFrame, sample_rows: int = S
     if kinds != {0, 1}:
         return docs.select("doc_id", F.lit(0.0).alias("log_weight"), F.xxhash64("text").alias("key"), noise.alias("gumbel_key"), F.lit(True).alias("kept"))
     raw, target = bucket_counts(docs), bucket_counts(sampled.where("doc_id = 1"))
-    smooth = lambda c: np.log((c + 0.5) / (c.sum() + 0.5 * BUCKETS))
-    ratio = np.clip(smooth(target) - smooth(raw), -4, 4) * (raw >= 20)  # n-grams of a few places say nothing
+    ratio = np.clip(log_shares(target) - log_shares(raw), -4, 4)
     fitted = weigh(sampled, ratio).toPandas()
     level = best_level(fitted["log_weight"].to_numpy(), fitted["doc_id"].to_numpy().astype(float))
     keys = weigh(docs, ratio).withColumn("gumbel_key", F.col("log_weight") / temperature + noise)
@@ -166,9 +170,7 @@ def importance_resample(docs: DataFrame, labels: DataFrame, sample_rows: int = S
         return keys.withColumn("kept", F.lit(True))
     if k <= 0:
         return keys.withColumn("kept", F.lit(False))
-    cut, cut_id = kth_largest(keys, k)
-    kept = (F.col("gumbel_key") > cut) | ((F.col("gumbel_key") == cut) & (F.coalesce(F.col("doc_id"), F.lit(-(2**62))) <= cut_id))
-    return keys.withColumn("kept", kept)
+    return keys.withColumn("kept", F.col("gumbel_key") >= kth_largest(keys, k))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
