@@ -126,9 +126,8 @@ def check_packing(rows, docs):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path("word_bpe_49k.json"))
-    pieces, windows = defaultdict(list), defaultdict(list)
+    windows = defaultdict(list)
     for r in rows:
-        pieces[r.doc_id].append(r)
         windows[r.sequence_id].append((r.offset, r.length))
     for w in windows.values():
         at = 0
@@ -136,14 +135,17 @@ def check_packing(rows, docs):
             assert offset == at
             at += length
         assert at <= packing.CAPACITY
-    wanted = defaultdict(Counter)
-    for i, t in docs:
+    total, wanted = 0, Counter()
+    for i, t in docs:  # each id of each row lies in exactly one piece
         ids = np.array(tok.encode(t, add_special_tokens=False).ids + [2], "<u4")
-        for r in pieces[i]:
-            if r.doc_tokens == len(ids) and zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32:
-                wanted[(i, len(ids))][(r.start, r.length)] += 1
-    total = sum(len(tok.encode(t, add_special_tokens=False).ids) + 1 for _, t in docs)
-    assert sum(r.length for r in rows) == total
+        wanted.update((i, a, n, zlib.crc32(ids[a : a + n].tobytes()), len(ids)) for a, n in packing.cut_points(len(ids), packing.CAPACITY, packing.MAX_PIECE))
+        total += len(ids)
+        at = 0
+        for a, n in packing.cut_points(len(ids), packing.CAPACITY, packing.MAX_PIECE):
+            assert a == at and n > 0
+            at += n
+        assert at == len(ids)
+    assert Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in rows) == wanted
     return total, len(windows)
 
 
@@ -157,6 +159,17 @@ def test_packing_of_awkward_rows(awkward, nothing):
     assert packing.pack(nothing).count() == 0
 
 
+def test_groups_of_equal_rows_are_even(spark):
+    """Rows of one null doc_id and one text are dealt evenly, and whole windows take no place in a group."""
+    rest = spark.range(100_000, numPartitions=5).withColumn("place", F.monotonically_increasing_id())
+    sizes = [r["count"] for r in packing.dealt(rest, 130).groupBy("grp").count().collect()]
+    assert len(sizes) == 130 and max(sizes) <= 2 * packing.GROUP_PIECES
+    docs = spark.createDataFrame([(None, "word " * 5000)] * 40, "doc_id long, text string")
+    rows = packing.pack(docs, group_pieces=20).collect()
+    check_packing(rows, [(None, "word " * 5000)] * 40)
+    assert sum(r.length == packing.CAPACITY for r in rows) == 40
+
+
 def test_differencing_is_nearly_even():
     rng = np.random.default_rng(1)
     sizes = rng.integers(1, 1000, 300).tolist()
@@ -464,7 +477,20 @@ def test_one_query_for_each_operator():
 
 
 def test_compaction_equals_one_build(spark, docs):
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    halves = [exact_dedup.build_index(texts.where(F.col("doc_id") % 2 == i)) for i in range(2)]
-    a, b = (sorted(map(tuple, x.select("digest", "text_sha256", "keep_id", "group_size").collect())) for x in (exact_dedup.compact(*halves), exact_dedup.build_index(texts)))
-    assert a == b
+    rows = docs.select("doc_id", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("digest"))
+    halves = [exact_dedup.build_index(rows.where(F.col("doc_id") % 2 == i)) for i in range(2)]
+    a, b = (sorted(map(tuple, x.select("digest", "keep_id", "group_size").collect())) for x in (exact_dedup.compact(*halves), exact_dedup.compact(exact_dedup.build_index(rows))))
+    assert a == b and len(a) == rows.distinct().select("digest").distinct().count()
+
+
+def test_filter_has_no_false_misses(spark, monkeypatch):
+    """A full filter lets every row pass, an empty one none, and repeated digests always pass."""
+    rows = spark.range(3000).select(F.sha2(F.col("id").cast("string"), 256).alias("digest"))
+    chosen = rows.where(F.crc32("digest") % 3 == 0)
+    passed = lambda: {r.digest for r in rows.where(exact_dedup.may_repeat(exact_dedup.filter_of(chosen), F.col("digest"))).collect()}
+    wanted = {r.digest for r in chosen.collect()}
+    found = passed()
+    assert wanted <= found and len(found) < len(wanted) + 30
+    assert rows.where(exact_dedup.may_repeat(exact_dedup.filter_of(rows.limit(0)), F.col("digest"))).count() == 0
+    monkeypatch.setattr(exact_dedup, "FILTER_BLOCKS", 1)
+    assert wanted <= passed()
