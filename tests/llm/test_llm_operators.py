@@ -432,6 +432,26 @@ def test_small_payloads_are_responses(spark):
     assert warc.warc_round_trip(pages.limit(0)).count() == 0
 
 
+def test_archives_of_awkward_payloads(spark, monkeypatch):
+    """Blocks that hold, begin or end with separators; large ids; capture times; clashing columns; short runs, small archives and ranges."""
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 2000)
+    monkeypatch.setattr(warc.capture_runs, "__defaults__", (3,))
+    monkeypatch.setattr(warc.merge_index, "__defaults__", (7,))
+    blocks = ["\r\n", "x\r\n", "\r\n\r\n", "y\r\n\r\n\r\nWARC/1.1\r\n\r\n", "z\r", "\n", "\r\nq", "long " * 900, "", "é\r\n\r\né"]
+    rows = [(2**62 + i, f"http://h{i % 3}.org/{i}", b, "not a time", "run", 5) for i, b in enumerate(blocks)] + [(-(2**63), "u", "least", None, None, None), (2**63 - 1, None, "most", None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, captured_at string, run string, offset int").repartition(2)
+    found = warc.warc_round_trip(pages).collect()
+    assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.intact) for r in found) == Counter((i, len(b.encode()), base64.b32encode(hashlib.sha1(b.encode()).digest()).decode(), True) for i, _, b, *_ in rows)
+    keys = [(r.urlkey, r.captured, r.page_id) for r in found]
+    assert keys == sorted(keys)
+    at = defaultdict(int)
+    for r in sorted(found, key=lambda r: (r.archive, r.offset)):  # records follow each other without a gap
+        assert r.offset == at[r.archive]
+        at[r.archive] += r.length
+    timed = spark.createDataFrame([(1, "a", "x", "2020-01-02 03:04:05"), (2, "b", "y", None)], "page_id long, url string, html string, seen string").withColumn("seen", F.col("seen").cast("timestamp"))
+    assert {r.page_id: r.captured for r in warc.warc_round_trip(timed, captured="seen").collect()} == {1: "2020-01-02T03:04:05Z", 2: "2024-01-01T00:00:02Z"}
+
+
 def test_loser_tree():
     rng = np.random.default_rng(6)
     for k in (0, 1, 2, 5, 8):
