@@ -6,7 +6,7 @@ doc_ids don't mix up decisions; extra columns stay as they are.
 
 Defined results: null texts count as empty; the rows of an empty table give an empty result at each stage. Of exact
 copies the smallest doc_id stays, and one row of it; of a component of near copies the smallest (doc_id, text hash) stays;
-texts without words have no near copies. Rows without a doc_id are judged by their text, but leaks are told by doc_id.
+texts without words have no near copies. Rows without a doc_id are judged by their text.
 """
 
 from __future__ import annotations
@@ -59,8 +59,9 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that repeat no benchmark item."""
-    found = contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["__id"]), "left_anti")
+    found = contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("__id"), F.col("key").alias("__leak")).distinct()
+    keyed = docs.withColumn("__key", F.xxhash64(text()))
+    return keyed.join(found, keyed["doc_id"].eqNullSafe(found["__id"]) & (keyed["__key"] == found["__leak"]), "left_anti").drop("__key")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
