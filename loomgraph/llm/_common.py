@@ -53,7 +53,10 @@ def parts_for(rows: int, rows_each: int = 500_000) -> int:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table as it is read; one that lies in fewer splits than there are cores is dealt out, as texts take long to look at."""
+    found, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    splits = found._jdf.queryExecution().toRdd().getNumPartitions()
+    return found.repartition(cores) if splits < cores else found
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -51,18 +51,62 @@ def test_decontamination_finds_substituted_passages(spark):
     assert [(r.doc_id, r.item_id) for r in decontaminate.contaminated(short, bench).collect()] == [(1, 8)]
 
 
+def brute_leaks(docs, items):
+    """Best (matched, compared, doc_word) of each (doc, item): all diagonals with a seed, all stretches."""
+    masks = [[i for i, bit in enumerate(m) if bit == "1"] for m in decontaminate.MASKS]
+    out = {}
+    for d, text in enumerate(docs):
+        dw = word_list(text)
+        for n, item in enumerate(items):
+            iw = word_list(item)
+            hits = {p - q for m in masks for p in range(len(dw) - 11) for q in range(len(iw) - 11) if all(dw[p + i] == iw[q + i] for i in m)}
+            need = min(len(iw), 13, max(10, -(-len(iw) * 70 // 100)))
+            found = []
+            for diagonal in hits:
+                at = [i for i in range(len(iw)) if 0 <= diagonal + i < len(dw) and dw[diagonal + i] == iw[i]]
+                stretches = [(i, j) for i in range(len(at)) for j in range(i + need - 1, min(len(at), i + 2 * need - 1)) if 100 * (j - i + 1) >= 70 * (at[j] - at[i] + 1)]
+                if stretches:
+                    first, last = at[min(i for i, _ in stretches)], at[max(j for _, j in stretches)]
+                    found.append((len({k for i, j in stretches for k in range(i, j + 1)}), last - first + 1, diagonal + first))
+            if found:
+                out[(d, n)] = min(found, key=lambda x: (-x[0], x[1], x[2]))
+    return out
+
+
 def test_decontamination_finds_parts_of_items(spark):
-    """Passages of a long item, first words, an item that the document's end cuts off, and one with an inserted word."""
-    long, middle, forty = ([f"{c}{i}" for i in range(n)] for c, n in (("l", 100), ("m", 59), ("f", 40)))
-    filler = [f"fill{i}" for i in range(60)]
-    parts = [long[30:66], middle[15:45], forty[:22], [*forty[:20], "new", *forty[20:]], [w for i, w in enumerate(long[40:65]) if i != 12], forty[:12]]
-    rows = [(i, " ".join(filler + p + filler)) for i, p in enumerate(parts)] + [(10, " ".join(filler + middle[:25]))]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    bench = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(middle)), (3, " ".join(forty))], "item_id long, text string")
-    for broadcast_words in (150_000, 0):
-        found = {(r.doc_id, r.item_id): (r.matched, r.compared, r.doc_word) for r in decontaminate.contaminated(docs, bench, broadcast_words=broadcast_words).collect()}
-        assert set(found) == {(0, 1), (1, 2), (2, 3), (3, 3), (10, 2)}
-        assert found[(1, 2)] == (30, 30, 60) and found[(2, 3)] == (22, 22, 60)
+    """Runs of 13 to 60 words of a long item at any place, first words, cut-off items, insertions, 10 and 20 % of other words."""
+    rng = np.random.default_rng(8)
+    items = [" ".join(f"{c}{rng.integers(0, 50) if c == 'r' else i}" for i in range(n)) for c, n in (("l", 120), ("m", 59), ("f", 40), ("s", 14), ("r", 70))]
+    long, middle, forty, small, _ = (x.split() for x in items)
+    filler = [f"fill{i}" for i in range(30)]
+    parts = [long[a : a + n] for n in (13, 14, 20, 25, 30, 34, 36, 45, 60) for a in (0, 7, 60 - n // 2, 120 - n)]
+    runs = len(parts)
+    parts += [[*forty[:20], "new", *forty[20:]], [w for i, w in enumerate(long[40:65]) if i != 10], [*small[:5], "x", *small[6:10], "y", *small[11:]]]
+    changed = []
+    for share in (0.1, 0.2):
+        for _ in range(20):
+            changed.append(["other" if rng.random() < share else w for w in middle])
+    texts = [" ".join(filler + p + filler[:9]) for p in parts + changed] + [" ".join(filler + middle[:25]), " ".join(forty[25:] + filler), " ".join(filler + forty[:12]), " ".join(filler)]
+    wanted = brute_leaks(texts, items)
+    assert {d for d, _ in wanted} >= set(range(runs + 3)) and sum(d in range(len(parts), len(parts) + 40) for d, _ in wanted) >= 38  # recall
+    assert not {len(texts) - 2, len(texts) - 1} & {d for d, _ in wanted}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    for broadcast_words, parts_of in ((150_000, 1), (0, 16)):
+        found = decontaminate.contaminated(docs.repartition(parts_of), bench, broadcast_words=broadcast_words).collect()
+        assert {(r.doc_id, r.item_id): (r.matched, r.compared, r.doc_word) for r in found} == wanted and len(found) == len(wanted)
+
+
+def test_decontamination_of_repeated_ids(spark):
+    """Different texts of a repeated or null doc_id are judged one by one, whatever comes first."""
+    item = [f"w{i}" for i in range(40)]
+    bad = [*item[:9], "x", *item[10:12], "y"]
+    rows = [(i, " ".join(t)) for i in (None, 5) for t in (bad, item, bad + ["z"], item)]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    for order in (rows, rows[::-1]):
+        for broadcast_words, parts_of in ((150_000, 4), (0, 1)):
+            found = decontaminate.contaminated(spark.createDataFrame(order, "doc_id long, text string").repartition(parts_of), bench, broadcast_words=broadcast_words)
+            assert Counter((r.doc_id, r.matched) for r in found.collect()) == Counter([(None, 40), (5, 40)])
 
 
 def test_decontamination_of_awkward_rows(awkward, nothing, spark):
