@@ -4,9 +4,15 @@ Three base patterns find assignments, access keys and hex strings. The method ad
 20 or more characters of the base64 alphabets with a digit among them get an inferred encoding (its alphabet), and
 three tests of the hypothesis that they are uniform draws from it: chi-squared uniformity of the alphabet, the number of
 runs above and below the alphabet's middle, and the serial correlation of neighbours. Fisher's method combines the three
-p-values. Strings are rejected as not random by the Benjamini-Hochberg rule within strata of encoding and length, as
-short strings have little power and must not set the level for long ones; what stays is reported. The rule runs on counts of all
-strings of the corpus by stratum and bin of p: ``len(ENCODINGS) * LENGTHS * BINS`` rows at most reach the driver.
+p-values; a string under ``ALPHA`` is no random one.
+
+Passing is no evidence for a short string, so the others are tested against the opposite hypothesis, that their letters
+(in either case) are those of text: the mean log ratio of the letters' shares in all texts of the corpus to uniform shares
+falls short of its mean in text by so many standard deviations, which are widened by ``DISPERSION`` as neighbouring
+letters depend on each other. Strings that this hypothesis is rejected for are reported. The Benjamini-Hochberg rule
+sets the level within strata of encoding and length, so that the share of text among what is reported stays under ``FDR``
+and short strings, which have little power, don't set the level for long ones. The rule runs on counts of all strings of the
+corpus by stratum and bin of p: ``len(ENCODINGS) * LENGTHS * BINS`` rows at most reach the driver.
 
 Positions count code points, ends are exclusive. They come from the lengths of the matches and of the text between.
 
@@ -16,6 +22,8 @@ like any row; an empty table gives an empty result; very long texts are scanned
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +52,9 @@ ENCODINGS = (
     ("base64url", "^[0-9A-Za-z_-]+$", UPPER + LOWER + DIGITS + "-_"),
 )
 LENGTHS, BINS, FDR = 8, 64, 0.05
-
+ALPHA, DISPERSION, LEAST_SCORE = 0.001, 2.0, -4.0
+#: Matches of a text that are put together before they join the others.
+CHUNK = 64
 
 NONE_SQL = "cast(array() as array<struct<start:int,kind:int,stop:int,token:string>>)"
 
@@ -70,7 +80,19 @@ def located(text: Column, pattern: str, kind: int, least: int = 0) -> Column:
         keep = F.coalesce(F.length(x["value"]) >= least, F.lit(False))
         return F.struct(b.alias("at"), F.when(keep, F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"))
 
-    return F.aggregate(steps, start, step, lambda acc: acc["found"])
+    # Arrays that grow by one are copied each time, so a text's matches are gathered in chunks.
+    chunks = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{NONE_SQL.split(' as ')[1][:-1]}>)").alias("chunks"))
+
+    def chunk(all_steps: Column) -> Column:
+        def more(acc: Column, i: Column) -> Column:
+            here = F.aggregate(F.slice(all_steps, i * CHUNK + 1, CHUNK), F.struct(acc["at"].alias("at"), F.expr(NONE_SQL).alias("found")), step)
+            bound = F.transform(F.array(here), lambda h: F.struct(h["at"].alias("at"), F.concat(acc["chunks"], F.array(h["found"])).alias("chunks")))
+            return F.element_at(bound, 1)
+
+        return F.aggregate(F.sequence(F.lit(0), F.floor((F.size(all_steps) - 1) / CHUNK).cast("int")), chunks, more, lambda acc: F.flatten(acc["chunks"]))
+
+    few = F.transform(F.array(steps), lambda x: F.when(F.size(x) <= CHUNK, F.aggregate(x, start, step, lambda acc: acc["found"])).otherwise(chunk(x)))
+    return F.element_at(few, 1)
 
 
 def encoding(token: Column) -> Column:
@@ -88,8 +110,39 @@ def two_sided(z: Column) -> Column:
     return F.greatest(F.least(2 * tail, F.lit(1.0)), F.lit(1e-300))
 
 
-def battery(found: Column) -> Column:
-    """(start, kind, stop, stratum, p) of one located token."""
+def letter_scores(shares: list[float], used: str) -> tuple[list[float], float, float]:
+    """Log ratio of each letter's share among the ``used`` ones to a uniform share, and its mean and variance in text."""
+    total = sum(q for c, q in zip(LOWER, shares) if c in used)
+    own = [q / total if c in used else 0.0 for c, q in zip(LOWER, shares)]
+    scores = [max(LEAST_SCORE, math.log(q * len(used))) if q else (LEAST_SCORE if c in used else 0.0) for c, q in zip(LOWER, own)]
+    mean = sum(q * x for q, x in zip(own, scores))
+    return scores, mean, max(1e-6, sum(q * x * x for q, x in zip(own, scores)) - mean * mean)
+
+
+def letter_shares(docs: DataFrame) -> list[float]:
+    """Shares of a to z among the letters of all texts, in either case; each letter counts once more than it occurs."""
+    low = F.lower("text")
+    counts = docs.select(*[(F.length(low) - F.length(F.replace(low, F.lit(c)))).alias(c) for c in LOWER]).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in LOWER]).first()
+    return [(counts[c] + 1) / (sum(counts) + 26) for c in LOWER]
+
+
+def like_text(token: Column, enc: Column, shares: list[float]) -> Column:
+    """P(letters of text score as low as the token's), by the normal distribution; 1/2 for a token without letters."""
+    letters = F.regexp_replace(F.lower(token), "[^a-z]", "")
+    m = F.length(letters).cast("double")
+
+    def p(used: str) -> Column:
+        scores, mean, variance = letter_scores(shares, used)
+        of = F.array(*map(F.lit, scores))
+        total = F.aggregate(F.split(letters, ""), F.lit(0.0), lambda acc, c: acc + F.when(F.length(c) > 0, F.element_at(of, F.ascii(c) - 96)).otherwise(0.0))
+        z = (total - m * mean) / F.sqrt(F.greatest(m, F.lit(1.0)) * variance * DISPERSION)
+        return F.element_at(F.transform(F.array(z), lambda z: F.when(z < 0, two_sided(z) / 2).otherwise(1 - two_sided(z) / 2)), 1)
+
+    return F.when(enc.isin(1, 2), p("abcdef")).otherwise(p(LOWER))
+
+
+def battery(found: Column, shares: list[float]) -> Column:
+    """(start, kind, stop, stratum, p) of one located token; p is 1 where the battery rejects that it is random."""
     token = found["token"]
     n = F.length(token).cast("double")
     enc = encoding(token)
@@ -119,7 +172,8 @@ def battery(found: Column) -> Column:
         x = -2 * (F.log(two_sided(z_chi)) + F.log(two_sided(z_runs)) + F.log(two_sided(z_serial)))
         return F.exp(-x / 2) * (1 + x / 2 + x * x / 8)
 
-    p = F.element_at(F.transform(F.array(with_sums), combine), 1)
+    fisher = F.element_at(F.transform(F.array(with_sums), combine), 1)
+    p = F.when(fisher >= ALPHA, like_text(token, enc, shares)).otherwise(F.lit(1.0))
     length_class = F.least(F.floor(F.log2(n / 20) * 2), F.lit(LENGTHS - 1)).cast("int")
     return F.struct(found["start"].alias("start"), found["kind"].alias("kind"), found["stop"].alias("stop"), (enc * LENGTHS + length_class).alias("stratum"), p.alias("p"))
 
@@ -148,6 +202,7 @@ def rejected_bins(counts: list, fdr: float) -> dict[int, int]:
 def secret_scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans."""
     text = F.col("text")
+    shares = letter_shares(texts(docs))
 
     def where(guard: str, found: Column) -> Column:
         return F.when(text.rlike(guard), found).otherwise(F.expr(NONE_SQL))
@@ -161,7 +216,7 @@ def secret_scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
                 where("[0-9a-f]{24}", located(text, HEX, 2)),
             )
         ).alias("base"),
-        F.transform(where(RANDOM, located(text, RANDOM, 3)), battery).alias("tested"),
+        F.transform(where(RANDOM, located(text, RANDOM, 3)), lambda x: battery(x, shares)).alias("tested"),
     )
     scanned = scanned.select("doc_id", F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["stop"].alias("stop"))).alias("base"), "tested")
     scanned = materialize(scanned, "secret-spans")
@@ -169,7 +224,7 @@ def secret_scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
     counts = one.groupBy(F.col("t.stratum").alias("stratum"), bin_of(F.col("t.p")).alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()
     cuts = rejected_bins(counts, fdr)
     table_of_cuts = F.array(*[F.lit(cuts.get(s, BINS)) for s in range((len(ENCODINGS) + 1) * LENGTHS)])
-    stays = F.filter("tested", lambda t: bin_of(t["p"]) < F.element_at(table_of_cuts, t["stratum"] + 1))
+    stays = F.filter("tested", lambda t: bin_of(t["p"]) >= F.element_at(table_of_cuts, t["stratum"] + 1))
     added = F.transform(stays, lambda t: F.struct(t["start"].alias("start"), t["kind"].alias("kind"), t["stop"].alias("stop")))
     names = F.array(*map(F.lit, KINDS))
 

@@ -149,15 +149,62 @@ def test_secret_spans(spark, awkward):
         assert all(x.split(":")[0] in secrets.KINDS for x in r.spans.split(",") if x)
 
 
-def test_randomness_battery_parts_random_from_structured(spark):
+def brute_random(texts):
+    """Spans of the random kind: the battery, the letters of text and the Benjamini-Hochberg rule in plain Python."""
+    from math import erfc, exp, floor, log, log2, log10, sqrt
+
+    letters = Counter(c for t in texts for c in t.lower() if "a" <= c <= "z")
+    shares = [(letters[c] + 1) / (sum(letters.values()) + 26) for c in secrets.LOWER]
+    found = []
+    for d, t in enumerate(texts):
+        for m in re.finditer(secrets.RANDOM, t):
+            w, n = m[0], len(m[0])
+            enc = next((i for i, (_, p, _) in enumerate(secrets.ENCODINGS) if re.match(p, w)), len(secrets.ENCODINGS))
+            alphabet = secrets.ENCODINGS[enc][2] if enc < len(secrets.ENCODINGS) else secrets.UPPER + secrets.LOWER + secrets.DIGITS + "+/-_"
+            k = 65 if enc == len(secrets.ENCODINGS) else len(alphabet)
+            mid, v = (k - 1) / 2, [alphabet.index(c) for c in w]
+            chi = max(k / n * sum(x * x for x in Counter(w).values()) - n, 1e-9)
+            z = [((chi / (k - 1)) ** (1 / 3) - (1 - 2 / (9 * (k - 1)))) / sqrt(2 / (9 * (k - 1)))]
+            z.append((sum((a > mid) != (b > mid) for a, b in zip(v, v[1:])) - (n - 1) / 2) / sqrt((n - 1) / 4))
+            z.append(sum((a - mid) * (b - mid) for a, b in zip(v, v[1:])) / (sqrt(n - 1) * (k * k - 1) / 12))
+            x = -2 * sum(log(max(1e-300, erfc(abs(y) / sqrt(2)))) for y in z)
+            p = 1.0
+            if exp(-x / 2) * (1 + x / 2 + x * x / 8) >= secrets.ALPHA:
+                scores, mean, variance = secrets.letter_scores(shares, "abcdef" if enc in (1, 2) else secrets.LOWER)
+                own = [scores[ord(c) - 97] for c in w.lower() if "a" <= c <= "z"]
+                p = erfc(-(sum(own) - len(own) * mean) / sqrt(max(1, len(own)) * variance * secrets.DISPERSION) / sqrt(2)) / 2
+            found.append((d, m.start(), m.end(), enc * secrets.LENGTHS + min(floor(log2(n / 20) * 2), secrets.LENGTHS - 1), min(floor(-4 * log10(max(p, 1e-300))), secrets.BINS - 1)))
+    counts = Counter((x[3], x[4]) for x in found)
+    cuts = secrets.rejected_bins([{"stratum": a, "bin": b, "n": n} for (a, b), n in counts.items()], secrets.FDR)
+    return {x[:3] for x in found if x[4] >= cuts[x[3]]}, found
+
+
+def test_randomness_battery_parts_random_from_text(spark):
+    """Random strings are reported, structured ones and names made of words aren't; all as the brute-force version says."""
     rng = np.random.default_rng(3)
-    alphabet = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"))
-    good = ["".join(rng.choice(alphabet, 48)) + "7" for _ in range(60)]
-    bad = ["aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa1", "abcdefghijklmnopqrstuvwxyz0123456789", "0101010101010101010101010101010101", "version-1-of-the-long-readable-file-name-here"] * 5
-    docs = spark.createDataFrame([(i, f"x {t} y") for i, t in enumerate(good + bad)], "doc_id long, text string")
-    hit = {r.doc_id: r.n_random for r in secrets.secret_scan(docs).collect()}
-    assert sum(hit[i] for i in range(60)) >= 54
-    assert sum(hit[i] for i in range(60, 80)) <= 4
+    alphabets = [np.array(list(a)) for *_, a in secrets.ENCODINGS[4:]]
+    words = "chapter twelve the long road home electroencephalograph phone pro max case blue report of sales by region and customer for a quarter released under license with notes on method results tables".split()
+    good = ["7".join("".join(rng.choice(alphabets[i % 5], n)) for n in (11, 12 + i % 30)) for i in range(100)]
+    bad = ["a" * 36 + "1", "abcdefghijklmnopqrstuvwxyz0123456789", "01" * 17, "version-1-of-the-long-readable-file-name-here", "Chapter12TheLongRoadHome", "electroencephalograph1", "iPhone15ProMaxCase2023Blue"]
+    for _ in range(200):
+        some = [str(w).capitalize() if rng.random() < 0.5 else str(w) for w in rng.choice(words, 6)]
+        bad.append("".join(some[:3]) + str(rng.integers(1, 3000)) + "".join(some[3:]))
+    prose = [" ".join(rng.choice(words, 300)) for _ in range(20)]
+    texts = [f"x {t} y" for t in good + bad] + prose
+    wanted, _ = brute_random(texts)
+    rows = secrets.secret_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    found = {(r.doc_id, int(a), int(b)) for r in rows for k, a, b in (x.split(":") for x in r.spans.split(",") if x) if k == "random"}
+    assert len(found ^ wanted) <= 2  # a bin's edge may fall on either side
+    reported = Counter("good" if d < 100 else "bad" for d, *_ in found)
+    assert reported["good"] >= 90 and reported["bad"] <= 0.05 * sum(reported.values()) + 2
+    assert not {d for d, *_ in found} & set(range(100, 107))
+
+
+def test_many_matches_of_one_text(spark):
+    for n in (63, 64, 65, 1000):
+        text = " ".join(f"token=abcdef{i} é" for i in range(n))
+        row = secrets.secret_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+        assert row.n_assign == n and row.base_sha256 == hashlib.sha256(written(base_spans(text)).encode()).hexdigest()
 
 
 def test_secret_scan_of_nothing(nothing):
