@@ -97,8 +97,8 @@ def exact_dedup(docs: DataFrame, keep: str = "smallest", digest_bits: int = 256)
     repeated = compact(build_index(rows, keep), keep=keep).where("group_size > 1")
     hit = may_repeat(filter_of(repeated), F.col("digest"))
     # The bytes of hits: a digest stands for one text exactly if its smallest and its largest text are the same.
-    hits = docs.where(hit).join(repeated.select("digest"), "digest", "left_semi")
-    mixed = hits.groupBy("digest").agg(F.min("text").alias("least"), F.max("text").alias("most")).where("least <> most").select("digest")
+    # A task sends one row for each digest, so a hot text isn't gathered; lone digests that pass have one text anyway.
+    mixed = docs.where(hit).groupBy("digest").agg(F.min("text").alias("least"), F.max("text").alias("most")).where("least <> most").select("digest")
     mixed = materialize(mixed, "digest-collisions")
     spread = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SALTS)).cast("int").alias("salt")
