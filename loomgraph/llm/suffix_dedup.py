@@ -8,10 +8,12 @@ which start in them. There the previous and next smaller positions in suffix ord
 earlier match (and, run backwards, its longest later one), and matches of ``length`` bytes or more are repeats.
 
 ``keep`` "none" removes each byte that a repeated string covers, "first" all but the first place of each string, by
-(doc_id, start). Strings are judged on the input; overlaps count; matches never cross documents.
+(doc_id, start). Strings are judged on the input; overlaps count; matches never cross documents. Of rows that repeat
+doc_id and text, "first" keeps one as if it stood alone; the others lose all that is as long as ``length``.
 
 Anchors that a count sketch over all documents shows to be very frequent are dealt by context instead of by anchor, and
-their windows are compared by 64-bit hashes in a plain aggregation, so no task holds a hot anchor's places.
+their windows are compared by hashes in a plain aggregation, so no task holds a hot anchor's places. Contexts and windows
+are told apart by 128 bits: among 10**13 of them the chance that any two are mistaken for one another is under 10**-12.
 
 Defined results: null and empty texts, and texts shorter than ``length``, lose nothing unless their bytes stand in a
 repeated string, which they can't; a null doc_id sorts before all others; rows that repeat doc_id and text are documents of their own and
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import materialize, slices, table, texts
@@ -115,13 +117,17 @@ def repeats(windows: np.ndarray, positions: np.ndarray, keep: str) -> np.ndarray
     return found if keep == "first" else found | (longest_previous(windows, -positions) >= width)
 
 
-def runs(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and sizes of runs of equal values."""
-    starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else np.empty(0, np.int64)
-    return starts, np.diff(np.r_[starts, len(rows)])
+def runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and sizes of runs of rows with equal values."""
+    n = len(columns[0])
+    changed = np.zeros(max(0, n - 1), bool)
+    for c in columns:
+        changed |= c[1:] != c[:-1]
+    starts = np.flatnonzero(np.r_[True, changed]) if n else np.empty(0, np.int64)
+    return starts, np.diff(np.r_[starts, n])
 
 
-FIELDS = (("anchor", np.uint64), ("context", np.uint64), ("doc", np.int64), ("key", np.int64), ("lo", np.int64), ("hi", np.int64), ("state", np.int8))
+FIELDS = (("anchor", np.uint64), ("context", np.uint64), ("more", np.uint64), ("doc", np.int64), ("key", np.int64), ("lo", np.int64), ("hi", np.int64), ("state", np.int8))
 ONE, KNOWN, DECIDED = 1, 2, 3  # a place; one of several equal places; a place that is a repeat already
 SPAN, COLD, HOT = 0, 1, 2
 
@@ -153,7 +159,7 @@ def matched_anchors(keyed: DataFrame, levels: np.ndarray, total: int, length: in
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        digest = xxhash.xxh3_64_intdigest
+        digest = xxhash.xxh3_128_digest
         for batch in slices(batches):
             columns: dict[str, list] = {n: [] for n, _ in FIELDS}
             for doc, key, text in zip(*(c.to_pylist() for c in batch.columns)):
@@ -161,17 +167,17 @@ def matched_anchors(keyed: DataFrame, levels: np.ndarray, total: int, length: in
                 anchor, lo, hi = anchors_of(np.frombuffer(data, np.uint8), length)
                 if not len(anchor):
                     continue
-                context = np.array([digest(data[a:b]) for a, b in zip(lo.tolist(), (hi + length).tolist())], np.uint64)
-                values = (anchor, context, np.full(len(lo), NO_ID if doc is None else doc), np.full(len(lo), key), lo, hi, np.ones(len(lo), np.int8))
+                context = np.frombuffer(b"".join([digest(data[a:b]) for a, b in zip(lo.tolist(), (hi + length).tolist())]), np.uint64)
+                values = (anchor, context[::2], context[1::2], np.full(len(lo), NO_ID if doc is None else doc), np.full(len(lo), key), lo, hi, np.ones(len(lo), np.int8))
                 for (n, _), v in zip(FIELDS, values):
                     columns[n].append(v)
             if not columns["lo"]:
                 continue
             f = {n: np.concatenate(v) for n, v in columns.items()}
             # Equal contexts of a part: the first goes on for all.
-            order = np.lexsort((f["lo"], f["doc"], f["context"]))
+            order = np.lexsort((f["lo"], f["doc"], f["more"], f["context"]))
             f = {n: v[order] for n, v in f.items()}
-            starts, sizes = runs(f["context"])
+            starts, sizes = runs(f["context"], f["more"])
             f["state"][:] = np.repeat(np.where(sizes > 1, DECIDED, ONE), sizes)
             f["state"][starts[sizes > 1]] = KNOWN
             fragment = (f["anchor"] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(order), np.int64)
@@ -187,9 +193,9 @@ def matched_anchors(keyed: DataFrame, levels: np.ndarray, total: int, length: in
         done = f["state"] == DECIDED
         decided = {n: v[done] for n, v in f.items()}
         f = {n: v[~done] for n, v in f.items()}
-        order = np.lexsort((f["lo"], f["doc"], f["context"], f["anchor"]))
+        order = np.lexsort((f["lo"], f["doc"], f["more"], f["context"], f["anchor"]))
         f = {n: v[order] for n, v in f.items()}
-        starts, sizes = runs(f["context"] + f["anchor"] * np.uint64(3))
+        starts, sizes = runs(f["anchor"], f["context"], f["more"])
         first = np.zeros(len(order), bool)
         first[starts] = True
         several = np.repeat((sizes > 1) | (np.maximum.reduceat(f["state"], starts) == KNOWN if len(starts) else sizes > 1), sizes)
@@ -257,7 +263,7 @@ def sorted_suffixes(keyed: DataFrame, asked: DataFrame, length: int, keep: str)
         return spans(doc[again], key[again], start[again])
 
     hot_parts = max(1, -(-int(starts) // HOT_WINDOWS))
-    fields = (("window", np.int64), ("doc", np.int64), ("key", np.int64), ("lo", np.int64), ("hi", np.int64), ("n", np.int64))
+    fields = (("window", np.uint64), ("more", np.uint64), ("doc", np.int64), ("key", np.int64), ("lo", np.int64), ("hi", np.int64), ("n", np.int64))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Blocks of places by window hash: one for each distinct window of a part, and the spans that repeat inside it (n = 0)."""
@@ -267,28 +273,29 @@ def sorted_suffixes(keyed: DataFrame, asked: DataFrame, length: int, keep: str)
             if not batch.num_rows:
                 continue
             doc, key, start, windows = suffixes(batch)
-            w = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in np.ascontiguousarray(windows)), np.uint64, len(doc)).astype(np.int64)
-            order = np.lexsort((start, doc, w))
-            at, sizes = runs(w[order])
+            both = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x) for x in np.ascontiguousarray(windows)]), np.uint64)
+            w, m = both[::2], both[1::2]
+            order = np.lexsort((start, doc, m, w))
+            at, sizes = runs(w[order], m[order])
             again = np.repeat(sizes > 1, sizes)
             if keep == "first":
                 again[at] = False
             one, own = spans(doc[order][again], key[order][again], start[order][again]), order[at]
-            known = {c: one.column(c).to_numpy() for c in ("doc", "key", "lo", "hi")} | {"window": one.column("lo").to_numpy(), "n": np.zeros(len(one), np.int64)}
-            fresh = {"window": w[own], "doc": doc[own], "key": key[own], "lo": start[own], "hi": start[own] + length, "n": sizes}
+            known = {c: one.column(c).to_numpy() for c in ("doc", "key", "lo", "hi")} | {"window": one.column("lo").to_numpy().astype(np.uint64), "more": np.zeros(len(one), np.uint64), "n": np.zeros(len(one), np.int64)}
+            fresh = {"window": w[own], "more": m[own], "doc": doc[own], "key": key[own], "lo": start[own], "hi": start[own] + length, "n": sizes}
             f = {n: np.concatenate([known[n], fresh[n]]) for n, _ in fields}
-            fragment = f["window"].astype(np.uint64) % np.uint64(hot_parts)
+            fragment = f["window"] % np.uint64(hot_parts)
             order = np.argsort(fragment, kind="stable")
             rows = [[int(fragment[x[0]]), *(f[n][x].tobytes() for n, _ in fields)] for x in np.split(order, np.flatnonzero(np.diff(fragment[order])) + 1)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary() if i else pa.int64()) for i in range(7)], names=["fragment", *(n for n, _ in fields)])
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary() if i else pa.int64()) for i in range(len(fields) + 1)], names=["fragment", *(n for n, _ in fields)])
 
     def settle(found: pa.Table) -> pa.Table:
         """The spans of a fragment's windows that stand in several places."""
         f = {n: np.frombuffer(b"".join(found.column(i + 1).to_pylist()), kind) for i, (n, kind) in enumerate(fields)}
-        order = np.lexsort((f["key"], f["lo"], f["doc"], f["window"], f["n"] > 0))
+        order = np.lexsort((f["key"], f["lo"], f["doc"], f["more"], f["window"], f["n"] > 0))
         f = {n: v[order] for n, v in f.items()}
         decided = int((f["n"] == 0).sum())
-        at, sizes = runs(f["window"][decided:])
+        at, sizes = runs(f["window"][decided:], f["more"][decided:])
         again = np.repeat(np.add.reduceat(f["n"][decided:], at) > 1, sizes) if len(at) else np.empty(0, bool)
         if keep == "first":
             again[at] = False
@@ -302,14 +309,22 @@ def sorted_suffixes(keyed: DataFrame, asked: DataFrame, length: int, keep: str)
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, keep: str = "none") -> DataFrame:
     """One row per document: doc_id, text, spans (array of [lo, hi) in bytes, not merged; null where there are none)."""
-    keyed = texts(docs).withColumn("key", F.xxhash64("text"))
+    every = keyed = texts(docs).withColumn("key", F.xxhash64("text"))
+    if keep == "first":
+        keyed = keyed.dropDuplicates(["doc_id", "key"])  # one row of each takes part
     levels, total = sketched(keyed, length)
     found = matched_anchors(keyed, levels, total, length, keep)
-    keyed = keyed.withColumn("doc", F.coalesce("doc_id", F.lit(NO_ID)))
+    every, keyed = (df.withColumn("doc", F.coalesce("doc_id", F.lit(NO_ID))) for df in (every, keyed))
     sorted_ones = sorted_suffixes(keyed, found.where(f"kind <> {SPAN}"), length, keep)
     spans = found.where(f"kind = {SPAN}").select("doc", "key", "lo", "hi").unionByName(sorted_ones).distinct()
     spans = spans.groupBy("doc", "key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    return keyed.join(spans, ["doc", "key"], "left").select("doc_id", "text", "spans")
+    out = every.join(spans, ["doc", "key"], "left")
+    if keep == "first":
+        copy = F.row_number().over(Window.partitionBy("doc", "key").orderBy(F.lit(1)))
+        n_bytes = F.octet_length("text").cast("long")
+        whole = F.when(n_bytes >= length, F.array(F.struct(F.lit(0).cast("long").alias("lo"), n_bytes.alias("hi"))))
+        out = out.withColumn("copy", copy).withColumn("spans", F.when(F.col("copy") == 1, F.col("spans")).otherwise(whole))
+    return out.select("doc_id", "text", "spans")
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

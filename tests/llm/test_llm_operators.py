@@ -454,6 +454,17 @@ def test_repeats_of_awkward_rows(awkward, nothing, docs):
     assert suffix_dedup.suffix_dedup(nothing).count() == 0
 
 
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_repeats_of_repeated_rows(spark, keep):
+    """Rows that repeat doc_id and text: with "first" one of them stays, whether or not another document has its strings."""
+    rng = np.random.default_rng(9)
+    text = lambda n: "".join(rng.choice(list("abcdefé \n"), n))
+    a, b, c = text(400), text(300), text(250)
+    rows = [(1, a), (1, a), (2, b + a[:220]), (2, b + a[:220]), (2, b + a[:220]), (None, c), (None, c), (3, c), (4, "short"), (4, "short"), (5, None), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert suffix_rows(df, keep=keep) == brute_repeats([(i, t or "") for i, t in rows], 200, keep)
+
+
 def test_longest_previous_factor():
     rng = np.random.default_rng(4)
     data = rng.integers(97, 100, 400).astype(np.uint8)
