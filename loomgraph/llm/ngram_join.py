@@ -22,6 +22,7 @@ null; repeated rows fall into one component; an empty table gives an empty resul
 
 from __future__ import annotations
 
+import math
 import re
 import uuid
 from collections.abc import Iterator
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialize, parts_for, slices, table, texts
+from ._common import materialize, parts_for, scratch_path, slices, table, texts
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
 #: Buckets of the sketch, and the blocks that they are summed in.
@@ -47,6 +48,8 @@ PAIRS_AT_ONCE = 1_000_000
 FILTER_BITS = 24
 #: Rounds end when a row of a long list has so many partners in other components on average, or when they no longer get fewer.
 FEW_PARTNERS = 256
+#: Members of a long list that the last step looks at in one block.
+BLOCK_MEMBERS = 1024
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
 
@@ -269,7 +272,7 @@ def overlaps(docs: DataFrame, levels: np.ndarray, total: int, words: int, num: i
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> str:
-    """Name of a table (class, tokens) of the wanted classes, in buckets by class.
+    """Name of a table (class, tokens) of the wanted classes, in buckets by class; its files lie in the shared folder.
 
     A bit filter of a fixed size tells most unwanted classes; the join tells the rest.
     """
@@ -298,7 +301,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> str:
     found = docs.mapInArrow(run, "class long, tokens array<long>").join(wanted, "class", "left_semi").dropDuplicates(["class"])
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"loomgraph_sets_{uuid.uuid4().hex}"
-    found.write.bucketBy(buckets, "class").option("compression", "none").saveAsTable(name)
+    found.write.bucketBy(buckets, "class").option("compression", "none").option("path", scratch_path(spark, "sets")).saveAsTable(name)
     return name
 
 
@@ -401,11 +404,20 @@ def class_components(pairs: DataFrame, lists: DataFrame, sets: DataFrame, num: i
         grow(tried)
     else:
         named = relabelled(lists, "class").withColumnRenamed("c_class", "component")
-    # Every pair between components that remains, of short lists and of long ones.
+    # Every pair between components that remains, of short lists and of long ones. Partners are of like length, so a list is
+    # looked at by bands of lengths, and a band of many members in blocks: a member meets each block of its partners once.
     rows = relabelled(pairs, "a", "b").where("c_a <> c_b").select("a", "b")
-    side = lambda k: named.select("token", F.col("class").alias(k), F.col("n").alias(f"n_{k}"), F.col("place").alias(f"at_{k}"), F.col("component").alias(f"c_{k}"))
-    crossing = side("a").join(side("b"), "token").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & meet(F.col("n_a"), F.col("at_a"), F.col("n_b"), F.col("at_b")))
-    grow(materialize(rows.union(crossing.select("a", "b")).distinct(), "tried"))
+    banded = named.withColumn("band", F.floor(F.log(F.col("n")) / math.log(den / num)).cast("int"))
+    crowds = banded.groupBy("token", "band").agg(F.count(F.lit(1)).alias("m")).select("token", "band", (F.floor((F.col("m") - 1) / BLOCK_MEMBERS) + 1).cast("int").alias("blocks"))
+    banded = banded.join(crowds, ["token", "band"])
+    side = lambda k: [F.col("class").alias(k), F.col("n").alias(f"n_{k}"), F.col("place").alias(f"at_{k}"), F.col("component").alias(f"c_{k}")]
+    left = banded.select("token", "band", F.pmod(F.xxhash64("class"), "blocks").cast("int").alias("block"), *side("a"))
+    # The partner's own band or the next one below; it goes to all blocks of that band.
+    right = banded.drop("blocks").withColumn("own", F.col("band")).withColumn("band", F.explode(F.array("band", F.col("band") - 1)))
+    right = right.join(crowds, ["token", "band"]).select("token", "band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "own", *side("b"))
+    once = (F.col("own") != F.col("band")) | (F.col("a") < F.col("b"))
+    crossing = left.join(right, ["token", "band", "block"]).where(once & (F.col("c_a") != F.col("c_b")) & meet(F.col("n_a"), F.col("at_a"), F.col("n_b"), F.col("at_b")))
+    grow(materialize(rows.union(crossing.select(F.least("a", "b"), F.greatest("a", "b"))).distinct(), "tried"))
     return labels
 
 
@@ -422,8 +434,10 @@ def ngram_components(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR,
     pairs, lists = candidates(partial, num, den)
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).union(lists.select("class")).distinct()
     sets = sets_of(docs, wanted, words)
-    labels = class_components(pairs, lists, spark.table(sets), num, den)
-    spark.sql(f"DROP TABLE {sets}")
+    try:
+        labels = class_components(pairs, lists, spark.table(sets), num, den)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {sets}")
     smallest = described_docs.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least_id"))
     if labels is None:
         named = smallest.select("class", F.col("least_id").alias("component_id"))

@@ -389,6 +389,18 @@ def test_components_of_hot_shingles(spark, monkeypatch):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()) == brute_components(rows)
 
 
+def test_components_of_the_last_step(spark, monkeypatch):
+    """Without rounds, the last step alone finds all links, over bands of lengths and blocks of members."""
+    monkeypatch.setattr(ngram_join, "FEW_PARTNERS", 10**9)
+    monkeypatch.setattr(ngram_join, "SHORT_LIST", 2)
+    monkeypatch.setattr(ngram_join, "BLOCK_MEMBERS", 5)
+    monkeypatch.setattr(ngram_join.class_components, "__defaults__", (1,))
+    rows = near_copies(40)
+    rows += [(100 + i, f"{t} " + " ".join(f"tail{i}_{k}" for k in range(i % 30))) for i, t in near_copies(20)]
+    found = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()) == brute_components(rows)
+
+
 def test_components_of_documents(docs):
     found = ngram_join.ngram_components(docs)
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()) == brute_components(rows_of(docs))
