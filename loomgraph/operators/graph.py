@@ -1,19 +1,45 @@
 """Graph operators over edge relations: each is a fixpoint of joins, one frontier for all roots.
 
-``edges`` has (job, dependent_job): job needs dependent_job. A round joins the frontier with the edges, merges by
-minimum and goes on with what improved; its result is written to the shared folder, so plans stay short and a lost
-executor costs one round.
+``edges`` has (job, dependent_job): job needs dependent_job. A round joins the frontier with the edges and goes on with
+what is new or better than what is known. Only that is written, to the shared folder: what is known is the union of the
+rounds' deltas, put together again after ``ROUNDS`` of them. So plans stay short, disk holds about one copy of the result
+beside the rounds', and a lost executor costs one round.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.functions.numbering import numbered
 from loomgraph.functions.scratch import materialize
 
+#: Deltas after which what is known is written anew.
+ROUNDS = 8
+
+
+class Known:
+    """What rounds have found so far: a union of written deltas."""
+
+    def __init__(self, first: DataFrame, best: Callable[[DataFrame], DataFrame]):
+        self.deltas, self.best = [first], best
+
+    def all(self) -> DataFrame:
+        out = self.deltas[0]
+        for d in self.deltas[1:]:
+            out = out.unionByName(d)
+        return out
+
+    def add(self, delta: DataFrame) -> None:
+        self.deltas.append(delta)
+        if len(self.deltas) > ROUNDS:
+            self.deltas = [materialize(self.best(self.all()), "known")]
+
+    def result(self) -> DataFrame:
+        return self.best(self.all())
+
 
 def weighted_depth(edges: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, node, depth): the least number of steps from each root, where nodes with ``is_pass`` cost nothing.
@@ -23,17 +49,19 @@ def weighted_depth(edges: DataFrame, nodes: DataFrame, roots: DataFrame) -> Data
     """
     steps = edges.join(nodes, edges["dependent_job"] == nodes["job"]).where(~F.col("is_stop"))
     steps = materialize(steps.select(edges["job"].alias("from"), F.col("dependent_job").alias("to"), F.when(F.col("is_pass"), 0).otherwise(1).alias("w")), "steps")
-    known = materialize(roots.select(F.col("root_job").alias("root"), F.col("root_job").alias("node"), F.lit(0).alias("depth")).distinct(), "depths")
-    frontier = known
+    frontier = roots.select(F.col("root_job").alias("root"), F.col("root_job").alias("node"), F.lit(0).alias("depth")).distinct()
+    known = Known(frontier, lambda df: df.groupBy("root", "node").agg(F.min("depth").alias("depth")))
     while True:
-        reached = frontier.join(steps, frontier["node"] == steps["from"]).groupBy("root", F.col("to").alias("node")).agg(F.min(F.col("depth") + F.col("w")).alias("new"))
-        better = reached.join(known, ["root", "node"], "left").where(F.col("depth").isNull() | (F.col("new") < F.col("depth")))
-        frontier = materialize(better.select("root", "node", F.col("new").alias("depth")), "frontier")
+        reached = frontier.join(steps, frontier["node"] == steps["from"]).groupBy("root", F.col("to").alias("node")).agg(F.min(F.col("depth") + F.col("w")).alias("depth"))
+        old = known.all().toDF("o_root", "o_node", "o_depth")
+        fresh = reached.join(old, (F.col("root") == F.col("o_root")) & (F.col("node") == F.col("o_node")) & (F.col("o_depth") <= F.col("depth")), "left_anti")
+        frontier = materialize(fresh, "frontier")
         if frontier.isEmpty():
             break
-        known = materialize(known.unionByName(frontier).groupBy("root", "node").agg(F.min("depth").alias("depth")), "depths")
+        known.add(frontier)
     flags = nodes.select(F.col("job").alias("node"), "is_pass")
-    return known.join(flags, "node", "left").where((F.col("node") == F.col("root")) | ~F.coalesce("is_pass", F.lit(False))).select("root", "node", F.col("depth").cast("int").alias("depth"))
+    found = known.result().join(flags, "node", "left").where((F.col("node") == F.col("root")) | ~F.coalesce("is_pass", F.lit(False)))
+    return found.select("root", "node", F.col("depth").cast("int").alias("depth"))
 
 
 def reversed_edges(edges: DataFrame) -> DataFrame:
@@ -43,20 +71,23 @@ def reversed_edges(edges: DataFrame) -> DataFrame:
 def closure(edges: DataFrame, starts: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """(start, node, hops): all nodes reachable from each start by at least one edge, and the fewest edges to them."""
     pairs = edges.select(F.col("job").alias("from"), F.col("dependent_job").alias("to")).distinct()
-    known = None
     frontier = starts.select(F.col("job").alias("start"), F.col("job").alias("node")).distinct()
+    known: Known | None = None
     hops = 0
     while most_rounds is None or hops < most_rounds:
         hops += 1
         reached = frontier.join(pairs, frontier["node"] == pairs["from"]).select("start", F.col("to").alias("node")).distinct()
         if known is not None:
-            reached = reached.join(known, ["start", "node"], "left_anti")
-        frontier = materialize(reached, "frontier")
-        if frontier.isEmpty():
+            reached = reached.join(known.all(), ["start", "node"], "left_anti")
+        delta = materialize(reached.withColumn("hops", F.lit(hops)), "frontier")
+        if known is not None and delta.isEmpty():
             break
-        found = frontier.withColumn("hops", F.lit(hops))
-        known = found if known is None else materialize(known.unionByName(found), "closure")
-    return known if known is not None else frontier.withColumn("hops", F.lit(0))
+        if known is None:
+            known = Known(delta, lambda df: df)  # a pair is found once
+        else:
+            known.add(delta)
+        frontier = delta.select("start", "node")
+    return known.result() if known is not None else frontier.withColumn("hops", F.lit(0))
 
 
 def longest_paths(edges: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -67,31 +98,44 @@ def longest_paths(edges: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataF
     cost = nodes.select(F.col("job").alias("to"), F.col("runtime_sec").alias("cost"))
     steps = materialize(edges.select(F.col("job").alias("from"), F.col("dependent_job").alias("to")).join(cost, "to"), "steps")
     frontier = roots.select(F.col("root_job").alias("root"), F.col("root_job").alias("to")).distinct().join(cost, "to").select("root", F.col("to").alias("node"), F.col("cost").alias("total"), F.lit(None).cast("long").alias("parent"))
-    known = frontier = materialize(frontier, "paths")
+
+    def best(df: DataFrame) -> DataFrame:
+        return df.groupBy("root", "node").agg(F.max(F.struct("total", (-F.col("parent")).alias("back"))).alias("b")).select("root", "node", "b.total", (-F.col("b.back")).alias("parent"))
+
+    known = Known(materialize(frontier, "paths"), best)
     for _ in range(nodes.count()):
         one = frontier.join(steps, frontier["node"] == steps["from"]).select("root", F.col("to").alias("node"), (F.col("total") + F.col("cost")).alias("total"), F.col("from").alias("parent"))
-        best = one.groupBy("root", "node").agg(F.max(F.struct("total", (-F.col("parent")).alias("back"))).alias("b"))
-        old = known.select("root", "node", F.col("total").alias("old_total"), F.col("parent").alias("old_parent"))
-        better = best.join(old, ["root", "node"], "left").where(F.col("old_total").isNull() | (F.col("b.total") > F.col("old_total")) | ((F.col("b.total") == F.col("old_total")) & (-F.col("b.back") < F.col("old_parent"))))
-        frontier = materialize(better.select("root", "node", F.col("b.total").alias("total"), (-F.col("b.back")).alias("parent")), "frontier")
+        old = known.all().toDF("o_root", "o_node", "o_total", "o_parent")
+        as_good = (F.col("o_total") > F.col("total")) | ((F.col("o_total") == F.col("total")) & (F.col("o_parent").isNull() | (F.col("o_parent") <= F.col("parent"))))
+        frontier = materialize(best(one).join(old, (F.col("root") == F.col("o_root")) & (F.col("node") == F.col("o_node")) & as_good, "left_anti"), "paths")
         if frontier.isEmpty():
             break
-        known = materialize(known.join(frontier, ["root", "node"], "left_anti").unionByName(frontier), "paths")
-    return known
+        known.add(frontier)
+    return known.result()
+
 
+def critical_path(edges: DataFrame, nodes: DataFrame, roots: DataFrame, at_once: int = 4) -> DataFrame:
+    """(root, step, node, total): the longest path of each root from its root (step 0) to its end.
 
-def critical_path(edges: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """(root, step, node, total): the longest path of each root from its root (step 0) to its end."""
-    paths = longest_paths(edges, nodes, roots)
+    A round walks ``at_once`` parents up; it holds so many rows of each root.
+    """
+    paths = materialize(longest_paths(edges, nodes, roots), "paths")
     ends = paths.groupBy("root").agg(F.max(F.struct("total", (-F.col("node")).alias("back"))).alias("e")).select("root", (-F.col("e.back")).alias("node"))
-    walk = materialize(ends.join(paths, ["root", "node"]).withColumn("up", F.lit(0)), "walk")
-    out = walk
+    walk = ends.join(paths, ["root", "node"]).withColumn("up", F.lit(0))
+    out = None
     while True:
-        parents = walk.select("root", F.col("parent").alias("node"), (F.col("up") + 1).alias("up")).where("node is not null")
-        walk = materialize(parents.join(paths, ["root", "node"]).select(*out.columns), "walk")
+        steps = walk
+        for _ in range(at_once):
+            parents = walk.select("root", F.col("parent").alias("node"), (F.col("up") + 1).alias("up")).where("node is not null")
+            walk = parents.join(paths, ["root", "node"]).select(*steps.columns)
+            steps = steps.unionByName(walk)
+        steps = materialize(steps, "walk")
+        out = steps if out is None else out.unionByName(steps)
+        top = steps.groupBy("root").agg(F.max("up").alias("up"))  # goes on from here
+        walk = steps.join(top, ["root", "up"]).where("parent is not null")
+        walk = walk.select("root", F.col("parent").alias("node"), (F.col("up") + 1).alias("up")).join(paths, ["root", "node"]).select(*steps.columns)
         if walk.isEmpty():
             break
-        out = out.unionByName(walk)
     length = out.groupBy("root").agg(F.max("up").alias("top"))
     return out.join(length, "root").select("root", (F.col("top") - F.col("up")).cast("int").alias("step"), "node", "total")
 
@@ -137,51 +181,47 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return found if found is not None else pairs.toDF("node", "component")
 
 
-def topological_levels(edges: DataFrame, most_rounds: int) -> DataFrame:
-    """(node, level): the largest number of edges of a path that ends in the node; nodes without edges are absent."""
-    pairs = edges.select(F.col("job").alias("a"), F.col("dependent_job").alias("b")).distinct()
-    levels = materialize(pairs.select(F.col("a").alias("node")).unionByName(pairs.select("b").toDF("node")).distinct().withColumn("level", F.lit(0)), "levels")
-    frontier = levels
-    for _ in range(most_rounds):
-        met = pairs.join(frontier, pairs["a"] == frontier["node"]).groupBy("b").agg((F.max("level") + 1).alias("new"))
-        frontier = materialize(met.join(levels, met["b"] == levels["node"]).where("new > level").select("node", F.col("new").alias("level")), "frontier")
-        if frontier.isEmpty():
+def topological_levels(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(node, level): the largest number of edges of a path that ends in the node. ``nodes`` (node) defaults to the edges' ends.
+
+    Rounds take away the nodes that no remaining edge ends in, and their edges; the rest, on or behind a cycle, has no level.
+    """
+    left = materialize(edges.select(F.col("job").alias("a"), F.col("dependent_job").alias("b")).distinct(), "pairs")
+    every = left.select(F.col("a").alias("node")).unionByName(left.select("b").toDF("node")).distinct() if nodes is None else nodes.select("node").distinct()
+    waiting = every.join(left.select(F.col("b").alias("node")), "node", "left_semi")
+    ready = materialize(every.join(left.select(F.col("b").alias("node")), "node", "left_anti"), "ready")
+    found, level = [ready.withColumn("level", F.lit(0))], 0
+    while True:
+        level += 1
+        gone = ready.select(F.col("node").alias("a"))
+        touched = left.join(gone, "a", "left_semi").select(F.col("b").alias("node")).distinct()
+        left = materialize(left.join(gone, "a", "left_anti"), "pairs")
+        ready = materialize(touched.join(left.select(F.col("b").alias("node")), "node", "left_anti"), "ready")
+        if ready.isEmpty():
             break
-        levels = materialize(levels.unionByName(frontier).groupBy("node").agg(F.max("level").alias("level")), "levels")
-    return levels.select("node", F.col("level").cast("int").alias("level"))
+        found.append(ready.withColumn("level", F.lit(level)))
+        if len(found) > ROUNDS:
+            found = [materialize(union_of(found), "levels")]
+    stuck = waiting.join(union_of(found), "node", "left_anti").withColumn("level", F.lit(None).cast("int")) if not left.isEmpty() else None
+    return union_of(found if stuck is None else [*found, stuck]).select("node", F.col("level").cast("int").alias("level"))
+
+
+def union_of(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
-def ready_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(rpt, node, step): Kahn's order of each report, of ready nodes the deepest first, then by category rank and id.
+def execution_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(rpt, node, step): a topological order of each report: by level, the deepest first, then by category rank and id.
 
-    The order is a priority queue, so a report's graph is handled in one task; reports are of bounded size, and the
-    levels above are the distributed form. Nodes on cycles come last, by id.
+    ``nodes`` has (rpt, node, depth, rank), ``edges`` (rpt, source, target). Nodes on or behind cycles come last. Steps are
+    numbered by a range sort of all reports, so a report of any size is spread over many tasks.
     """
-    import heapq
-
-    rows = nodes.select("rpt", "node", "depth", "rank", F.lit(None).cast("long").alias("to")).unionByName(edges.select("rpt", F.col("source").alias("node"), F.lit(None).cast("int").alias("depth"), F.lit(None).cast("int").alias("rank"), F.col("target").alias("to")))
-
-    def order(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf[pdf["to"].isna()].drop_duplicates("node").set_index("node")
-        key = {n: (-int(d), int(r), int(n)) for n, d, r in zip(own.index, own["depth"], own["rank"])}
-        after: dict[int, list[int]] = {}
-        waits = dict.fromkeys(key, 0)
-        links = pdf[pdf["to"].notna()]
-        for a, b in {(int(a), int(b)) for a, b in zip(links["node"], links["to"])}:
-            if a in key and b in key:
-                after.setdefault(a, []).append(b)
-                waits[b] += 1
-        ready = [key[n] for n, w in waits.items() if w == 0]
-        heapq.heapify(ready)
-        done = []
-        while ready:
-            n = heapq.heappop(ready)[2]
-            done.append(n)
-            for b in after.get(n, ()):
-                waits[b] -= 1
-                if waits[b] == 0:
-                    heapq.heappush(ready, key[b])
-        done += sorted(set(key) - set(done))
-        return pd.DataFrame({"rpt": pdf["rpt"].iloc[0], "node": done, "step": range(1, len(done) + 1)})
-
-    return rows.groupBy("rpt").applyInPandas(order, "rpt string, node long, step int")
+    key = lambda c: F.concat_ws("|", "rpt", F.col(c).cast("string"))
+    known = nodes.groupBy("rpt", "node").agg(F.min("depth").alias("depth"), F.min("rank").alias("rank")).withColumn("key", key("node"))
+    levels = topological_levels(edges.select(key("source").alias("job"), key("target").alias("dependent_job")), known.select(F.col("key").alias("node")))
+    ranked = known.join(levels.toDF("key", "level"), "key")
+    order = [F.asc_nulls_last("level"), F.desc("depth"), F.asc("rank"), F.asc("node")]
+    return numbered(ranked, "rpt", order, "step").select("rpt", "node", "step")

@@ -149,11 +149,11 @@ def f14(fx):
     return by.where("not awaited and not report").select("tbl", F.when(F.col("base"), "MEDIUM").otherwise("HIGH").alias("risk"), "n_writers")
 
 
-@query("f16_wide_views", "SELECT e.dependent_job AS mv, count(*) AS n_children FROM fx_edges e JOIN fx_jobs n ON n.job = e.dependent_job AND n.category = 'MV' GROUP BY 1 HAVING count(*) >= 2")
+@query("f16_wide_views", "SELECT e.job AS mv, count(*) AS n_children FROM fx_edges e JOIN fx_jobs n ON n.job = e.job AND n.category = 'MV' GROUP BY 1 HAVING count(*) >= 5")
 def f16(fx):
-    """Views that many jobs wait for."""
-    views = fx["fx_jobs"].where("category = 'MV'").select(F.col("job").alias("dependent_job"))
-    return fx["fx_edges"].join(views, "dependent_job", "left_semi").groupBy(F.col("dependent_job").alias("mv")).agg(F.count(F.lit(1)).alias("n_children")).where("n_children >= 2")
+    """Views with five jobs or more below them."""
+    views = fx["fx_jobs"].where("category = 'MV'").select("job")
+    return fx["fx_edges"].join(views, "job", "left_semi").groupBy(F.col("job").alias("mv")).agg(F.count(F.lit(1)).alias("n_children")).where("n_children >= 5")
 
 
 _MAPPED = "SELECT job % 8 AS job, concat('S', CAST(pos % 3 AS VARCHAR)) AS src_table, tgt_table, src_col, 'C1' AS tgt_col FROM fx_lineage"
@@ -236,15 +236,15 @@ def f10(fx):
 
 
 @query("f12_finding_jobs", """
-WITH f AS (SELECT pos, CASE WHEN pos % 3 = 0 THEN target_table ELSE concat('TBL_', CAST(pos % 45 AS VARCHAR), '_X') END AS script FROM fx_recs WHERE pos % 7 = 1),
-t AS (SELECT DISTINCT tbl FROM fx_writes WHERE length(tbl) <= 6)
+WITH f AS (SELECT pos, CASE WHEN pos % 3 = 0 THEN target_table ELSE concat('TBL_', CAST(pos % 45 AS VARCHAR), '_X') END AS script FROM fx_recs),
+t AS (SELECT DISTINCT tbl FROM fx_writes)
 SELECT f.pos, min(CASE WHEN t.tbl = f.script THEN 0 WHEN contains(f.script, t.tbl) THEN 1 END) AS rank, coalesce(arg_min(t.tbl, CASE WHEN t.tbl = f.script THEN 0 ELSE 1000 - length(t.tbl) END), 'UNMAPPED') AS tbl FROM f LEFT JOIN t ON t.tbl = f.script OR contains(f.script, concat(t.tbl, '_')) GROUP BY f.pos
 """)
 def f12(fx):
     """The table that a finding's script means: by name, else the longest that begins it; equi-joins on both."""
     script = F.when(F.col("pos") % 3 == 0, F.col("target_table")).otherwise(F.concat(F.lit("TBL_"), (F.col("pos") % 45).cast("string"), F.lit("_X")))
-    found = fx["fx_recs"].where("pos % 7 = 1").select("pos", script.alias("script"))
-    tables = fx["fx_writes"].where("length(tbl) <= 6").select("tbl").distinct()
+    found = fx["fx_recs"].select("pos", script.alias("script"))
+    tables = fx["fx_writes"].select("tbl").distinct()
     parts = F.split("script", "_")
     keys = found.select("pos", F.posexplode(F.array("script", F.concat_ws("_", F.slice(parts, 1, 2)))).alias("rank", "tbl"))
     hits = keys.join(tables, "tbl").groupBy("pos").agg(F.min("rank").alias("rank"), F.min_by("tbl", "rank").alias("tbl"))

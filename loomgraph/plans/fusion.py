@@ -142,11 +142,11 @@ def d07(fx):
 _DEPTHS = _DEPTH.format(frm="job", to="dependent_job", more="").strip()
 
 
-@query("d08_attach_depth", f"SELECT r.rpt, n.job, d.depth FROM fx_roots r CROSS JOIN (SELECT job FROM fx_jobs WHERE job % 3 = 0) n LEFT JOIN ({_DEPTHS}) d ON d.root = r.root_job AND d.node = n.job")
+@query("d08_attach_depth", f"SELECT r.rpt, n.job, d.depth FROM fx_roots r CROSS JOIN (SELECT job FROM fx_jobs) n LEFT JOIN ({_DEPTHS}) d ON d.root = r.root_job AND d.node = n.job")
 def d08(fx):
     """The depth of each job in each report, null where it isn't reached. The five reports are the small side."""
     depth = graph.weighted_depth(fx["fx_edges"], fx["fx_jobs"], fx["fx_roots"])
-    jobs = fx["fx_jobs"].where("job % 3 = 0").select("job", F.explode(F.array(*[F.lit(i) for i in range(5)])).alias("i"))
+    jobs = fx["fx_jobs"].select("job", F.explode(F.array(*[F.lit(i) for i in range(5)])).alias("i"))
     roots = fx["fx_roots"].withColumn("i", (F.col("root_job") - 1).cast("int"))
     return jobs.join(roots, "i").join(depth, (F.col("root") == F.col("root_job")) & (F.col("node") == F.col("job")), "left").select("rpt", "job", "depth")
 
@@ -227,16 +227,17 @@ def d17(fx):
 
 
 @query("d19_view_expansion", """
-WITH RECURSIVE def AS (SELECT DISTINCT concat('SRC_', CAST(job % 60 AS VARCHAR)) AS view, concat('SRC_', CAST(dependent_job % 60 AS VARCHAR)) AS source FROM fx_edges WHERE job < 40),
-seed AS (SELECT concat('RPT_', CAST(job % 3 AS VARCHAR)) AS rpt, src_table AS view, CAST(min(job % 4) AS INTEGER) AS depth FROM fx_lineage WHERE src_table IN ('SRC_1', 'SRC_7') GROUP BY ALL),
+WITH RECURSIVE def AS (SELECT DISTINCT concat('SRC_', CAST(job % 60 AS VARCHAR)) AS view, concat('SRC_', CAST(dependent_job % 60 AS VARCHAR)) AS source FROM fx_edges),
+seed AS (SELECT concat('RPT_', CAST(job % 3 AS VARCHAR)) AS rpt, src_table AS view, CAST(min(job % 4) AS INTEGER) AS depth FROM fx_lineage WHERE src_table IN (SELECT view FROM def) GROUP BY ALL),
 v(rpt, view, depth) AS (SELECT rpt, view, depth FROM seed UNION SELECT v.rpt, d.source, v.depth + 1 FROM v JOIN def d ON d.view = v.view WHERE d.source IN (SELECT view FROM def) AND v.depth < 60)
 SELECT rpt, view, CAST(min(depth) AS INTEGER) AS depth FROM v GROUP BY rpt, view
 """)
 def d19(fx):
     """Views used by the report and, step by step, by its views."""
     name = lambda c: F.concat(F.lit("SRC_"), (F.col(c) % 60).cast("string"))
-    definitions = fx["fx_edges"].where("job < 40").select(name("job").alias("view"), name("dependent_job").alias("source")).distinct()
-    seeds = fx["fx_lineage"].where(F.col("src_table").isin("SRC_1", "SRC_7")).select(F.concat(F.lit("RPT_"), (F.col("job") % 3).cast("string")).alias("rpt"), F.col("src_table").alias("view"), (F.col("job") % 4).cast("int").alias("depth"))
+    definitions = fx["fx_edges"].select(name("job").alias("view"), name("dependent_job").alias("source")).distinct()
+    views = definitions.select(F.col("view").alias("src_table")).distinct()
+    seeds = fx["fx_lineage"].join(views, "src_table", "left_semi").select(F.concat(F.lit("RPT_"), (F.col("job") % 3).cast("string")).alias("rpt"), F.col("src_table").alias("view"), (F.col("job") % 4).cast("int").alias("depth"))
     return fusion.expand_views(seeds, definitions)
 
 
@@ -248,12 +249,12 @@ def d20(fx):
 
 
 @query("d21_column_pairs", """
-WITH r AS (SELECT pos, concat(src_col, ',K9') AS s, concat(tgt_col, ',X,Y') AS t FROM fx_lineage WHERE tgt_table = 'TBL_3')
+WITH r AS (SELECT pos, concat(src_col, ',K9') AS s, concat(tgt_col, ',X,Y') AS t FROM fx_lineage)
 SELECT pos, CAST(i - 1 AS INTEGER) AS at, coalesce(trim(string_split(s, ',')[i]), '') AS source_column, trim(string_split(t, ',')[i]) AS target_column FROM r, (SELECT unnest([1, 2, 3]) AS i)
 """)
 def d21(fx):
     """Columns paired by place."""
-    rows = fx["fx_lineage"].where("tgt_table = 'TBL_3'").select("pos", F.concat("src_col", F.lit(",K9")).alias("s"), F.concat("tgt_col", F.lit(",X,Y")).alias("t"))
+    rows = fx["fx_lineage"].select("pos", F.concat("src_col", F.lit(",K9")).alias("s"), F.concat("tgt_col", F.lit(",X,Y")).alias("t"))
     return fusion.paired_columns(rows, "s", "t").select("pos", "at", "source_column", "target_column")
 
 
@@ -314,10 +315,10 @@ def d06(fx):
     return fx["fx_jobs"].select("job", F.coalesce(pair, F.when(F.col("job") % 2 == 0, F.col("sql_object")), F.col("job_name")).alias("full_object"))
 
 
-@query("d11_forward_consumers", _DEPTH.format(frm="dependent_job", to="job", more="AND r.node <> r.root AND r.node NOT IN (SELECT job FROM fx_reads)").replace("root_job, root_job, 0 FROM fx_roots", "job, job, 0 FROM fx_jobs WHERE job % 211 = 7"))
+@query("d11_forward_consumers", _DEPTH.format(frm="dependent_job", to="job", more="AND r.node <> r.root AND r.node NOT IN (SELECT job FROM fx_reads)").replace("root_job, root_job, 0 FROM fx_roots", "job, job, 0 FROM fx_jobs"))
 def d11(fx):
     """Consumers that the schema lacks, with their forward depth."""
-    starts = fx["fx_jobs"].where("job % 211 = 7").select(F.col("job").alias("root_job"))
+    starts = fx["fx_jobs"].select(F.col("job").alias("root_job"))
     depth = graph.weighted_depth(graph.reversed_edges(fx["fx_edges"]), fx["fx_jobs"], starts).where("node <> root")
     return depth.join(fx["fx_reads"].select(F.col("job").alias("node")), "node", "left_anti").select("root", "node", "depth")
 

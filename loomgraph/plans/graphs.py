@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomgraph.functions.columns import joined
+from loomgraph.functions.numbering import numbered
 from loomgraph.operators import graph
 
 from .registry import query
@@ -18,7 +19,6 @@ WITH RECURSIVE r(root, node, depth) AS (
 SELECT root, node, CAST(min(depth) AS INTEGER) AS depth FROM r JOIN fx_jobs n ON n.job = r.node
 WHERE (r.node = r.root OR NOT n.is_pass) {more} GROUP BY root, node
 """
-_STARTS = "(SELECT DISTINCT job FROM fx_jobs WHERE job % 97 = 5)"
 
 
 @query("g01_backward_depth", _DEPTH.format(frm="job", to="dependent_job", more=""))
@@ -27,10 +27,10 @@ def g01(fx):
     return graph.weighted_depth(fx["fx_edges"], fx["fx_jobs"], fx["fx_roots"])
 
 
-@query("g02_forward_depth", _DEPTH.format(frm="dependent_job", to="job", more="AND r.node <> r.root").replace("root_job, root_job, 0 FROM fx_roots", "job, job, 0 FROM fx_jobs WHERE job % 97 = 5"))
+@query("g02_forward_depth", _DEPTH.format(frm="dependent_job", to="job", more="AND r.node <> r.root").replace("root_job, root_job, 0 FROM fx_roots", "job, job, 0 FROM fx_jobs"))
 def g02(fx):
     """Depth of all consumers of a job, itself left out."""
-    starts = fx["fx_jobs"].where("job % 97 = 5").select(F.col("job").alias("root_job"))
+    starts = fx["fx_jobs"].select(F.col("job").alias("root_job"))
     return graph.weighted_depth(graph.reversed_edges(fx["fx_edges"]), fx["fx_jobs"], starts).where("node <> root")
 
 
@@ -94,7 +94,7 @@ def g07(fx):
 
 _CLOSURE = """
 WITH RECURSIVE c(start, node) AS (
-  SELECT s.job, e.{to} FROM (SELECT DISTINCT job FROM fx_jobs WHERE job % 97 = 5) s JOIN fx_edges e ON e.{frm} = s.job
+  SELECT s.job, e.{to} FROM (SELECT DISTINCT job FROM fx_jobs) s JOIN fx_edges e ON e.{frm} = s.job
   UNION SELECT c.start, e.{to} FROM c JOIN fx_edges e ON e.{frm} = c.node)
 SELECT '{way}' AS way, start, node FROM c
 """
@@ -103,14 +103,14 @@ SELECT '{way}' AS way, start, node FROM c
 @query("g08_closure", _CLOSURE.format(frm="job", to="dependent_job", way="up"))
 def g08(fx):
     """All jobs that a job needs, directly or not."""
-    found = graph.closure(fx["fx_edges"], fx["fx_jobs"].where("job % 97 = 5"))
+    found = graph.closure(fx["fx_edges"], fx["fx_jobs"])
     return found.select(F.lit("up").alias("way"), "start", "node")
 
 
 @query("g08_closure_down", _CLOSURE.format(frm="dependent_job", to="job", way="down"))
 def g08_down(fx):
     """All jobs that need a job."""
-    found = graph.closure(graph.reversed_edges(fx["fx_edges"]), fx["fx_jobs"].where("job % 97 = 5"))
+    found = graph.closure(graph.reversed_edges(fx["fx_edges"]), fx["fx_jobs"])
     return found.select(F.lit("down").alias("way"), "start", "node")
 
 
@@ -122,16 +122,24 @@ SELECT node, CAST(max(level) AS INTEGER) AS level FROM p GROUP BY node
 """)
 def g09(fx):
     """Longest distance of each job from the jobs that nothing needs."""
-    return graph.topological_levels(fx["fx_edges"], 10_000)
+    return graph.topological_levels(fx["fx_edges"])
 
 
-@query("g09_topological_order")
+_RANK = "CASE category WHEN 'REF' THEN 0 WHEN 'STG' THEN 1 WHEN 'DIM' THEN 2 WHEN 'FCT' THEN 3 WHEN 'MV' THEN 4 WHEN 'RPT' THEN 5 ELSE 6 END"
+
+
+@query("g09_topological_order", _NODE_CTE + f""",
+se AS (SELECT a.rpt, e.dependent_job AS source, e.job AS target FROM fx_edges e JOIN nodes a ON a.node = e.dependent_job JOIN nodes b ON b.rpt = a.rpt AND b.node = e.job),
+lv(rpt, node, level) AS (SELECT rpt, node, 0 FROM nodes UNION SELECT lv.rpt, se.target, lv.level + 1 FROM lv JOIN se ON se.rpt = lv.rpt AND se.source = lv.node),
+m AS (SELECT rpt, node, max(level) AS level FROM lv GROUP BY rpt, node)
+SELECT m.rpt, m.node, row_number() OVER (PARTITION BY m.rpt ORDER BY level, depth DESC, {_RANK}, m.node) AS step FROM m JOIN nodes n ON n.rpt = m.rpt AND n.node = m.node JOIN fx_jobs j ON j.job = m.node
+""")
 def g09_order(fx):
-    """Execution order of each report: producers first, the deepest of the ready jobs before others."""
+    """Execution order of each report: producers first, the deepest of a level before others."""
     nodes = report_nodes(fx)
     rank = F.when(F.col("category") == "REF", 0).when(F.col("category") == "STG", 1).when(F.col("category") == "DIM", 2).when(F.col("category") == "FCT", 3).when(F.col("category") == "MV", 4).when(F.col("category") == "RPT", 5).otherwise(6)
     ranked = nodes.join(fx["fx_jobs"].select(F.col("job").alias("node"), rank.alias("rank")), "node")
-    return graph.ready_order(ranked, scoped_edges(fx["fx_edges"], nodes))
+    return graph.execution_order(ranked, scoped_edges(fx["fx_edges"], nodes))
 
 
 @query("g10_critical_path", """
@@ -235,11 +243,9 @@ def g18(fx):
 
 @query("g19_dictionary_codes", "SELECT src_table, CAST(dense_rank() OVER (ORDER BY src_table) - 1 AS BIGINT) AS code FROM (SELECT DISTINCT src_table FROM fx_lineage)")
 def g19(fx):
-    """Numbers for the distinct tables, in order. The dictionary has a row per table name, and that alone is ranked."""
-    from pyspark.sql import Window
-
-    names = fx["fx_lineage"].select("src_table").distinct()
-    return names.select("src_table", (F.row_number().over(Window.orderBy("src_table")) - 1).cast("long").alias("code"))
+    """Numbers for the distinct tables, in order."""
+    names = fx["fx_lineage"].select("src_table").distinct().withColumn("all", F.lit(0))
+    return numbered(names, "all", [F.asc("src_table")], "code").select("src_table", (F.col("code") - 1).alias("code"))
 
 
 @query("g20_cycles", """
@@ -253,10 +259,10 @@ def g20(fx):
 
 @query("g21_bounded_reach", """
 WITH RECURSIVE c(start, node, hops) AS (
-  SELECT e.job, e.dependent_job, 1 FROM fx_edges e WHERE e.job % 97 = 5
+  SELECT e.job, e.dependent_job, 1 FROM fx_edges e
   UNION SELECT c.start, e.dependent_job, c.hops + 1 FROM c JOIN fx_edges e ON e.job = c.node WHERE c.hops < 4)
 SELECT start, node, CAST(min(hops) AS INTEGER) AS hops FROM c GROUP BY start, node
 """)
 def g21(fx):
     """What a job reaches in four steps or fewer."""
-    return graph.closure(fx["fx_edges"], fx["fx_jobs"].where("job % 97 = 5"), most_rounds=4)
+    return graph.closure(fx["fx_edges"], fx["fx_jobs"], most_rounds=4)

@@ -70,15 +70,21 @@ def h06(fx):
 
 
 @query("h07_supporting_evidence", """
-WITH j AS (SELECT pos, category, rpt, job_a AS job FROM fx_recs WHERE pos % 10 = 0 UNION SELECT pos, category, rpt, job_b FROM fx_recs WHERE pos % 10 = 0)
+WITH j AS (SELECT pos, category, rpt, job_a AS job FROM fx_recs UNION SELECT pos, category, rpt, job_b FROM fx_recs)
 SELECT a.pos, count(DISTINCT b.pos) AS n_supporting FROM j a JOIN j b ON a.rpt = b.rpt AND a.job = b.job WHERE NOT starts_with(a.category, 'F.') AND starts_with(b.category, 'F.') GROUP BY a.pos
 """)
 def h07(fx):
-    """How many suggested findings share a job with a verified one."""
-    each = recs(fx).where("pos % 10 = 0").select("pos", "category", "rpt", F.explode("jobs").alias("job"))
-    hard = each.where(~F.col("category").startswith("F.")).drop("category")
-    soft = each.where(F.col("category").startswith("F.")).select("rpt", "job", F.col("pos").alias("other"))
-    return hard.join(soft, ["rpt", "job"]).groupBy("pos").agg(F.count_distinct("other").alias("n_supporting"))
+    """How many suggested findings share a job with a verified one.
+
+    Findings have one or two jobs, so those with either are those with the one, and with the other, less those with both:
+    suggested findings are counted by job and by pair of jobs, and never stand beside each verified one.
+    """
+    jobs = F.array_sort("jobs")
+    some = F.when(F.size("jobs") == 2, F.array(F.array(jobs[0]), F.array(jobs[1]), jobs)).otherwise(F.array(jobs))
+    each = recs(fx).select("pos", F.col("category").startswith("F.").alias("soft"), "rpt", F.explode(some).alias("held"))
+    soft = each.where("soft").groupBy("rpt", "held").agg(F.count(F.lit(1)).alias("n"))
+    sign = F.when(F.size("held") == 2, -1).otherwise(1)
+    return each.where("not soft").join(soft, ["rpt", "held"]).groupBy("pos").agg(F.sum(F.col("n") * sign).alias("n_supporting"))
 
 
 @query("h08_scores", f"""
@@ -91,7 +97,7 @@ def h08(fx):
 
 @query("h09_what_if", f"""
 WITH RECURSIVE d AS ({_DEPTH.format(frm="job", to="dependent_job", more="").strip()}),
-gone AS (SELECT DISTINCT greatest(job_a, job_b) AS job FROM fx_recs WHERE hops > 2 AND pos % 50 = 3 AND job_a <> job_b AND greatest(job_a, job_b) NOT IN (SELECT root_job FROM fx_roots)),
+gone AS (SELECT DISTINCT greatest(job_a, job_b) AS job FROM fx_recs WHERE hops > 2 AND job_a <> job_b AND greatest(job_a, job_b) NOT IN (SELECT root_job FROM fx_roots)),
 l AS (SELECT job, dependent_job FROM fx_edges WHERE job NOT IN (SELECT job FROM gone) AND dependent_job NOT IN (SELECT job FROM gone)),
 c(root, node) AS (SELECT root_job, root_job FROM fx_roots UNION SELECT c.root, l.dependent_job FROM c JOIN l ON l.job = c.node)
 SELECT b.root, n_before, depth_before, n_after, depth_after FROM (SELECT root, count(*) AS n_before, max(depth) AS depth_before FROM d GROUP BY root) b
@@ -100,7 +106,7 @@ JOIN (SELECT c.root, count(*) AS n_after, max(depth) AS depth_after FROM c JOIN
 def h09(fx):
     """What the reports still reach when the redundant jobs are gone."""
     depth = graph.weighted_depth(fx["fx_edges"], fx["fx_jobs"], fx["fx_roots"])
-    return programme.what_if(recs(fx).where("hops > 2 and pos % 50 = 3"), fx["fx_edges"], depth)
+    return programme.what_if(recs(fx).where("hops > 2"), fx["fx_edges"], depth)
 
 
 @query("h10_category_totals", "SELECT category, rpt, count(*) AS n, sum(hops) AS hops, count(DISTINCT target_table) AS n_targets FROM fx_recs GROUP BY GROUPING SETS ((category, rpt), (category), ())")
@@ -198,10 +204,10 @@ def i12(fx):
     return by.join(most, "sql_object")
 
 
-@query("i13_local_and_global", f"SELECT rpt, count(DISTINCT target_table) FILTER (WHERE d = 'EXECUTE_GLOBAL_PROGRAM') AS n_global, count(DISTINCT target_table) FILTER (WHERE g = 0) AS n_local FROM (SELECT *, {_POLICY} AS d, max(CASE WHEN {_POLICY} = 'EXECUTE_GLOBAL_PROGRAM' THEN 1 ELSE 0 END) OVER (PARTITION BY rpt, target_table) AS g FROM fx_recs WHERE pos % 40 = 7) GROUP BY rpt")
+@query("i13_local_and_global", f"SELECT rpt, count(DISTINCT target_table) FILTER (WHERE d = 'EXECUTE_GLOBAL_PROGRAM') AS n_global, count(DISTINCT target_table) FILTER (WHERE g = 0) AS n_local FROM (SELECT *, {_POLICY} AS d, max(CASE WHEN {_POLICY} = 'EXECUTE_GLOBAL_PROGRAM' THEN 1 ELSE 0 END) OVER (PARTITION BY rpt, target_table) AS g FROM fx_recs) GROUP BY rpt")
 def i13(fx):
     """Tables of each report with a global finding, and those with local ones alone."""
-    marked = fx["fx_recs"].where("pos % 40 = 7").select("rpt", "target_table", (programme.policy(F.col("category")) == "EXECUTE_GLOBAL_PROGRAM").alias("g"))
+    marked = fx["fx_recs"].select("rpt", "target_table", (programme.policy(F.col("category")) == "EXECUTE_GLOBAL_PROGRAM").alias("g"))
     by = marked.groupBy("rpt", "target_table").agg(F.bool_or("g").alias("g"))
     return by.groupBy("rpt").agg(F.count_if("g").alias("n_global"), F.count_if(~F.col("g")).alias("n_local"))
 

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
 from loomgraph.functions.columns import strip_alias, strip_schema
-from loomgraph.functions.scratch import shared_dir
+from loomgraph.functions.scratch import scratch_path
 from loomgraph.operators import fusion
 from loomgraph.sources import workbooks
 
@@ -15,7 +14,7 @@ from .registry import query
 
 
 def _place(fx, name):
-    return f"{shared_dir(fx.spark)}/loomgraph/{name}-{uuid.uuid4().hex}"
+    return scratch_path(fx.spark, name)
 
 
 _NATIONS = "SELECT CAST(n_regionkey AS VARCHAR) AS region, n_name AS nation, CAST(n_nationkey AS VARCHAR) AS number FROM nation"
@@ -67,12 +66,12 @@ def a14(fx):
     return fusion.precedence_merge(fx["fx_edge_supp"], fx["fx_edge_log"].drop("params"), keys).select(*keys).distinct()
 
 
-@query("a16_graph_json", "SELECT 'G' || CAST(job % 4 AS VARCHAR) AS rpt, job AS source, dependent_job AS target FROM fx_edges WHERE job < 50")
+@query("a16_graph_json", "SELECT 'G' || CAST(job % 4 AS VARCHAR) AS rpt, job AS source, dependent_job AS target FROM fx_edges")
 def a16(fx):
-    """Graphs written as JSON, a map of reports, read back as relations."""
+    """Graphs written as JSON, a map of reports, read back as relations. A graph is written in parts of some thousand links."""
     path = _place(fx, "graphs")
-    links = fx["fx_edges"].where("job < 50").select(F.concat(F.lit("G"), (F.col("job") % 4).cast("string")).alias("rpt"), F.struct(F.col("job").alias("source"), F.col("dependent_job").alias("target")).alias("link"))
-    graphs = links.groupBy("rpt").agg(F.collect_list("link").alias("links"))
+    links = fx["fx_edges"].select(F.concat(F.lit("G"), (F.col("job") % 4).cast("string")).alias("rpt"), F.floor(F.col("job") / 5000).alias("part"), F.struct(F.col("job").alias("source"), F.col("dependent_job").alias("target")).alias("link"))
+    graphs = links.groupBy("rpt", "part").agg(F.collect_list("link").alias("links"))
     graphs.select(F.create_map("rpt", F.struct("links")).alias("graphs")).write.json(path)
     read = fx.spark.read.schema("graphs map<string, struct<links: array<struct<source: long, target: long>>>>").json(path)
     return read.select(F.explode("graphs").alias("rpt", "g")).select("rpt", F.explode("g.links").alias("l")).select("rpt", "l.source", "l.target")

@@ -147,8 +147,8 @@ def c26(fx):
 
 
 @query("c19_column_trace", """
-WITH RECURSIVE l AS (SELECT DISTINCT concat('N', CAST(dependent_job AS VARCHAR)) AS tgt, concat('N', CAST(job AS VARCHAR)) AS src FROM fx_edges WHERE dependent_job < 300),
-t(start, node, hops) AS (SELECT tgt, src, 1 FROM l WHERE tgt IN (SELECT concat('N', CAST(job AS VARCHAR)) FROM fx_jobs WHERE job % 11 = 7) UNION SELECT t.start, l.src, t.hops + 1 FROM t JOIN l ON l.tgt = t.node)
+WITH RECURSIVE l AS (SELECT DISTINCT concat('N', CAST(dependent_job AS VARCHAR)) AS tgt, concat('N', CAST(job AS VARCHAR)) AS src FROM fx_edges),
+t(start, node) AS (SELECT tgt, src FROM l UNION SELECT t.start, l.src FROM t JOIN l ON l.tgt = t.node)
 SELECT DISTINCT start, node AS source FROM t WHERE node NOT IN (SELECT tgt FROM l)
 """)
 def c19(fx):
@@ -156,9 +156,8 @@ def c19(fx):
     from loomgraph.operators.graph import closure
 
     name = lambda c: F.concat(F.lit("N"), F.col(c).cast("string"))
-    links = fx["fx_edges"].where("dependent_job < 300").select(name("dependent_job").alias("job"), name("job").alias("dependent_job")).distinct()
-    starts = fx["fx_jobs"].where("job % 11 = 7").select(name("job").alias("job"))
-    found = closure(links, starts).select("start", F.col("node").alias("source"))
+    links = fx["fx_edges"].select(name("dependent_job").alias("job"), name("job").alias("dependent_job")).distinct()
+    found = closure(links, links.select("job")).select("start", F.col("node").alias("source"))
     return found.join(links.select(F.col("job").alias("source")).distinct(), "source", "left_anti").select("start", "source").distinct()
 
 

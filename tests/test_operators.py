@@ -46,14 +46,31 @@ def test_critical_path(spark):
 
 def test_topological_levels_rise_along_edges(spark):
     e = edges(spark, (0, 1), (0, 2), (1, 2), (2, 3))
-    level = {r.node: r.level for r in graph.topological_levels(e, 10).collect()}
+    level = {r.node: r.level for r in graph.topological_levels(e).collect()}
     assert all(level[r.job] < level[r.dependent_job] for r in e.collect())
 
 
 def test_order_puts_cycles_last(spark):
     nodes = spark.createDataFrame([("r", i, 5 - i, 0) for i in range(4)], "rpt string, node long, depth int, rank int")
     links = spark.createDataFrame([("r", 3, 0), ("r", 1, 2), ("r", 2, 1)], "rpt string, source long, target long")
-    assert [r.node for r in graph.ready_order(nodes, links).orderBy("step").collect()] == [3, 0, 1, 2]
+    assert [(r.step, r.node) for r in graph.execution_order(nodes, links).orderBy("step").collect()] == [(1, 3), (2, 0), (3, 1), (4, 2)]
+
+
+def test_numbers_over_many_partitions(spark):
+    from loomgraph.functions.numbering import numbered
+
+    rows = spark.range(500).select((F.col("id") % 3).alias("g"), F.col("id").alias("v")).repartition(7)
+    found = numbered(rows, "g", [F.desc("v")], "n").collect()
+    assert {(r.g, r.v, r.n) for r in found} == {(g, v, i + 1) for g in range(3) for i, v in enumerate(sorted((x for x in range(500) if x % 3 == g), reverse=True))}
+
+
+def test_loops_compact_their_deltas(spark, monkeypatch):
+    monkeypatch.setattr(graph, "ROUNDS", 2)
+    e = edges(spark, *[(i, i + 1) for i in range(9)], (0, 9))
+    assert {(r.node, r.depth) for r in graph.weighted_depth(e, jobs(spark, 10), roots(spark, 0)).collect()} == {(i, min(i, 1 if i == 9 else i)) for i in range(10)}
+    assert {(r.start, r.node, r.hops) for r in graph.closure(e, jobs(spark, 1).select("job")).collect()} == {(0, i, 1 if i == 9 else i) for i in range(1, 10)}
+    assert [r.node for r in graph.critical_path(e, jobs(spark, 10), roots(spark, 0), at_once=2).orderBy("step").collect()] == list(range(10))
+    assert {(r.node, r.level) for r in graph.topological_levels(e).collect()} == {(i, i) for i in range(10)}
 
 
 def test_latest_edges_fill_each_column_by_itself(spark):
