@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomgraph.operators import scripts
+from loomgraph.operators import packages, scripts
 
 from .registry import query
 
@@ -307,3 +307,74 @@ def c08(fx):
     body = F.when(F.col("p_size") % 2 == 0, "CREATE OR REPLACE VIEW own.v1 (a, b) AS select 1 from x;").otherwise("create materialized view m1 BUILD IMMEDIATE REFRESH COMPLETE as select 1 from x;")
     found = scripts.matches(fx["part"].select(F.col("p_partkey").alias("script"), body.alias("body")), r"(?is)\bCREATE\s+(?:OR\s+REPLACE\s+)?(?:MATERIALIZED\s+)?VIEW\s+([\w.]+).*?\bAS\s+(SELECT\b.*?);", "view", "query")
     return found.select("script", scripts.clean_table(F.col("view")).alias("view"), "query")
+
+# Package bodies and shell scripts of several shapes. The oracles read the same texts by regular expressions and windows.
+_LINES = """
+l AS (SELECT script, name, i AS line, string_split(body, chr(10))[i] AS text FROM (SELECT script, name, body, unnest(range(1, len(string_split(body, chr(10))) + 1)) AS i FROM fx_packages)),
+s AS (SELECT *, contains(text, '*/') AS closing, coalesce(last_value(CASE WHEN contains(text, '*/') THEN false WHEN contains(text, '/*') THEN true END IGNORE NULLS) OVER (PARTITION BY script ORDER BY line), false) AS state FROM l),
+c AS (SELECT script, name, line, text, state OR starts_with(ltrim(text), '--') AS commented FROM s WHERE NOT closing)
+"""
+
+
+@query("c22_listed_procedures", rf"WITH {_LINES} SELECT script, CAST(line AS INTEGER) AS line, upper(regexp_extract(text, '(?i)^\s*PROCEDURE\s+(\w+)', 1)) AS procedure, commented FROM c WHERE regexp_matches(text, '(?i)^\s*PROCEDURE\s+\w+')")
+def c22_procedures(fx):
+    """Declared procedures, with whether they stand in a comment."""
+    return packages.listed_procedures(fx["fx_packages"])
+
+
+@query("c25_external_calls", rf"""
+WITH {_LINES}, e AS (SELECT script, name, line, commented, upper(unnest(regexp_extract_all(text, '\b(\w+(?:\.\w+)+)\s*[;(]', 1))) AS called FROM c)
+SELECT script, called, CASE WHEN regexp_matches(called, '^(PKG_GRP_LOG_UTIL|PKG_LOG_ERROR_UTILITY|PKG_GRP_COMMON_UTIL|DBMS_STATS|DBMS_MVIEW|DBMS_OUTPUT|DBMS_UTILITY|UTL_FILE|SYS\.|STANDARD\.)') THEN 'Utility / Logging' WHEN starts_with(called, 'PKG_') THEN 'Cross-Package (Functional)' WHEN regexp_matches(called, '^(PRC_|PROC_)') THEN 'Cross-PROC (Standalone)' ELSE 'Other' END AS kind,
+       CAST(min(line) AS INTEGER) AS first_line, count(*) AS n, bool_and(commented) AS commented FROM e WHERE regexp_matches(called, '^(PKG_|PRC_|PROC_|DBMS_|UTL_|SYS|STANDARD)') AND called <> upper(name) AND NOT starts_with(called, upper(name) || '.') GROUP BY script, called
+""")
+def c25_calls(fx):
+    """Calls of other packages by kind; one real call makes a name active."""
+    return packages.external_calls(fx["fx_packages"])
+
+
+@query("c23_main_calls", rf"""
+WITH {_LINES}, d AS (SELECT *, upper(regexp_extract(text, '(?i)^\s*PROCEDURE\s+(\w+)', 1)) AS p FROM s),
+g AS (SELECT *, last_value(CASE WHEN p <> '' THEN line END IGNORE NULLS) OVER (PARTITION BY script ORDER BY line) AS start, last_value(CASE WHEN p <> '' THEN p END IGNORE NULLS) OVER (PARTITION BY script ORDER BY line) AS own FROM d),
+m AS (SELECT script, max(start) AS start FROM g WHERE own = 'MAIN' GROUP BY script), b AS (SELECT g.* FROM g JOIN m USING (script, start) WHERE NOT starts_with(ltrim(text), '--') AND p = ''),
+n AS (SELECT DISTINCT script, upper(regexp_extract(text, '(?i)^\s*PROCEDURE\s+(\w+)', 1)) AS procedure FROM c WHERE regexp_matches(text, '(?i)^\s*PROCEDURE\s+\w+') AND NOT regexp_matches(text, '(?i)^\s*PROCEDURE\s+MAIN\b')),
+f AS (SELECT b.script, n.procedure, min(b.line * 100000 + instr(upper(b.text), n.procedure)) AS at_place FROM b JOIN n ON n.script = b.script AND regexp_matches(b.text, '(?i)\b' || n.procedure || '\b') GROUP BY ALL)
+SELECT script, row_number() OVER (PARTITION BY script ORDER BY at_place, procedure) AS place, procedure, at_place // 100000 AS line FROM f
+""")
+def c23_calls(fx):
+    """What a package's MAIN calls, in order."""
+    return packages.main_calls(fx["fx_packages"]).withColumn("line", F.col("line").cast("long"))
+
+
+@query("c10_package_parts")
+def c10_parts(fx):
+    """The procedures of a package, where they end and what becomes of them; tested against brute force."""
+    return packages.package_parts(fx["fx_packages"])
+
+
+@query("c12_concept_branches", rf"""
+WITH {_LINES}, k AS (SELECT script, line, text, upper(rtrim(regexp_extract(text, 'LC_SOURCE_CONCEPT LIKE .([^%]+)%', 1), '%_')) AS concept FROM c WHERE NOT commented),
+e AS (SELECT k.script, k.concept, k.line AS first_line, min(e.line) AS last_line FROM k JOIN k e ON e.script = k.script AND e.line > k.line AND e.text = ' END IF;' WHERE k.concept <> '' GROUP BY ALL)
+SELECT e.script, e.concept, CAST(first_line AS INTEGER) AS first_line, CAST(last_line AS INTEGER) AS last_line, count(k.line) AS n_changes
+FROM e LEFT JOIN k ON k.script = e.script AND k.line > first_line AND k.line < last_line AND regexp_matches(k.text, '(?i)\b(UPDATE\s+\w|DELETE\s+FROM|MERGE\s+INTO|INSERT\s+INTO)') GROUP BY ALL
+""")
+def c12(fx):
+    """Branches on the source concept."""
+    return packages.concept_branches(fx["fx_packages"])
+
+
+@query("c14_cleaned")
+def c14(fx):
+    """What of each package says where data comes from; tested against brute force."""
+    return scripts.cleaned(fx["fx_packages"])
+
+
+@query("b04_executed_calls")
+def b04_calls(fx):
+    """Calls in executed texts by five forms; tested against brute force."""
+    return scripts.executed_calls(fx["fx_shell"])
+
+
+@query("b07_direct_calls")
+def b07_direct(fx):
+    """Calls in SQL blocks by five forms; tested against brute force."""
+    return scripts.direct_calls(fx["fx_shell"])
