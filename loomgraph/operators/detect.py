@@ -66,23 +66,32 @@ def similar_jobs(lineage: DataFrame, num: int = 85, den: int = 100) -> DataFrame
 def similar_clusters(lineage: DataFrame, threshold: float = 0.85) -> DataFrame:
     """(tgt_table, cluster, job): jobs join the first cluster all of whose members are similar, in the order of their first rows.
 
-    The greedy order is sequential inside a target, so a target's jobs are one group; their column sets are collected beforehand.
+    Jobs with equal column sets always share a cluster, as what is similar to the one is to the other, so only the
+    distinct sets of a target are looked at one after the other; there are as many as its columns can make, however
+    many jobs there are. Jobs are joined to the clusters of their sets.
     """
     import pandas as pd
 
-    sets = lineage.groupBy("tgt_table", "job").agg(F.min("pos").alias("pos"), F.collect_set("tgt_col").alias("columns"))
+    sets = lineage.groupBy("tgt_table", "job").agg(F.min("pos").alias("pos"), F.array_sort(F.collect_set("tgt_col")).alias("columns"))
+    classes = sets.groupBy("tgt_table", "columns").agg(F.min("pos").alias("pos"), F.count(F.lit(1)).alias("n"))
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        found: list[list[tuple[int, frozenset]]] = []
-        for job, columns in pdf.sort_values("pos")[["job", "columns"]].itertuples(index=False):
+        found: list[list[frozenset]] = []
+        rows, sizes = [], []
+        for columns, n in pdf.sort_values("pos")[["columns", "n"]].itertuples(index=False):
             own = frozenset(columns)
-            home = next((c for c in found if all(len(own & o) >= threshold * len(own | o) for _, o in c)), None)
+            home = next((i for i, c in enumerate(found) if all(len(own & o) >= threshold * len(own | o) for o in c)), None)
             if home is None:
-                found.append(home := [])
-            home.append((job, own))
-        return pd.DataFrame([(pdf["tgt_table"].iloc[0], i, j) for i, c in enumerate(found) if len(c) > 1 for j, _ in c], columns=["tgt_table", "cluster", "job"])
-
-    return sets.groupBy("tgt_table").applyInPandas(cluster, "tgt_table string, cluster int, job long")
+                home = len(found)
+                found.append([])
+                sizes.append(0)
+            found[home].append(own)
+            sizes[home] += n
+            rows.append((pdf["tgt_table"].iloc[0], list(columns), home))
+        return pd.DataFrame([r for r in rows if sizes[r[2]] > 1], columns=["tgt_table", "columns", "cluster"])
+
+    of_sets = classes.groupBy("tgt_table").applyInPandas(cluster, "tgt_table string, columns array<string>, cluster int")
+    return sets.join(of_sets, ["tgt_table", "columns"]).select("tgt_table", "cluster", "job")
 
 
 def serial_chains(edges: DataFrame, jobs: DataFrame) -> DataFrame:

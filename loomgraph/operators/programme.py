@@ -13,8 +13,12 @@ from loomgraph.functions.columns import ladder, risk_rank
 
 from .graph import closure
 
-#: Points of a category's first matching prefix (fixed values of the scoring rule here), else 10.
-CATEGORY_POINTS = (("A.", 40), ("B.", 30), ("C.", 25), ("D.", 35), ("E.", 45))
+#: Points of a category by the first text that it contains, else 10 (fixed values of the scoring rule).
+CATEGORY_POINTS = (
+    ("D. Serial Orchestration Chain", 25), ("C. OFFSET", 22), ("C. Near-Duplicate", 22), ("A. Redundant Multi-Source", 18), ("B. Pass-Through", 16), ("G. Duplicate Column-Lineage", 14),
+    ("H. Stale Intermediate", 12), ("I. Cyclic Refresh", 12), ("E. MV Elimination", 10), ("J. Over-Fanout MV", 10), ("K. Repeated Transformations", 16), ("L. Overlapping Preprocessing", 15),
+    ("M. Orchestration Edge Without Data Handoff", 14), ("N. Post-Consumption Update Pattern", 14), ("F. LLM-Identified Issues", 8),
+)
 #: Execution policy by category prefix: local ones first, then what is deferred.
 LOCAL_PREFIXES, DEFER_WORDS = ("B.", "D.", "F."), ("Duplicate",)
 
@@ -52,13 +56,21 @@ def policy(category: Column) -> Column:
 
 
 def score(recs: DataFrame) -> DataFrame:
-    """Points of each finding, at least 0."""
+    """Points of each finding, at least 0.
+
+    ``recs`` also has depth_share (its deepest job's depth over the graph's, 0 to 1, or null), n_signals and unmapped (of
+    suggested findings), n_merged, global_min (minutes saved over all reports) and n_rpts.
+    """
     category = F.lit(10)
-    for prefix, points in reversed(CATEGORY_POINTS):
-        category = F.when(F.col("category").startswith(prefix), points).otherwise(category)
-    risk = F.when(F.col("risk") == "LOW", 25).when(F.col("risk") == "MEDIUM", 15).otherwise(5)
+    for text, points in reversed(CATEGORY_POINTS):
+        category = F.when(F.col("category").contains(text), points).otherwise(category)
+    risk = F.when(F.col("risk") == "LOW", 25).when(F.col("risk") == "HIGH", 5).otherwise(15)
+    suggested = F.when(F.col("category").startswith("F."), F.least(F.floor(F.col("n_signals") / 5), F.lit(8)) - F.when(F.col("unmapped"), 5).otherwise(0)).otherwise(0)
+    merged = F.when(F.col("n_merged") > 1, 10).otherwise(0)
+    beyond = F.least(F.floor(F.greatest(F.col("global_min") - F.col("est_min"), F.lit(0)) / 5), F.lit(15)) + F.least(F.greatest(F.col("n_rpts") - 1, F.lit(0)) * 2, F.lit(10))
     bonus = F.when(policy(F.col("category")) == "EXECUTE_GLOBAL_PROGRAM", 6).when(policy(F.col("category")) == "DEFER_OR_KEEP", -4).otherwise(0)
-    points = category + F.least(12 * F.col("hops"), F.lit(40)) + risk + F.least(F.size("jobs"), F.lit(8)) + F.least(F.floor(F.col("est_min") / 5), F.lit(20)) + bonus
+    points = category + F.least(12 * F.col("hops"), F.lit(40)) + risk + F.coalesce(F.floor(15 * F.col("depth_share")), F.lit(0)) + F.least(F.size("jobs"), F.lit(8)) + suggested + merged
+    points = points + F.least(F.floor(F.col("est_min") / 5), F.lit(20)) + beyond + bonus
     return recs.withColumn("score", F.greatest(points, F.lit(0)).cast("bigint"))
 
 

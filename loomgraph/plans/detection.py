@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators import detect
 
+from . import registry
 from .registry import query
 
 _NAME = "lpad(CAST(job AS VARCHAR), 9, '0')"
@@ -214,14 +215,6 @@ def f23(fx):
     return odd.select("tbl", F.when(F.col("tbl").endswith("7"), "SUFFIX").otherwise("PREFIX").alias("kind"), F.concat(F.lit("INT_"), "tbl").alias("suggestion"))
 
 
-@query("f28_all_findings", "SELECT detector, count(*) AS n FROM (SELECT 'A' AS detector, tbl FROM fx_writes GROUP BY tbl HAVING count(DISTINCT job) >= 2 UNION ALL SELECT 'B', w.tbl FROM fx_writes w JOIN fx_reads r ON r.job = w.job AND r.tbl = w.tbl UNION ALL SELECT 'H', w.tbl FROM fx_writes w WHERE NOT EXISTS (SELECT 1 FROM fx_reads r WHERE r.tbl = w.tbl)) GROUP BY detector")
-def f28(fx):
-    """Several detectors in one plan."""
-    tag = lambda df, d: df.select(F.lit(d).alias("detector"), "tbl")
-    found = tag(detect.multi_source_loads(fx["fx_writes"]), "A").unionByName(tag(detect.updates_in_place(fx["fx_reads"], fx["fx_writes"]), "B")).unionByName(tag(detect.unread_tables(fx["fx_writes"], fx["fx_reads"]), "H"))
-    return found.groupBy("detector").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("f10_indicator_walk", """
 WITH RECURSIVE c(start, node, hops) AS (SELECT e.dependent_job, e.job, 1 FROM fx_edges e JOIN fx_jobs v ON v.job = e.dependent_job AND v.category = 'MV'
   UNION SELECT c.start, e.job, c.hops + 1 FROM c JOIN fx_edges e ON e.dependent_job = c.node WHERE c.hops < 4)
@@ -308,3 +301,26 @@ def f15(fx):
     from loomgraph.operators.graph import strong_components
 
     return strong_components(fx["fx_cyclic"]).groupBy("component").agg(F.count(F.lit(1)).alias("n_jobs"))
+
+
+#: The detectors in their order: letter, query and the column that names what a finding is about.
+DETECTORS = (
+    ("A", "f01_multi_source_loads", "tbl"), ("B1", "f02_updates_in_place", "tbl"), ("B2", "f03_pass_through", "tbl"), ("C", "f04_similar_sets", "tgt_table"), ("D", "f05_serial_chains", "first"),
+    ("E1", "f06_view_consumers", "mv"), ("E2", "f07_single_consumer_views", "mv"), ("E3", "f08_unread_with_updater", "mv"), ("E4", "f09_dead_views", "tbl"), ("E5", "f10_indicator_walk", "view"), ("E-IC", "f11_indicator_chains", "job"),
+    ("F", "f12_finding_jobs", "tbl"), ("G", "f13_duplicated_flows", "tgt_table"), ("H", "f14_unused_intermediates", "tbl"), ("I", "f15_cycles", "component"), ("J", "f16_wide_views", "mv"), ("K", "f17_identical_mappings", "tgt_table"),
+    ("L", "f18_staging_names", "tbl"), ("M", "f19_unneeded_edges", "job"), ("N", "f20_update_order", "tbl"), ("N-CL", "f21_feedback_loops", "tbl"), ("N-PL", "f22_updater_loops", "tbl"),
+    ("O-a", "f23_naming_findings", "tbl"), ("O-b", "f24_view_names", "name"), ("O-d", "f25_temporary_tables", "name"), ("P", "f26_bulk_updates", "package"), ("Q", "f27_hard_coded_mappings", "package"),
+)
+
+
+@query("f28_all_findings", " UNION ALL ".join(
+    f"SELECT CAST({i} AS INTEGER) AS place, '{letter}' AS detector, CAST({about} AS VARCHAR) AS about, count(*) AS n FROM ({registry.ORACLES[name]}) GROUP BY ALL" for i, (letter, name, about) in enumerate(DETECTORS)
+))
+def f28(fx):
+    """All detectors in their order, under one schema: what a finding is about, and how many there are."""
+    found = None
+    for i, (letter, name, about) in enumerate(DETECTORS):
+        one = registry.DEFINED[name](fx).groupBy(F.col(about).cast("string").alias("about")).agg(F.count(F.lit(1)).alias("n"))
+        one = one.select(F.lit(i).alias("place"), F.lit(letter).alias("detector"), "about", "n")
+        found = one if found is None else found.unionByName(one)
+    return found

@@ -87,12 +87,30 @@ def h07(fx):
     return each.where("not soft").join(soft, ["rpt", "held"]).groupBy("pos").agg(F.sum(F.col("n") * sign).alias("n_supporting"))
 
 
+_POINTS = "CASE " + " ".join(f"WHEN contains(category, '{t}') THEN {n}" for t, n in programme.CATEGORY_POINTS) + " ELSE 10 END"
+
+
 @query("h08_scores", f"""
-SELECT pos, CAST(greatest(0, CASE substr(category, 1, 2) WHEN 'A.' THEN 40 WHEN 'B.' THEN 30 WHEN 'C.' THEN 25 WHEN 'D.' THEN 35 WHEN 'E.' THEN 45 ELSE 10 END + least(12 * hops, 40) + CASE risk WHEN 'LOW' THEN 25 WHEN 'MEDIUM' THEN 15 ELSE 5 END
-  + CASE WHEN job_a = job_b THEN 1 ELSE 2 END + least(CAST(floor(est_min / 5) AS BIGINT), 20) + CASE {_POLICY} WHEN 'EXECUTE_GLOBAL_PROGRAM' THEN 6 WHEN 'DEFER_OR_KEEP' THEN -4 ELSE 0 END) AS BIGINT) AS score FROM fx_recs
+WITH RECURSIVE d AS ({_DEPTH.format(frm="job", to="dependent_job", more="").strip()}),
+j AS (SELECT node AS job, min(depth) / (SELECT max(depth) FROM d) AS share FROM d GROUP BY node),
+r AS (SELECT *, {_KEY} AS job_key FROM fx_recs), m AS (SELECT rpt, substr(category, 1, 2) AS family, job_key, target_table, count(*) AS n_merged FROM r GROUP BY ALL),
+g AS (SELECT target_table, job_key, count(DISTINCT rpt) AS n_rpts, sum(est_min) AS global_min FROM r GROUP BY ALL)
+SELECT r.pos, CAST(greatest(0, {_POINTS} + least(12 * hops, 40) + CASE risk WHEN 'LOW' THEN 25 WHEN 'HIGH' THEN 5 ELSE 15 END + coalesce(floor(15 * greatest(a.share, b.share)), 0) + CASE WHEN job_a = job_b THEN 1 ELSE 2 END
+  + CASE WHEN starts_with(category, 'F.') THEN least((r.pos % 60) // 5, 8) - CASE WHEN r.pos % 8 = 0 THEN 5 ELSE 0 END ELSE 0 END + CASE WHEN n_merged > 1 THEN 10 ELSE 0 END + least(floor(est_min / 5), 20)
+  + least(floor(greatest(global_min - est_min, 0) / 5), 15) + least(greatest(n_rpts - 1, 0) * 2, 10) + CASE {_POLICY} WHEN 'EXECUTE_GLOBAL_PROGRAM' THEN 6 WHEN 'DEFER_OR_KEEP' THEN -4 ELSE 0 END) AS BIGINT) AS score
+FROM r JOIN m ON m.rpt = r.rpt AND m.family = substr(r.category, 1, 2) AND m.job_key = r.job_key AND m.target_table = r.target_table JOIN g ON g.target_table = r.target_table AND g.job_key = r.job_key LEFT JOIN j a ON a.job = job_a LEFT JOIN j b ON b.job = job_b
 """)
 def h08(fx):
-    return programme.score(recs(fx)).select("pos", "score")
+    """Points by category, savings, risk, depth, jobs, signals, merged findings, minutes and reach over reports."""
+    found = recs(fx).withColumn("family", F.substring("category", 1, 2))
+    depth = graph.weighted_depth(fx["fx_edges"], fx["fx_jobs"], fx["fx_roots"]).groupBy(F.col("node").alias("job")).agg(F.min("depth").alias("least"), F.max("depth").alias("most"))
+    share = depth.select("job", (F.col("least") / depth.agg(F.max("most")).scalar()).alias("share"))
+    of_jobs = found.select("pos", F.explode("jobs").alias("job")).join(share, "job").groupBy("pos").agg(F.max("share").alias("depth_share"))
+    merged = found.groupBy("rpt", "family", "job_key", "target_table").agg(F.count(F.lit(1)).alias("n_merged"))
+    reach = found.groupBy("target_table", "job_key").agg(F.count_distinct("rpt").alias("n_rpts"), F.sum("est_min").alias("global_min"))
+    whole = found.join(merged, ["rpt", "family", "job_key", "target_table"]).join(reach, ["target_table", "job_key"]).join(of_jobs, "pos", "left")
+    whole = whole.withColumn("n_signals", F.col("pos") % 60).withColumn("unmapped", F.col("pos") % 8 == 0)
+    return programme.score(whole).select("pos", "score")
 
 
 @query("h09_what_if", f"""

@@ -9,16 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from loomgraph.sources.fixtures import Fixtures, oracle_with
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_ORACLES: dict[str, str] = {}
+#: What was registered: functions of ``Fixtures``, and oracles with their derived relations.
+DEFINED: dict[str, Callable[[Fixtures], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
 
 
 def query(name: str, oracle: str | None = None) -> Callable:
     """Registers a function of ``Fixtures`` under ``name``; ``oracle`` names derived relations as it likes."""
 
     def put(f: Callable[[Fixtures], DataFrame]) -> Callable:
+        DEFINED[name] = f
         _QUERIES[name] = lambda spark, sf_dir: f(Fixtures(spark, sf_dir))
         if oracle:
-            _ORACLES[name] = oracle_with(oracle)
+            ORACLES[name] = oracle_with(oracle)
         return f
 
     return put
@@ -35,4 +38,4 @@ def queries() -> dict[str, Callable]:
 
 def oracle_sql() -> dict[str, str]:
     _load()
-    return dict(_ORACLES)
+    return dict(ORACLES)

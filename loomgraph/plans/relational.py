@@ -188,3 +188,44 @@ def streamed_windows(fx):
     from loomgraph.streaming.runs import streamed
 
     return streamed(fx.spark, fx.sf_dir).select("status", "start", "n", F.round("mean_sec", 3).alias("mean_sec"))
+
+
+@query("rel_k_fan_out", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 100000")
+def fan_out(fx):
+    """A row for each match, and one for rows without."""
+    large = fx["orders"].where("o_totalprice > 100000").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
+    return fx["customer"].select("c_custkey").join(large, "c_custkey", "left")
+
+
+@query("rel_k_cross", "SELECT r_name, n_name FROM region CROSS JOIN nation")
+def cross(fx):
+    """Every pair of two configured lists, of 5 and 25 rows."""
+    return fx["region"].select("r_name").crossJoin(F.broadcast(fx["nation"].select("n_name")))
+
+
+@query("rel_l_ordered_collect", "SELECT o_custkey, string_agg(o_orderpriority, ',' ORDER BY first) AS priorities FROM (SELECT o_custkey, o_orderpriority, min(o_orderkey) AS first FROM orders GROUP BY ALL) GROUP BY o_custkey")
+def ordered_collect(fx):
+    """Distinct values in the order of their first rows; the values are distinct before they are gathered."""
+    first = fx["orders"].groupBy("o_custkey", "o_orderpriority").agg(F.min("o_orderkey").alias("first"))
+    by = first.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("first", "o_orderpriority"))).alias("p"))
+    return by.select("o_custkey", F.array_join(F.transform("p", lambda x: x["o_orderpriority"]), ",").alias("priorities"))
+
+
+@query("rel_m_nesting", "SELECT l_orderkey, l_linenumber, CAST(sum(CASE l_returnflag WHEN 'N' THEN 1 WHEN 'R' THEN -1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity ROWS UNBOUNDED PRECEDING) AS BIGINT) AS depth FROM lineitem")
+def nesting(fx):
+    """Running depth: openings less closings up to each row."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity").rowsBetween(Window.unboundedPreceding, 0)
+    step = F.when(F.col("l_returnflag") == "N", 1).when(F.col("l_returnflag") == "R", -1).otherwise(0)
+    return fx["lineitem"].select("l_orderkey", "l_linenumber", F.sum(step).over(w).alias("depth"))
+
+
+@query("rel_o_map", "SELECT n_nationkey, n_name, CASE n_regionkey WHEN 0 THEN 'south' WHEN 1 THEN 'west' ELSE 'other' END AS side, CAST(2 AS INTEGER) AS n_keys FROM nation")
+def maps(fx):
+    """A lookup in a map, with a default."""
+    sides = F.create_map(F.lit(0), F.lit("south"), F.lit(1), F.lit("west"))
+    return fx["nation"].select("n_nationkey", "n_name", F.coalesce(F.try_element_at(sides, F.col("n_regionkey").cast("int")), F.lit("other")).alias("side"), F.size(F.map_keys(sides)).alias("n_keys"))
+
+
+@query("rel_o_dates", "SELECT event_id, CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month, strftime(ts, '%Y-%m-%d') AS day, strftime(date_trunc('month', ts), '%Y-%m-%d') AS first FROM events")
+def dates(fx):
+    return fx["events"].select("event_id", F.year("ts").alias("year"), F.month("ts").alias("month"), F.date_format("ts", "yyyy-MM-dd").alias("day"), F.date_format(F.date_trunc("month", "ts"), "yyyy-MM-dd").alias("first"))

@@ -114,6 +114,25 @@ def c18(fx):
     return tables.select(F.col("t.name").alias("tbl"), F.explode("t.columns").alias("c")).select("c.id", "tbl", F.col("c.name").alias("col"))
 
 
+@query("a24_model_dump", """
+SELECT p_partkey AS script, concat('T_', CAST(p_size AS VARCHAR)) AS tbl, concat('C_', CAST(i AS VARCHAR)) AS col FROM part, (SELECT unnest(range(0, 2)) AS i) WHERE p_size % 4 <> 3 AND i <= p_size % 2
+""")
+def a24(fx):
+    """Models out of a parser's dumps: the whole file, else its first line that begins with a brace; wrapped or flat; others say nothing."""
+    columns = F.transform(F.expr("sequence(0, p_size % 2)"), lambda i: F.struct(F.concat(F.lit("C_"), i.cast("string")).alias("name")))
+    flat = F.struct(F.array(F.struct(F.concat(F.lit("T_"), F.col("p_size").cast("string")).alias("name"), columns.alias("columns"))).alias("tables"))
+    kind = F.col("p_size") % 4
+    dump = F.when(kind == 0, F.to_json(flat)).when(kind == 1, F.to_json(F.struct(flat.alias("dbobjs")))).when(kind == 2, F.concat(F.lit("log: {x}\n  \n"), F.to_json(flat), F.lit("\ndone"))).otherwise("no model")
+    path = _place(fx, "dumps")
+    fx["part"].select("p_partkey", F.base64(dump.cast("binary")).alias("dump")).write.json(path)
+    read = fx.spark.read.schema("p_partkey long, dump string").json(path).select(F.col("p_partkey").alias("script"), F.unbase64("dump").cast("string").alias("dump"))
+    line = F.regexp_extract("dump", r"(?m)^\s*(\{.*)$", 1)
+    model = "tables array<struct<name: string, columns: array<struct<name: string>>>>"
+    parsed = read.select("script", F.from_json(F.when(F.ltrim("dump").startswith("{"), F.col("dump")).otherwise(line), f"{model}, dbobjs struct<{model.replace('tables ', 'tables: ', 1)}>").alias("m"))
+    tables = parsed.select("script", F.explode(F.coalesce("m.tables", "m.dbobjs.tables")).alias("t"))
+    return tables.select("script", F.col("t.name").alias("tbl"), F.explode("t.columns").alias("c")).select("script", "tbl", F.col("c.name").alias("col"))
+
+
 @query("k01_csv_sink", "SELECT c_custkey, c_name, c_mktsegment FROM customer")
 def k01(fx):
     """CSV out and in."""

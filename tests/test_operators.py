@@ -97,6 +97,27 @@ def test_serial_chains(spark):
     assert {(r.first, r.job, r.step) for r in found.collect()} == {(0, 0, 0), (0, 1, 1), (0, 2, 2)}
 
 
+def test_clusters_are_greedy(spark):
+    from collections import defaultdict
+
+    from loomgraph.sources.fixtures import Fixtures
+
+    rows = Fixtures(spark, "/root/testdata/sf0.001")["fx_lineage"].select("pos", "tgt_table", "job", "tgt_col").collect()
+    sets, first = defaultdict(set), {}
+    for r in rows:
+        sets[(r.tgt_table, r.job)].add(r.tgt_col)
+        first[(r.tgt_table, r.job)] = min(first.get((r.tgt_table, r.job), r.pos), r.pos)
+    wanted, clusters = set(), defaultdict(list)
+    for key in sorted(sets, key=first.get):
+        home = next((c for c in clusters[key[0]] if all(len(sets[key] & sets[o]) >= 0.85 * len(sets[key] | sets[o]) for o in c)), None)
+        if home is None:
+            clusters[key[0]].append(home := [])
+        home.append(key)
+    wanted = {(t, i, j) for t, found in clusters.items() for i, c in enumerate(found) if len(c) > 1 for _, j in c}
+    found = detect.similar_clusters(Fixtures(spark, "/root/testdata/sf0.001")["fx_lineage"])
+    assert {(r.tgt_table, r.cluster, r.job) for r in found.collect()} == wanted
+
+
 def test_comments_and_statements():
     text = "a /* x /* y */ z */ b -- c;\n'--;' (1;2); d"
     assert scripts.statements(scripts.without_comments(text)) == ["a  b \n'--;' (1;2)", "d"]
