@@ -17,6 +17,7 @@ or go together; an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,21 +71,28 @@ class Grams:
         import xxhash
 
         self.hash = xxhash.xxh3_64_intdigest
-        self.known: dict[str, tuple[int, int]] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.index: dict[str, int] = {}
+        self.words, self.shapes = array("Q"), array("Q")
 
     def buckets(self, text: str) -> np.ndarray:
         """The bucket of each n-gram of the text."""
-        tokens, known = FIND(text), self.known
+        tokens, index = FIND(text), self.index
         if not tokens:
             return np.empty(0, np.int64)
-        if len(known) > KNOWN:
-            known.clear()
-        for t in set(tokens).difference(known):
-            known[t] = self.hash(t.lower()), shape(t) + 1
-        both = [known[t] for t in tokens]
-        words, shapes = np.array([w for w, _ in both], np.uint64), np.array([s for _, s in both], np.uint64)
-        again = np.r_[False, words[1:] == words[:-1]] & (shapes >= 4) & (shapes <= 8)
-        shapes[again] = 9
+        if len(index) > KNOWN:
+            self.clear()
+            index = self.index
+        for t in set(tokens).difference(index):
+            index[t] = len(index)
+            self.words.append(self.hash(t.lower()))
+            self.shapes.append(shape(t) + 1)
+        at = np.fromiter(map(index.__getitem__, tokens), np.int64, len(tokens))
+        words, shapes = np.frombuffer(self.words, np.uint64)[at], np.frombuffer(self.shapes, np.uint64)[at]
+        again = np.flatnonzero((words[1:] == words[:-1]) & (shapes[1:] >= 4) & (shapes[1:] <= 8))
+        shapes[again + 1] = 9
         return np.concatenate([hashed(words, 2, WORD_BITS), hashed(shapes, 3, SHAPE_BITS) + (1 << WORD_BITS)])
 
 
