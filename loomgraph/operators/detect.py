@@ -176,3 +176,45 @@ def feedback_loops(reads: DataFrame, writes: DataFrame, most_hops: int = 8) -> D
     starts = writes.join(reads.select("job").distinct(), "job", "left_semi").select(F.col("tbl").alias("job")).distinct()
     far = closure(flow, starts, most_hops)
     return writes.join(far.toDF("tbl", "reached", "hops"), "tbl").join(reads.toDF("job", "reached"), ["job", "reached"]).groupBy("job", "tbl", "reached").agg(F.min("hops").alias("hops"))
+
+
+# Fixed values of the naming rules: intermediate tables, hybrid names, and log or control tables, which are left alone.
+INTERMEDIATE_SUFFIXES = ("_TMP", "_TABLE_TMP", "_DEBUG_TRC", "_TRC", "_UPD_PAYEE_NAME", "_BKP_PREV_MONTH", "_BKP")
+INTERMEDIATE_PARTS = ("_INTERMEDIATE_MV_TBL", "_INTERMEDIATE_MV_TBL2", "_INTERMEDIATE_")
+HYBRID_PREFIX, STAGING_PREFIX = "FCT_RPT_", "STG_"
+LOG_PARTS = ("_DEBUG_TRC", "_TRC", "EXEC_STATUS_LOG", "PROC_EXEC_STATUS", "_JOB_LOG", "PRCS_JOB_LOG", "JOB_LOG_MESSAGE", "_AUDIT_LOG", "AUDIT_LOG", "LOG_TABLE", "PRCS_GRP_TBL_LOAD_DEBUG", "MILESTONE_TABLE", "_MILESTONE_")
+LOG_PREFIXES = ("PRCS_JOB_LOG_", "PRCS_GRP_TBL_", "SSL_PACKAGE_")
+
+
+def any_of(tests: list[Column]) -> Column:
+    out = F.lit(False)
+    for t in tests:
+        out = out | t
+    return out
+
+
+def is_log_table(table: Column) -> Column:
+    """Log, trace and control tables, and short names that are aliases."""
+    t = F.upper(F.trim(table))
+    return any_of([t.contains(x) for x in LOG_PARTS] + [t.startswith(x) for x in LOG_PREFIXES] + [t.rlike(r"^(TAB\d*|T\d+|[A-Z]\d*|[A-Z]{1,3})$")])
+
+
+def intermediate_names(writes: DataFrame, reads: DataFrame, reports: DataFrame) -> DataFrame:
+    """(rpt, tbl, kind, suggestion, n_writers, n_readers, n_rpts, blast, decision): written tables whose names break the rules.
+
+    ``writes`` and ``reads`` are (job, tbl), ``reports`` (rpt, job). Writers and readers are counted in the report, its
+    tables need a writer there; the reports and jobs that a change touches are counted over all.
+    """
+    names = writes.select("tbl").union(reads.select("tbl")).distinct().withColumn("up", F.upper("tbl"))
+    inside = any_of([F.col("up").endswith(x) for x in INTERMEDIATE_SUFFIXES] + [F.col("up").contains(x) for x in INTERMEDIATE_PARTS])
+    hybrid = F.col("up").startswith(HYBRID_PREFIX)
+    odd = names.where((inside | hybrid) & ~F.col("up").endswith("_EXG") & ~is_log_table(F.col("up")) & ~F.col("up").contains(",")).select("tbl", F.when(inside, "INTERMEDIATE").otherwise("HYBRID").alias("kind"))
+    used = writes.select("job", "tbl", F.lit(1).alias("w")).unionByName(reads.select("job", "tbl", F.lit(0).alias("w"))).join(odd, "tbl", "left_semi")
+    jobs = used.groupBy("tbl", "job").agg(F.max("w").alias("w"), F.min("w").alias("r"))
+    of_reports = jobs.join(reports, "job")
+    local = of_reports.groupBy("rpt", "tbl").agg(F.count_if(F.col("w") == 1).alias("n_writers"), F.count_if(F.col("r") == 0).alias("n_readers")).where("n_writers > 0")
+    touched = jobs.groupBy("tbl").agg(F.count(F.lit(1)).alias("n_jobs")).join(of_reports.groupBy("tbl").agg(F.count_distinct("rpt").alias("n_rpts")), "tbl")
+    suggestion = F.when(F.col("kind") == "HYBRID", F.concat(F.lit(STAGING_PREFIX), F.substring(F.upper("tbl"), len(HYBRID_PREFIX) + 1, 1000))).when(F.upper("tbl").startswith(STAGING_PREFIX), F.upper("tbl")).otherwise(F.concat(F.lit(STAGING_PREFIX), F.upper("tbl")))
+    blast = F.least(F.col("n_jobs") + F.col("n_rpts") - 1, F.lit(10)).cast("long")
+    decision = F.when(F.col("n_rpts") > 1, "EXECUTE_GLOBAL_PROGRAM").otherwise("EXECUTE_LOCALLY")
+    return local.join(odd, "tbl").join(touched, "tbl").select("rpt", "tbl", "kind", suggestion.alias("suggestion"), "n_writers", "n_readers", "n_rpts", blast.alias("blast"), decision.alias("decision"))

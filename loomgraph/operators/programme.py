@@ -117,3 +117,26 @@ def complexity_rank(recs: DataFrame) -> DataFrame:
     running = F.sum("net_new").over(Window.partitionBy(F.lit(1)).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
     tier = F.when(F.col("rank") <= 2, "EASY").when(F.col("rank") <= 4, "MEDIUM").otherwise("HARD")
     return order.join(fresh, "rank", "left").withColumn("net_new", F.coalesce("net_new", F.lit(0))).select("rpt", "rank", "points", "n_recs", "net_new", running.alias("running"), tier.alias("tier"))
+
+
+def registry(recs: DataFrame, packages: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(package, rpt, rank, tier, scope, agents, n_recs, mode): a row for each package, with or without findings.
+
+    ``recs`` has (pos, master_id, rpts, agent, packages), both lists arrays; ``packages`` (package) lists all, ``ranks``
+    (rpt, rank) the reports from 0. A package belongs to the first report of its first finding's best-ranked one; a
+    finding counts once by its master id, whatever procedures of a package it names. Packages without findings stand alone.
+    """
+    each = recs.select("pos", "master_id", "agent", F.size("rpts").alias("n_rpts"), "rpts", F.explode(F.when(F.size("packages") > 0, F.col("packages")).otherwise(F.array(F.lit("[NO PACKAGE]")))).alias("package"))
+    best = each.select("pos", F.explode("rpts").alias("rpt")).distinct().join(ranks, "rpt").groupBy("pos").agg(F.min(F.struct("rank", "rpt")).alias("primary"))
+    each = each.join(best, "pos", "left")
+    first = F.min_by(F.struct("primary", "n_rpts"), "pos")
+    by = each.groupBy("package").agg(first.alias("f"), F.collect_set("agent").alias("agents"), F.count_distinct("master_id").alias("n_recs"))
+    rank = F.coalesce("f.primary.rank", F.lit(999))
+    found = by.select(
+        "package", F.coalesce("f.primary.rpt", F.lit("UNKNOWN")).alias("rpt"), (rank + 1).cast("int").alias("rank"), F.when(rank < 3, 1).when(rank < 7, 2).otherwise(3).alias("tier"),
+        F.when(F.col("f.n_rpts") > 1, "GLOBAL").otherwise("LOCAL").alias("scope"), F.array_join(F.array_sort(F.array_union("agents", F.array(F.lit("standardizer")))), ",").alias("agents"), "n_recs",
+        F.when(F.array_contains("agents", "standardizer"), "rec-driven").otherwise("auto-final-pass").alias("mode"),
+    )
+    alone = packages.select("package").distinct().join(found.select(F.upper("package").alias("up")), F.upper("package") == F.col("up"), "left_anti")
+    alone = alone.select("package", F.lit("STANDALONE").alias("rpt"), F.lit(999).alias("rank"), F.lit(4).alias("tier"), F.lit("STANDALONE").alias("scope"), F.lit("optimizer,standardizer").alias("agents"), F.lit(0).cast("long").alias("n_recs"), F.lit("free-scan").alias("mode"))
+    return found.unionByName(alone)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomgraph.operators import detect
+from loomgraph.operators import detect, summaries
 
 from . import registry
 from .registry import query
@@ -303,13 +303,66 @@ def f15(fx):
     return strong_components(fx["fx_cyclic"]).groupBy("component").agg(F.count(F.lit(1)).alias("n_jobs"))
 
 
+_ANY = lambda words, text: "(" + " OR ".join(f"contains({text}, '{w.replace(chr(39), chr(39) * 2)}')" for w in words) + ")"
+_ODD_IN = "(" + " OR ".join([f"ends_with(up, '{x}')" for x in detect.INTERMEDIATE_SUFFIXES] + [f"contains(up, '{x}')" for x in detect.INTERMEDIATE_PARTS]) + ")"
+
+
+@query("f23_intermediate_names", f"""
+WITH rp AS (SELECT concat('RPT_', CAST(job % 4 AS VARCHAR)) AS rpt, job FROM fx_jobs WHERE job % 5 <> 0),
+u AS (SELECT tbl, job, max(w) AS w, min(w) AS r FROM (SELECT job, tbl, 1 AS w FROM fx_named_writes UNION ALL SELECT job, tbl, 0 FROM fx_named_reads) GROUP BY tbl, job),
+o AS (SELECT *, upper(tbl) AS up FROM u), k AS (SELECT *, CASE WHEN {_ODD_IN} THEN 'INTERMEDIATE' ELSE 'HYBRID' END AS kind FROM o
+  WHERE ({_ODD_IN} OR starts_with(up, 'FCT_RPT_')) AND NOT ends_with(up, '_EXG') AND NOT contains(up, ',') AND NOT {_ANY(detect.LOG_PARTS, 'up')} AND NOT regexp_matches(up, '^(PRCS_JOB_LOG_|PRCS_GRP_TBL_|SSL_PACKAGE_)') AND NOT regexp_matches(up, '^(TAB[0-9]*|T[0-9]+|[A-Z][0-9]*|[A-Z]{{1,3}})$')),
+l AS (SELECT rpt, tbl, up, kind, count(*) FILTER (WHERE w = 1) AS n_writers, count(*) FILTER (WHERE r = 0) AS n_readers FROM k JOIN rp USING (job) GROUP BY ALL HAVING count(*) FILTER (WHERE w = 1) > 0),
+t AS (SELECT tbl, count(DISTINCT k.job) AS n_jobs, count(DISTINCT rpt) AS n_rpts FROM k LEFT JOIN rp USING (job) GROUP BY tbl)
+SELECT rpt, tbl, kind, CASE WHEN kind = 'HYBRID' THEN concat('STG_', substr(up, 9)) WHEN starts_with(up, 'STG_') THEN up ELSE concat('STG_', up) END AS suggestion, n_writers, n_readers, n_rpts, least(n_jobs + n_rpts - 1, 10) AS blast, CASE WHEN n_rpts > 1 THEN 'EXECUTE_GLOBAL_PROGRAM' ELSE 'EXECUTE_LOCALLY' END AS decision FROM l JOIN t USING (tbl)
+""")
+def f23_names(fx):
+    """Intermediate and hybrid names with what a change of them touches."""
+    reports = fx["fx_jobs"].where("job % 5 <> 0").select(F.concat(F.lit("RPT_"), (F.col("job") % 4).cast("string")).alias("rpt"), "job")
+    return detect.intermediate_names(fx["fx_named_writes"], fx["fx_named_reads"], reports)
+
+
+@query("f26_bulk_passes", r"""
+WITH s AS (SELECT package, concat(CAST(json_extract_string(summary, '$.PROCESS_FLOW.Cursor_use') AS VARCHAR), ' ', coalesce(json_extract_string(summary, '$.PROCESS_FLOW.bulk'), '')) AS t FROM fx_summaries)
+SELECT package, CAST(greatest(1, len(regexp_extract_all(t, '(?i)OPEN\s+\w+|CURSOR\s+\w+\s+IS'))) AS INTEGER) AS n_cursors, CAST(greatest(1, len(regexp_extract_all(t, '(?is)FORALL.{1,50}UPDATE'))) AS INTEGER) AS n_updates
+FROM s WHERE contains(upper(t), 'BULK COLLECT') AND contains(upper(t), 'FORALL') AND contains(upper(t), 'UPDATE')
+""")
+def f26_passes(fx):
+    """Bulk updates by what summaries say of cursors and bulk work."""
+    return summaries.bulk_passes(_summaries(fx))
+
+
+def _summaries(fx):
+    return fx["fx_summaries"]
+
+
+@query("f27_logic_entries", f"""
+WITH j AS (SELECT package, json_extract(summary, '$.TRANSFORMATION_SUMMARY.hardcoded_logic') AS l FROM fx_summaries),
+e AS (SELECT package, i - 1 AS at_place, CASE WHEN json_type(l) = 'ARRAY' THEN json_extract(l, concat('$[', CAST(i - 1 AS VARCHAR), ']')) ELSE l END AS e FROM j, LATERAL (SELECT unnest(range(1, CAST(CASE WHEN json_type(l) = 'ARRAY' THEN json_array_length(l) ELSE 1 END AS BIGINT) + 1)) AS i) x),
+t AS (SELECT package, at_place, json_type(e) = 'OBJECT' AS is_object, CASE WHEN json_type(e) = 'OBJECT' THEN NULL ELSE json_extract_string(e, '$') END AS text, CAST(json_extract(e, '$.approx_branch_count') AS DOUBLE) AS branches FROM e),
+c AS (SELECT *, lower(text) AS low, len(list_filter(regexp_extract_all(text, '''([^'']{{1,40}})''', 1), lambda v: trim(v) <> '' AND v NOT IN ('Y', 'N', '1', '0'))) AS n FROM t),
+o AS (SELECT *, {_ANY(summaries.OPERATIONAL, 'low')} AS op FROM c)
+SELECT package, CAST(at_place AS INTEGER) AS at, CASE WHEN is_object THEN 'VALUE_MAPPING' WHEN op AND {_ANY(summaries.DEFAULTS, 'low')} THEN 'DEFAULT_VALUE' WHEN op THEN 'CONSTANT_FILTER' WHEN {_ANY(summaries.MAPPINGS, 'low')} THEN 'VALUE_MAPPING' WHEN {_ANY(summaries.EXCLUSIONS, 'low')} THEN 'EXCLUSION_LIST' WHEN {_ANY(summaries.FILTERS, 'low')} THEN 'CONSTANT_FILTER' ELSE 'INLINE_LOGIC' END AS kind,
+  CAST(CASE WHEN is_object THEN 0 ELSE n END AS INTEGER) AS n_values, CASE WHEN is_object THEN branches >= 5 ELSE ({_ANY(summaries.SUBSTANTIAL, 'low')} OR n >= 4) AND NOT op END AS substantial FROM o
+""")
+def f27_entries(fx):
+    """Entries on hard-coded logic by kind, and whether they are worth a table."""
+    return summaries.logic_entries(_summaries(fx))
+
+
+@query("f27_hard_coded")
+def f27_packages(fx):
+    """Packages with a mapping or an exclusion that is worth a table."""
+    return summaries.hard_coded(_summaries(fx))
+
+
 #: The detectors in their order: letter, query and the column that names what a finding is about.
 DETECTORS = (
     ("A", "f01_multi_source_loads", "tbl"), ("B1", "f02_updates_in_place", "tbl"), ("B2", "f03_pass_through", "tbl"), ("C", "f04_similar_sets", "tgt_table"), ("D", "f05_serial_chains", "first"),
     ("E1", "f06_view_consumers", "mv"), ("E2", "f07_single_consumer_views", "mv"), ("E3", "f08_unread_with_updater", "mv"), ("E4", "f09_dead_views", "tbl"), ("E5", "f10_indicator_walk", "view"), ("E-IC", "f11_indicator_chains", "job"),
     ("F", "f12_finding_jobs", "tbl"), ("G", "f13_duplicated_flows", "tgt_table"), ("H", "f14_unused_intermediates", "tbl"), ("I", "f15_cycles", "component"), ("J", "f16_wide_views", "mv"), ("K", "f17_identical_mappings", "tgt_table"),
     ("L", "f18_staging_names", "tbl"), ("M", "f19_unneeded_edges", "job"), ("N", "f20_update_order", "tbl"), ("N-CL", "f21_feedback_loops", "tbl"), ("N-PL", "f22_updater_loops", "tbl"),
-    ("O-a", "f23_naming_findings", "tbl"), ("O-b", "f24_view_names", "name"), ("O-d", "f25_temporary_tables", "name"), ("P", "f26_bulk_updates", "package"), ("Q", "f27_hard_coded_mappings", "package"),
+    ("O-a", "f23_intermediate_names", "tbl"), ("O-b", "f24_view_names", "name"), ("O-d", "f25_temporary_tables", "name"), ("P", "f26_bulk_passes", "package"), ("Q", "f27_logic_entries", "package"),
 )
 
 

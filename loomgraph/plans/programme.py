@@ -332,3 +332,22 @@ def i16(fx):
     gone = found.where((F.col("hops") > 2) & (F.size("jobs") > 1)).select("rpt", F.explode(F.expr("slice(jobs, 2, size(jobs))")).alias("job")).distinct().withColumn("gone", F.lit(True))
     marked = own.join(gone, ["rpt", "job"], "left")
     return marked.groupBy("rpt").agg(F.count(F.lit(1)).alias("n_jobs"), F.count("gone").alias("n_removed"), F.round(F.sum(F.when(F.col("gone"), 0.0).otherwise(F.col("runtime_sec"))), 1).alias("sec_after"))
+
+
+@query("j02_packages", """
+WITH r AS (SELECT pos, concat('M', CAST(pos % 300 AS VARCHAR)) AS master_id, [rpt, concat('RPT_', CAST(pos % 5 AS VARCHAR))] AS rpts, CASE pos % 4 WHEN 0 THEN 'standardizer' WHEN 1 THEN 'optimizer' ELSE 'planner' END AS agent, CASE WHEN pos % 7 = 0 THEN CAST([] AS VARCHAR[]) ELSE [concat('P', CAST(job_a AS VARCHAR)), concat('P', CAST(job_b AS VARCHAR))] END AS packages FROM fx_recs),
+e AS (SELECT pos, master_id, agent, len(list_distinct(rpts)) AS n_rpts, (SELECT min(CAST(substr(x, 5) AS INTEGER)) FROM (SELECT unnest(rpts) AS x)) AS rank, unnest(CASE WHEN len(packages) > 0 THEN packages ELSE ['[NO PACKAGE]'] END) AS package FROM r),
+b AS (SELECT package, arg_min(rank, pos) AS rank, arg_min(n_rpts, pos) AS n_rpts, list(DISTINCT agent) AS agents, count(DISTINCT master_id) AS n_recs FROM e GROUP BY package)
+SELECT package, concat('RPT_', CAST(rank AS VARCHAR)) AS rpt, CAST(rank + 1 AS INTEGER) AS rank, CASE WHEN rank < 3 THEN 1 WHEN rank < 7 THEN 2 ELSE 3 END AS tier, CASE WHEN n_rpts > 1 THEN 'GLOBAL' ELSE 'LOCAL' END AS scope, array_to_string(list_sort(list_distinct(list_append(agents, 'standardizer'))), ',') AS agents, n_recs, CASE WHEN list_contains(agents, 'standardizer') THEN 'rec-driven' ELSE 'auto-final-pass' END AS mode FROM b
+UNION ALL SELECT package, 'STANDALONE', 999, 4, 'STANDALONE', 'optimizer,standardizer', 0, 'free-scan' FROM (SELECT DISTINCT concat('p', CAST(p_size + 30 AS VARCHAR)) AS package FROM part) WHERE upper(package) NOT IN (SELECT upper(package) FROM b)
+""")
+def j02_packages(fx):
+    """The registry of packages: report, tier, scope and agents, those without findings standing alone."""
+    name = lambda c: F.concat(F.lit("P"), F.col(c).cast("string"))
+    agent = F.when(F.col("pos") % 4 == 0, "standardizer").when(F.col("pos") % 4 == 1, "optimizer").otherwise("planner")
+    found = fx["fx_recs"].select(
+        "pos", F.concat(F.lit("M"), (F.col("pos") % 300).cast("string")).alias("master_id"), F.array_distinct(F.array("rpt", F.concat(F.lit("RPT_"), (F.col("pos") % 5).cast("string")))).alias("rpts"),
+        agent.alias("agent"), F.when(F.col("pos") % 7 == 0, F.expr("cast(array() as array<string>)")).otherwise(F.array(name("job_a"), name("job_b"))).alias("packages"),
+    )
+    ranks = fx.spark.createDataFrame([(f"RPT_{i}", i) for i in range(5)], "rpt string, rank int")
+    return programme.registry(found, fx["part"].select(F.concat(F.lit("p"), (F.col("p_size") + 30).cast("string")).alias("package")), ranks)

@@ -31,6 +31,9 @@ VIEWS = {
     "fx_scripts": """SELECT p_partkey AS script, concat('#!/bin/ksh\n# Description: load of ', p_name, '\nTABLE_NAME=T_', CAST(p_partkey % 17 AS STRING), '\n', CASE p_size % 5 WHEN 0 THEN concat('sqlplus <<EOF\nINSERT INTO OWN.TGT_', CAST(p_size AS STRING), ' SELECT * FROM OWN.SRC_', CAST(p_partkey % 13 AS STRING), ' a JOIN DUAL ON 1=1 JOIN REF.R_', CAST(p_size AS STRING), ' b ON a.k=b.k;\nEOF') WHEN 1 THEN concat('TRUNCATE TABLE OWN.T_', CAST(p_partkey % 9 AS STRING), ';') WHEN 2 THEN concat('DELETE /*+ parallel */ FROM OWN.D_', CAST(p_size AS STRING), ' WHERE k = 1;\nUPDATE OWN.U_', CAST(p_partkey % 5 AS STRING), ' SET x = 1;') WHEN 3 THEN concat('ssh user@host /opt/jobs/run_', CAST(p_size AS STRING), '.sh arg') ELSE concat('exec PKG_', CAST(p_size AS STRING), '.LOAD_', CAST(p_partkey % 7 AS STRING), '(p);') END) AS body FROM {part}""",
     "fx_packages": """SELECT p_partkey AS script, concat('PKG_', CAST(p_partkey AS STRING)) AS name, concat('CREATE OR REPLACE PACKAGE BODY own.PKG_', CAST(p_partkey AS STRING), ' IS\n c_limit CONSTANT NUMBER := ', CAST(p_size AS STRING), ';\n/* old\nPROCEDURE PRC_OLD IS\nPKG_GRP_COMMON_UTIL.LOG_OLD(1);\n*/\nPROCEDURE PRC_LOAD_', CAST(p_size % 4 AS STRING), ' IS\nBEGIN\n', CASE WHEN p_size % 2 = 0 THEN concat(' BEGIN\n  INSERT /*+ APPEND */ INTO OWN.T_', CAST(p_size AS STRING), ' SELECT * FROM OWN.S_', CAST(p_partkey % 7 AS STRING), '; -- END;\n END;\n') ELSE ' null;\n' END, '  PKG_GRP_COMMON_UTIL.LOG_START("PKG_X.Y;");\nEND PRC_LOAD_', CAST(p_size % 4 AS STRING), ';\n-- PROCEDURE PRC_COMMENTED IS\nPROCEDURE PRC_MERGE_', CAST(p_partkey % 3 AS STRING), ' IS\nBEGIN\n  MERGE INTO OWN.M_', CAST(p_size % 6 AS STRING), ' t USING x ON (t.k = x.k);\n', CASE p_size % 3 WHEN 0 THEN 'EXCEPTION WHEN OTHERS THEN NULL;\n' WHEN 1 THEN concat(' IF LC_SOURCE_CONCEPT = ', chr(39), 'ALL', chr(39), ' OR LC_SOURCE_CONCEPT LIKE ', chr(39), 'PAY', CAST(p_size % 2 AS STRING), '%', chr(39), ' THEN\n  IF x THEN\n   UPDATE own.u SET a = 1;\n  END IF;\n  DELETE FROM own.d;\n END IF;\n') ELSE '' END, 'END;\nPROCEDURE PRC_DEBUG_TRACE IS\nBEGIN NULL;\nEND;\nPROCEDURE MAIN IS\nBEGIN\n  PRC_MERGE_', CAST(p_partkey % 3 AS STRING), '; PRC_LOAD_', CAST(p_size % 4 AS STRING), '(1);\n  -- PKG_OTHER_', CAST(p_size % 3 AS STRING), '.RUN(1);\n', CASE WHEN p_size % 3 = 0 THEN '  PKG_OTHER_0.RUN(1); dbms_stats.gather(1);\n' ELSE '' END, CASE WHEN p_size % 4 = 0 THEN '  UPDATE own.audit_log SET d = 1;\n' ELSE '' END, 'END MAIN;\nEND PKG_', CAST(p_partkey AS STRING), ';\n') AS body FROM {part}""",
     "fx_shell": """SELECT script, replace(body, '~', chr(39)) AS body FROM (SELECT p_partkey AS script, concat('#!/bin/ksh\nv_pkg=$2\nv_from=$', CAST(1 + p_size % 5 AS STRING), '\nsqlplus -s x <<ENDOFSQL\n', CASE p_size % 5 WHEN 0 THEN 'EXECUTE IMMEDIATE ~begin ~ || ~OWN.~ || ~$v_pkg~ || ~.main(1); end;~;\nEXECUTE IMMEDIATE ~begin ~|| ~OWN.~ || ~$v_prc~ || ~;end;~;\n' WHEN 1 THEN concat('EXECUTE IMMEDIATE ~begin own.pkg_', CAST(p_size AS STRING), '~ || ~.load(:a); end;~ USING v_from, v_x;\n') WHEN 2 THEN concat('EXECUTE IMMEDIATE ~BEGIN own.pkg_', CAST(p_size AS STRING), '.main(202502); END;~;\nEXECUTE IMMEDIATE ~begin own.prc_', CAST(p_partkey % 9 AS STRING), '~ || ~($v_from); end;~;\n') WHEN 3 THEN concat('own.PKG_A_', CAST(p_size AS STRING), '.PRC_RUN(1);\nown.PRC_B_', CAST(p_partkey % 5 AS STRING), ';\nPKG_C_', CAST(p_size AS STRING), '.main;\nLOG_TIME(~PKG_Z.main~);\ndbms_output.put_line(~x~);\n') ELSE concat('PRC_D_', CAST(p_size AS STRING), '(1);\nown.$v_pkg(n);\nPKG_E_', CAST(p_partkey % 5 AS STRING), '.PRC_Y(2);\nPRC_Y;\n19.0.0\n') END, 'ENDOFSQL\n') AS body FROM {part}) AS t""",
+    "fx_named_writes": """SELECT job, CASE job % 9 WHEN 0 THEN concat(tbl, '_TMP') WHEN 1 THEN concat(tbl, '_BKP') WHEN 2 THEN concat(tbl, '_INTERMEDIATE_X') WHEN 3 THEN concat('FCT_RPT_', tbl) WHEN 4 THEN concat(tbl, '_INTERMEDIATE_EXG') WHEN 5 THEN concat(tbl, ',X_TMP') WHEN 6 THEN concat(tbl, '_JOB_LOG_TMP') WHEN 7 THEN concat('stg_', tbl, '_tmp') ELSE tbl END AS tbl FROM {fx_writes}""",
+    "fx_named_reads": """SELECT DISTINCT r.job, w.tbl FROM {fx_reads} r JOIN {fx_named_writes} w ON w.job = 1 + r.job % 90""",
+    "fx_summaries": """SELECT p_partkey AS package, replace(replace(concat('<"PROCESS_FLOW": <"steps": "load", "Cursor_use": "OPEN c1; CURSOR c2 IS x ', CASE WHEN p_size % 2 = 0 THEN 'BULK COLLECT INTO v; FORALL i IN 1..n UPDATE t' ELSE 'plain loop' END, CASE WHEN p_size % 4 = 0 THEN '; FORALL j IN v.FIRST..v.LAST /* a comment of more than fifty characters stands here */ UPDATE u' ELSE '' END, '", "bulk": "', CASE WHEN p_size % 3 = 0 THEN 'forall k in a update w' ELSE '' END, '">, "TRANSFORMATION_SUMMARY": <"hardcoded_logic": ', CASE p_size % 6 WHEN 0 THEN '["CASE maps ''A'', ''B'' to groups", "NVL(x, 0) default"]' WHEN 1 THEN '["active_status = ''Y'' filter", <"column": "V_CODE_R (x)", "approx_branch_count": 7>]' WHEN 2 THEN '["decode of ''AA'' ''BB'' ''CC'' ''DD''", "excluded ids not in list"]' WHEN 3 THEN '"large CASE over benefit codes"' WHEN 4 THEN '[<"column": "N_X", "approx_branch_count": 2>, "where code is ''Y'' or ''N'' or ''1'' or ''0'' or ''Q''"]' ELSE '[]' END, '>>'), '<', chr(123)), '>', chr(125)) AS summary FROM {part}""",
 }
 
 
@@ -52,7 +55,11 @@ class Fixtures:
 
 def oracle_with(sql: str) -> str:
     """``sql`` with the derived relations that it names as common table expressions."""
-    used = [n for n in VIEWS if re.search(rf"\b{n}\b", sql)]
+    needed = lambda text: {n for n in VIEWS if re.search(rf"\b{n}\b", text)}
+    found = needed(sql)
+    while more := {n for v in found for n in needed(VIEWS[v])} - found:
+        found |= more
+    used = [n for n in VIEWS if n in found]
     heads = [f"{n} AS ({re.sub(r'{(\w+)}', r'\1', VIEWS[n])})" for n in used]
     sql = sql.strip()
     if not heads:
