@@ -33,7 +33,8 @@ WORD_BITS, SHAPE_BITS = 14, 13
 BUCKETS = (1 << WORD_BITS) + (1 << SHAPE_BITS)
 FIND = re.compile(r"\w+|[^\w\s]+").findall
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
-KNOWN = 500_000
+#: Words that a task remembers.
+KNOWN = 100_000
 
 
 def shape(token: str) -> int:
@@ -101,7 +102,7 @@ def bucket_counts(docs: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, total = Grams(), np.zeros(BUCKETS, np.int64)
-        for batch in slices(batches):
+        for batch in slices(batches, 1 << 20):
             found = [grams.buckets(x) for x in batch.column(0).to_pylist()]
             if found:
                 total += np.bincount(np.concatenate(found), minlength=BUCKETS)
@@ -122,7 +123,7 @@ def log_shares(counts: np.ndarray) -> np.ndarray:
 def weigh(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams()
-        for batch in slices(batches):
+        for batch in slices(batches, 1 << 20):
             found = [float(ratio[b].mean()) if len(b := grams.buckets(x)) else 0.0 for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64()), batch.column(2)], names=["doc_id", "log_weight", "key"])
 
