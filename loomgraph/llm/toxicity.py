@@ -177,7 +177,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, wind
 
     model = trained(0, 1)
     parts = [featured(sampled.where(F.col("half") == h).select(F.col("toxic").cast("long").alias("doc_id"), "text"), trained(1 - h)) for h in (0, 1)]
-    rows = parts[0].unionByName(parts[1]).toPandas()
+    rows = parts[0].unionByName(parts[1]).toPandas()  # 2 * sample_rows at most
+    if rows.empty:
+        return model
     y = rows["doc_id"].to_numpy().astype(float)
     share = y.mean()
     w = np.where(y == 1, prior / max(share, 1e-9), (1 - prior) / max(1 - share, 1e-9))

@@ -54,12 +54,19 @@ def test_decontamination_finds_substituted_passages(spark):
 def brute_leaks(docs, items):
     """Best (matched, compared, doc_word) of each (doc, item): all diagonals with a seed, all stretches."""
     masks = [[i for i, bit in enumerate(m) if bit == "1"] for m in decontaminate.MASKS]
-    out = {}
+    split, seeds, out = [word_list(x) for x in items], defaultdict(list), {}
+    for n, iw in enumerate(split):
+        for k, m in enumerate(masks):
+            for q in range(len(iw) - 11):
+                seeds[(k, *(iw[q + i] for i in m))].append((n, q))
     for d, text in enumerate(docs):
-        dw = word_list(text)
-        for n, item in enumerate(items):
-            iw = word_list(item)
-            hits = {p - q for m in masks for p in range(len(dw) - 11) for q in range(len(iw) - 11) if all(dw[p + i] == iw[q + i] for i in m)}
+        dw, diagonals = word_list(text), defaultdict(set)
+        for k, m in enumerate(masks):
+            for p in range(len(dw) - 11):
+                for n, q in seeds.get((k, *(dw[p + i] for i in m)), ()):
+                    diagonals[n].add(p - q)
+        for n, hits in diagonals.items():
+            iw = split[n]
             need = min(len(iw), 13, max(10, -(-len(iw) * 70 // 100)))
             found = []
             for diagonal in hits:
@@ -284,6 +291,30 @@ def test_quality_draws_the_k_largest(spark, docs, labels):
     assert len(kept) == round(0.3 * len(rows)) and min(kept) >= max(r.gumbel_key for r in rows if not r.kept)
 
 
+def test_quality_of_held_out_rows(spark):
+    """A model that never sees a fifth of the labels keeps the good rows of that fifth and drops the others."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    found = {r.doc_id: r.kept for r in quality.importance_resample(docs, labels.where(~held)).collect()}
+    test = [(r.quality, found[r.doc_id]) for r in labels.where(held).collect()]
+    assert sum(k for q, k in test if q) >= 0.98 * sum(q for q, _ in test) and sum(k for q, k in test if not q) <= 0.1 * sum(not q for q, _ in test)
+
+
+def test_quality_weights(docs, labels):
+    """Weights, level and draw as plain Python over one text after the other gives them."""
+    rows, good = rows_of(docs), {r.doc_id: r.quality for r in labels.collect()}
+    grams = quality.Grams()
+    counts = lambda ids: sum((np.bincount(grams.buckets(t), minlength=quality.BUCKETS) for i, t in rows if ids is None or i in ids), np.zeros(quality.BUCKETS))
+    ratio = np.clip(quality.log_shares(counts({i for i, q in good.items() if q})) - quality.log_shares(counts(None)), -4, 4)
+    weight = {i: float(np.mean([ratio[b] for b in grams.buckets(t)])) if t.strip() else 0.0 for i, t in rows}
+    found = quality.importance_resample(docs, labels).collect()
+    assert all(abs(r.log_weight - weight[r.doc_id]) < 1e-9 for r in found)
+    level = quality.best_level(np.array([weight[i] for i in good]), np.array([float(q) for q in good.values()]))
+    k = sum(w >= level for w in weight.values())
+    keys = sorted((r.gumbel_key for r in found), reverse=True)
+    assert all(r.kept == (r.gumbel_key >= keys[k - 1]) for r in found)
+
+
 def test_quality_of_awkward_rows(awkward, nothing, labels):
     assert quality.importance_resample(awkward, labels).count() == awkward.count()
     assert all(r.kept for r in quality.importance_resample(awkward, labels.limit(0)).collect())
