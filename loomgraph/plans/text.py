@@ -378,3 +378,21 @@ def b04_calls(fx):
 def b07_direct(fx):
     """Calls in SQL blocks by five forms; tested against brute force."""
     return scripts.direct_calls(fx["fx_shell"])
+
+
+@query("b05_variable_positions", r"SELECT script, unnest(regexp_extract_all(body, '(\w+)\s*=\s*\$(\d+)', 1)) AS variable, concat('$', unnest(regexp_extract_all(body, '(\w+)\s*=\s*\$(\d+)', 2))) AS position FROM fx_shell")
+def b05_positions(fx):
+    """The parameters that variables are set from."""
+    return scripts.variable_positions(fx["fx_shell"])
+
+
+@query("c05_package_exceptions", r"SELECT script, regexp_replace(body, '(?is)\bEXCEPTION\s+WHEN\s+\w+\s+THEN\b.*?(\bEND\s+\w+\s*;|\bEND\s*;)', '\1', 'g') AS body FROM fx_packages")
+def c05_packages(fx):
+    """Package bodies without their exception handlers."""
+    return fx["fx_packages"].select("script", scripts.without_exceptions(F.col("body")).alias("body"))
+
+
+@query("c13_package_changes", r"SELECT script, upper(unnest(regexp_extract_all(body, '(?i)\bMERGE\s+INTO\s+([\w.]+)', 1))) AS tbl FROM fx_packages")
+def c13_packages(fx):
+    """Tables that the packages merge into."""
+    return scripts.matches(fx["fx_packages"], r"(?i)\bMERGE\s+INTO\s+([\w.]+)", "tbl").select("script", F.upper("tbl").alias("tbl"))
