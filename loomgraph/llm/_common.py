@@ -47,6 +47,11 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps that are done: it does so when the driver's JVM collects what refers to them."""
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def parts_for(rows: int, rows_each: int = 500_000) -> int:
     """How many partitions a small relation of a loop is written in, so that rounds don't write many tiny files."""
     return max(1, -(-rows // rows_each))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import materialize, slices, table, texts
+from ._common import materialize, release, slices, table, texts
 
 LENGTH, GRAM = 200, 64
 CHUNK = 1 << 19
@@ -237,6 +237,7 @@ def sorted_suffixes(keyed: DataFrame, asked: DataFrame, length: int, keep: str)
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()))], names=names)
 
     contexts = materialize(here.mapInArrow(cut, "doc long, key long, lo long, hot boolean, fragment long, bytes binary"), "contexts")
+    release(keyed.sparkSession)
     schema = "doc long, key long, lo long, hi long"
 
     def suffixes(found) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -314,6 +315,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, keep: str = "none") ->
         keyed = keyed.dropDuplicates(["doc_id", "key"])  # one row of each takes part
     levels, total = sketched(keyed, length)
     found = matched_anchors(keyed, levels, total, length, keep)
+    release(docs.sparkSession)
     every, keyed = (df.withColumn("doc", F.coalesce("doc_id", F.lit(NO_ID))) for df in (every, keyed))
     sorted_ones = sorted_suffixes(keyed, found.where(f"kind <> {SPAN}"), length, keep)
     spans = found.where(f"kind = {SPAN}").select("doc", "key", "lo", "hi").unionByName(sorted_ones).distinct()
