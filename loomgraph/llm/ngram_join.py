@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialize, parts_for, scratch_path, slices, table, texts
+from ._common import materialize, parts_for, release, scratch_path, slices, table, texts
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
 #: Buckets of the sketch, and the blocks that they are summed in.
@@ -371,6 +371,7 @@ def class_components(pairs: DataFrame, lists: DataFrame, sets: DataFrame, num: i
             return
         links = fresh if links is None else links.unionByName(fresh)
         labels = components(links)
+        release(sets.sparkSession)
 
     def meet(n_a: Column, at_a: Column, n_b: Column, at_b: Column) -> Column:
         """Whether a shared shingle at these places can be the first common one of a similar pair."""
@@ -431,9 +432,12 @@ def ngram_components(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR,
     described_docs, sketch = described(docs, words)
     total = described_docs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     partial = overlaps(docs, levels_of(sketch), total, words, num, den)
+    release(spark)
     pairs, lists = candidates(partial, num, den)
+    release(spark)
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).union(lists.select("class")).distinct()
     sets = sets_of(docs, wanted, words)
+    release(spark)
     try:
         labels = class_components(pairs, lists, spark.table(sets), num, den)
     finally:
