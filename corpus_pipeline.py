@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm._common import materialize, table
+from loomgraph.llm._common import materialize, release, table
 from loomgraph.llm.decontaminate import contaminated
 from loomgraph.llm.exact_dedup import exact_dedup
 from loomgraph.llm.ngram_join import ngram_components
@@ -42,6 +42,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each distinct text."""
+    release(spark)
     found = exact_dedup(docs)
     chosen = found.where("kept").select("doc_id", F.col("text_sha256").alias("key"))
     kept = restricted(docs, chosen, F.sha2(text(), 256))
@@ -50,6 +51,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies."""
+    release(spark)
     found = ngram_components(docs)
     named = found.where("n_shingles > 0 and component_id is not null")
     first = named.groupBy("component_id").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "key"))).alias("first"))
