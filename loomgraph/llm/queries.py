@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, licenses, ngram_join, packing, quality, secrets, suffix_dedup, toxicity, warc
+from . import decontaminate, exact_dedup, licenses, ngram_join, packing, quality, secrets, suffix_dedup, toxicity, warc, whitening
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_warc": warc.op9_warc,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+        "op11_whitening": whitening.op11_whitening,
     }
 
 
