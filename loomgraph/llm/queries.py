@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, licenses, ngram_join, packing, quality, secrets, suffix_dedup, toxicity, warc, whitening
+from . import decontaminate, divergence, exact_dedup, licenses, ngram_join, packing, quality, secrets, suffix_dedup, toxicity, warc, whitening
 
 
 def queries() -> dict:
@@ -18,8 +18,14 @@ def queries() -> dict:
         "op9_warc": warc.op9_warc,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
         "op11_whitening": whitening.op11_whitening,
+        "op12_source_divergence": divergence.op12_source_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": decontaminate.OP1_SQL, "op6_ngram_join": ngram_join.OP6_SQL, "op10_exact_dedup": exact_dedup.OP10_SQL}
+    return {
+        "op1_decontaminate": decontaminate.OP1_SQL,
+        "op6_ngram_join": ngram_join.OP6_SQL,
+        "op10_exact_dedup": exact_dedup.OP10_SQL,
+        "op12_source_divergence": divergence.OP12_SQL,
+    }
