@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, divergence, exact_dedup, licenses, ngram_join, packing, quality, secrets, suffix_dedup, toxicity, warc, whitening
+from . import chat, decontaminate, divergence, exact_dedup, licenses, ngram_join, packing, quality, secrets, suffix_dedup, toxicity, warc, whitening
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
         "op11_whitening": whitening.op11_whitening,
         "op12_source_divergence": divergence.op12_source_divergence,
+        "op13_chat_format": chat.op13_chat_format,
     }
 
 
