@@ -101,7 +101,7 @@ def vocabulary(sums: DataFrame, min_docs: int, chunk: int) -> DataFrame:
     by_lang = terms.groupBy("lang").agg(F.count(F.lit(1)).alias("kept"), F.sum("total").alias("lang_total"))
     terms = terms.join(by_lang, "lang").withColumn("chunk", F.pmod(F.xxhash64("term"), blocks(F.col("kept"), chunk)))
     within = Window.partitionBy("lang", "chunk")
-    return terms.withColumn("place", (F.row_number().over(within.orderBy("term")) - 1).cast("int")).withColumn("width", F.count(F.lit(1)).over(within).cast("int"))
+    return terms.repartition("lang", "chunk").withColumn("place", (F.row_number().over(within.orderBy("term")) - 1).cast("int")).withColumn("width", F.count(F.lit(1)).over(within).cast("int"))
 
 
 def tiled_distances(packed: DataFrame, groups: DataFrame) -> DataFrame:
