@@ -91,7 +91,7 @@ def squared(d: np.ndarray) -> list[int]:
 
 
 def centred_rows(rows: DataFrame, n: int, sums: list[int], scale: int = SCALE, shift: int = SHIFT) -> DataFrame:
-    """(vec_id, deviation, centred): the exact sum of squares of n*x - S, and x - S/n rounded once."""
+    """(vec_id, deviation, centred): the exact sum of squares of n*x - S in digits, and x - S/n rounded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -102,8 +102,7 @@ def centred_rows(rows: DataFrame, n: int, sums: list[int], scale: int = SCALE, s
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([str(v) for v in squared(d)], pa.string()), values], names=["vec_id", "deviation", "centred"])
 
     kind = rows.schema["vec_id"].dataType.simpleString()
-    found = rows.mapInArrow(run, f"vec_id {kind}, deviation string, centred array<double>")
-    return found.withColumn("deviation", F.col("deviation").try_cast(T.DecimalType(38, 0)))
+    return rows.mapInArrow(run, f"vec_id {kind}, deviation string, centred array<double>")
 
 
 def components(centred: DataFrame, n: int, k: int = COMPONENTS) -> tuple[np.ndarray, np.ndarray]:
@@ -142,7 +141,7 @@ def whiten(rows: DataFrame, k: int = COMPONENTS, id_col: str = "vec_id", vector_
             w = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) @ scaled
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(w[:, i]) for i in range(w.shape[1]))], names=["vec_id", "deviation", *names])
 
-    schema = ", ".join([f"vec_id {kind}", "deviation decimal(38,0)", *(f"{c} double" for c in names)])
+    schema = ", ".join([f"vec_id {kind}", "deviation string", *(f"{c} double" for c in names)])
     wide = materialize(centred.mapInArrow(project, schema), "whitened")
     means = wide.agg(*[F.avg(c) for c in names]).head()
     pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
@@ -151,7 +150,8 @@ def whiten(rows: DataFrame, k: int = COMPONENTS, id_col: str = "vec_id", vector_
     trace = total / float(n) ** 3
     each = F.explode(F.array(*[F.struct(F.lit(i + 1).alias("component"), F.col(c).alias("whitened"), F.lit(float(values[i] / trace)).alias("explained")) for i, c in enumerate(names)]))
     long = wide.select("vec_id", "deviation", each.alias("c"))
-    return long.select("vec_id", "c.component", F.lit(n).cast("long").alias("n"), "deviation", "c.whitened", "c.explained", F.lit(float(error)).alias("identity_error"))
+    exact = F.col("deviation").try_cast(T.DecimalType(38, 0)).alias("deviation")
+    return long.select("vec_id", "c.component", F.lit(n).cast("long").alias("n"), exact, "c.whitened", "c.explained", F.lit(float(error)).alias("identity_error"))
 
 
 def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
