@@ -161,6 +161,35 @@ def c19(fx):
     return found.join(links.select(F.col("job").alias("source")).distinct(), "source", "left_anti").select("start", "source").distinct()
 
 
+@query("c19_labelled_trace", r"""
+WITH RECURSIVE o AS (SELECT object, id, kind, name, coalesce(parent, '') AS parent FROM fx_model_objects),
+ns AS (SELECT object, upper(parent) AS space, upper(name) AS called, max(id) AS meant FROM o WHERE name NOT IN ('', '*') GROUP BY ALL),
+s AS (SELECT r.object, r.rel * 1000000000000 + r.nth AS step, r.target, r.source, r.source_col, upper(r.source_parent) AS space, r.source_col = '*' AS star, r.source_col <> '*' AND coalesce(o.kind, '') = 'column' AS hit,
+  CASE WHEN o.kind = 'other' THEN o.name WHEN o.kind = 'other_col' THEN o.parent WHEN o.kind IS NULL THEN r.source_col ELSE '' END AS label, o.parent AS src_table, o.name AS src_col
+  FROM fx_model_relations r LEFT JOIN o ON o.object = r.object AND o.id = r.source WHERE r.type NOT IN ('call', 'fdr')),
+t AS (SELECT object, id, parent AS tgt_table, regexp_replace(trim(name), '^"?\s*\w+\s*\(\s*(?:\w+\.)?\s*(\w+)\s*\)\s*"?$', '\1') AS tgt_col FROM o WHERE kind = 'column' AND EXISTS (SELECT 1 FROM fx_model_relations r WHERE r.object = o.object AND r.target = o.id)),
+b AS (SELECT * FROM t WHERE NOT regexp_matches(tgt_col, '(?i)^(RS-\d+|RelationRows)$') AND NOT upper(tgt_table) LIKE '%\_BKP' ESCAPE '\'),
+w(object, start, node, hint, keys, path, seen, hit, src_table, src_col) AS (
+  SELECT object, id, id, tgt_col, CAST([] AS BIGINT[]), CAST([] AS VARCHAR[]), [id], false, '', '' FROM b
+  UNION ALL
+  SELECT w.object, w.start, CASE WHEN s.star THEN ns.meant ELSE s.source END, CASE WHEN s.star OR s.source_col = '' THEN w.hint ELSE s.source_col END, list_append(w.keys, s.step),
+    CASE WHEN s.hit OR s.star OR s.label = '' THEN w.path ELSE list_append(w.path, s.label) END, list_append(w.seen, CASE WHEN s.star THEN ns.meant ELSE s.source END), s.hit, s.src_table, s.src_col
+  FROM w JOIN s ON s.object = w.object AND s.target = w.node LEFT JOIN ns ON s.star AND ns.object = w.object AND ns.space = s.space AND ns.called = upper(w.hint)
+  WHERE NOT w.hit AND (s.hit OR (CASE WHEN s.star THEN ns.meant IS NOT NULL AND NOT list_contains(w.seen, ns.meant) ELSE NOT list_contains(w.seen, s.source) END))),
+h AS (SELECT b.object, b.tgt_table, b.tgt_col, w.src_table, w.src_col, w.path, row_number() OVER (PARTITION BY b.object, b.tgt_table, b.tgt_col, w.src_table, w.src_col ORDER BY w.start, w.keys) AS k
+  FROM w JOIN b ON b.object = w.object AND b.id = w.start WHERE w.hit AND w.src_col NOT IN ('RelationRows', 'relationrows', '*')),
+f AS (SELECT *, list_filter(path, lambda p: NOT regexp_matches(p, '(?i)^(RS-\d+|RelationRows)$')) AS shown FROM h WHERE k = 1),
+u AS (SELECT *, list_filter(shown, lambda p, i: list_position(list_transform(shown, lambda q: upper(q)), upper(p)) = i) AS labels FROM f)
+SELECT object, tgt_table, tgt_col, src_table, src_col, CASE WHEN len(labels) > 0 THEN array_to_string(labels, ' -> ') ELSE 'Direct' END AS transformation FROM u
+UNION ALL SELECT object, tgt_table, tgt_col, '', '', 'Constant / Expression' FROM b WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.hit AND w.object = b.object AND w.start = b.id)
+""")
+def c19_labelled(fx):
+    """Every target column followed back to real columns, with the transformations on the first path."""
+    from loomgraph.operators.trace import column_trace
+
+    return column_trace(fx["fx_model_objects"], fx["fx_model_relations"])
+
+
 @query("c29_gap_classes", "SELECT CASE WHEN src_col = '' THEN 'CONSTANT' WHEN src_col IN ('K1', 'K2') THEN 'AUDIT' ELSE 'GENUINE' END AS gap, count(*) AS n, count(DISTINCT object) AS n_objects FROM fx_lineage GROUP BY 1")
 def c29(fx):
     """Gaps by class."""
