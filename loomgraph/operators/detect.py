@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.columns import joined
+from loomgraph.functions.numbering import numbered
 from loomgraph.functions.scratch import materialize
 
+from .clusters import greedy_clusters, similar_pairs
 from .graph import closure
 
 def name() -> Column:
@@ -63,34 +65,23 @@ def similar_jobs(lineage: DataFrame, num: int = 85, den: int = 100) -> DataFrame
     return both.where("job_a < job_b").select("tgt_table", "job_a", "job_b", "shared")
 
 
-def similar_clusters(lineage: DataFrame, threshold: float = 0.85) -> DataFrame:
+def similar_clusters(lineage: DataFrame, num: int = 85, den: int = 100) -> DataFrame:
     """(tgt_table, cluster, job): jobs join the first cluster all of whose members are similar, in the order of their first rows.
 
-    Jobs with equal column sets always share a cluster, as what is similar to the one is to the other, so only the
-    distinct sets of a target are looked at one after the other; there are as many as its columns can make, however
-    many jobs there are. Jobs are joined to the clusters of their sets.
+    Jobs with equal column sets always share a cluster, as what is similar to the one is to the other. The distinct sets of a
+    target are numbered by their first rows and clustered in rounds (``greedy_clusters``); jobs are joined to the clusters of
+    their sets. Clusters are numbered from 0 in the order in which they were founded; those of one job are left out.
     """
-    import pandas as pd
-
     sets = lineage.groupBy("tgt_table", "job").agg(F.min("pos").alias("pos"), F.array_sort(F.collect_set("tgt_col")).alias("columns"))
     classes = sets.groupBy("tgt_table", "columns").agg(F.min("pos").alias("pos"), F.count(F.lit(1)).alias("n"))
-
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        found: list[list[frozenset]] = []
-        rows, sizes = [], []
-        for columns, n in pdf.sort_values("pos")[["columns", "n"]].itertuples(index=False):
-            own = frozenset(columns)
-            home = next((i for i, c in enumerate(found) if all(len(own & o) >= threshold * len(own | o) for o in c)), None)
-            if home is None:
-                home = len(found)
-                found.append([])
-                sizes.append(0)
-            found[home].append(own)
-            sizes[home] += n
-            rows.append((pdf["tgt_table"].iloc[0], list(columns), home))
-        return pd.DataFrame([r for r in rows if sizes[r[2]] > 1], columns=["tgt_table", "columns", "cluster"])
-
-    of_sets = classes.groupBy("tgt_table").applyInPandas(cluster, "tgt_table string, columns array<string>, cluster int")
+    classes = numbered(classes, "tgt_table", [F.col("pos"), F.col("columns")], "item").withColumnRenamed("tgt_table", "grp")
+    classes = materialize(classes.select("grp", "item", "columns", "n"), "column-sets")
+    found = greedy_clusters(classes.select("grp", "item"), similar_pairs(classes.select("grp", "item", F.col("columns").alias("members")), num, den))
+    found = materialize(found, "clusters")
+    founders = numbered(found.where("item = founder").select("grp", "founder"), "grp", [F.col("founder")], "nth")
+    of_sets = classes.join(found, ["grp", "item"])
+    several = of_sets.groupBy("grp", "founder").agg(F.sum("n").alias("size")).where("size > 1").join(founders, ["grp", "founder"])
+    of_sets = of_sets.join(several, ["grp", "founder"]).select(F.col("grp").alias("tgt_table"), "columns", (F.col("nth") - 1).cast("int").alias("cluster"))
     return sets.join(of_sets, ["tgt_table", "columns"]).select("tgt_table", "cluster", "job")
 
 

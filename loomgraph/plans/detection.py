@@ -66,6 +66,12 @@ def f04_clusters(fx):
     return detect.similar_clusters(fx["fx_lineage"])
 
 
+@query("f04_wide_clusters")
+def f04_wide_clusters(fx):
+    """Clusters of hundreds of column sets a target, most of them similar to many others."""
+    return detect.similar_clusters(fx["fx_wide_lineage"])
+
+
 @query("f05_serial_chains", """
 WITH RECURSIVE e AS (SELECT job, job + 1 AS dependent_job FROM fx_jobs WHERE job % 7 <> 0 UNION SELECT job, dependent_job FROM fx_edges WHERE job % 7 = 0),
 k AS (SELECT job, CASE WHEN job % 3 = 0 THEN 'FCT' ELSE 'OTHER' END AS category FROM fx_jobs),

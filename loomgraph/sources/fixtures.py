@@ -34,6 +34,7 @@ VIEWS = {
     "fx_named_writes": """SELECT job, CASE job % 9 WHEN 0 THEN concat(tbl, '_TMP') WHEN 1 THEN concat(tbl, '_BKP') WHEN 2 THEN concat(tbl, '_INTERMEDIATE_X') WHEN 3 THEN concat('FCT_RPT_', tbl) WHEN 4 THEN concat(tbl, '_INTERMEDIATE_EXG') WHEN 5 THEN concat(tbl, ',X_TMP') WHEN 6 THEN concat(tbl, '_JOB_LOG_TMP') WHEN 7 THEN concat('stg_', tbl, '_tmp') ELSE tbl END AS tbl FROM {fx_writes}""",
     "fx_named_reads": """SELECT DISTINCT r.job, w.tbl FROM {fx_reads} r JOIN {fx_named_writes} w ON w.job = 1 + r.job % 90""",
     "fx_summaries": """SELECT p_partkey AS package, replace(replace(concat('<"PROCESS_FLOW": <"steps": "load", "Cursor_use": "OPEN c1; CURSOR c2 IS x ', CASE WHEN p_size % 2 = 0 THEN 'BULK COLLECT INTO v; FORALL i IN 1..n UPDATE t' ELSE 'plain loop' END, CASE WHEN p_size % 4 = 0 THEN '; FORALL j IN v.FIRST..v.LAST /* a comment of more than fifty characters stands here */ UPDATE u' ELSE '' END, '", "bulk": "', CASE WHEN p_size % 3 = 0 THEN 'forall k in a update w' ELSE '' END, '">, "TRANSFORMATION_SUMMARY": <"hardcoded_logic": ', CASE p_size % 6 WHEN 0 THEN '["CASE maps ''A'', ''B'' to groups", "NVL(x, 0) default"]' WHEN 1 THEN '["active_status = ''Y'' filter", <"column": "V_CODE_R (x)", "approx_branch_count": 7>]' WHEN 2 THEN '["decode of ''AA'' ''BB'' ''CC'' ''DD''", "excluded ids not in list"]' WHEN 3 THEN '"large CASE over benefit codes"' WHEN 4 THEN '[<"column": "N_X", "approx_branch_count": 2>, "where code is ''Y'' or ''N'' or ''1'' or ''0'' or ''Q''"]' ELSE '[]' END, '>>'), '<', chr(123)), '>', chr(125)) AS summary FROM {part}""",
+    "fx_wide_lineage": """SELECT p_partkey * 100 + n_nationkey AS pos, concat('TBL_', CAST(p_partkey % 3 AS STRING)) AS tgt_table, concat('C', CAST(n_nationkey AS STRING)) AS tgt_col, CAST(floor(p_partkey / 2) AS BIGINT) AS job FROM {part} JOIN {nation} ON n_nationkey <> p_partkey * 7 % 25 AND n_nationkey <> p_size % 25 AND (p_size % 4 <> 0 OR n_nationkey <> p_partkey % 5)""",
     "fx_model_objects": """SELECT DISTINCT object, id, id AS pos, kind, name, parent FROM (
 SELECT l_orderkey AS object, concat('T', CAST(l_linenumber AS STRING)) AS id, 'column' AS kind, CASE WHEN l_linenumber = 1 THEN 'sum( a.C1)' WHEN l_linenumber = 2 AND l_orderkey % 3 = 0 THEN 'RS-2' ELSE concat('C', CAST(l_linenumber AS STRING)) END AS name, concat('TBL_', CAST(l_orderkey % 5 AS STRING), CASE WHEN l_orderkey % 11 = 0 THEN '_bkp' ELSE '' END) AS parent FROM {lineitem}
 UNION ALL SELECT l_orderkey, concat('F', CAST(l_partkey % 3 AS STRING)), 'other_col', 'x', CASE l_partkey % 3 WHEN 0 THEN 'NVL' WHEN 1 THEN 'RS-1' ELSE 'DECODE' END FROM {lineitem}
