@@ -22,6 +22,13 @@ def joined(values: Column, by: str = ",") -> Column:
     return F.array_join(F.array_sort(F.array_distinct(values)), by)
 
 
+def any_of(tests: Iterable[Column]) -> Column:
+    out = F.lit(False)
+    for t in tests:
+        out = out | t
+    return out
+
+
 def first_by(value: Column, position: Column) -> Column:
     return F.min_by(value, position)
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.functions.columns import joined
+from loomgraph.functions.columns import any_of, joined
 from loomgraph.functions.numbering import numbered
 from loomgraph.functions.scratch import materialize
 
@@ -177,13 +177,6 @@ LOG_PARTS = ("_DEBUG_TRC", "_TRC", "EXEC_STATUS_LOG", "PROC_EXEC_STATUS", "_JOB_
 LOG_PREFIXES = ("PRCS_JOB_LOG_", "PRCS_GRP_TBL_", "SSL_PACKAGE_")
 
 
-def any_of(tests: list[Column]) -> Column:
-    out = F.lit(False)
-    for t in tests:
-        out = out | t
-    return out
-
-
 def is_log_table(table: Column) -> Column:
     """Log, trace and control tables, and short names that are aliases."""
     t = F.upper(F.trim(table))

@@ -250,6 +250,46 @@ def f12(fx):
     return found.join(hits, "pos", "left").select("pos", "rank", F.coalesce("tbl", F.lit("UNMAPPED")).alias("tbl"))
 
 
+@query("f12_finding_recommendations", r"""
+WITH s AS (SELECT DISTINCT script, upper(replace(replace(script, '.sql', ''), '.txt', '')) AS base FROM fx_findings WHERE pos % 13 <> 0), o AS (SELECT DISTINCT job, name FROM fx_sql_objects),
+e AS (SELECT script, job FROM s JOIN o ON name = base), p AS (SELECT DISTINCT script, job FROM s JOIN o ON contains(name, base) OR contains(base, name) WHERE script NOT IN (SELECT script FROM e)),
+t AS (SELECT tbl, min(job) AS pos FROM fx_writes GROUP BY tbl), m AS (SELECT script, arg_min(tbl, pos) AS tbl FROM s JOIN t ON contains(base, tbl) WHERE script NOT IN (SELECT script FROM e) AND script NOT IN (SELECT script FROM p) GROUP BY script),
+j AS (SELECT script, 'EXACT' AS how, job FROM e UNION ALL SELECT script, 'PARTIAL', job FROM p UNION ALL SELECT script, 'TARGET', w.job FROM m JOIN fx_writes w ON w.tbl = m.tbl),
+k AS (SELECT script, min(how) AS how, string_agg(DISTINCT lpad(CAST(job AS VARCHAR), 9, '0'), ',' ORDER BY lpad(CAST(job AS VARCHAR), 9, '0')) AS jobs FROM j GROUP BY script),
+c AS (SELECT script, CASE WHEN regexp_matches(lower(finding), 'redundant|duplicate|repeated|unnecessary|remove') THEN 1 WHEN regexp_matches(lower(finding), 'bug|error|incorrect|wrong|missing|mismatch') THEN 2 WHEN regexp_matches(lower(finding), 'performance|slow|full scan|index|parallel|bulk') THEN 3 ELSE 4 END AS k FROM fx_findings),
+n AS (SELECT script, count(*) AS n_findings, count(*) FILTER (k = 1) AS n_redundancy, count(*) FILTER (k = 2) AS n_logic, count(*) FILTER (k = 3) AS n_performance, count(*) FILTER (k = 4) AS n_other FROM c GROUP BY script)
+SELECT n.*, coalesce(how, 'UNMAPPED') AS how, coalesce(jobs, 'UNMAPPED') AS jobs, CASE WHEN n_logic > 2 THEN 'HIGH' WHEN n_performance > 2 THEN 'MEDIUM' ELSE 'LOW' END AS risk, n_redundancy AS savings,
+concat('Script ''', n.script, ''' has ', n_findings, ' findings: ', array_to_string(list_filter([CASE WHEN n_redundancy > 0 THEN concat(n_redundancy, ' redundancy signals') END, CASE WHEN n_logic > 0 THEN concat(n_logic, ' logic risks') END, CASE WHEN n_performance > 0 THEN concat(n_performance, ' perf concerns') END, CASE WHEN n_other > 0 THEN concat(n_other, ' other findings') END], lambda x: x IS NOT NULL), ', '), '.') AS description,
+concat('Review script for optimization opportunities. Top concern: ', CASE WHEN n_redundancy > 0 THEN 'redundancy removal' WHEN n_performance > 0 THEN 'performance tuning' WHEN n_logic > 0 THEN 'bug fixes' ELSE 'general cleanup' END, '.') AS recommendation
+FROM n LEFT JOIN k ON k.script = n.script
+""")
+def f12_recommendations(fx):
+    """Findings by script with the jobs that the script means; scripts without a summary are known by no name."""
+    from loomgraph.operators.matching import finding_recommendations
+
+    targets = fx["fx_writes"].select("job", "tbl", F.col("job").alias("pos"))
+    return finding_recommendations(fx["fx_findings"], fx["fx_findings"].where("pos % 13 <> 0").select("script"), fx["fx_sql_objects"], targets)
+
+
+@query("f24_misnamed_views", r"""
+WITH v AS (SELECT DISTINCT upper(view) AS view FROM fx_view_names WHERE ends_with(upper(view), '_VW') AND NOT starts_with(upper(view), 'VW_')),
+l AS (SELECT upper(src_table) AS t, trim(package) AS name FROM fx_view_rows UNION SELECT upper(src_table), trim(object) FROM fx_view_rows),
+a AS (SELECT view, CASE WHEN contains(name, '.') THEN name ELSE concat(name, '.sql') END AS script FROM v JOIN l ON contains(t, view) WHERE name <> '' AND NOT starts_with(upper(name), 'VIEW_') AND name <> view),
+j AS (SELECT script, CAST(summary AS JSON)->'INPUT_DEPENDENCIES' AS d FROM fx_dependencies),
+g AS (SELECT script, d->'source_tables' AS o FROM j UNION ALL SELECT script, d->'procedure_level_dependencies' FROM j),
+x AS (SELECT script, o->k AS e FROM (SELECT script, o, unnest(json_keys(o)) AS k FROM g WHERE json_type(o) = 'OBJECT')),
+y AS (SELECT script, unnest(CAST(e AS JSON[])) AS s FROM x WHERE json_type(e) = 'ARRAY'),
+b AS (SELECT view, script FROM v JOIN y ON contains(upper(s->>'$'), view) WHERE upper(script) <> concat(view, '.SQL')),
+u AS (SELECT view, script FROM a UNION SELECT view, script FROM b)
+SELECT v.view, concat('VW_', ltrim(replace(v.view, '_VW', ''), '_')) AS suggestion, coalesce(string_agg(script, ',' ORDER BY script), '') AS scripts, count(script) AS n_scripts FROM v LEFT JOIN u ON u.view = v.view GROUP BY v.view
+""")
+def f24_misnamed(fx):
+    """Views named by a suffix, what they should be called, and the scripts that mention them."""
+    from loomgraph.operators.matching import misnamed_views
+
+    return misnamed_views(fx["fx_view_names"], fx["fx_view_rows"], fx["fx_dependencies"])
+
+
 @query("f22_updater_loops", f"""
 WITH RECURSIVE rd AS ({_IN_PLACE}), flow AS (SELECT DISTINCT r.tbl AS s, w.tbl AS t FROM rd r JOIN fx_writes w ON r.job = w.job WHERE r.tbl <> w.tbl),
 u AS (SELECT w.job, w.tbl FROM fx_writes w JOIN rd r ON r.job = w.job AND r.tbl = w.tbl),

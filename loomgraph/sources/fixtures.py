@@ -35,6 +35,11 @@ VIEWS = {
     "fx_named_reads": """SELECT DISTINCT r.job, w.tbl FROM {fx_reads} r JOIN {fx_named_writes} w ON w.job = 1 + r.job % 90""",
     "fx_summaries": """SELECT p_partkey AS package, replace(replace(concat('<"PROCESS_FLOW": <"steps": "load", "Cursor_use": "OPEN c1; CURSOR c2 IS x ', CASE WHEN p_size % 2 = 0 THEN 'BULK COLLECT INTO v; FORALL i IN 1..n UPDATE t' ELSE 'plain loop' END, CASE WHEN p_size % 4 = 0 THEN '; FORALL j IN v.FIRST..v.LAST /* a comment of more than fifty characters stands here */ UPDATE u' ELSE '' END, '", "bulk": "', CASE WHEN p_size % 3 = 0 THEN 'forall k in a update w' ELSE '' END, '">, "TRANSFORMATION_SUMMARY": <"hardcoded_logic": ', CASE p_size % 6 WHEN 0 THEN '["CASE maps ''A'', ''B'' to groups", "NVL(x, 0) default"]' WHEN 1 THEN '["active_status = ''Y'' filter", <"column": "V_CODE_R (x)", "approx_branch_count": 7>]' WHEN 2 THEN '["decode of ''AA'' ''BB'' ''CC'' ''DD''", "excluded ids not in list"]' WHEN 3 THEN '"large CASE over benefit codes"' WHEN 4 THEN '[<"column": "N_X", "approx_branch_count": 2>, "where code is ''Y'' or ''N'' or ''1'' or ''0'' or ''Q''"]' ELSE '[]' END, '>>'), '<', chr(123)), '>', chr(125)) AS summary FROM {part}""",
     "fx_wide_lineage": """SELECT p_partkey * 100 + n_nationkey AS pos, concat('TBL_', CAST(p_partkey % 3 AS STRING)) AS tgt_table, concat('C', CAST(n_nationkey AS STRING)) AS tgt_col, CAST(floor(p_partkey / 2) AS BIGINT) AS job FROM {part} JOIN {nation} ON n_nationkey <> p_partkey * 7 % 25 AND n_nationkey <> p_size % 25 AND (p_size % 4 <> 0 OR n_nationkey <> p_partkey % 5)""",
+    "fx_sql_objects": "SELECT p_partkey AS job, concat('PKG_', CAST(p_size AS STRING), '.LOAD_', CAST(p_partkey % 4 AS STRING)) AS name FROM {part} WHERE p_partkey % 3 <> 0",
+    "fx_findings": """SELECT o_orderkey AS pos, CASE o_custkey % 5 WHEN 0 THEN concat('pkg_', CAST(o_custkey % 50 AS STRING), '.load_', CAST(o_custkey % 4 AS STRING), '.sql') WHEN 1 THEN concat('PKG_', CAST(o_custkey % 60 AS STRING), '.sql') WHEN 2 THEN concat('OWN.PKG_', CAST(o_custkey % 50 AS STRING), '.LOAD_', CAST(o_custkey % 4 AS STRING), '_V2.txt') WHEN 3 THEN concat('load_tbl_', CAST(o_custkey % 45 AS STRING), '.sql') ELSE concat('other_', CAST(o_custkey % 9 AS STRING)) END AS script, concat('<"note": "', CASE o_orderkey % 7 WHEN 0 THEN 'Redundant join' WHEN 1 THEN 'Missing filter, wrong key' WHEN 2 THEN 'FULL SCAN without index' WHEN 3 THEN 'plain note' WHEN 4 THEN 'duplicate and slow' WHEN 5 THEN 'Bug' ELSE 'bulk' END, '">') AS finding FROM {orders} WHERE o_orderkey % 3 = 0""",
+    "fx_view_names": "SELECT concat(CASE WHEN p_partkey % 3 = 0 THEN 'a_' WHEN p_partkey % 3 = 1 THEN 'VW_' ELSE '' END, 'V', CAST(p_size AS STRING), CASE WHEN p_partkey % 5 = 0 THEN '' ELSE '_VW' END) AS view FROM {part}",
+    "fx_view_rows": """SELECT concat('own.', CASE WHEN l_linenumber % 2 = 0 THEN 'A_' ELSE '' END, 'v', CAST(l_suppkey % 60 AS STRING), '_vw@LNK,T2') AS src_table, CASE l_linenumber WHEN 1 THEN concat('PKG_', CAST(l_partkey % 30 AS STRING)) WHEN 2 THEN concat('pkg_', CAST(l_partkey % 30 AS STRING), '.prc') WHEN 3 THEN 'VIEW_X' ELSE NULL END AS package, CASE WHEN l_linenumber = 4 THEN concat('V', CAST(l_suppkey % 60 AS STRING), '_VW') WHEN l_linenumber = 5 THEN ' OBJ ' ELSE '' END AS object FROM {lineitem}""",
+    "fx_dependencies": """SELECT concat('S_', CAST(p_partkey % 40 AS STRING), '.sql') AS script, replace(replace(concat('<"INPUT_DEPENDENCIES": <"source_tables": <"views": ["OWN.V', CAST(p_partkey % 55 AS STRING), '_VW", 7], "text": "V9_VW">, "procedure_level_dependencies": ', CASE WHEN p_partkey % 4 = 0 THEN concat('<"p1": ["A_V', CAST(p_size AS STRING), '_VW x"]>') WHEN p_partkey % 4 = 1 THEN 'null' ELSE '["V8_VW"]' END, '>>'), '<', chr(123)), '>', chr(125)) AS summary FROM {part}""",
     "fx_model_objects": """SELECT DISTINCT object, id, id AS pos, kind, name, parent FROM (
 SELECT l_orderkey AS object, concat('T', CAST(l_linenumber AS STRING)) AS id, 'column' AS kind, CASE WHEN l_linenumber = 1 THEN 'sum( a.C1)' WHEN l_linenumber = 2 AND l_orderkey % 3 = 0 THEN 'RS-2' ELSE concat('C', CAST(l_linenumber AS STRING)) END AS name, concat('TBL_', CAST(l_orderkey % 5 AS STRING), CASE WHEN l_orderkey % 11 = 0 THEN '_bkp' ELSE '' END) AS parent FROM {lineitem}
 UNION ALL SELECT l_orderkey, concat('F', CAST(l_partkey % 3 AS STRING)), 'other_col', 'x', CASE l_partkey % 3 WHEN 0 THEN 'NVL' WHEN 1 THEN 'RS-1' ELSE 'DECODE' END FROM {lineitem}
