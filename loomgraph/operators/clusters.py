@@ -12,16 +12,21 @@ similar items. In a round an item is settled if what its answer depends on is se
 * at the end of the list the item founds a cluster.
 
 The earliest open item can always be settled, so the rounds end, and with the answer of the sequential rule. What a round
-compares are counts: members of a cluster before an item against those similar to it.
+compares are counts: members of a cluster before an item against those similar to it. A group with few similar pairs (counted
+before) isn't worth rounds: one task looks at its items in order.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.scratch import materialize
 
+#: Similar pairs of a group up to which one task clusters it.
+FEW_PAIRS = 200_000
+
 
 def similar_pairs(sets: DataFrame, num: int = 85, den: int = 100) -> DataFrame:
     """(grp, a, b) with a < b: sets of one group (grp, item, members) with a Jaccard similarity of num/den or more.
@@ -42,14 +47,37 @@ def similar_pairs(sets: DataFrame, num: int = 85, den: int = 100) -> DataFrame:
     return met.where(den * shared >= num * (F.col("n_a") + F.col("n_b") - shared)).select("grp", F.col("item_a").alias("a"), F.col("item_b").alias("b"))
 
 
-def greedy_clusters(items: DataFrame, pairs: DataFrame) -> DataFrame:
+def in_order(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The items of a group's pairs with their founders, by the sequential rule: a cluster fits if all its members are similar."""
+    before: dict[int, list[int]] = {}
+    for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist()):
+        before.setdefault(b, []).append(a)
+        before.setdefault(a, [])
+    founder: dict[int, int] = {}
+    size: dict[int, int] = {}
+    for item in sorted(before):
+        alike: dict[int, int] = {}
+        for a in before[item]:
+            alike[founder[a]] = alike.get(founder[a], 0) + 1
+        founder[item] = min((f for f, n in alike.items() if n == size[f]), default=item)
+        size[founder[item]] = size.get(founder[item], 0) + 1
+    return pd.DataFrame({"grp": pdf["grp"].iloc[0], "item": list(founder), "founder": list(founder.values())})
+
+
+def greedy_clusters(items: DataFrame, pairs: DataFrame, few_pairs: int = FEW_PAIRS) -> DataFrame:
     """(grp, item, founder) for items (grp, item) that are looked at in the order of ``item``; pairs (grp, a, b) with a < b are similar."""
     keys = ["grp", "item"]
     pairs = materialize(pairs, "similar-pairs")
+    few = materialize(pairs.groupBy("grp").count().where(F.col("count") <= few_pairs).select("grp"), "few-pairs")
+    kinds = {f.name: f.dataType.simpleString() for f in items.schema}
+    small = pairs.join(few, "grp", "left_semi").groupBy("grp").applyInPandas(in_order, f"grp {kinds['grp']}, item {kinds['item']}, founder {kinds['item']}")
+    pairs = pairs.join(few, "grp", "left_anti")
+    # An item without a similar one founds a cluster, and so does one without an earlier one.
+    small = materialize(small, "settled")
     linked = pairs.select("grp", F.col("b").alias("item")).distinct()
-    # An item without an earlier similar one founds a cluster whatever happens.
-    settled = [materialize(items.select(*keys).join(linked, keys, "left_anti").withColumn("founder", F.col("item")), "settled")]
-    left = materialize(items.select(*keys).join(linked, keys, "left_semi"), "open")
+    rest = items.select(*keys).join(small, keys, "left_anti")
+    settled = [small, materialize(rest.join(linked, keys, "left_anti").withColumn("founder", F.col("item")), "settled")]
+    left = materialize(rest.join(linked, keys, "left_semi"), "open")
     while not left.isEmpty():
         known = settled[0]
         for more in settled[1:]:

@@ -423,3 +423,22 @@ def f28(fx):
         one = one.select(F.lit(i).alias("place"), F.lit(letter).alias("detector"), "about", "n")
         found = one if found is None else found.unionByName(one)
     return found
+
+
+def detector_context(fx) -> dict:
+    """The relations that the registered detectors ask for."""
+    summaries_known = fx["fx_findings"].where("pos % 13 <> 0").select("script")
+    jobs = fx["fx_wide_lineage"].select("job").distinct()
+    return {
+        "lineage": fx["fx_wide_lineage"], "offset_jobs": jobs.where("job % 40 = 0"), "parameterised": jobs.where("job % 3 = 0"),
+        "findings": fx["fx_findings"], "scripts": summaries_known, "sql_objects": fx["fx_sql_objects"], "targets": fx["fx_writes"].select("job", "tbl", F.col("job").alias("pos")),
+        "views": fx["fx_view_names"], "view_rows": fx["fx_view_rows"], "dependencies": fx["fx_dependencies"],
+    }
+
+
+@query("f28_recommendations")
+def f28_recommendations(fx):
+    """The recommendations of all registered detectors, each run on its own."""
+    from loomgraph.operators.detectors import DETECTORS as registered
+
+    return registered.run(fx.spark, detector_context(fx))[0]

@@ -147,3 +147,15 @@ def k02(fx):
     path = _place(fx, "parts")
     fx["part"].select("p_partkey", "p_name", "p_size").write.json(path)
     return fx.spark.read.schema("p_partkey long, p_name string, p_size int").json(path)
+
+
+@query("k03_workbook_sink", "SELECT CAST(c_nationkey AS VARCHAR) AS nation, c_name AS name, CAST(c_acctbal AS VARCHAR) AS balance FROM customer WHERE c_nationkey >= 0")
+def k03(fx):
+    """Workbooks out through the sink of that name, and in through the data source: a file for each task, all sheets read."""
+    from loomgraph.sources import sinks, workbook_format
+
+    path = _place(fx, "customer-books")
+    rows = fx["customer"].where("c_nationkey >= 0").select(F.col("c_nationkey").alias("nation"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))
+    sinks.write(rows.repartition(4), "workbooks", path, rowsPerFile="1000")
+    workbook_format.register(fx.spark)
+    return fx.spark.read.format("workbooks").load(path).select("nation", "name", "balance")

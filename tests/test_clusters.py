@@ -27,19 +27,20 @@ def test_any_similarity(spark, seed, density):
     rng = random.Random(seed)
     rows, pairs, expected = [], [], {}
     for grp in "ab":
-        items = sorted(rng.sample(range(500), 40))
+        items = sorted(rng.sample(range(500), 30))
         similar = {(a, b) for a in items for b in items if a < b and rng.random() < density}
         rows += [(grp, i) for i in items]
         pairs += [(grp, a, b) for a, b in similar]
         expected |= {(grp, i): f for i, f in sequential(items, similar).items()}
-    found = clusters.greedy_clusters(spark.createDataFrame(rows, "grp string, item long"), spark.createDataFrame(pairs, "grp string, a long, b long"))
-    assert {(r.grp, r.item): r.founder for r in found.collect()} == expected
+    for few in (0, clusters.FEW_PAIRS) if seed < 3 else (clusters.FEW_PAIRS,):
+        found = clusters.greedy_clusters(spark.createDataFrame(rows, "grp string, item long"), spark.createDataFrame(pairs, "grp string, a long, b long"), few)
+        assert {(r.grp, r.item): r.founder for r in found.collect()} == expected
 
 
 def test_chain_and_empty(spark):
     items = [("x", i) for i in range(12)]
     pairs = [("x", i, i + 1) for i in range(11)]
-    found = clusters.greedy_clusters(spark.createDataFrame(items, "grp string, item long"), spark.createDataFrame(pairs, "grp string, a long, b long"))
+    found = clusters.greedy_clusters(spark.createDataFrame(items, "grp string, item long"), spark.createDataFrame(pairs, "grp string, a long, b long"), 0)
     assert {r.item: r.founder for r in found.collect()} == {i: i // 2 * 2 for i in range(12)}
     none = spark.createDataFrame([], "grp string, item long")
     assert clusters.greedy_clusters(none, spark.createDataFrame([], "grp string, a long, b long")).count() == 0
