@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from ._common import materialize, table, texts
 
-BLOOM = {"parquet__bloom__filter__enabled#digest": "true"}
+#: Filters of the runs, each of the smallest of twelve sizes that holds its run's digests, as a run may have few.
+BLOOM = {"parquet__bloom__filter__enabled#digest": "true", "parquet__bloom__filter__adaptive__enabled": "true", "parquet__bloom__filter__candidates__number": "12"}
 RUNS = 4
 #: Blocks of 32,768 bits, and the bits that a digest sets.
 FILTER_BLOCKS, FILTER_HASHES = 256, 2
