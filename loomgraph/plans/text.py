@@ -425,3 +425,24 @@ def c05_packages(fx):
 def c13_packages(fx):
     """Tables that the packages merge into."""
     return scripts.matches(fx["fx_packages"], r"(?i)\bMERGE\s+INTO\s+([\w.]+)", "tbl").select("script", F.upper("tbl").alias("tbl"))
+
+
+@query("b06_resolved_references", r"""
+WITH r AS (SELECT script, body, unnest(regexp_extract_all(body, '(?i)dbms_mview\.refresh\s*\(\s*(?:''([^'']+)''|(\w+))', 1)) AS literal, unnest(regexp_extract_all(body, '(?i)dbms_mview\.refresh\s*\(\s*(?:''([^'']+)''|(\w+))', 2)) AS var FROM fx_refresh),
+o AS (SELECT script, body, coalesce(literal, '') AS literal, coalesce(var, '') AS var FROM r), i AS (SELECT *, CASE WHEN var <> '' THEN regexp_extract(body, concat('(?i)', var, '\s+\w+(?:\(\d+\))?\s*:=\s*''\$(\w+)'''), 1) ELSE '' END AS shell FROM o),
+p AS (SELECT *, CASE WHEN var <> '' THEN regexp_extract(body, concat(var, '\s*=\s*\$(\d+)'), 1) ELSE '' END AS n1, CASE WHEN shell <> '' THEN regexp_extract(body, concat(shell, '\s*=\s*\$(\d+)'), 1) ELSE '' END AS n2,
+  CASE WHEN var <> '' THEN regexp_extract(body, concat('(?m)', var, '\s*=\s*([A-Za-z_][A-Za-z0-9_]*)\s*$'), 1) ELSE '' END AS w1, CASE WHEN shell <> '' THEN regexp_extract(body, concat('(?m)', shell, '\s*=\s*([A-Za-z_][A-Za-z0-9_]*)\s*$'), 1) ELSE '' END AS w2 FROM i),
+q AS (SELECT *, CASE WHEN n1 <> '' THEN n1 WHEN w1 = '' OR upper(w1) = upper(var) THEN n2 ELSE '' END AS n FROM p),
+e AS (SELECT script, body, unnest(string_split(regexp_replace(body, '(?i)EXECUTE\s+IMMEDIATE', chr(1), 'g'), chr(1))[2:]) AS rest, unnest(range(0, len(string_split(regexp_replace(body, '(?i)EXECUTE\s+IMMEDIATE', chr(1), 'g'), chr(1))) - 1)) AS k FROM fx_refresh WHERE regexp_matches(body, '(?i)EXECUTE\s+IMMEDIATE')),
+f AS (SELECT script, body, k, left(string_agg(rest, 'EXECUTE IMMEDIATE' ORDER BY k2), 500) AS text FROM (SELECT a.script, a.body, a.k, b.rest, b.k AS k2 FROM e a JOIN e b ON b.script = a.script AND b.k >= a.k) GROUP BY ALL),
+u AS (SELECT *, regexp_extract_all(regexp_extract(text, '(?is)USING\s+(.*?);', 1), '\w+') AS vars FROM f)
+SELECT script, CASE WHEN regexp_matches(body, concat('(?i)TRUNCATE\s+TABLE.*?', CASE WHEN var = '' THEN literal ELSE var END)) THEN 'MV_REFRESH_WITH_TRUNCATE' ELSE 'MV_REFRESH' END AS kind,
+  CASE WHEN n <> '' THEN concat('(parameter $', n, ')') WHEN var = '' THEN upper(literal) WHEN w1 <> '' AND upper(w1) <> upper(var) THEN upper(w1) WHEN w2 <> '' THEN upper(w2) WHEN shell <> '' THEN upper(shell) ELSE upper(var) END AS name,
+  n <> '' AS is_parameter, CASE WHEN n <> '' THEN concat('$', n) ELSE '' END AS position FROM q
+UNION ALL SELECT script, 'EXECUTE_IMMEDIATE', '', regexp_matches(text, '\$\{?\w+\}?'), array_to_string(list_filter(list_transform(vars, lambda v: CASE WHEN regexp_extract(body, concat(v, '\s*=\s*\$(\d+)'), 1) <> '' THEN concat('$', regexp_extract(body, concat(v, '\s*=\s*\$(\d+)'), 1)) END), lambda x: x IS NOT NULL), ',') FROM u
+""")
+def b06_references(fx):
+    """Refreshes and executed texts of whole scripts with the parameters behind their variables, by a table function."""
+    from loomgraph.operators.resolution import references
+
+    return references(fx["fx_refresh"]).drop("at")
