@@ -10,7 +10,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.functions.columns import ladder
+from loomgraph.functions.columns import any_of, ladder
+from loomgraph.functions.variants import exploded
 
 # Texts that tell a translation of codes, and texts that tell an operational constant.
 SUBSTANTIAL = (
@@ -68,3 +69,40 @@ def bulk_passes(summaries: DataFrame) -> DataFrame:
     found = summaries.select("package", text.alias("text")).where(upper.contains("BULK COLLECT") & upper.contains("FORALL") & upper.contains("UPDATE"))
     count = lambda pattern: F.greatest(F.lit(1), F.regexp_count("text", F.lit(pattern)))
     return found.select("package", count(r"(?i)OPEN\s+\w+|CURSOR\s+\w+\s+IS").alias("n_cursors"), count(r"(?is)FORALL.{1,50}UPDATE").alias("n_updates"))
+
+
+# Parts of keys that hold findings, and beginnings of keys that hold metadata.
+FINDING_KEYS = ("issue", "risk", "bug", "problem", "potential", "warning", "recommendation", "improvement", "suggestion", "action", "optimization", "performance", "refactor", "smell")
+METADATA_KEYS = (
+    "name", "object", "schema", "package", "procedure", "script", "type", "summary", "purpose", "signature", "column", "source_table", "select", "parameter", "input", "output", "entry", "status", "comment",
+    "description", "grant", "target", "declared", "creation", "build", "parallel", "refresh", "constraint", "storage", "segment",
+)
+
+
+def consolidated_findings(summaries: DataFrame) -> DataFrame:
+    """(script, section, place, detail, fields) of (script, summary): what stands under keys that hold findings, level by level.
+
+    A list gives a finding for each object or text in it, an object one for each text, named by its key, and those of each list
+    in it; a text is a finding itself. ``fields`` is the JSON of an object, whose own ``detail``, if any, is the detail.
+    ``place`` orders a script's findings: places in the first and second level and in the list.
+
+    Defined results: summaries that aren't JSON objects, or that have a key ``error``, have no findings; blank texts, numbers and
+    nulls are none; keys are compared in lower case.
+    """
+    parsed = summaries.select("script", F.try_parse_json("summary").alias("summary"))
+    parsed = parsed.where(F.schema_of_variant("summary").startswith("OBJECT") & ~F.array_contains(F.coalesce(F.json_object_keys(F.to_json("summary")), F.array().cast("array<string>")), "error"))
+    key = F.lower("one_key")
+    keys = exploded(parsed, "summary", "one").where(any_of([key.contains(k) for k in FINDING_KEYS]) & ~any_of([key.startswith(k) for k in METADATA_KEYS]))
+    string = lambda c: F.when(F.schema_of_variant(c) == "STRING", F.try_variant_get(c, "$", "string"))
+    none = F.lit(None).cast("string")
+    own = keys.select("script", F.col("one_key").alias("section"), F.array("one_pos").alias("place"), string("one").alias("detail"), none.alias("fields"))
+    two = exploded(keys, "one", "two")
+    named = F.concat("two_key", F.lit(": "), F.when(F.trim(F.regexp_replace(string("two"), r"\s", "")) != "", string("two")))
+    named = two.where("one_is_object").select("script", F.col("one_key").alias("section"), F.array("one_pos", "two_pos").alias("place"), named.alias("detail"), none.alias("fields"))
+    flat = two.where("one_is_array").select("script", F.col("one_key").alias("section"), F.array("one_pos", "two_pos").alias("place"), F.col("two").alias("item"), F.col("two_is_object").alias("is_object"))
+    three = exploded(two.where("one_is_object and two_is_array"), "two", "three")
+    deep = three.select("script", F.concat_ws(".", "one_key", "two_key").alias("section"), F.array("one_pos", "two_pos", "three_pos").alias("place"), F.col("three").alias("item"), F.col("three_is_object").alias("is_object"))
+    items = flat.unionByName(deep)
+    items = items.select("script", "section", "place", F.when(F.col("is_object"), F.try_variant_get("item", "$.detail", "string")).otherwise(string("item")).alias("detail"), F.when(F.col("is_object"), F.to_json("item")).alias("fields"))
+    found = own.unionByName(named).unionByName(items)
+    return found.where(F.col("fields").isNotNull() | (F.regexp_replace("detail", r"\s", "") != ""))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomgraph.operators import packages, scripts
+from loomgraph.operators import packages, scripts, summaries
 
 from .registry import query
 
@@ -446,3 +446,54 @@ def b06_references(fx):
     from loomgraph.operators.resolution import references
 
     return references(fx["fx_refresh"]).drop("at")
+
+
+@query("c11_dispatcher_branches", r"""
+WITH c AS (SELECT script, regexp_replace(regexp_replace(body, '(?s)/\*.*?\*/', '', 'g'), '--[^\n]*', '', 'g') AS body FROM fx_dispatch),
+s AS (SELECT script, string_split(rtrim(body, chr(10)), chr(10)) AS t FROM c), l AS (SELECT script, unnest(t) AS text, unnest(range(0, len(t))) AS line FROM s),
+d AS (SELECT *, sum(len(regexp_extract_all(regexp_replace(upper(text), '\bEND\s+IF\b', '', 'g'), '\bIF\b')) - len(regexp_extract_all(upper(text), '\bEND\s+IF\b'))) OVER (PARTITION BY script ORDER BY line) AS depth FROM l),
+t AS (SELECT *, upper(trim(regexp_extract(text, '(?i)IF\s+UPPER\s*\(\s*TRIM\s*\(\s*(\w+)\s*\)\s*\)\s+like\s+''%([^%'']+)%''', 2))) AS branch FROM d WHERE regexp_matches(text, '(?i)IF\s+UPPER\s*\(\s*TRIM\s*\(\s*(\w+)\s*\)\s*\)\s+like\s+''%([^%'']+)%''')),
+e AS (SELECT t.script, t.branch, t.line AS f, coalesce((SELECT min(d.line) FROM d WHERE d.script = t.script AND d.line > t.line AND d.depth < t.depth), (SELECT max(line) FROM d WHERE d.script = t.script)) AS z FROM t),
+o AS (SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM e x WHERE x.script = e.script AND x.f < e.f AND e.f <= x.z)),
+b AS (SELECT o.script, branch, f AS first_line, z AS last_line, string_agg(d.text, chr(10) ORDER BY d.line) AS body FROM o JOIN d ON d.script = o.script AND d.line > f AND d.line < z GROUP BY ALL)
+SELECT script, branch, CAST(first_line AS INTEGER) AS first_line, CAST(last_line AS INTEGER) AS last_line, body, CAST(len(regexp_extract_all(body, '(?is)\b(INSERT\s+INTO|UPDATE\s+\w+|DELETE\s+FROM|MERGE\s+INTO)\b')) AS INTEGER) AS n_changes FROM b WHERE trim(body) <> ''
+""")
+def c11_branches(fx):
+    """Branches of dispatchers with what they change, nested IFs and all."""
+    from loomgraph.operators.branches import dispatch_branches
+
+    return dispatch_branches(fx["fx_dispatch"])
+
+
+@query("c10_sized_parts", r"""
+WITH RECURSIVE s AS (SELECT script, header, list_filter(list_transform(regexp_split_to_array(body, '\n\n+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS g, body FROM fx_statements),
+b AS (SELECT script, header, g FROM s WHERE length(header) + length(body) + 1 > 10000 AND len(g) > 0),
+w(script, header, g, i, part, size, has) AS (
+  SELECT script, header, g, 1, 1, length(header) + 50 + length(g[1]) + 2, ends_with(g[1], ';') FROM b
+  UNION ALL SELECT script, header, g, i + 1, CASE WHEN has AND size + length(g[i + 1]) + 2 > 9500 THEN part + 1 ELSE part END,
+    CASE WHEN has AND size + length(g[i + 1]) + 2 > 9500 THEN length(header) + 50 ELSE size END + length(g[i + 1]) + 2, CASE WHEN has AND size + length(g[i + 1]) + 2 > 9500 THEN false ELSE has END OR ends_with(g[i + 1], ';') FROM w WHERE i < len(g)),
+p AS (SELECT script, header, part, string_agg(g[i], chr(10) || chr(10) ORDER BY i) AS t FROM w GROUP BY script, header, part),
+n AS (SELECT *, count(*) OVER (PARTITION BY script) AS n FROM p),
+a AS (SELECT script, part, n AS n_parts, concat(header, ' (part ', part, '/', n, ')', chr(10), chr(10), t) AS content FROM n UNION ALL SELECT script, 1, 1, concat(header, chr(10), body) FROM s WHERE length(header) + length(body) + 1 <= 10000 AND regexp_replace(body, '\s', '', 'g') <> '')
+SELECT script, CAST(part AS INTEGER) AS part, CAST(n_parts AS INTEGER) AS n_parts, CAST(length(content) AS INTEGER) AS n_chars, length(content) <= 10000 AS fits, md5(content) AS content_md5 FROM a
+""")
+def c10_sized(fx):
+    """Texts of more than 10,000 characters in parts that end behind statements."""
+    from loomgraph.operators.branches import sized_parts
+
+    return sized_parts(fx["fx_statements"]).withColumn("content_md5", F.md5("content")).drop("content")
+
+
+@query("c31_consolidated", """
+WITH j AS (SELECT script, CAST(summary AS JSON) AS s FROM fx_free_summaries WHERE json_valid(summary)), k AS (SELECT script, s, unnest(json_keys(s)) AS key FROM j WHERE NOT list_contains(json_keys(s), 'error')),
+o AS (SELECT script, key, json_extract(s, concat('$."', key, '"')) AS v FROM k WHERE regexp_matches(lower(key), 'issue|risk|bug|problem|potential|warning|recommendation|improvement|suggestion|action|optimization|performance|refactor|smell') AND NOT regexp_matches(lower(key), '^(name|object|schema|package|procedure|script|type|summary|purpose|signature|column|source_table|select|parameter|input|output|entry|status|comment|description|grant|target|declared|creation|build|parallel|refresh|constraint|storage|segment)')),
+t AS (SELECT script, key, sub, json_extract(v, concat('$."', sub, '"')) AS v FROM (SELECT script, key, v, unnest(json_keys(v)) AS sub FROM o WHERE json_type(v) = 'OBJECT')),
+i AS (SELECT script, key AS section, unnest(CAST(v AS JSON[])) AS v FROM o WHERE json_type(v) = 'ARRAY' UNION ALL SELECT script, concat(key, '.', sub), unnest(CAST(v AS JSON[])) FROM t WHERE json_type(v) = 'ARRAY')
+SELECT script, key AS section, v->>'$' AS detail, CAST(NULL AS BIGINT) AS n_fields FROM o WHERE json_type(v) = 'VARCHAR' AND trim(v->>'$') <> ''
+UNION ALL SELECT script, key, concat(sub, ': ', v->>'$'), NULL FROM t WHERE json_type(v) = 'VARCHAR' AND trim(v->>'$') <> ''
+UNION ALL SELECT script, section, CASE WHEN json_type(v) = 'OBJECT' THEN v->>'$.detail' ELSE v->>'$' END, CASE WHEN json_type(v) = 'OBJECT' THEN len(json_keys(v)) END FROM i WHERE json_type(v) = 'OBJECT' OR json_type(v) = 'VARCHAR' AND trim(v->>'$') <> ''
+""")
+def c31_consolidated(fx):
+    """Findings of free-form summaries in all shapes: lists, objects of lists and texts, texts."""
+    found = summaries.consolidated_findings(fx["fx_free_summaries"])
+    return found.select("script", "section", "detail", F.size(F.json_object_keys("fields")).cast("long").alias("n_fields"))

@@ -41,6 +41,9 @@ VIEWS = {
     "fx_view_rows": """SELECT concat('own.', CASE WHEN l_linenumber % 2 = 0 THEN 'A_' ELSE '' END, 'v', CAST(l_suppkey % 60 AS STRING), '_vw@LNK,T2') AS src_table, CASE l_linenumber WHEN 1 THEN concat('PKG_', CAST(l_partkey % 30 AS STRING)) WHEN 2 THEN concat('pkg_', CAST(l_partkey % 30 AS STRING), '.prc') WHEN 3 THEN 'VIEW_X' ELSE NULL END AS package, CASE WHEN l_linenumber = 4 THEN concat('V', CAST(l_suppkey % 60 AS STRING), '_VW') WHEN l_linenumber = 5 THEN ' OBJ ' ELSE '' END AS object FROM {lineitem}""",
     "fx_dependencies": """SELECT concat('S_', CAST(p_partkey % 40 AS STRING), '.sql') AS script, replace(replace(concat('<"INPUT_DEPENDENCIES": <"source_tables": <"views": ["OWN.V', CAST(p_partkey % 55 AS STRING), '_VW", 7], "text": "V9_VW">, "procedure_level_dependencies": ', CASE WHEN p_partkey % 4 = 0 THEN concat('<"p1": ["A_V', CAST(p_size AS STRING), '_VW x"]>') WHEN p_partkey % 4 = 1 THEN 'null' ELSE '["V8_VW"]' END, '>>'), '<', chr(123)), '>', chr(125)) AS summary FROM {part}""",
     "fx_refresh": """SELECT script, replace(body, '~', chr(39)) AS body FROM (SELECT p_partkey AS script, concat('#!/bin/ksh\n', CASE WHEN p_size % 3 = 0 THEN concat('X_MV_NAME=$', CAST(1 + p_size % 4 AS STRING), '\n') WHEN p_size % 3 = 1 THEN concat('MV_NAME = mv_', CAST(p_size AS STRING), '\n') ELSE '' END, 'v_from=$2\nv_to =$', CAST(3 + p_partkey % 3 AS STRING), '\nsqlplus -s x <<EOF\n', CASE p_partkey % 5 WHEN 0 THEN concat('V_MV VARCHAR2(300):=~$MV_NAME~;\ndbms_mview.refresh(V_MV, ~C~);\n') WHEN 1 THEN concat('DBMS_MVIEW.REFRESH ( ~own.mv_', CAST(p_size AS STRING), '~, 1);\n') WHEN 2 THEN 'truncate table own.MV_NAME drop storage;\ndbms_mview.refresh(MV_NAME);\n' WHEN 3 THEN 'dbms_mview.refresh(V_OTHER); execute immediate ~begin x(:a,:b); end;~ USING v_from, v_to, v_none;\n' ELSE concat('EXECUTE IMMEDIATE ~begin y(:a)~\n', CASE WHEN p_size % 2 = 0 THEN '|| ~ $v_from~\n' ELSE '' END, repeat('-- a comment line of forty characters...\n', p_size % 16), 'using in v_to;\nEXECUTE  IMMEDIATE ~commit~;\n') END, 'EOF\n') AS body FROM {part}) AS t""",
+    "fx_dispatch": """SELECT script, replace(body, '~', chr(39)) AS body FROM (SELECT p_partkey AS script, concat('PROCEDURE P IS\nBEGIN\n IF UPPER(TRIM(P_TAB)) like ~%t_', CAST(p_size % 5 AS STRING), '%~ THEN\n  INSERT INTO own.a SELECT 1 FROM b; -- END IF\n', CASE p_size % 3 WHEN 0 THEN '  IF x = 1 THEN\n   UPDATE own.u SET a = 1;\n  END IF;\n' WHEN 1 THEN '  IF a THEN IF b THEN c; END IF; END IF;\n' ELSE '' END, CASE WHEN p_partkey % 4 = 0 THEN '  if upper( trim(P_IN)) LIKE ~%INNER%~ THEN\n   DELETE FROM own.d;\n  END IF;\n' ELSE '' END, CASE WHEN p_partkey % 6 = 0 THEN '  IF z THEN\n   y; END IF; END IF; IF w THEN\n' ELSE '' END, ' END IF;\n -- IF UPPER(TRIM(P_TAB)) like ~%NO%~ THEN\n IF UPPER(TRIM(P_TAB)) LIKE ~% second %~ THEN\n  MERGE INTO own.m USING x;\n', CASE p_partkey % 7 WHEN 0 THEN '' WHEN 1 THEN ' END IF; IF UPPER(TRIM(P_TAB)) LIKE ~%SAMELINE%~ THEN\n  null;\n END IF;\n' ELSE ' END IF;\n IF UPPER(TRIM(P_TAB)) LIKE ~%EMPTY%~ THEN\n END IF;\n' END, 'END;\n') AS body FROM {part}) AS t""",
+    "fx_statements": "SELECT doc_id AS script, concat('-- Cleaned for lineage: ', source) AS header, replace(coalesce(text, ''), '. ', CASE WHEN doc_id % 3 = 0 THEN concat(chr(10), chr(10)) ELSE concat(';', chr(10), chr(10)) END) AS body FROM {documents}",
+    "fx_free_summaries": """SELECT p_partkey AS script, replace(replace(concat('<"name_issue": ["skipped"], "Potential Issues": ', CASE p_size % 6 WHEN 0 THEN '["a", " ", 5, <"detail": "d", "sev": 1>, <"x": 2>, ["deep"]]' WHEN 1 THEN '<"perf": ["p1", <"detail": "q">, null], "note": "text", "blank": " ", "n": 3>' WHEN 2 THEN concat('"plain text ', CAST(p_partkey AS STRING), '"') WHEN 3 THEN '[]' WHEN 4 THEN 'null' ELSE '"  "' END, ', "risk_level": "high", "other": ["no"], "parallel_performance": "skipped"', CASE WHEN p_partkey % 9 = 0 THEN ', "error": "bad"' ELSE '' END, CASE WHEN p_partkey % 11 = 0 THEN ' broken' ELSE '>' END), '<', chr(123)), '>', chr(125)) AS summary FROM {part}""",
     "fx_model_objects": """SELECT DISTINCT object, id, id AS pos, kind, name, parent FROM (
 SELECT l_orderkey AS object, concat('T', CAST(l_linenumber AS STRING)) AS id, 'column' AS kind, CASE WHEN l_linenumber = 1 THEN 'sum( a.C1)' WHEN l_linenumber = 2 AND l_orderkey % 3 = 0 THEN 'RS-2' ELSE concat('C', CAST(l_linenumber AS STRING)) END AS name, concat('TBL_', CAST(l_orderkey % 5 AS STRING), CASE WHEN l_orderkey % 11 = 0 THEN '_bkp' ELSE '' END) AS parent FROM {lineitem}
 UNION ALL SELECT l_orderkey, concat('F', CAST(l_partkey % 3 AS STRING)), 'other_col', 'x', CASE l_partkey % 3 WHEN 0 THEN 'NVL' WHEN 1 THEN 'RS-1' ELSE 'DECODE' END FROM {lineitem}
