@@ -190,6 +190,23 @@ def streamed_windows(fx):
     return streamed(fx.spark, fx.sf_dir).select("status", "start", "n", F.round("mean_sec", 3).alias("mean_sec"))
 
 
+@query("rel_p_sessions", """
+WITH e AS (SELECT user_id AS job, event_type AS status, epoch_us(ts) // 1000 AS ms, event_id AS id, value FROM events),
+g AS (SELECT *, CASE WHEN ms - lag(ms) OVER (PARTITION BY job, status ORDER BY ms, id) <= 43200000 THEN 0 ELSE 1 END AS new FROM e),
+s AS (SELECT *, sum(new) OVER (PARTITION BY job, status ORDER BY ms, id) AS session FROM g)
+SELECT job, status, min(ms) AS started, max(ms) AS ended, count(*) AS n, arg_max(id, CAST(ms AS HUGEINT) * 10000000000 + id) AS last_id, arg_max(value, CAST(ms AS HUGEINT) * 10000000000 + id) AS last_value FROM s GROUP BY job, status, session
+HAVING max(ms) + 43200000 <= (SELECT max(ms) - 86400000 FROM e)
+""")
+def sessions(fx):
+    """Sessions of runs of each pair that are closed when a stream has read the whole table, with their latest run."""
+    from loomgraph.streaming.runs import RUNS
+    from loomgraph.streaming.sessions import streamed_sessions
+
+    feed = fx.spark.readStream.schema(RUNS).parquet(f"{fx.sf_dir}/events.parquet*")
+    runs = feed.select(F.col("user_id").alias("job"), F.col("event_type").alias("status"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"), "value")
+    return streamed_sessions(fx.spark, runs, ["job", "status"], 43_200_000, "1 day")
+
+
 @query("rel_k_fan_out", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 100000")
 def fan_out(fx):
     """A row for each match, and one for rows without."""
