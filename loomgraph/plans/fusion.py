@@ -95,12 +95,12 @@ def a22(fx):
     return fx["fx_lineage"].groupBy("tgt_table").agg(F.count_distinct("tgt_col").alias("n_columns"), F.count(F.lit(1)).alias("n_rows"), joined(F.collect_set("tgt_col")).alias("columns"))
 
 
-@query("d01_orphans", "SELECT job FROM fx_jobs n WHERE sql_object LIKE '%1' AND NOT EXISTS (SELECT 1 FROM fx_edges e JOIN fx_jobs m ON m.job = e.job WHERE e.dependent_job = n.job AND m.category <> 'RPT')")
+@query("d01_orphans", "SELECT job FROM fx_jobs n WHERE NOT EXISTS (SELECT 1 FROM fx_edges e JOIN fx_jobs m ON m.job = e.job WHERE e.dependent_job = n.job AND m.category <> 'RPT')")
 def d01(fx):
     """Jobs on which no job of the wanted kind depends."""
     kinds = fx["fx_jobs"].where("category <> 'RPT'").select("job")
     used = fx["fx_edges"].join(kinds, "job", "left_semi").select(F.col("dependent_job").alias("job"))
-    return fx["fx_jobs"].where("sql_object like '%1'").join(used, "job", "left_anti").select("job")
+    return fx["fx_jobs"].join(used, "job", "left_anti").select("job")
 
 
 @query("d02_exclusions", "SELECT job, category IN ('STG', 'REF') AS disabled FROM fx_jobs WHERE sql_object NOT IN ('Brand#1', 'Brand#2') AND NOT starts_with(job_name, 'JOB_9')")
@@ -151,13 +151,13 @@ def d08(fx):
     return jobs.join(roots, "i").join(depth, (F.col("root") == F.col("root_job")) & (F.col("node") == F.col("job")), "left").select("rpt", "job", "depth")
 
 
-_BORROW = "SELECT pos, src_table AS root, tgt_table, CASE WHEN pos % 3 = 0 THEN CAST(pos % 9 AS BIGINT) END AS depth FROM fx_lineage WHERE tgt_col = 'C1'"
+_BORROW = "SELECT pos, src_table AS root, tgt_table, CASE WHEN pos % 3 = 0 THEN CAST(pos % 9 AS BIGINT) END AS depth FROM fx_lineage"
 
 
 @query("d09_borrow_depth", f"WITH r AS ({_BORROW}) SELECT pos, root, tgt_table, depth, coalesce(depth, (SELECT arg_min(s.depth, s.pos) FROM r s WHERE s.root = r.root AND s.tgt_table = r.tgt_table AND s.depth IS NOT NULL)) AS filled FROM r")
 def d09(fx):
     """Rows without a depth take that of the first sibling."""
-    rows = fx["fx_lineage"].where("tgt_col = 'C1'").select("pos", F.col("src_table").alias("root"), "tgt_table", F.when(F.col("pos") % 3 == 0, (F.col("pos") % 9).cast("bigint")).alias("depth"))
+    rows = fx["fx_lineage"].select("pos", F.col("src_table").alias("root"), "tgt_table", F.when(F.col("pos") % 3 == 0, (F.col("pos") % 9).cast("bigint")).alias("depth"))
     return fusion.borrow_depth(rows)
 
 

@@ -115,7 +115,7 @@ def h08(fx):
 
 @query("h09_what_if", f"""
 WITH RECURSIVE d AS ({_DEPTH.format(frm="job", to="dependent_job", more="").strip()}),
-gone AS (SELECT DISTINCT greatest(job_a, job_b) AS job FROM fx_recs WHERE hops > 2 AND job_a <> job_b AND greatest(job_a, job_b) NOT IN (SELECT root_job FROM fx_roots)),
+gone AS (SELECT DISTINCT greatest(job_a, job_b) AS job FROM fx_recs WHERE hops > 0 AND job_a <> job_b AND greatest(job_a, job_b) NOT IN (SELECT root_job FROM fx_roots)),
 l AS (SELECT job, dependent_job FROM fx_edges WHERE job NOT IN (SELECT job FROM gone) AND dependent_job NOT IN (SELECT job FROM gone)),
 c(root, node) AS (SELECT root_job, root_job FROM fx_roots UNION SELECT c.root, l.dependent_job FROM c JOIN l ON l.job = c.node)
 SELECT b.root, n_before, depth_before, n_after, depth_after FROM (SELECT root, count(*) AS n_before, max(depth) AS depth_before FROM d GROUP BY root) b
@@ -124,7 +124,7 @@ JOIN (SELECT c.root, count(*) AS n_after, max(depth) AS depth_after FROM c JOIN
 def h09(fx):
     """What the reports still reach when the redundant jobs are gone."""
     depth = graph.weighted_depth(fx["fx_edges"], fx["fx_jobs"], fx["fx_roots"])
-    return programme.what_if(recs(fx).where("hops > 2"), fx["fx_edges"], depth)
+    return programme.what_if(recs(fx), fx["fx_edges"], depth)
 
 
 @query("h10_category_totals", "SELECT category, rpt, count(*) AS n, sum(hops) AS hops, count(DISTINCT target_table) AS n_targets FROM fx_recs GROUP BY GROUPING SETS ((category, rpt), (category), ())")
@@ -190,10 +190,10 @@ def i07(fx):
     return fx["fx_recs"].select("pos", F.concat("rpt", F.lit("-"), F.lpad(n.cast("string"), 5, "0")).alias("id"))
 
 
-@query("i09_report_matrix", "SELECT target_table, " + ", ".join(f"count(*) FILTER (WHERE rpt = 'RPT_{i}') > 0 AS rpt_{i}" for i in range(5)) + " FROM fx_recs WHERE hops = 3 GROUP BY target_table")
+@query("i09_report_matrix", "SELECT target_table, " + ", ".join(f"count(*) FILTER (WHERE rpt = 'RPT_{i}') > 0 AS rpt_{i}" for i in range(5)) + " FROM fx_recs GROUP BY target_table")
 def i09(fx):
     """Which reports touch a table, one column each."""
-    wide = fx["fx_recs"].where("hops = 3").groupBy("target_table").pivot("rpt", [f"RPT_{i}" for i in range(5)]).agg(F.count(F.lit(1)))
+    wide = fx["fx_recs"].groupBy("target_table").pivot("rpt", [f"RPT_{i}" for i in range(5)]).agg(F.count(F.lit(1)))
     return wide.select("target_table", *[(F.coalesce(f"RPT_{i}", F.lit(0)) > 0).alias(f"rpt_{i}") for i in range(5)])
 
 
@@ -231,14 +231,14 @@ def i13(fx):
 
 
 @query("i14_complexity_rank", f"""
-WITH r AS (SELECT *, {_KEY} AS job_key FROM fx_recs WHERE est_min > 150),
+WITH r AS (SELECT *, {_KEY} AS job_key FROM fx_recs),
 s AS (SELECT rpt, count(DISTINCT concat(target_table, '|', job_key)) AS n_recs, count(DISTINCT target_table) AS n_targets, count(*) FILTER (WHERE risk = 'HIGH') AS n_high FROM r GROUP BY rpt),
 o AS (SELECT *, round(1.5 * n_recs + 2 * n_targets + 5 * n_high, 1) AS points FROM s), k AS (SELECT *, row_number() OVER (ORDER BY points, rpt) AS rank FROM o),
 f AS (SELECT target_table, job_key, min(rank) AS rank FROM r JOIN k USING (rpt) GROUP BY target_table, job_key), n AS (SELECT rank, count(*) AS net_new FROM f GROUP BY rank)
 SELECT rpt, CAST(k.rank AS BIGINT) AS rank, CAST(points AS DOUBLE) AS points, n_recs, coalesce(net_new, 0) AS net_new, CAST(sum(coalesce(net_new, 0)) OVER (ORDER BY k.rank) AS BIGINT) AS running, CASE WHEN k.rank <= 2 THEN 'EASY' WHEN k.rank <= 4 THEN 'MEDIUM' ELSE 'HARD' END AS tier FROM k LEFT JOIN n ON n.rank = k.rank
 """)
 def i14(fx):
-    found = programme.complexity_rank(recs(fx).where("est_min > 150"))
+    found = programme.complexity_rank(recs(fx))
     return found.withColumn("points", F.col("points").cast("double"))
 
 
@@ -321,7 +321,7 @@ def i08(fx):
 
 
 @query("i16_before_after", """
-WITH g AS (SELECT rpt, greatest(job_a, job_b) AS job FROM fx_recs WHERE hops > 2 AND job_a <> job_b)
+WITH g AS (SELECT rpt, greatest(job_a, job_b) AS job FROM fx_recs WHERE hops > 0 AND job_a <> job_b)
 SELECT rpt, count(*) AS n_jobs, count(*) FILTER (WHERE gone) AS n_removed, round(sum(CASE WHEN gone THEN 0 ELSE runtime_sec END), 1) AS sec_after FROM (
 SELECT j.rpt, n.job, n.runtime_sec, EXISTS (SELECT 1 FROM g WHERE g.rpt = j.rpt AND g.job = n.job) AS gone FROM (SELECT rpt, job_a AS job FROM fx_recs UNION SELECT rpt, job_b FROM fx_recs) j JOIN fx_jobs n ON n.job = j.job) GROUP BY rpt
 """)
@@ -329,7 +329,7 @@ def i16(fx):
     """Jobs and runtime of each report before and after the removal."""
     found = recs(fx)
     own = found.select("rpt", F.explode("jobs").alias("job")).distinct().join(fx["fx_jobs"].select("job", "runtime_sec"), "job")
-    gone = found.where((F.col("hops") > 2) & (F.size("jobs") > 1)).select("rpt", F.explode(F.expr("slice(jobs, 2, size(jobs))")).alias("job")).distinct().withColumn("gone", F.lit(True))
+    gone = found.where((F.col("hops") > 0) & (F.size("jobs") > 1)).select("rpt", F.explode(F.expr("slice(jobs, 2, size(jobs))")).alias("job")).distinct().withColumn("gone", F.lit(True))
     marked = own.join(gone, ["rpt", "job"], "left")
     return marked.groupBy("rpt").agg(F.count(F.lit(1)).alias("n_jobs"), F.count("gone").alias("n_removed"), F.round(F.sum(F.when(F.col("gone"), 0.0).otherwise(F.col("runtime_sec"))), 1).alias("sec_after"))
 

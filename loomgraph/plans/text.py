@@ -293,11 +293,11 @@ def c15(fx):
     return rows.select("object", verdict.alias("verdict"))
 
 
-@query("c31_findings", "SELECT p_partkey AS script, 'HOP_OPPORTUNITIES' AS section, concat('x', CAST(p_size AS VARCHAR)) AS detail FROM part WHERE p_size % 2 = 0 UNION ALL SELECT p_partkey, 'PERFORMANCE_NOTES', 'slow' FROM part WHERE p_size % 2 = 0")
+@query("c31_findings", "SELECT p_partkey AS script, 'HOP_OPPORTUNITIES' AS section, concat('x', CAST(p_size AS VARCHAR)) AS detail FROM part UNION ALL SELECT p_partkey, 'PERFORMANCE_NOTES', 'slow' FROM part")
 def c31(fx):
     """Findings of free-form summaries: sections by the pattern of their keys, lists and plain texts alike."""
     sections = F.create_map(F.lit("HOP_OPPORTUNITIES"), F.array(F.concat(F.lit("x"), F.col("p_size").cast("string"))), F.lit("METADATA_PERFORMANCE"), F.array(F.lit("no")), F.lit("PERFORMANCE_NOTES"), F.array(F.lit("slow")))
-    rows = fx["part"].where("p_size % 2 = 0").select(F.col("p_partkey").alias("script"), F.to_json(sections).alias("summary"))
+    rows = fx["part"].select(F.col("p_partkey").alias("script"), F.to_json(sections).alias("summary"))
     parsed = rows.select("script", F.explode(F.from_json("summary", "map<string, array<string>>")).alias("section", "items"))
     kept = parsed.where(F.col("section").rlike("OPPORTUNIT|PERFORMANCE") & ~F.col("section").startswith("METADATA"))
     return kept.select("script", "section", F.explode("items").alias("detail"))
