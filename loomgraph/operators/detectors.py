@@ -20,6 +20,7 @@ from loomgraph.functions.scratch import materialize
 
 from .detect import is_log_table, similar_clusters
 from .matching import finding_recommendations, misnamed_views
+from .recommendations import load_recommendations, update_recommendations
 
 #: The columns of a recommendation; what a detector leaves out is null.
 SCHEMA = {"category": "string", "target_table": "string", "description": "string", "affected_jobs": "string", "current_hops": "long", "savings": "long", "risk": "string", "recommendation": "string"}
@@ -88,6 +89,18 @@ def job_name() -> Column:
     return F.lpad(F.col("job").cast("string"), 9, "0")
 
 
+@detector("A", "several loads of a target")
+def several_loads(ctx: Context) -> DataFrame:
+    """``loads`` (tbl, job, params, is_view), ``objects`` (job, object, is_parameterised)."""
+    return load_recommendations(ctx["loads"], ctx["objects"])
+
+
+@detector("B1", "updates in place")
+def in_place(ctx: Context) -> DataFrame:
+    """``in_place_reads`` and ``in_place_writes`` (job, tbl)."""
+    return update_recommendations(ctx["in_place_reads"], ctx["in_place_writes"])
+
+
 @detector("C", "similar jobs")
 def similar(ctx: Context) -> DataFrame:
     """Jobs that load a target with nearly the same columns, by clusters; log tables are left out.

@@ -424,6 +424,73 @@ def f28(fx):
         found = one if found is None else found.unionByName(one)
     return found
 
+_LOG = "regexp_matches(upper(tbl), '_DEBUG_TRC|_TRC|EXEC_STATUS_LOG|PROC_EXEC_STATUS|_JOB_LOG|PRCS_JOB_LOG|JOB_LOG_MESSAGE|_AUDIT_LOG|AUDIT_LOG|LOG_TABLE|PRCS_GRP_TBL_LOAD_DEBUG|MILESTONE_TABLE|_MILESTONE_')"
+_CHAIN_EDGES = "SELECT job, job + 1 AS dependent_job FROM fx_jobs WHERE job % 7 <> 0 UNION SELECT job, dependent_job FROM fx_edges WHERE job % 7 = 0"
+
+
+@query("f01_load_recommendations", f"""
+WITH l AS (SELECT * FROM fx_loads WHERE NOT is_view AND NOT {_LOG}), s AS (SELECT tbl FROM l GROUP BY tbl HAVING count(DISTINCT job) >= 2 AND NOT bool_and(contains(upper(coalesce(params, '')), 'MULTI_SRC'))),
+j AS (SELECT DISTINCT tbl, job FROM l WHERE tbl IN (SELECT tbl FROM s)), m AS (SELECT tbl, j.job, CASE WHEN contains(job, '_CV_') THEN 'CV' WHEN contains(job, '_PACS_') THEN 'PACS' END AS system FROM j),
+g AS (SELECT tbl, count(*) AS n, string_agg(job, ',' ORDER BY job) AS jobs, count(DISTINCT system) AS n_systems FROM m GROUP BY tbl),
+o AS (SELECT j.tbl, count(DISTINCT object) AS n_objects, count(DISTINCT string_split(object, '.')[1]) AS n_packages, bool_and(coalesce(is_parameterised, false)) AS given FROM j LEFT JOIN fx_load_objects x ON x.job = j.job GROUP BY j.tbl),
+c AS (SELECT g.*, CASE WHEN n_objects = 1 AND given THEN 'ALREADY_PARAMETERIZED' WHEN n_packages = 1 AND n_objects > 1 THEN 'SAME_PKG_VARIANT' ELSE 'DIFF_SQL_OBJECTS' END AS scope, n_packages FROM g JOIN o ON o.tbl = g.tbl),
+k AS (SELECT *, CASE WHEN n_systems >= 2 AND (scope = 'ALREADY_PARAMETERIZED' OR scope = 'SAME_PKG_VARIANT' OR n_packages <= 1) THEN 1 WHEN scope = 'ALREADY_PARAMETERIZED' THEN 2 ELSE 3 END AS kind FROM c)
+SELECT CASE kind WHEN 1 THEN 'A. Source System Architectural Split (By Design)' WHEN 2 THEN 'A. Already Parameterized (No Action Needed)' ELSE 'A. Redundant Multi-Source Load' END AS category, tbl AS target_table, jobs AS affected_jobs, n AS current_hops,
+  CASE WHEN kind = 3 THEN n - 1 ELSE 0 END AS savings, CASE WHEN kind = 3 THEN 'MEDIUM' ELSE 'LOW' END AS risk, CASE WHEN kind = 1 THEN 'SOURCE_SYSTEM_SPLIT' ELSE scope END AS scope FROM k
+""")
+def f01_recommendations(fx):
+    """What to do about targets with several loads: kept apart on purpose, settled, or to be put together."""
+    from loomgraph.operators.recommendations import load_recommendations
+
+    return load_recommendations(fx["fx_loads"], fx["fx_load_objects"]).drop("description", "recommendation")
+
+
+@query("f02_update_recommendations", f"SELECT string_agg(tbl, ', ' ORDER BY tbl) AS target_table, CAST(job AS VARCHAR) AS affected_jobs, 'MEDIUM' AS risk FROM (SELECT DISTINCT job, tbl FROM fx_named_in_place) WHERE NOT {_LOG} AND NOT starts_with(upper(tbl), 'RPT_') AND NOT ends_with(upper(tbl), '_GTT') GROUP BY job")
+def f02_recommendations(fx):
+    """Jobs that update a table in place, but for log, report and temporary tables."""
+    from loomgraph.operators.recommendations import update_recommendations
+
+    return update_recommendations(fx["fx_named_in_place"], fx["fx_named_in_place"]).select("target_table", "affected_jobs", "risk")
+
+
+@query("f05_chain_recommendations", f"""
+WITH RECURSIVE e AS ({_CHAIN_EDGES}), p AS (SELECT job, job % 11 AS depth FROM fx_jobs WHERE job % 3 <> 0 AND job % 13 <> 0 AND job % 11 >= 3),
+i AS (SELECT e.job, e.dependent_job FROM e WHERE e.job IN (SELECT job FROM p) AND e.dependent_job IN (SELECT job FROM p)),
+l AS (SELECT * FROM i WHERE job IN (SELECT job FROM i GROUP BY job HAVING count(*) = 1) AND dependent_job IN (SELECT dependent_job FROM i GROUP BY dependent_job HAVING count(*) = 1)),
+c(first, job, step) AS (SELECT job, job, 0 FROM l WHERE job NOT IN (SELECT dependent_job FROM l) UNION ALL SELECT c.first, l.dependent_job, c.step + 1 FROM c JOIN l ON l.job = c.job),
+w AS (SELECT job, tbl, concat('C', CAST(job % 2 AS VARCHAR)) AS col FROM fx_writes UNION SELECT job, 'SHARED', 'K' FROM fx_jobs WHERE job % 17 < 3),
+d AS (SELECT DISTINCT a.first FROM c a JOIN c b ON b.first = a.first AND b.step = a.step + 1 JOIN w x ON x.job = a.job JOIN w y ON y.job = b.job AND y.tbl = x.tbl AND y.col = x.col)
+SELECT string_agg(CAST(c.job AS VARCHAR), ',' ORDER BY step) AS affected_jobs, count(*) AS current_hops, max(depth) - min(depth) AS savings FROM c JOIN p ON p.job = c.job WHERE first NOT IN (SELECT first FROM d) GROUP BY first HAVING count(*) >= 2
+""")
+def f05_recommendations(fx):
+    """Chains of deep jobs without objects that hand over no data."""
+    from loomgraph.operators.recommendations import chain_recommendations
+
+    jobs = fx["fx_jobs"]
+    edges = jobs.where("job % 7 <> 0").select("job", (F.col("job") + 1).alias("dependent_job")).union(fx["fx_edges"].where("job % 7 = 0")).distinct()
+    kinds = jobs.select("job", F.when(F.col("job") % 3 == 0, "FCT").otherwise("OTHER").alias("category"), (F.col("job") % 11).alias("depth"), (F.col("job") % 13 == 0).alias("has_object"))
+    writes = fx["fx_writes"].select("job", "tbl", F.concat(F.lit("C"), (F.col("job") % 2).cast("string")).alias("col")).union(jobs.where("job % 17 < 3").select("job", F.lit("SHARED"), F.lit("K")))
+    return chain_recommendations(edges, kinds, writes).select("affected_jobs", "current_hops", "savings")
+
+
+@query("f07_view_recommendations", """
+WITH v AS (SELECT job FROM fx_jobs WHERE category = 'MV'), o AS (SELECT DISTINCT w.job AS mv, w.tbl FROM fx_writes w JOIN v ON v.job = w.job), u AS (SELECT DISTINCT o.mv, r.job FROM o JOIN fx_reads r ON r.tbl = o.tbl WHERE r.job <> o.mv),
+s AS (SELECT mv, min(job) AS consumer FROM u GROUP BY mv HAVING count(*) = 1), n AS (SELECT job, count(DISTINCT tbl) AS n FROM fx_reads GROUP BY job),
+w AS (SELECT job, concat('C', CAST(i AS VARCHAR)) AS col FROM fx_writes, (SELECT unnest(range(0, 6)) AS i) WHERE i <= job % 6), t AS (SELECT job, tbl, concat('C', CAST(i AS VARCHAR)) AS col FROM fx_reads, (SELECT unnest(range(0, 3)) AS i) WHERE i < job % 4),
+k AS (SELECT s.mv, count(DISTINCT w.col) AS n_columns FROM s JOIN w ON w.job = s.mv GROUP BY s.mv), r AS (SELECT s.mv, count(DISTINCT t.col) AS n_read FROM s JOIN o ON o.mv = s.mv JOIN t ON t.job = s.consumer AND t.tbl = o.tbl GROUP BY s.mv),
+b AS (SELECT s.mv, count(DISTINCT t.col) AS n_taken FROM s JOIN o ON o.mv = s.mv JOIN t ON t.job = s.consumer AND t.tbl = o.tbl JOIN w ON w.job = s.mv AND w.col = t.col GROUP BY s.mv)
+SELECT concat(CAST(s.mv AS VARCHAR), ',', CAST(consumer AS VARCHAR)) AS affected_jobs, CASE WHEN coalesce(n.n, 0) >= 4 THEN 'HIGH' WHEN coalesce(n_read, 0) > 0 AND 2 * coalesce(n_taken, 0) < n_columns THEN 'MEDIUM' ELSE 'HIGH' END AS risk
+FROM s LEFT JOIN n ON n.job = s.mv LEFT JOIN k ON k.mv = s.mv LEFT JOIN r ON r.mv = s.mv LEFT JOIN b ON b.mv = s.mv
+""")
+def f07_recommendations(fx):
+    """Views with one consumer and the risk of inlining them, by the share of columns used and the tables read."""
+    from loomgraph.operators.recommendations import view_recommendations
+
+    numbered = lambda df, most: df.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(most)))).withColumn("col", F.concat(F.lit("C"), F.col("i").cast("string")))
+    written = numbered(fx["fx_writes"], 5).where("i <= job % 6").select("job", "tbl", "col")
+    consumed = numbered(fx["fx_reads"], 2).where("i < job % 4").select("job", "tbl", "col")
+    return view_recommendations(fx["fx_jobs"].where("category = 'MV'").select("job"), fx["fx_reads"], fx["fx_writes"], written, consumed).select("affected_jobs", "risk")
+
 
 def detector_context(fx) -> dict:
     """The relations that the registered detectors ask for."""
@@ -433,6 +500,7 @@ def detector_context(fx) -> dict:
         "lineage": fx["fx_wide_lineage"], "offset_jobs": jobs.where("job % 40 = 0"), "parameterised": jobs.where("job % 3 = 0"),
         "findings": fx["fx_findings"], "scripts": summaries_known, "sql_objects": fx["fx_sql_objects"], "targets": fx["fx_writes"].select("job", "tbl", F.col("job").alias("pos")),
         "views": fx["fx_view_names"], "view_rows": fx["fx_view_rows"], "dependencies": fx["fx_dependencies"],
+        "loads": fx["fx_loads"], "objects": fx["fx_load_objects"], "in_place_reads": fx["fx_named_in_place"], "in_place_writes": fx["fx_named_in_place"],
     }
 
 

@@ -44,6 +44,9 @@ VIEWS = {
     "fx_dispatch": """SELECT script, replace(body, '~', chr(39)) AS body FROM (SELECT p_partkey AS script, concat('PROCEDURE P IS\nBEGIN\n IF UPPER(TRIM(P_TAB)) like ~%t_', CAST(p_size % 5 AS STRING), '%~ THEN\n  INSERT INTO own.a SELECT 1 FROM b; -- END IF\n', CASE p_size % 3 WHEN 0 THEN '  IF x = 1 THEN\n   UPDATE own.u SET a = 1;\n  END IF;\n' WHEN 1 THEN '  IF a THEN IF b THEN c; END IF; END IF;\n' ELSE '' END, CASE WHEN p_partkey % 4 = 0 THEN '  if upper( trim(P_IN)) LIKE ~%INNER%~ THEN\n   DELETE FROM own.d;\n  END IF;\n' ELSE '' END, CASE WHEN p_partkey % 6 = 0 THEN '  IF z THEN\n   y; END IF; END IF; IF w THEN\n' ELSE '' END, ' END IF;\n -- IF UPPER(TRIM(P_TAB)) like ~%NO%~ THEN\n IF UPPER(TRIM(P_TAB)) LIKE ~% second %~ THEN\n  MERGE INTO own.m USING x;\n', CASE p_partkey % 7 WHEN 0 THEN '' WHEN 1 THEN ' END IF; IF UPPER(TRIM(P_TAB)) LIKE ~%SAMELINE%~ THEN\n  null;\n END IF;\n' ELSE ' END IF;\n IF UPPER(TRIM(P_TAB)) LIKE ~%EMPTY%~ THEN\n END IF;\n' END, 'END;\n') AS body FROM {part}) AS t""",
     "fx_statements": "SELECT doc_id AS script, concat('-- Cleaned for lineage: ', source) AS header, replace(coalesce(text, ''), '. ', CASE WHEN doc_id % 3 = 0 THEN concat(chr(10), chr(10)) ELSE concat(';', chr(10), chr(10)) END) AS body FROM {documents}",
     "fx_free_summaries": """SELECT p_partkey AS script, replace(replace(concat('<"name_issue": ["skipped"], "Potential Issues": ', CASE p_size % 6 WHEN 0 THEN '["a", " ", 5, <"detail": "d", "sev": 1>, <"x": 2>, ["deep"]]' WHEN 1 THEN '<"perf": ["p1", <"detail": "q">, null], "note": "text", "blank": " ", "n": 3>' WHEN 2 THEN concat('"plain text ', CAST(p_partkey AS STRING), '"') WHEN 3 THEN '[]' WHEN 4 THEN 'null' ELSE '"  "' END, ', "risk_level": "high", "other": ["no"], "parallel_performance": "skipped"', CASE WHEN p_partkey % 9 = 0 THEN ', "error": "bad"' ELSE '' END, CASE WHEN p_partkey % 11 = 0 THEN ' broken' ELSE '>' END), '<', chr(123)), '>', chr(125)) AS summary FROM {part}""",
+    "fx_loads": """SELECT CASE WHEN p_partkey % 60 = 59 THEN 'X_JOB_LOG' ELSE concat('TBL_', CAST(p_partkey % 60 AS STRING)) END AS tbl, CASE WHEN p_partkey % 6 IN (0, 2, 3) OR p_partkey % 12 = 4 THEN concat('J', CASE WHEN CAST(floor(p_partkey / 60) AS BIGINT) % 2 = 0 THEN '_CV_' ELSE '_PACS_' END, CAST(p_partkey AS STRING)) ELSE concat('LOAD-', CAST(p_partkey AS STRING)) END AS job, CASE WHEN p_partkey % 12 = 5 THEN 'a multi_src=1' ELSE NULL END AS params, p_partkey % 29 = 0 AS is_view FROM {part}""",
+    "fx_load_objects": """SELECT job, CASE k % 6 WHEN 0 THEN concat('PKG_', CAST(k % 60 AS STRING), '.MAIN') WHEN 1 THEN concat('PKG_', CAST(k % 60 AS STRING), '.MAIN') WHEN 2 THEN concat('PKG_', CAST(k % 60 AS STRING), '.V', CAST(k % 7 AS STRING)) WHEN 3 THEN concat('PKG_', CAST(k % 7 AS STRING), '.MAIN') ELSE concat('PKG_', CAST(k % 11 AS STRING), '.X') END AS object, k % 6 < 2 AND k % 60 <> 12 AS is_parameterised FROM (SELECT DISTINCT job, CAST(regexp_extract(job, '([0-9]+)', 1) AS BIGINT) AS k FROM {fx_loads}) AS j WHERE k % 6 <> 4""",
+    "fx_named_in_place": "SELECT job, tbl FROM {fx_named_writes} WHERE job % 3 <> 1 UNION SELECT job, CASE WHEN job % 2 = 0 THEN concat('RPT_', tbl) ELSE concat(tbl, '_gtt') END FROM {fx_writes} WHERE job % 4 = 0",
     "fx_model_objects": """SELECT DISTINCT object, id, id AS pos, kind, name, parent FROM (
 SELECT l_orderkey AS object, concat('T', CAST(l_linenumber AS STRING)) AS id, 'column' AS kind, CASE WHEN l_linenumber = 1 THEN 'sum( a.C1)' WHEN l_linenumber = 2 AND l_orderkey % 3 = 0 THEN 'RS-2' ELSE concat('C', CAST(l_linenumber AS STRING)) END AS name, concat('TBL_', CAST(l_orderkey % 5 AS STRING), CASE WHEN l_orderkey % 11 = 0 THEN '_bkp' ELSE '' END) AS parent FROM {lineitem}
 UNION ALL SELECT l_orderkey, concat('F', CAST(l_partkey % 3 AS STRING)), 'other_col', 'x', CASE l_partkey % 3 WHEN 0 THEN 'NVL' WHEN 1 THEN 'RS-1' ELSE 'DECODE' END FROM {lineitem}
