@@ -10,6 +10,7 @@ out depth-first without a walk: a node forks if its parent has other children; a
 order, are its sort key, and sorting conversations by that key is a depth-first order. The first conversation of that
 order that has a node owns it and emits its tokens; running sums in that order give offsets. All tokens of an owner lie
 together, so the attention of a node is a list of few intervals, one more at each fork where its path isn't the first.
+The layout needs the turns' numbers of tokens only: ids are written once and meet their nodes at the end.
 
 Defined results: a null role or text counts as empty; rows of a conversation are ordered by turn, nulls last, and rows with
 equal turns by a hash of role and text; repeated rows are turns of their own; a null conv_id is a conversation like any other;
@@ -32,8 +33,9 @@ from pyspark.sql import functions as F
 from ._common import materialize, slices
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
-#: Ids of the marks, above those of the vocabulary.
+#: Ids of the marks, above those of the vocabulary. All ids fit into 16 bits, in which they are kept.
 START, END = 50_257, 50_258
+IDS = "<u2"
 START_MARK, END_MARK = "<|im_start|>", "<|im_end|>"
 PART = 20_000
 #: Moduli and bases of the hash of a beginning: the prime 2^61 - 1 and the next one below it.
@@ -78,9 +80,14 @@ def encode(tokenizer, text: str) -> list[int]:
     return [i for at in range(0, len(text), PART) for i in tokenizer.encode_ordinary(text[at : at + PART])]
 
 
+def ids_of(packed: bytes) -> list[int]:
+    return np.frombuffer(packed, IDS).tolist()
+
+
 def tokenised(turns: DataFrame, tokenizer: str, trained_role: str) -> DataFrame:
-    """(conv, turn, tie, d0, d1, ids, loss_from, loss_to): a turn's ids, those under the loss mask, and its hashes."""
-    schema = "conv string, turn long, tie string, d0 long, d1 long, ids array<int>, loss_from int, loss_to int"
+    """(row, conv, turn, tie, d0, d1, n, ids, loss_from, loss_to): a turn's ids, how many, those under the loss mask, and its hashes; written."""
+    names = ["conv", "turn", "tie", "d0", "d1", "n", "ids", "loss_from", "loss_to"]
+    schema = "conv string, turn long, tie string, d0 long, d1 long, n int, ids binary, loss_from int, loss_to int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoding(tokenizer)
@@ -88,7 +95,7 @@ def tokenised(turns: DataFrame, tokenizer: str, trained_role: str) -> DataFrame:
         tail = [END, *own.encode_ordinary("\n")]
         for batch in slices(batches):
             conv, turn, roles, texts = (batch.column(i) for i in range(4))
-            ties, first, second, ids, starts, ends = [], [], [], [], [], []
+            ties, first, second, n, ids, starts, ends = [], [], [], [], [], [], []
             for role, text in zip(roles.to_pylist(), texts.to_pylist()):
                 digest = hashlib.blake2b(b"%d:%s%s" % (len(role), role.encode(), text.encode()), digest_size=32).digest()
                 ties.append(digest[:16].hex())
@@ -99,13 +106,15 @@ def tokenised(turns: DataFrame, tokenizer: str, trained_role: str) -> DataFrame:
                         heads.clear()
                     heads[role] = [START, *encode(own, escape_role(role) + "\n")]
                 head, body = heads[role], encode(own, escape(text))
-                ids.append(np.array(head + body + tail, "i4"))
+                ids.append(np.array(head + body + tail, IDS).tobytes())
+                n.append(len(ids[-1]) // 2)
                 starts.append(len(head))
                 ends.append(len(head) + (len(body) if role == trained_role else 0))
-            columns = [conv, turn, pa.array(ties, pa.string()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, names=["conv", "turn", "tie", "d0", "d1", "ids", "loss_from", "loss_to"])
+            columns = [conv, turn, pa.array(ties, pa.string()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(n, pa.int32()), pa.array(ids, pa.binary()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return turns.select("conv", "turn", "role", "text").mapInArrow(run, schema)
+    found = turns.select("conv", "turn", "role", "text").mapInArrow(run, schema)
+    return materialize(found.withColumn("row", F.monotonically_increasing_id()), "chat-tokens")
 
 
 def with_beginnings(turns: DataFrame) -> DataFrame:
@@ -120,7 +129,7 @@ def with_beginnings(turns: DataFrame) -> DataFrame:
         for batch in batches:
             at = batch.schema.get_field_index
             columns: list[list[int]] = [[] for _ in names]
-            for conv, d0, d1, n in zip(*(batch.column(at(c)).to_pylist() for c in ("conv", "d0", "d1")), batch.column(at("ids")).value_lengths().to_pylist()):
+            for conv, d0, d1, n in zip(*(batch.column(at(c)).to_pylist() for c in ("conv", "d0", "d1", "n"))):
                 if conv != last:
                     last, idx, pos, h, power = conv, 0, 0, [0, 0], [1, 1]
                 before = h
@@ -129,12 +138,13 @@ def with_beginnings(turns: DataFrame) -> DataFrame:
                 for column, value in zip(columns, (part, idx, pos, *before, *h)):
                     column.append(value)
                 idx, pos = idx + 1, pos + n
-            kept = [batch.column(at(c)) for c in ("conv", "ids", "loss_from", "loss_to")]
-            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(c, pa.int64()) for c in columns)], names=["conv", "ids", "loss_from", "loss_to", *names])
+            kept = [batch.column(at(c)) for c in ("conv", "row", "n")]
+            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(c, pa.int64()) for c in columns)], names=["conv", "row", "n", *names])
 
     order = [F.col("conv"), F.col("turn").asc_nulls_last(), F.col("tie")]
-    ordered = turns.repartitionByRange(*order).sortWithinPartitions(*order)
-    return materialize(ordered.mapInArrow(run, "conv string, ids array<int>, loss_from int, loss_to int, " + ", ".join(f"{c} long" for c in names)), "chat-turns")
+    slim = turns.select("conv", "turn", "tie", "d0", "d1", "n", "row")
+    ordered = slim.repartitionByRange(*order).sortWithinPartitions(*order)
+    return materialize(ordered.mapInArrow(run, "conv string, row long, n int, " + ", ".join(f"{c} long" for c in names)), "chat-turns")
 
 
 def powers(idx: Column) -> list[Column]:
@@ -151,16 +161,16 @@ def powers(idx: Column) -> list[Column]:
 
 
 def whole_conversations(placed: DataFrame) -> DataFrame:
-    """(conv, idx, pos, node, parent, ids, loss_from, loss_to): what a partition knows, put together over partitions.
+    """(conv, idx, pos, node, parent, row, n): what a partition knows, put together over partitions.
 
     A conversation that lies in one partition needs nothing. Of the others there are two for each partition at most.
     """
-    totals = placed.groupBy("conv", "part").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("ids")).alias("tokens"), *[F.max_by(f"b{k}", "idx").alias(f"b{k}") for k in (0, 1)])
+    totals = placed.groupBy("conv", "part").agg(F.count(F.lit(1)).alias("turns"), F.sum("n").alias("tokens"), *[F.max_by(f"b{k}", "idx").alias(f"b{k}") for k in (0, 1)])
     several = totals.groupBy("conv").count().where("count > 1").select("conv")
     parts = totals.join(several, "conv")
     earlier = Window.partitionBy("conv").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
-    parts = parts.withColumn("idx_before", before("n").cast("long")).withColumn("pos_before", before("tokens").cast("long"))
+    parts = parts.withColumn("idx_before", before("turns").cast("long")).withColumn("pos_before", before("tokens").cast("long"))
     parts = parts.withColumns(dict(zip(("p0", "p1"), powers(F.col("idx_before")))))
     wide = lambda c: F.col(c).cast("decimal(19,0)")
     mod = lambda value, k: (value % F.lit(PRIMES[k]).cast("decimal(19,0)")).cast("long")
@@ -177,7 +187,7 @@ def whole_conversations(placed: DataFrame) -> DataFrame:
 
     idx = F.col("idx") + F.coalesce("idx_before", none)
     name = lambda at, letter: F.md5(F.concat_ws(":", at.cast("string"), *[absolute(f"{letter}{k}", k).cast("string") for k in (0, 1)]))
-    return rows.select("conv", idx.alias("idx"), (F.col("pos") + F.coalesce("pos_before", none)).alias("pos"), name(idx, "b").alias("node"), F.when(idx > 0, name(idx - one, "a")).alias("parent"), "ids", "loss_from", "loss_to")
+    return rows.select("conv", idx.alias("idx"), (F.col("pos") + F.coalesce("pos_before", none)).alias("pos"), name(idx, "b").alias("node"), F.when(idx > 0, name(idx - one, "a")).alias("parent"), "row", "n")
 
 
 def depth_first(rows: DataFrame) -> DataFrame:
@@ -192,13 +202,13 @@ def depth_first(rows: DataFrame) -> DataFrame:
 
 def with_offsets(emitted: DataFrame) -> DataFrame:
     """``start`` of each emitted node in its tree's stream: running sums of the tokens before, over a range sort."""
-    kept = ["tree", "rank", "idx", "first_new", "pos", "node", "parent", "ids", "loss_from", "loss_to"]
+    kept = ["tree", "rank", "idx", "first_new", "pos", "node", "parent", "row", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, last, at = TaskContext.get().partitionId(), None, 0
         for batch in batches:
             local = []
-            for tree, n in zip(batch.column(0).to_pylist(), batch.column(7).value_lengths().to_pylist()):
+            for tree, n in zip(batch.column(0).to_pylist(), batch.column(8).to_pylist()):
                 if tree != last:
                     last, at = tree, 0
                 local.append(at)
@@ -208,7 +218,7 @@ def with_offsets(emitted: DataFrame) -> DataFrame:
     ordered = emitted.select(*kept).repartitionByRange("rank", "idx").sortWithinPartitions("rank", "idx")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ordered.schema) + ", part long, local long"
     placed = materialize(ordered.mapInArrow(run, schema), "chat-nodes")
-    totals = placed.groupBy("tree", "part").agg(F.sum(F.size("ids")).alias("tokens"))
+    totals = placed.groupBy("tree", "part").agg(F.sum("n").alias("tokens"))
     earlier = Window.partitionBy("tree").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select("tree", "part", F.coalesce(F.sum("tokens").over(earlier), F.lit(0)).cast("long").alias("moved"))
     return placed.join(carry.where("moved > 0"), ["tree", "part"], "left").withColumn("start", F.col("local") + F.coalesce("moved", F.lit(0).cast("long"))).drop("part", "local", "moved")
@@ -217,22 +227,22 @@ def with_offsets(emitted: DataFrame) -> DataFrame:
 def chat_tree(turns: DataFrame, tokenizer: str = TOKENIZER, trained_role: str = "assistant") -> tuple[DataFrame, DataFrame]:
     """Nodes and paths of the prefix tree of ``turns`` (conv_id, turn, role, text).
 
-    nodes: tree, node, parent, idx (depth), start (offset in the tree's stream of tokens, depth-first, gapless from 0), ids,
-    position (position id of the first token; the others count on), attends (intervals of the stream, of all ancestors),
+    nodes: tree, node, parent, idx (depth), start (offset in the tree's stream of tokens, depth-first, gapless from 0), n_tokens,
+    ids (little-endian 16-bit, see ``ids_of``), position (position id of the first token; the others count on), attends (intervals of the stream, of all ancestors),
     loss_from and loss_to (tokens of the node under the loss mask). paths: conv_id, idx, node.
     """
     kind = turns.schema["conv_id"].dataType
     conv = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit(""))
     plain = turns.select(conv.alias("conv"), F.col("turn").cast("long").alias("turn"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")])
-    rows = whole_conversations(with_beginnings(tokenised(plain, tokenizer, trained_role)))
-    slim = materialize(rows.select("conv", "idx", "node", "parent"), "chat-paths")
+    tokens = tokenised(plain, tokenizer, trained_role)
+    slim = materialize(whole_conversations(with_beginnings(tokens)), "chat-paths")
     ranks = depth_first(slim)
     owners = slim.join(ranks.select("conv", "rank"), "conv").groupBy("node", "idx").agg(F.min("rank").alias("rank"))
     owning = ranks.join(owners.groupBy("rank").agg(F.min("idx").alias("first_new")), "rank")
-    emitted = rows.join(owning.select("conv", "rank", "tree", "first_new"), "conv").where("idx >= first_new")
+    emitted = slim.join(owning.select("conv", "rank", "tree", "first_new"), "conv").where("idx >= first_new")
     nodes = with_offsets(emitted)
     # Where a path leaves the place right behind its parent, a new interval begins; only an owner's first node can.
-    ends = nodes.select(F.col("node").alias("parent"), (F.col("start") + F.size("ids")).alias("parent_end"))
+    ends = nodes.select(F.col("node").alias("parent"), (F.col("start") + F.col("n")).alias("parent_end"))
     firsts = nodes.where("idx = first_new and parent is not null").select("node", "parent", F.col("start").alias("jump"))
     jumps = firsts.join(ends, "parent").where("jump <> parent_end").select("node", "jump", "parent_end")
     on_path = owning.select("rank", F.explode("key").alias("k")).select("rank", F.col("k.idx").alias("at"), F.col("k.node").alias("node"))
@@ -241,7 +251,8 @@ def chat_tree(turns: DataFrame, tokenizer: str = TOKENIZER, trained_role: str =
     starts = F.concat(F.array(F.lit(0).cast("long")), F.col("jumps.jump"))
     stops = F.concat(F.col("jumps.parent_end"), F.array("start"))
     attends = F.filter(F.zip_with(starts, stops, lambda a, b: F.struct(a.alias("start"), b.alias("end"))), lambda i: i["start"] < i["end"])
-    nodes = nodes.select("tree", "node", "parent", "idx", "start", "ids", F.col("pos").alias("position"), attends.alias("attends"), "loss_from", "loss_to")
+    nodes = nodes.select("tree", "node", "parent", "idx", "start", F.col("n").alias("n_tokens"), F.col("pos").alias("position"), attends.alias("attends"), "row")
+    nodes = nodes.join(tokens.select("row", "ids", "loss_from", "loss_to"), "row").drop("row")
     conv_id = F.when(F.col("conv") != "", F.expr("substring(conv, 2)")).cast(kind)
     return nodes, slim.select(conv_id.alias("conv_id"), "idx", "node")
 
@@ -271,6 +282,7 @@ def read_back(nodes: DataFrame, paths: DataFrame, tokenizer: str = TOKENIZER) ->
                 if idx == 0:
                     closed()
                     conv, state = own_conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                ids = ids_of(ids)
                 piece = decode(ids)
                 if not (piece.startswith(START_MARK) and piece.endswith(END_MARK + "\n")):
                     raise ValueError("a node doesn't hold one formatted turn")

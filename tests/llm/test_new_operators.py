@@ -168,21 +168,21 @@ def test_chat_tree(spark):
     assert len(found) == len({tuple(turns[: i + 1]) for turns in conversations.values() for i in range(len(turns))})
     streams, children = defaultdict(dict), defaultdict(list)
     for n in found.values():
-        streams[n.tree].update({n.start + i: t for i, t in enumerate(n.ids)})
+        streams[n.tree].update({n.start + i: t for i, t in enumerate(chat.ids_of(n.ids))})
         children[n.parent].append(n)
     assert all(sorted(s) == list(range(len(s))) for s in streams.values())
     ends = {}
     for n in sorted(found.values(), key=lambda n: -n.idx):  # each subtree lies in one piece, its root first
-        ends[n.node] = max([n.start + len(n.ids), *(ends[c.node] for c in children[n.node])])
+        ends[n.node] = max([n.start + n.n_tokens, *(ends[c.node] for c in children[n.node])])
         size = sum(ends[c.node] - c.start for c in children[n.node])
-        assert ends[n.node] - n.start == len(n.ids) + size
+        assert ends[n.node] - n.start == n.n_tokens + size
     for key, turns in conversations.items():
         path = [found[path_of[key][i]] for i in range(len(turns))]
         seen: list[int] = []
         for i, n in enumerate(path):
             assert n.parent == (path[i - 1].node if i else None) and n.position == len(seen)
             assert [x for a in n.attends for x in range(a.start, a.end)] == seen
-            seen += range(n.start, n.start + len(n.ids))
+            seen += range(n.start, n.start + n.n_tokens)
         text = chat.encoding(chat.TOKENIZER).decode([streams[path[0].tree][x] for x in seen])
         assert text == "".join(chat.START_MARK + chat.escape_role(r) + "\n" + chat.escape(x) + chat.END_MARK + "\n" for r, x in turns)
 
