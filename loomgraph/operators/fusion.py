@@ -94,3 +94,39 @@ def neighbour_lists(edges: DataFrame) -> DataFrame:
     up = edges.groupBy(F.col("job").alias("node")).agg(joined(F.collect_set(name("dependent_job")), " | ").alias("upstream"))
     down = edges.groupBy(F.col("dependent_job").alias("node")).agg(joined(F.collect_set(name("job")), " | ").alias("downstream"))
     return up.join(down, "node", "full").select("node", F.coalesce("upstream", F.lit("")).alias("upstream"), F.coalesce("downstream", F.lit("")).alias("downstream"))
+
+
+def unquoted(value: Column) -> Column:
+    """Without blanks around it, and without one pair of equal quotes around it."""
+    v = F.trim(value)
+    return F.regexp_replace(v, r"^([\"'])(.*)\1$", "$2")
+
+
+def first_parameter(params: Column) -> Column:
+    """The first word of a job's parameters; null where there is none."""
+    word = F.split(F.trim(F.regexp_replace(F.coalesce(params, F.lit("")), r"\s+", " ")), " ")[0]
+    return F.nullif(unquoted(word), F.lit(""))
+
+
+def resolved_name(name: Column, pattern: Column, params: Column) -> Column:
+    """The object behind a name that a script takes from its parameters: views and executed packages, and names with a ``$``."""
+    given = pattern.isin("MV_REFRESH", "MV_REFRESH_WITH_TRUNCATE", "EXECUTE_IMMEDIATE_DYNAMIC") | F.contains(name, F.lit("$"))
+    return F.when(given, F.coalesce(first_parameter(params), name)).otherwise(name)
+
+
+def framework_package(params: Column, default: str) -> Column:
+    """The package that a framework's job loads with: its first parameter, else the framework's own."""
+    return F.coalesce(first_parameter(params), F.lit(default))
+
+
+def full_object(package: Column, procedure: Column, params: Column, shell_tables: Column) -> Column:
+    """The key of an object: PACKAGE.PROCEDURE, or the one that there is, else the first table that the script names.
+
+    A procedure that is a placeholder (V_..., $..., or in brackets) stands for the first parameter, or itself without
+    parameters; DBMS_MVIEW is no package.
+    """
+    text = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    pkg, proc = F.when(F.upper(text(package)) == "DBMS_MVIEW", "").otherwise(text(package)), text(procedure)
+    placeholder = F.upper(proc).startswith("V_") | proc.startswith("$") | proc.startswith("(")
+    tables = F.trim(F.split(text(shell_tables), ",")[0])
+    return F.when(placeholder, F.coalesce(first_parameter(params), proc)).when((pkg != "") & (proc != ""), F.concat(pkg, F.lit("."), proc)).when(pkg != "", pkg).when(proc != "", proc).otherwise(tables)

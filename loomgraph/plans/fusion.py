@@ -315,6 +315,29 @@ def d06(fx):
     return fx["fx_jobs"].select("job", F.coalesce(pair, F.when(F.col("job") % 2 == 0, F.col("sql_object")), F.col("job_name")).alias("full_object"))
 
 
+#: The first word of the parameters without a pair of quotes, as the oracle says it.
+_WORD = "string_split(trim(params), ' ')[1]"
+_FIRST = f"CASE WHEN trim(coalesce(params, '')) = '' THEN NULL WHEN length({_WORD}) >= 2 AND ascii({_WORD}) IN (34, 39) AND left({_WORD}, 1) = right({_WORD}, 1) THEN {_WORD}[2:-2] ELSE {_WORD} END"
+
+
+@query("d05_resolved_names", f"SELECT pos, CASE WHEN pattern <> 'STATIC_SQL' OR contains(name, '$') THEN coalesce({_FIRST}, name) ELSE name END AS resolved, coalesce({_FIRST}, 'PKG_FRAMEWORK') AS package FROM (SELECT *, coalesce(procedure, 'NONE') AS name FROM fx_commands)")
+def d05_resolved(fx):
+    """What a name taken from parameters stands for, by the pattern of the command, and the framework's package."""
+    name = F.coalesce("procedure", F.lit("NONE"))
+    return fx["fx_commands"].select("pos", fusion.resolved_name(name, F.col("pattern"), F.col("params")).alias("resolved"), fusion.framework_package(F.col("params"), "PKG_FRAMEWORK").alias("package"))
+
+
+@query("d06_full_objects", f"""
+WITH c AS (SELECT pos, trim(coalesce(package, '')) AS g, trim(coalesce(procedure, '')) AS p, {_FIRST} AS first, trim(string_split(coalesce(shell_tables, ''), ',')[1]) AS t FROM fx_commands),
+k AS (SELECT pos, CASE WHEN upper(g) = 'DBMS_MVIEW' THEN '' ELSE g END AS g, p, first, t FROM c)
+SELECT pos, CASE WHEN starts_with(upper(p), 'V_') OR starts_with(p, '$') OR starts_with(p, '(') THEN coalesce(first, p) WHEN g <> '' AND p <> '' THEN concat(g, '.', p) WHEN g <> '' THEN g WHEN p <> '' THEN p ELSE t END AS full_object FROM k
+""")
+def d06_objects(fx):
+    """The full key of each command's object, placeholders and fallbacks included."""
+    c = F.col
+    return fx["fx_commands"].select("pos", fusion.full_object(c("package"), c("procedure"), c("params"), c("shell_tables")).alias("full_object"))
+
+
 @query("d11_forward_consumers", _DEPTH.format(frm="dependent_job", to="job", more="AND r.node <> r.root AND r.node NOT IN (SELECT job FROM fx_reads)").replace("root_job, root_job, 0 FROM fx_roots", "job, job, 0 FROM fx_jobs"))
 def d11(fx):
     """Consumers that the schema lacks, with their forward depth."""
