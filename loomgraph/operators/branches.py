@@ -97,3 +97,33 @@ def sized_parts(texts: DataFrame, most: int = MOST_CHARS, size: int = PART_CHARS
     content = F.concat("header", F.lit(" (part "), F.col("part").cast("string"), F.lit("/"), F.col("n_parts").cast("string"), F.lit(")\n\n"), F.array_join("s.segment", "\n\n"))
     found = whole.unionByName(parts.select("script", "part", "n_parts", content.alias("content")))
     return found.select("script", "part", "n_parts", F.length("content").alias("n_chars"), (F.length("content") <= most).alias("fits"), "content")
+
+
+# What counts as a change for the parser, and forms that it fails on, in the order in which they are looked for.
+USABLE = r"(?i)\b(INSERT\s+(?:/\*[^*]*\*/\s*)?INTO|MERGE\s+INTO|UPDATE\s+\w|DELETE\s+(FROM\s+)?\w)\b"
+PROBLEMS = (
+    (r"(?i)EXECUTE\s+IMMEDIATE\s+\w+\s*\|\|", "dynamic text put together"), (r"(?i)EXECUTE\s+IMMEDIATE\s+\w+\s*;", "dynamic text of a variable"), (r"(?i)SYS\.XMLTYPE\s*\(", "XML type"), (r"(?i)XMLELEMENT\s*\(", "XML element"),
+    (r"(?im)^--\s+Lineage:\s+Cursor", "cursor only"),
+)
+LEAST_LINES = 3
+
+
+def preflight(texts: DataFrame, dumps: DataFrame, most: int = MOST_CHARS) -> DataFrame:
+    """(object, verdict, reason) of (object, body): whether a cleaned text may go to the parser.
+
+    SKIP where ``dumps`` (object, dump) has a model of it with relationships; REJECT for the first of: too long, without a
+    usable change, a form that the parser fails on, fewer than three lines that aren't comments; else PASS. A log behind a dump is
+    no part of it. Null bodies are empty.
+    """
+    model = F.try_parse_json(F.trim(F.element_at(F.split("dump", "\nError log:"), 1)))
+    related = F.schema_of_variant(F.try_variant_get(model, "$.relationships", "variant"))
+    usable = F.try_variant_get(model, "$.relationships[0]", "variant").isNotNull() & related.startswith("ARRAY")
+    done = dumps.where(usable).select("object", F.lit(True).alias("done")).distinct()
+    body = F.coalesce("body", F.lit(""))
+    code = F.size(F.filter(F.split(body, "\n"), lambda l: (F.regexp_replace(l, r"\s", "") != "") & ~F.regexp_replace(l, r"^\s+", "").startswith("--")))
+    reason = F.when(F.col("done"), "done").when(F.length(body) > most, "too long").when(~body.rlike(USABLE), "no change")
+    for pattern, name in PROBLEMS:
+        reason = reason.when(body.rlike(pattern), name)
+    reason = reason.when(code < LEAST_LINES, "empty").otherwise("has changes")
+    verdict = F.when(F.col("reason") == "done", "SKIP").when(F.col("reason") == "has changes", "PASS").otherwise("REJECT")
+    return texts.join(done, "object", "left").select("object", reason.alias("reason")).withColumn("verdict", verdict)

@@ -497,3 +497,17 @@ def c31_consolidated(fx):
     """Findings of free-form summaries in all shapes: lists, objects of lists and texts, texts."""
     found = summaries.consolidated_findings(fx["fx_free_summaries"])
     return found.select("script", "section", "detail", F.size(F.json_object_keys("fields")).cast("long").alias("n_fields"))
+
+
+@query("c15_verdicts", r"""
+WITH d AS (SELECT object FROM fx_dumps WHERE json_valid(string_split(dump, concat(chr(10), 'Error log:'))[1]) AND json_array_length(CAST(string_split(dump, concat(chr(10), 'Error log:'))[1] AS JSON), '$.relationships') > 0),
+r AS (SELECT object, CASE WHEN object IN (SELECT object FROM d) THEN 'done' WHEN length(body) > 10000 THEN 'too long' WHEN NOT regexp_matches(body, '(?i)\b(INSERT\s+(?:/\*[^*]*\*/\s*)?INTO|MERGE\s+INTO|UPDATE\s+\w|DELETE\s+(FROM\s+)?\w)\b') THEN 'no change'
+  WHEN regexp_matches(body, '(?i)EXECUTE\s+IMMEDIATE\s+\w+\s*\|\|') THEN 'dynamic text put together' WHEN regexp_matches(body, '(?i)EXECUTE\s+IMMEDIATE\s+\w+\s*;') THEN 'dynamic text of a variable' WHEN regexp_matches(body, '(?i)SYS\.XMLTYPE\s*\(') THEN 'XML type' WHEN regexp_matches(body, '(?i)XMLELEMENT\s*\(') THEN 'XML element'
+  WHEN regexp_matches(body, '(?im)^--\s+Lineage:\s+Cursor') THEN 'cursor only' WHEN len(list_filter(string_split(body, chr(10)), lambda l: trim(l) <> '' AND NOT starts_with(ltrim(l), '--'))) < 3 THEN 'empty' ELSE 'has changes' END AS reason FROM fx_cleaned)
+SELECT object, reason, CASE reason WHEN 'done' THEN 'SKIP' WHEN 'has changes' THEN 'PASS' ELSE 'REJECT' END AS verdict FROM r
+""")
+def c15_verdicts(fx):
+    """Whether cleaned texts may go to the parser, and why not."""
+    from loomgraph.operators.branches import preflight
+
+    return preflight(fx["fx_cleaned"], fx["fx_dumps"])

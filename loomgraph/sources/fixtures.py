@@ -48,6 +48,8 @@ VIEWS = {
     "fx_load_objects": """SELECT job, CASE k % 6 WHEN 0 THEN concat('PKG_', CAST(k % 60 AS STRING), '.MAIN') WHEN 1 THEN concat('PKG_', CAST(k % 60 AS STRING), '.MAIN') WHEN 2 THEN concat('PKG_', CAST(k % 60 AS STRING), '.V', CAST(k % 7 AS STRING)) WHEN 3 THEN concat('PKG_', CAST(k % 7 AS STRING), '.MAIN') ELSE concat('PKG_', CAST(k % 11 AS STRING), '.X') END AS object, k % 6 < 2 AND k % 60 <> 12 AS is_parameterised FROM (SELECT DISTINCT job, CAST(regexp_extract(job, '([0-9]+)', 1) AS BIGINT) AS k FROM {fx_loads}) AS j WHERE k % 6 <> 4""",
     "fx_named_in_place": "SELECT job, tbl FROM {fx_named_writes} WHERE job % 3 <> 1 UNION SELECT job, CASE WHEN job % 2 = 0 THEN concat('RPT_', tbl) ELSE concat(tbl, '_gtt') END FROM {fx_writes} WHERE job % 4 = 0",
     "fx_commands": """SELECT o_orderkey AS pos, CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'dbms_mview' WHEN 2 THEN '' ELSE concat(' PKG_', CAST(o_custkey % 30 AS STRING)) END AS package, CASE o_orderkey % 7 WHEN 0 THEN NULL WHEN 1 THEN 'v_proc' WHEN 2 THEN '$1' WHEN 3 THEN '(parameter)' WHEN 4 THEN ' ' ELSE concat('PRC_', CAST(o_custkey % 20 AS STRING)) END AS procedure, CASE o_orderkey % 6 WHEN 0 THEN NULL WHEN 1 THEN '  ' WHEN 2 THEN concat('"PRC_', CAST(o_custkey % 9 AS STRING), '" x') WHEN 3 THEN concat('  MV_', CAST(o_custkey % 9 AS STRING), '   2') WHEN 4 THEN '"open' ELSE concat('PKG_', CAST(o_custkey % 9 AS STRING)) END AS params, CASE o_orderkey % 4 WHEN 0 THEN 'MV_REFRESH' WHEN 1 THEN 'EXECUTE_IMMEDIATE_DYNAMIC' WHEN 2 THEN 'STATIC_SQL' ELSE 'MV_REFRESH_WITH_TRUNCATE' END AS pattern, CASE o_orderkey % 3 WHEN 0 THEN NULL WHEN 1 THEN ' T_1 , T_2' ELSE 'T_3' END AS shell_tables FROM {orders}""",
+    "fx_cleaned": """SELECT p_partkey AS object, CASE p_partkey % 9 WHEN 0 THEN repeat(concat('INSERT INTO own.t SELECT a FROM b', chr(10)), 100 + p_size * 8) WHEN 1 THEN concat('BEGIN', chr(10), ' NULL;', chr(10), 'END;', chr(10)) WHEN 2 THEN concat('MERGE INTO own.m', chr(10), 'EXECUTE IMMEDIATE v_sql || x;', chr(10), 'END;') WHEN 3 THEN concat('insert /*+ append */ into own.m', chr(10), 'execute  immediate v_sql ;', chr(10), 'END;') WHEN 4 THEN concat('DELETE FROM d;', chr(10), 'SELECT SYS.XMLType (x), xmlelement(y);', chr(10), 'END;') WHEN 5 THEN concat('-- Lineage: Cursor c', chr(10), 'INSERT INTO a SELECT 1;', chr(10), 'END;', chr(10), 'x') WHEN 6 THEN concat('-- note', chr(10), 'UPDATE t SET a = 1;', chr(10), '  -- END', chr(10), ' ', chr(10), 'END;') WHEN 7 THEN concat('UPDATE own.t SET a = 1;', chr(10), 'a', chr(10), 'b') ELSE concat('INSERT INTO own.t', chr(10), 'SELECT XMLAGG(x)', chr(10), 'FROM b;') END AS body FROM {part}""",
+    "fx_dumps": """SELECT p_partkey AS object, replace(replace(CASE p_size % 4 WHEN 0 THEN '<"relationships": [<"id": 1>]>' WHEN 1 THEN concat('<"relationships": [1]>', chr(10), 'Error log: x') WHEN 2 THEN '<"relationships": []>' ELSE 'broken' END, '<', chr(123)), '>', chr(125)) AS dump FROM {part} WHERE p_partkey % 5 = 0""",
     "fx_model_objects": """SELECT DISTINCT object, id, id AS pos, kind, name, parent FROM (
 SELECT l_orderkey AS object, concat('T', CAST(l_linenumber AS STRING)) AS id, 'column' AS kind, CASE WHEN l_linenumber = 1 THEN 'sum( a.C1)' WHEN l_linenumber = 2 AND l_orderkey % 3 = 0 THEN 'RS-2' ELSE concat('C', CAST(l_linenumber AS STRING)) END AS name, concat('TBL_', CAST(l_orderkey % 5 AS STRING), CASE WHEN l_orderkey % 11 = 0 THEN '_bkp' ELSE '' END) AS parent FROM {lineitem}
 UNION ALL SELECT l_orderkey, concat('F', CAST(l_partkey % 3 AS STRING)), 'other_col', 'x', CASE l_partkey % 3 WHEN 0 THEN 'NVL' WHEN 1 THEN 'RS-1' ELSE 'DECODE' END FROM {lineitem}
