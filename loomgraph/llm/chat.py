@@ -166,11 +166,10 @@ def whole_conversations(placed: DataFrame) -> DataFrame:
     A conversation that lies in one partition needs nothing. Of the others there are two for each partition at most.
     """
     totals = placed.groupBy("conv", "part").agg(F.count(F.lit(1)).alias("turns"), F.sum("n").alias("tokens"), *[F.max_by(f"b{k}", "idx").alias(f"b{k}") for k in (0, 1)])
-    several = totals.groupBy("conv").count().where("count > 1").select("conv")
-    parts = totals.join(several, "conv")
+    parts = totals.withColumn("several", F.count(F.lit(1)).over(Window.partitionBy("conv")))
     earlier = Window.partitionBy("conv").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
-    parts = parts.withColumn("idx_before", before("turns").cast("long")).withColumn("pos_before", before("tokens").cast("long"))
+    parts = parts.withColumn("idx_before", before("turns").cast("long")).withColumn("pos_before", before("tokens").cast("long")).where("several > 1")
     parts = parts.withColumns(dict(zip(("p0", "p1"), powers(F.col("idx_before")))))
     wide = lambda c: F.col(c).cast("decimal(19,0)")
     mod = lambda value, k: (value % F.lit(PRIMES[k]).cast("decimal(19,0)")).cast("long")
