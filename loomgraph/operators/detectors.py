@@ -20,7 +20,7 @@ from loomgraph.functions.scratch import materialize
 
 from .detect import is_log_table, similar_clusters
 from .matching import finding_recommendations, misnamed_views
-from .recommendations import load_recommendations, update_recommendations
+from .recommendations import chain_recommendations, load_recommendations, update_recommendations, view_recommendations
 
 #: The columns of a recommendation; what a detector leaves out is null.
 SCHEMA = {"category": "string", "target_table": "string", "description": "string", "affected_jobs": "string", "current_hops": "long", "savings": "long", "risk": "string", "recommendation": "string"}
@@ -116,6 +116,18 @@ def similar(ctx: Context) -> DataFrame:
     return by.select(label.alias("category"), F.col("tgt_table").alias("target_table"), described.alias("description"), "affected_jobs", F.col("n").alias("current_hops"), (F.col("n") - 1).alias("savings"), F.lit("LOW").alias("risk"), F.lit(advice).alias("recommendation"))
 
 
+@detector("D", "serial chains")
+def chains(ctx: Context) -> DataFrame:
+    """``chain_edges`` (job, dependent_job), ``chain_jobs`` (job, category, depth, has_object), ``chain_writes`` (job, tbl, col)."""
+    return chain_recommendations(ctx["chain_edges"], ctx["chain_jobs"], ctx["chain_writes"])
+
+
+@detector("E2", "views with one consumer")
+def single_consumers(ctx: Context) -> DataFrame:
+    """``mv_jobs`` (job), ``reads`` and ``writes`` (job, tbl), ``written`` and ``consumed`` (job, tbl, col)."""
+    return view_recommendations(ctx["mv_jobs"], ctx["reads"], ctx["writes"], ctx["written"], ctx["consumed"])
+
+
 @detector("F", "findings of summaries")
 def findings(ctx: Context) -> DataFrame:
     """``findings`` (pos, script, finding), ``scripts`` (script), ``sql_objects`` (job, name), ``targets`` (job, tbl, pos)."""

@@ -65,7 +65,7 @@ def by_grams(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     return of_texts.join(known.where("missing = 0"), "gram").where(F.col("text").contains(F.col("pattern"))).select("text", "pattern")
 
 
-# Fixed values of the rule: words that tell a finding's class; the first class that has one counts.
+# Fixed values of the rule: words that tell a finding's class (the first class that has one counts), and the texts built below.
 REDUNDANCY_WORDS = ("redundant", "duplicate", "repeated", "unnecessary", "remove")
 LOGIC_WORDS = ("bug", "error", "incorrect", "wrong", "missing", "mismatch")
 PERFORMANCE_WORDS = ("performance", "slow", "full scan", "index", "parallel", "bulk")

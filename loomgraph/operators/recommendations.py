@@ -14,7 +14,8 @@ from loomgraph.functions.scratch import materialize
 
 from .detect import is_log_table, serial_chains
 
-# Marks of source systems in job names, in the order in which they are looked for, and names of no table.
+# The category names, scopes and texts of the recommendations in this module are fixed values of the rules, as are the following:
+# marks of source systems in job names, in the order in which they are looked for, and names of no table.
 SYSTEM_MARKS = (
     ("CV", ("_CV_", "_CV-", "-CV-", "-CV_")), ("PACS", ("_PACS_", "_PACS-", "-PACS-", "-PACS_")), ("VUE", ("_VUE_", "_VUE-", "-VUE-")),
     ("APS", ("_APS_", "_APS-", "-APS-")), ("SHINKA", ("_SHINKA_", "_SHINKA-")), ("EIS", ("_EIS_", "_EIS-")),

@@ -25,6 +25,7 @@ from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, OrderingColumn, Par
 #: Characters behind a statement's start in which its arguments are looked for (fixed value).
 WINDOW = 500
 
+# The forms of calls and assignments in the analysed scripts.
 REFRESH = re.compile(r"dbms_mview\.refresh\s*\(\s*(?:'([^']+)'|(\w+))", re.I)
 EXECUTE = re.compile(r"\bEXECUTE\s+IMMEDIATE\b", re.I)
 FROM_PARAMETER = re.compile(r"(\w+)\s*=\s*\$(\d+)")

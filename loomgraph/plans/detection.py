@@ -453,6 +453,23 @@ def f02_recommendations(fx):
     return update_recommendations(fx["fx_named_in_place"], fx["fx_named_in_place"]).select("target_table", "affected_jobs", "risk")
 
 
+def chain_relations(fx) -> dict:
+    """Edges, jobs and written columns of the chain detector."""
+    jobs = fx["fx_jobs"]
+    edges = jobs.where("job % 7 <> 0").select("job", (F.col("job") + 1).alias("dependent_job")).union(fx["fx_edges"].where("job % 7 = 0")).distinct()
+    kinds = jobs.select("job", F.when(F.col("job") % 3 == 0, "FCT").otherwise("OTHER").alias("category"), (F.col("job") % 11).alias("depth"), (F.col("job") % 13 == 0).alias("has_object"))
+    writes = fx["fx_writes"].select("job", "tbl", F.concat(F.lit("C"), (F.col("job") % 2).cast("string")).alias("col")).union(jobs.where("job % 17 < 3").select("job", F.lit("SHARED"), F.lit("K")))
+    return {"edges": edges, "jobs": kinds, "writes": writes}
+
+
+def view_relations(fx) -> dict:
+    """Views, tables and columns of the view detector."""
+    numbered = lambda df, most: df.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(most)))).withColumn("col", F.concat(F.lit("C"), F.col("i").cast("string")))
+    written = numbered(fx["fx_writes"], 5).where("i <= job % 6").select("job", "tbl", "col")
+    consumed = numbered(fx["fx_reads"], 2).where("i < job % 4").select("job", "tbl", "col")
+    return {"views": fx["fx_jobs"].where("category = 'MV'").select("job"), "reads": fx["fx_reads"], "writes": fx["fx_writes"], "written": written, "consumed": consumed}
+
+
 @query("f05_chain_recommendations", f"""
 WITH RECURSIVE e AS ({_CHAIN_EDGES}), p AS (SELECT job, job % 11 AS depth FROM fx_jobs WHERE job % 3 <> 0 AND job % 13 <> 0 AND job % 11 >= 3),
 i AS (SELECT e.job, e.dependent_job FROM e WHERE e.job IN (SELECT job FROM p) AND e.dependent_job IN (SELECT job FROM p)),
@@ -466,11 +483,7 @@ def f05_recommendations(fx):
     """Chains of deep jobs without objects that hand over no data."""
     from loomgraph.operators.recommendations import chain_recommendations
 
-    jobs = fx["fx_jobs"]
-    edges = jobs.where("job % 7 <> 0").select("job", (F.col("job") + 1).alias("dependent_job")).union(fx["fx_edges"].where("job % 7 = 0")).distinct()
-    kinds = jobs.select("job", F.when(F.col("job") % 3 == 0, "FCT").otherwise("OTHER").alias("category"), (F.col("job") % 11).alias("depth"), (F.col("job") % 13 == 0).alias("has_object"))
-    writes = fx["fx_writes"].select("job", "tbl", F.concat(F.lit("C"), (F.col("job") % 2).cast("string")).alias("col")).union(jobs.where("job % 17 < 3").select("job", F.lit("SHARED"), F.lit("K")))
-    return chain_recommendations(edges, kinds, writes).select("affected_jobs", "current_hops", "savings")
+    return chain_recommendations(**chain_relations(fx)).select("affected_jobs", "current_hops", "savings")
 
 
 @query("f07_view_recommendations", """
@@ -486,17 +499,15 @@ def f07_recommendations(fx):
     """Views with one consumer and the risk of inlining them, by the share of columns used and the tables read."""
     from loomgraph.operators.recommendations import view_recommendations
 
-    numbered = lambda df, most: df.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(most)))).withColumn("col", F.concat(F.lit("C"), F.col("i").cast("string")))
-    written = numbered(fx["fx_writes"], 5).where("i <= job % 6").select("job", "tbl", "col")
-    consumed = numbered(fx["fx_reads"], 2).where("i < job % 4").select("job", "tbl", "col")
-    return view_recommendations(fx["fx_jobs"].where("category = 'MV'").select("job"), fx["fx_reads"], fx["fx_writes"], written, consumed).select("affected_jobs", "risk")
+    return view_recommendations(**view_relations(fx)).select("affected_jobs", "risk")
 
 
 def detector_context(fx) -> dict:
     """The relations that the registered detectors ask for."""
     summaries_known = fx["fx_findings"].where("pos % 13 <> 0").select("script")
-    jobs = fx["fx_wide_lineage"].select("job").distinct()
+    jobs, chain, view = fx["fx_wide_lineage"].select("job").distinct(), chain_relations(fx), view_relations(fx)
     return {
+        **{f"chain_{k}": v for k, v in chain.items()}, "mv_jobs": view.pop("views"), **view,
         "lineage": fx["fx_wide_lineage"], "offset_jobs": jobs.where("job % 40 = 0"), "parameterised": jobs.where("job % 3 = 0"),
         "findings": fx["fx_findings"], "scripts": summaries_known, "sql_objects": fx["fx_sql_objects"], "targets": fx["fx_writes"].select("job", "tbl", F.col("job").alias("pos")),
         "views": fx["fx_view_names"], "view_rows": fx["fx_view_rows"], "dependencies": fx["fx_dependencies"],
