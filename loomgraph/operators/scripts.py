@@ -74,10 +74,11 @@ def heredocs(scripts: DataFrame) -> DataFrame:
 
 
 def patterns(scripts: DataFrame) -> DataFrame:
-    """The kinds of statements of each script, one row each; scripts without any are UNKNOWN."""
+    """The kinds of statements of each script, one row each; scripts without any are UNKNOWN if they start a client, else NO_SQL."""
     tag = lambda df, kind: df.select("script", F.lit(kind).alias("pattern"))
     found = tag(remote_calls(scripts), "SSH_REMOTE").unionByName(tag(inserts(scripts), "STATIC_SQL")).unionByName(tag(truncates(scripts), "TRUNCATE_TABLE")).unionByName(changes(scripts).select("script", F.col("kind").alias("pattern"))).unionByName(tag(calls(scripts), "DIRECT_PKG_PROC_CALL")).distinct()
-    none = scripts.select("script").join(found, "script", "left_anti").withColumn("pattern", F.lit("UNKNOWN"))
+    fallback = F.when(F.coalesce("body", F.lit("")).rlike("(?i)sqlplus"), "UNKNOWN").otherwise("NO_SQL").alias("pattern")
+    none = scripts.join(found.select("script").distinct(), "script", "left_anti").select("script", fallback)
     return found.unionByName(none)
 
 

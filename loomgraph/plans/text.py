@@ -511,3 +511,13 @@ def c15_verdicts(fx):
     from loomgraph.operators.branches import preflight
 
     return preflight(fx["fx_cleaned"], fx["fx_dumps"])
+
+
+@query("b14_recognised", r"""
+WITH p(pattern, test) AS (VALUES ('SSH_REMOTE', '\bssh\s+\S+\s+\S+\.sh'), ('STATIC_SQL', '(?is)\bINSERT\s+INTO\s+[\w.]+\s+SELECT\b.*?\b(?:FROM|JOIN)\s+(?:[A-Z]+\.)?[SR]'), ('TRUNCATE_TABLE', '(?i)\bTRUNCATE\s+TABLE\s+[A-Z]'), ('DELETE_FROM', '(?i)\bDELETE\s+(?:/\*.*?\*/\s*)?FROM\s+[A-Z]'), ('UPDATE_TABLE', '(?i)\bUPDATE\s+[\w.]+\s+SET\b'), ('DIRECT_PKG_PROC_CALL', '(?i)\bexec\s+\w+\.\w+')),
+f AS (SELECT script, pattern FROM fx_mixed_scripts JOIN p ON regexp_matches(coalesce(body, ''), test))
+SELECT script, pattern FROM f UNION ALL SELECT script, CASE WHEN regexp_matches(coalesce(body, ''), '(?i)sqlplus') THEN 'UNKNOWN' ELSE 'NO_SQL' END FROM fx_mixed_scripts WHERE script NOT IN (SELECT script FROM f)
+""")
+def b14_recognised(fx):
+    """The patterns of whole scripts, and what those without any are."""
+    return scripts.patterns(fx["fx_mixed_scripts"])
