@@ -521,3 +521,32 @@ SELECT script, pattern FROM f UNION ALL SELECT script, CASE WHEN regexp_matches(
 def b14_recognised(fx):
     """The patterns of whole scripts, and what those without any are."""
     return scripts.patterns(fx["fx_mixed_scripts"])
+
+
+#: Package bodies as the oracle reads them: without comments (hints are comments too), semicolons inside parentheses shielded.
+_BARE = r"bare AS (SELECT script, regexp_replace(regexp_replace(body, '(?s)/\*.*?\*/', '', 'g'), '--[^\n]*', '', 'g') AS body FROM fx_packages)"
+_SHIELDED = rf"{_BARE}, shielded AS (SELECT script, regexp_replace(body, '\(([^();]*);([^();]*)\)', concat('(\1', chr(1), '\2)'), 'g') AS body FROM bare), parts AS (SELECT script, list_filter(list_transform(string_split(body, ';'), lambda x: replace(regexp_replace(x, '^\s+|\s+$', '', 'g'), chr(1), ';')), lambda x: x <> '') AS s FROM shielded)"
+
+
+@query("c01_without_comments", f"WITH {_BARE} SELECT script, length(body) AS n_chars, md5(body) AS body_md5 FROM bare")
+def c01(fx):
+    """Whole package bodies without block and line comments."""
+    from loomgraph.operators.branches import uncommented
+
+    bare = fx["fx_packages"].select("script", uncommented("body").alias("body"))
+    return bare.select("script", F.length("body").cast("long").alias("n_chars"), F.md5("body").alias("body_md5"))
+
+
+@query("c03_package_statements", f"WITH {_SHIELDED} SELECT script, CAST(unnest(range(0, len(s))) AS INTEGER) AS at, unnest(s) AS statement FROM parts")
+def c03_packages(fx):
+    """The statements of whole package bodies in their order."""
+    return scripts.split_statements(fx["fx_packages"])
+
+
+@query("c04_package_kinds", rf"""
+WITH {_SHIELDED}, u AS (SELECT script, upper(unnest(s)) AS t FROM parts)
+SELECT kind, count(*) AS n, count(DISTINCT script) AS n_scripts FROM (SELECT script, CASE WHEN regexp_matches(t, '^(INSERT|UPDATE|DELETE|MERGE|TRUNCATE)\b') THEN 'DML' WHEN regexp_matches(t, '^CREATE\s+MATERIALIZED\s+VIEW\b') THEN 'MVIEW' WHEN regexp_matches(t, '^CREATE\s+(OR\s+REPLACE\s+)?VIEW\b') THEN 'VIEW' WHEN regexp_matches(t, '^(CREATE\s+(OR\s+REPLACE\s+)?(PACKAGE|PROCEDURE|FUNCTION)|BEGIN|DECLARE)\b') THEN 'PLSQL' WHEN regexp_matches(t, '^(COMMIT|ROLLBACK|EXIT|NULL)\b') THEN 'BOILERPLATE' ELSE 'OTHER' END AS kind FROM u) GROUP BY kind
+""")
+def c04_packages(fx):
+    """Kinds of the statements of whole package bodies."""
+    return scripts.split_statements(fx["fx_packages"]).groupBy(scripts.statement_kind(F.col("statement")).alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("script").alias("n_scripts"))
