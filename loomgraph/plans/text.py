@@ -550,3 +550,15 @@ SELECT kind, count(*) AS n, count(DISTINCT script) AS n_scripts FROM (SELECT scr
 def c04_packages(fx):
     """Kinds of the statements of whole package bodies."""
     return scripts.split_statements(fx["fx_packages"]).groupBy(scripts.statement_kind(F.col("statement")).alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("script").alias("n_scripts"))
+
+
+@query("c06_view_branches", r"""
+WITH s AS (SELECT script, regexp_replace(body, '\(([^()]*?)(UNION)([^()]*?)\)', concat('(\1', chr(1), '\3)'), 'gi') AS body FROM fx_view_bodies),
+m AS (SELECT script, regexp_replace(body, '(?i)\bUNION(\s+ALL)?\b', chr(2), 'g') AS body FROM s), p AS (SELECT script, list_transform(string_split(body, chr(2)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS b FROM m)
+SELECT script, CAST(unnest(range(0, len(b))) AS INTEGER) AS at, len(b) AS n_branches, regexp_extract(unnest(b), '(?i)\bFROM\s+(own\.\w+)', 1) AS first_table, upper(replace(unnest(b), chr(1), 'UNION')) AS branch FROM p
+""")
+def c06_views(fx):
+    """The branches of view queries between unions outside of parentheses, with the first own table of each."""
+    found = scripts.split_unions(fx["fx_view_bodies"])
+    n = found.groupBy("script").agg(F.count(F.lit(1)).alias("n_branches"))
+    return found.join(n, "script").select("script", "at", "n_branches", F.regexp_extract("branch", r"(?i)\bFROM\s+(own\.\w+)", 1).alias("first_table"), F.upper("branch").alias("branch"))

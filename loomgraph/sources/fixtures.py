@@ -51,6 +51,7 @@ VIEWS = {
     "fx_cleaned": """SELECT p_partkey AS object, CASE p_partkey % 9 WHEN 0 THEN repeat(concat('INSERT INTO own.t SELECT a FROM b', chr(10)), 100 + p_size * 8) WHEN 1 THEN concat('BEGIN', chr(10), ' NULL;', chr(10), 'END;', chr(10)) WHEN 2 THEN concat('MERGE INTO own.m', chr(10), 'EXECUTE IMMEDIATE v_sql || x;', chr(10), 'END;') WHEN 3 THEN concat('insert /*+ append */ into own.m', chr(10), 'execute  immediate v_sql ;', chr(10), 'END;') WHEN 4 THEN concat('DELETE FROM d;', chr(10), 'SELECT SYS.XMLType (x), xmlelement(y);', chr(10), 'END;') WHEN 5 THEN concat('-- Lineage: Cursor c', chr(10), 'INSERT INTO a SELECT 1;', chr(10), 'END;', chr(10), 'x') WHEN 6 THEN concat('-- note', chr(10), 'UPDATE t SET a = 1;', chr(10), '  -- END', chr(10), ' ', chr(10), 'END;') WHEN 7 THEN concat('UPDATE own.t SET a = 1;', chr(10), 'a', chr(10), 'b') ELSE concat('INSERT INTO own.t', chr(10), 'SELECT XMLAGG(x)', chr(10), 'FROM b;') END AS body FROM {part}""",
     "fx_dumps": """SELECT p_partkey AS object, replace(replace(CASE p_size % 4 WHEN 0 THEN '<"relationships": [<"id": 1>]>' WHEN 1 THEN concat('<"relationships": [1]>', chr(10), 'Error log: x') WHEN 2 THEN '<"relationships": []>' ELSE 'broken' END, '<', chr(123)), '>', chr(125)) AS dump FROM {part} WHERE p_partkey % 5 = 0""",
     "fx_mixed_scripts": "SELECT script, CASE script % 7 WHEN 0 THEN 'echo done' WHEN 1 THEN concat('SQLPlus -s x', chr(10), 'nothing known') WHEN 2 THEN NULL ELSE body END AS body FROM {fx_scripts}",
+    "fx_view_bodies": """SELECT p_partkey AS script, concat('SELECT a, ', CASE WHEN p_partkey % 3 = 0 THEN '(SELECT 1 FROM x union SELECT 2 FROM y)' ELSE 'b' END, chr(10), ' FROM own.t_', CAST(p_size AS STRING), CASE WHEN p_partkey % 4 = 0 THEN concat(chr(10), 'UNION ALL', chr(10), 'SELECT c, REUNION FROM own.u WHERE k IN (SELECT 1 UNION ALL SELECT 2)') ELSE '' END, CASE WHEN p_size % 3 = 0 THEN ' union  SELECT d, e FROM own.v' ELSE '' END, CASE WHEN p_size % 7 = 0 THEN concat(' UNION', chr(10), 'all SELECT f, g FROM own.w') ELSE '' END) AS body FROM {part}""",
     "fx_model_objects": """SELECT DISTINCT object, id, id AS pos, kind, name, parent FROM (
 SELECT l_orderkey AS object, concat('T', CAST(l_linenumber AS STRING)) AS id, 'column' AS kind, CASE WHEN l_linenumber = 1 THEN 'sum( a.C1)' WHEN l_linenumber = 2 AND l_orderkey % 3 = 0 THEN 'RS-2' ELSE concat('C', CAST(l_linenumber AS STRING)) END AS name, concat('TBL_', CAST(l_orderkey % 5 AS STRING), CASE WHEN l_orderkey % 11 = 0 THEN '_bkp' ELSE '' END) AS parent FROM {lineitem}
 UNION ALL SELECT l_orderkey, concat('F', CAST(l_partkey % 3 AS STRING)), 'other_col', 'x', CASE l_partkey % 3 WHEN 0 THEN 'NVL' WHEN 1 THEN 'RS-1' ELSE 'DECODE' END FROM {lineitem}
