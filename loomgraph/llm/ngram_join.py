@@ -41,8 +41,10 @@ SKETCH_BITS, BLOCKS = 22, 512
 TASKS_AT_ONCE = 256
 #: Lists up to this length give their pairs in the fragment, longer ones stay relations.
 SHORT_LIST = 24
-#: Prefix shingles of a fragment, and the level (half powers of two of the mean sketch count) from which a shingle's list is dealt by class.
-FRAGMENT_TOKENS, DEALT_LEVEL = 500_000, 16
+#: Steps that the sketch's counts are told apart by around their mean, beside the half powers of two above it.
+STEPS = 64
+#: Prefix shingles of a fragment, and the level (256 times the mean sketch count) from which a shingle's list is dealt by class.
+FRAGMENT_TOKENS, DEALT_LEVEL = 500_000, STEPS - 1 + 16
 #: Pairs of places that a fragment looks at together.
 PAIRS_AT_ONCE = 1_000_000
 FILTER_BITS = 24
@@ -191,7 +193,18 @@ def levels_of(sketch: DataFrame) -> np.ndarray:
     counts = np.zeros(1 << SKETCH_BITS)
     for block, total in sketch.groupBy("block").applyInArrow(add, schema).collect():
         counts[block * width : (block + 1) * width] = np.frombuffer(total, np.uint32)
-    return np.floor(2 * np.log2(np.maximum(counts / max(counts.mean(), 1.0), 1))).astype(np.uint8)
+    return graded(counts)
+
+
+def graded(counts: np.ndarray) -> np.ndarray:
+    """Levels that rise with the counts: by their quantiles, and by half powers of two above the mean.
+
+    In a large input a bucket's mean is far above the count of a shingle that some hundred documents share by chance. The
+    quantiles still tell it from rare ones, as buckets differ by about the square root of the mean.
+    """
+    cuts = np.quantile(counts, np.arange(1, STEPS) / STEPS, method="lower")
+    above = np.floor(2 * np.log2(np.maximum(counts / max(counts.mean(), 1.0), 1)))
+    return (np.searchsorted(cuts, counts) + above).astype(np.uint8)
 
 
 def overlaps(docs: DataFrame, levels: np.ndarray, total: int, words: int, num: int, den: int) -> DataFrame:

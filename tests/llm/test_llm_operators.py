@@ -443,6 +443,18 @@ def test_components_of_awkward_rows(awkward, nothing):
     assert ngram_join.ngram_components(nothing).count() == 0
 
 
+def test_levels_tell_common_shingles_at_high_counts(spark):
+    """Buckets of 350 shingles, as documents of 6 GB fill them: one that holds a shingle of 100 documents comes late in the order."""
+    rng = np.random.default_rng(3)
+    counts = rng.poisson(350, 1 << ngram_join.SKETCH_BITS).astype(np.uint32)
+    common = rng.choice(len(counts), 1000, replace=False)
+    counts[common] += 100
+    blocks = [(i, x.tobytes()) for i, x in enumerate(counts.reshape(ngram_join.BLOCKS, -1))]
+    levels = ngram_join.levels_of(spark.createDataFrame(blocks, "block int, counts binary"))
+    assert (levels[common] > np.quantile(levels, 0.75)).mean() > 0.99
+    assert (np.diff(levels[np.argsort(counts)].astype(int)) >= 0).all()
+
+
 def test_word_hashes_do_not_depend_on_segments(monkeypatch):
     data = b" ".join(b"word%d" % (i % 700) for i in range(5000)) + b" " + b"x" * 3000
     whole = ngram_join.Shingler().word_hashes(data)
