@@ -47,6 +47,18 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def discard_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared folder that nothing reads any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a relation that ``materialize`` returned and that nothing reads any more."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        discard_path(df.sparkSession, folder)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of steps that are done: it does so when the driver's JVM collects what refers to them."""
     spark.sparkContext._jvm.java.lang.System.gc()

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialize, parts_for, release, scratch_path, slices, table, texts
+from ._common import discard, discard_path, materialize, parts_for, release, scratch_path, slices, table, texts
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
 #: Buckets of the sketch, and the blocks that they are summed in.
@@ -284,8 +284,8 @@ def overlaps(docs: DataFrame, levels: np.ndarray, total: int, words: int, num: i
     return materialize(dealt.groupBy("fragment").applyInArrow(count, ", ".join(f"{n} long" for n in names)), "partial-overlaps")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> str:
-    """Name of a table (class, tokens) of the wanted classes, in buckets by class; its files lie in the shared folder.
+def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> tuple[str, str]:
+    """Name of a table (class, tokens) of the wanted classes, in buckets by class, and the path of its files in the shared folder.
 
     A bit filter of a fixed size tells most unwanted classes; the join tells the rest.
     """
@@ -313,9 +313,9 @@ def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> str:
     spark = docs.sparkSession
     found = docs.mapInArrow(run, "class long, tokens array<long>").join(wanted, "class", "left_semi").dropDuplicates(["class"])
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"loomgraph_sets_{uuid.uuid4().hex}"
-    found.write.bucketBy(buckets, "class").option("compression", "none").option("path", scratch_path(spark, "sets")).saveAsTable(name)
-    return name
+    name, path = f"loomgraph_sets_{uuid.uuid4().hex}", scratch_path(spark, "sets")
+    found.write.bucketBy(buckets, "class").option("compression", "none").option("path", path).saveAsTable(name)
+    return name, path
 
 
 def linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -363,7 +363,9 @@ def candidates(partial: DataFrame, num: int, den: int) -> tuple[DataFrame, DataF
     pairs = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
     besides = F.least(F.coalesce("held_a", F.lit(0)), F.coalesce("held_b", F.lit(0)))
     pairs = pairs.where(reachable(F.col("shared") + besides, F.col("n_a"), F.col("n_b"), num, den))
-    return materialize(pairs.select("a", "b", "shared", "n_a", "n_b"), "candidates"), materialize(lists.join(held, "class").withColumn("core", F.col("held") / F.col("n")).drop("held"), "long-lists")
+    found = materialize(pairs.select("a", "b", "shared", "n_a", "n_b"), "candidates"), materialize(lists.join(held, "class").withColumn("core", F.col("held") / F.col("n")).drop("held"), "long-lists")
+    discard(lists)
+    return found
 
 
 def class_components(pairs: DataFrame, lists: DataFrame, sets: DataFrame, num: int, den: int, most_rounds: int = 12) -> DataFrame | None:
@@ -447,14 +449,19 @@ def ngram_components(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR,
     partial = overlaps(docs, levels_of(sketch), total, words, num, den)
     release(spark)
     pairs, lists = candidates(partial, num, den)
+    discard(partial)
     release(spark)
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).union(lists.select("class")).distinct()
-    sets = sets_of(docs, wanted, words)
+    sets, path = sets_of(docs, wanted, words)
     release(spark)
     try:
         labels = class_components(pairs, lists, spark.table(sets), num, den)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {sets}")
+        discard_path(spark, path)  # a table with a path of its own keeps its files when it is dropped
+    discard(pairs)
+    discard(lists)
+    release(spark)
     smallest = described_docs.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least_id"))
     if labels is None:
         named = smallest.select("class", F.col("least_id").alias("component_id"))

@@ -7,6 +7,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -455,6 +456,15 @@ def test_levels_tell_common_shingles_at_high_counts(spark):
     assert (np.diff(levels[np.argsort(counts)].astype(int)) >= 0).all()
 
 
+def test_components_leave_no_files_of_finished_steps(spark):
+    own = Path(spark.conf.get("spark.checkpoint.dir"), "loomgraph", spark.sparkContext.applicationId)
+    before = {str(f) for f in own.rglob("*.parquet")}
+    found = ngram_join.ngram_components(spark.createDataFrame(near_copies(40), "doc_id long, text string"))
+    assert found.count() == 60
+    written = {str(f) for f in own.rglob("*.parquet")} - before
+    assert not [f for f in written if re.search(r"/(sets|partial-overlaps|candidates|long-lists)-", f)]
+
+
 def test_word_hashes_do_not_depend_on_segments(monkeypatch):
     data = b" ".join(b"word%d" % (i % 700) for i in range(5000)) + b" " + b"x" * 3000
     whole = ngram_join.Shingler().word_hashes(data)
