@@ -13,13 +13,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.functions.scratch import materialize
+
 NAME = r"[A-Za-z][A-Za-z0-9_$#.]*"
 
 
+def groups_of(pattern: str, *groups: str) -> Column:
+    """The matches in ``body`` in their order, as structs of the named groups."""
+    return F.arrays_zip(*[F.regexp_extract_all("body", F.lit(pattern), F.lit(i + 1)).alias(g) for i, g in enumerate(groups)])
+
+
 def matches(scripts: DataFrame, pattern: str, *groups: str) -> DataFrame:
     """(script, at, groups...): the groups of each match, ``at`` counting from 0."""
-    lists = [F.regexp_extract_all("body", F.lit(pattern), F.lit(i + 1)).alias(g) for i, g in enumerate(groups)]
-    zipped = scripts.select("script", F.posexplode(F.arrays_zip(*lists)).alias("at", "m"))
+    zipped = scripts.select("script", F.posexplode(groups_of(pattern, *groups)).alias("at", "m"))
     return zipped.select("script", "at", *[F.col(f"m.{g}").alias(g) for g in groups])
 
 
@@ -218,15 +224,18 @@ def cursor_sources(scripts: DataFrame) -> DataFrame:
     A named cursor's target is the first table changed with the cursor's name behind it in the same or the next four
     statements, as in a loop; that of an OPEN is the first table inserted into. Null where there is none.
     """
-    named = matches(scripts, r"(?is)\bCURSOR\s+(\w+)\s*(?:\([^)]*\))?\s*IS\s*(SELECT\b.+?);", "cursor", "query")
-    opened = matches(scripts, r"(?is)\bOPEN\s+(\w+)\s+FOR\s+(SELECT\b.+?);", "cursor", "query")
-    into = scripts.select("script", F.upper(F.regexp_extract("body", r"(?is)\bINSERT\s+(?:/\*[^*]*\*/\s*)?INTO\s+(\w+)", 1)).alias("into"))
-    uses = matches(scripts, r"(?is)\b(?:UPDATE|INSERT\s+INTO)\s+(\w+)(?=((?:[^;]*;){0,4}[^;]*))", "target", "behind")
-    used = uses.select("script", "at", F.upper("target").alias("target"), F.explode(F.array_distinct(F.regexp_extract_all(F.upper("behind"), F.lit(r"(\w+)"), F.lit(1)))).alias("cursor"))
-    first = used.groupBy("script", "cursor").agg(F.min_by("target", "at").alias("target"))
-    named = named.select("script", F.upper("cursor").alias("cursor"), F.trim("query").alias("query")).join(first, ["script", "cursor"], "left")
-    opened = opened.join(into, "script").select("script", F.upper("cursor").alias("cursor"), F.trim("query").alias("query"), F.nullif("into", F.lit("")).alias("target"))
-    return named.unionByName(opened)
+    # Targets are looked up in the row's own text. As joins, with a row for each word of each script, they were broadcast:
+    # the planner takes a text for 20 bytes.
+    uses = groups_of(r"(?is)\b(?:UPDATE|INSERT\s+INTO)\s+(\w+)(?=((?:[^;]*;){0,4}[^;]*))", "target", "behind")
+    words = lambda text: F.regexp_extract_all(F.upper(text), F.lit(r"(\w+)"), F.lit(1))
+    first = F.upper(F.get(F.filter(uses, lambda u: F.array_contains(words(u["behind"]), F.upper("cursor"))), F.lit(0))["target"])
+    into = F.upper(F.regexp_extract("body", r"(?is)\bINSERT\s+(?:/\*[^*]*\*/\s*)?INTO\s+(\w+)", 1))
+    found = None
+    for pattern, target in ((r"(?is)\bCURSOR\s+(\w+)\s*(?:\([^)]*\))?\s*IS\s*(SELECT\b.+?);", first), (r"(?is)\bOPEN\s+(\w+)\s+FOR\s+(SELECT\b.+?);", F.nullif(into, F.lit("")))):
+        each = scripts.select("script", "body", F.explode(groups_of(pattern, "cursor", "query")).alias("m")).select("script", "body", "m.*")
+        one = each.select("script", F.upper("cursor").alias("cursor"), F.trim("query").alias("query"), target.alias("target"))
+        found = one if found is None else found.unionByName(one)
+    return found
 
 
 def dynamic_changes(scripts: DataFrame) -> DataFrame:
@@ -244,6 +253,7 @@ def cleaned(scripts: DataFrame) -> DataFrame:
     """
     bare = split_statements(scripts).groupBy("script").agg(F.array_sort(F.collect_list(F.struct("at", "statement"))).alias("s"))
     bare = bare.select("script", without_exceptions(F.concat(F.array_join(F.transform("s", lambda x: x["statement"]), ";\n"), F.lit(";"))).alias("body"))
+    bare = materialize(bare, "bare-scripts")
     each = split_statements(bare)
     changed = F.col("statement").rlike(CHANGE)
     executed = F.col("statement").rlike(r"(?i)\bEXECUTE\s+IMMEDIATE\b")
