@@ -30,9 +30,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes of files from which a relation isn't broadcast on the planner's word.
+LARGE = 1 << 20
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Writes ``df`` and reads it again. The planner takes files for their size on disk, of which encoded numbers need a
+    fraction of what they take in the driver as a broadcast, so joins with more than ``LARGE`` are by a shuffle."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    found = spark.read.schema(schema).parquet(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    size = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+    return found.hint("merge") if size > LARGE else found

@@ -47,20 +47,21 @@ def weighted_depth(edges: DataFrame, nodes: DataFrame, roots: DataFrame) -> Data
     Such nodes are passed but not returned; nodes with ``is_stop`` are neither returned nor passed. ``nodes`` has (job,
     is_pass, is_stop), ``roots`` has (root_job). A root has depth 0, whatever its flags.
     """
+    nodes = nodes.select("job", "is_pass", "is_stop").hint("merge")  # a row per node: the files that it comes from may look small
     steps = edges.join(nodes, edges["dependent_job"] == nodes["job"]).where(~F.col("is_stop"))
     steps = materialize(steps.select(edges["job"].alias("from"), F.col("dependent_job").alias("to"), F.when(F.col("is_pass"), 0).otherwise(1).alias("w")), "steps")
     frontier = roots.select(F.col("root_job").alias("root"), F.col("root_job").alias("node"), F.lit(0).alias("depth")).distinct()
     known = Known(frontier, lambda df: df.groupBy("root", "node").agg(F.min("depth").alias("depth")))
     while True:
         reached = frontier.join(steps, frontier["node"] == steps["from"]).groupBy("root", F.col("to").alias("node")).agg(F.min(F.col("depth") + F.col("w")).alias("depth"))
-        old = known.all().toDF("o_root", "o_node", "o_depth")
+        old = known.all().toDF("o_root", "o_node", "o_depth").hint("merge")
         fresh = reached.join(old, (F.col("root") == F.col("o_root")) & (F.col("node") == F.col("o_node")) & (F.col("o_depth") <= F.col("depth")), "left_anti")
         frontier = materialize(fresh, "frontier")
         if frontier.isEmpty():
             break
         known.add(frontier)
     flags = nodes.select(F.col("job").alias("node"), "is_pass")
-    found = known.result().join(flags, "node", "left").where((F.col("node") == F.col("root")) | ~F.coalesce("is_pass", F.lit(False)))
+    found = known.result().join(flags.hint("merge"), "node", "left").where((F.col("node") == F.col("root")) | ~F.coalesce("is_pass", F.lit(False)))
     return found.select("root", "node", F.col("depth").cast("int").alias("depth"))
 
 
@@ -188,6 +189,7 @@ def topological_levels(edges: DataFrame, nodes: DataFrame | None = None) -> Data
     """
     left = materialize(edges.select(F.col("job").alias("a"), F.col("dependent_job").alias("b")).distinct(), "pairs")
     every = left.select(F.col("a").alias("node")).unionByName(left.select("b").toDF("node")).distinct() if nodes is None else nodes.select("node").distinct()
+    every = every.hint("merge")
     waiting = every.join(left.select(F.col("b").alias("node")), "node", "left_semi")
     ready = materialize(every.join(left.select(F.col("b").alias("node")), "node", "left_anti"), "ready")
     found, level = [ready.withColumn("level", F.lit(0))], 0
@@ -202,7 +204,7 @@ def topological_levels(edges: DataFrame, nodes: DataFrame | None = None) -> Data
         found.append(ready.withColumn("level", F.lit(level)))
         if len(found) > ROUNDS:
             found = [materialize(union_of(found), "levels")]
-    stuck = waiting.join(union_of(found), "node", "left_anti").withColumn("level", F.lit(None).cast("int")) if not left.isEmpty() else None
+    stuck = waiting.join(union_of(found).hint("merge"), "node", "left_anti").withColumn("level", F.lit(None).cast("int")) if not left.isEmpty() else None
     return union_of(found if stuck is None else [*found, stuck]).select("node", F.col("level").cast("int").alias("level"))
 
 
@@ -222,6 +224,6 @@ def execution_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     key = lambda c: F.concat_ws("|", "rpt", F.col(c).cast("string"))
     known = nodes.groupBy("rpt", "node").agg(F.min("depth").alias("depth"), F.min("rank").alias("rank")).withColumn("key", key("node"))
     levels = topological_levels(edges.select(key("source").alias("job"), key("target").alias("dependent_job")), known.select(F.col("key").alias("node")))
-    ranked = known.join(levels.toDF("key", "level"), "key")
+    ranked = known.join(levels.toDF("key", "level").hint("merge"), "key")
     order = [F.asc_nulls_last("level"), F.desc("depth"), F.asc("rank"), F.asc("node")]
     return numbered(ranked, "rpt", order, "step").select("rpt", "node", "step")

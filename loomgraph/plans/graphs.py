@@ -47,7 +47,7 @@ def g03(fx):
 
 def scoped_edges(edges, nodes):
     """Edges whose ends both belong to the report; they point from the producer to the consumer."""
-    one, two = nodes.select("rpt", F.col("node").alias("source")), nodes.select("rpt", F.col("node").alias("target"))
+    one, two = (nodes.select("rpt", F.col("node").alias(c)).hint("merge") for c in ("source", "target"))
     return edges.select(F.col("dependent_job").alias("source"), F.col("job").alias("target")).join(one, "source").join(two, ["rpt", "target"]).select("rpt", "source", "target")
 
 
@@ -138,7 +138,7 @@ def g09_order(fx):
     """Execution order of each report: producers first, the deepest of a level before others."""
     nodes = report_nodes(fx)
     rank = F.when(F.col("category") == "REF", 0).when(F.col("category") == "STG", 1).when(F.col("category") == "DIM", 2).when(F.col("category") == "FCT", 3).when(F.col("category") == "MV", 4).when(F.col("category") == "RPT", 5).otherwise(6)
-    ranked = nodes.join(fx["fx_jobs"].select(F.col("job").alias("node"), rank.alias("rank")), "node")
+    ranked = nodes.join(fx["fx_jobs"].select(F.col("job").alias("node"), rank.alias("rank")).hint("merge"), "node")
     return graph.execution_order(ranked, scoped_edges(fx["fx_edges"], nodes))
 
 
